@@ -110,6 +110,8 @@ def compose_sql(r: Recipe) -> str:
         pieces.append("case when pl.places is not null then concat('Visited rooms: ', pl.places, ' </s> ') else '' end")
     pieces.append("'" + r.question + "'")
     text = drop_phrases_sql(sanitize_sql("concat(" + ", ".join(pieces) + ")"))
+    if r.subgoals == "v4_second_last":  # fewer than 2 sub-goals: no input (the template fails there)
+        text = f"(case when g.n_sg >= 2 then {text} end)"
     if r.label == "formal_action":
         target = formalize_sql(sanitize_sql("x.action"))
     elif r.label == "raw_action":
