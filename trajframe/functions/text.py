@@ -89,16 +89,16 @@ def object_mentions(look: Column | str) -> Column:
 
 
 def strip_generation(c: Column | str) -> Column:
-    """Text between ``<extra_id_0>`` and ``<extra_id_1>`` when both occur,
-    then tokens starting with ``<`` dropped and the rest re-joined."""
+    """The text between ``<extra_id_0>`` and ``<extra_id_1>`` when the
+    whole line matches ``.*<extra_id_0>(.*)<extra_id_1>.*`` (greedy), else
+    the text itself; then ``<`` starts a new token, tokens starting with
+    ``<`` are dropped and the rest re-joined with single spaces."""
     c = _c(c)
-    both = (F.instr(c, "<extra_id_0>") > 0) & (F.instr(c, "<extra_id_1>") > 0)
-    inner = F.regexp_extract(c, r"<extra_id_0>(.*?)<extra_id_1>", 1)
-    body = F.when(both, inner).otherwise(c)
-    # a token starting with '<' ... up to '>' is removed wherever it sits
-    body = F.regexp_replace(body, r"<[^>]*>", " ")
-    toks = F.filter(F.split(py_strip(body), r"\s+"), lambda x: (x != "") & ~x.startswith("<"))
-    return F.array_join(toks, " ")
+    pat = r"^.*<extra_id_0>(.*)<extra_id_1>"
+    body = F.when(c.rlike(pat), F.regexp_extract(c, pat, 1)).otherwise(c)
+    toks = F.split(F.replace(body, F.lit("<"), F.lit(" <")), " ")
+    toks = F.filter(toks, lambda x: (py_strip(x) != "") & ~x.startswith("<"))
+    return py_strip(F.array_join(toks, " "))
 
 
 def first_word(c: Column | str) -> Column:
@@ -123,11 +123,45 @@ def current_room(look: Column | str) -> Column:
 
 
 def focus_targets(task: Column | str) -> Column:
-    """Names after ``focus on `` / ``find `` in the task text, without ``the ``."""
-    found = F.regexp_extract_all(_c(task), F.lit(r"(?:focus on|find) (?:the )?([a-z ]+)"), F.lit(1))
-    return F.transform(found, lambda x: py_strip(x))
+    """Word runs after ``focus on`` and after ``find`` (``a(n)`` read as
+    ``a``) in the task text, ``the `` replaced by a space, stripped."""
+    t = _c(task)
+    word_run = r"\s+(\w+(?:\s+\w+)*)"
+    focus = F.regexp_extract_all(t, F.lit("focus on" + word_run), F.lit(1))
+    find = F.regexp_extract_all(F.replace(t, F.lit("a(n)"), F.lit("a")), F.lit("find" + word_run), F.lit(1))
+    return F.transform(F.concat(focus, find), lambda x: py_strip(F.replace(x, F.lit("the "), F.lit(" "))))
 
 
 def truncate_tokens(c: Column | str, n: int) -> Column:
     """X12 (re-aimed): keep the first ``n`` whitespace tokens."""
     return F.array_join(F.slice(F.split(py_strip(_c(c)), r"\s+"), 1, n), " ")
+
+
+def _is_alpha_or_space_prefix_len(line: Column) -> Column:
+    """Index of the first char that is neither a letter nor a space (-1 if none)."""
+    m = F.regexp_extract(line, r"^([\p{L} ]*)", 1)
+    return F.when(F.length(m) == F.length(line), F.lit(-1)).otherwise(F.length(m))
+
+
+def clean_look(look: Column | str, lite: bool = False) -> Column:
+    """Look text up to ``You also see:``, one entry per non-blank line;
+    ``In it, you see:`` lines only in the full form; lines with ``the agent``
+    or `` air`` dropped; ``substance called `` -> space, stripped.  Lite form
+    cuts each line at its first non-letter/non-space char and joins with
+    ``, ``; the full form joins with ``\\n \\t - ``."""
+    t = _c(look)
+    cut = F.when(F.instr(t, "You also see:") > 0, F.substring_index(t, "You also see:", 1)).otherwise(t)
+    lines = F.split(cut, r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]")
+    lines = F.filter(lines, lambda x: py_strip(x) != "")
+    if lite:
+        lines = F.filter(lines, lambda x: ~x.contains("In it, you see:"))
+    lines = F.filter(lines, lambda x: x.contains("In it, you see:") | ~(x.contains("the agent") | x.contains(" air")))
+    lines = F.transform(lines, lambda x: F.when(x.contains("In it, you see:"), x)
+                        .otherwise(py_strip(F.replace(x, F.lit("substance called "), F.lit(" ")))))
+    if lite:
+        def cut_line(x):
+            i = _is_alpha_or_space_prefix_len(py_strip(x))
+            return F.when(i > 0, py_strip(F.substring(py_strip(x), 1, i))).otherwise(x)
+        lines = F.transform(lines, cut_line)
+        return F.array_join(lines, ", ")
+    return F.array_join(lines, "\n \t - ")

@@ -154,3 +154,260 @@ def with_rooms(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
     return df.withColumn(
         "places", F.flatten(F.collect_list(firsts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ).drop("_rooms", "_new")
+
+
+# --- W8: bounded FIFO of seen objects ------------------------------------------
+
+def _fifo_fold(keys: list[str], limit: int, start_step: int):
+    """Per-partition fold over rows sorted by (episode, step).  State is one
+    bounded list per episode; batches stream through, so memory stays
+    O(limit) however long an episode is."""
+    def run(batches):
+        cur, objs = None, []
+        for pdf in batches:
+            out = []
+            kv = list(zip(*[pdf[k].tolist() for k in keys])) if keys else [()] * len(pdf)
+            for key, step, things in zip(kv, pdf["step"].tolist(), pdf["_things"].tolist()):
+                if key != cur:
+                    cur, objs = key, []
+                if step >= start_step and things is not None:
+                    for t in things:
+                        if t not in objs:
+                            objs.append(t)
+                    while len(objs) > limit:
+                        objs.pop(0)
+                out.append(list(objs))
+            pdf = pdf.drop(columns=["_things"])
+            pdf["objects"] = out
+            yield pdf
+    return run
+
+
+def with_objects(steps: DataFrame, limit: int = fixed.OBJECT_LIMIT_OFFLINE, episode: Sequence[str] = EPISODE,
+                 look: str = "freelook", start_step: int = 1) -> DataFrame:
+    """Per-row state of the bounded FIFO of distinct objects.
+
+    Each row (from ``start_step``) appends the objects of its look that are
+    not in the list, then the oldest are evicted down to ``limit``; evicted
+    objects may re-enter later, so this is *not* "last k distinct".  The
+    state is sequential by definition, so rows are hash-partitioned by
+    episode, sorted by step and folded in one streaming pass
+    (``mapInPandas``, Arrow batches, O(limit) state)."""
+    from ..functions.text import object_mentions
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+    df = steps.withColumn("_things", object_mentions(look))
+    df = df.repartition(*episode).sortWithinPartitions(*episode, "step")
+    schema = StructType([f for f in df.schema.fields if f.name != "_things"]
+                        + [StructField("objects", ArrayType(StringType()))])
+    return df.mapInPandas(_fifo_fold(list(episode), limit, start_step), schema)
+
+
+def final_objects(steps: DataFrame, limit: int, episode: Sequence[str] = EPISODE, look: str = "freelook",
+                  start_step: int = 1) -> DataFrame:
+    """W8 final state per episode as a SQL fold (``aggregate`` over the
+    ordered mention lists): ``array_except`` adds the new ones, ``slice``
+    evicts the oldest."""
+    from ..functions.text import object_mentions
+    s = steps.where(F.col("step") >= start_step).select(*episode, "step", object_mentions(look).alias("t"))
+    g = s.groupBy(*episode).agg(F.array_sort(F.collect_list(F.struct("step", "t"))).alias("_l"))
+    empty = F.array().cast("array<string>")
+
+    def step_fn(acc, x):
+        grown = F.concat(acc, F.array_except(x["t"], acc))
+        return F.when(F.size(grown) > limit, F.slice(grown, -limit, limit)).otherwise(grown)
+
+    return g.select(*episode, F.aggregate("_l", empty, step_fn).alias("objects"))
+
+
+# --- W9 - W12: stop rules ---------------------------------------------------------
+
+def loop_flag(k: int = fixed.LOOP_WINDOW, col: Column | str = "action", episode: Sequence[str] = EPISODE,
+              seed: str = fixed.SENTINEL_ACTION) -> Column:
+    """W9 condition at step t: at least k actions exist (the seed action
+    counts) and the last k hold exactly two distinct values."""
+    c = F.col(col) if isinstance(col, str) else col
+    w = w_ep(episode).rowsBetween(-(k - 1), 0)
+    last = F.collect_list(c).over(w)
+    with_seed = F.when(F.col("step") == k - 2, F.concat(F.array(F.lit(seed)), last)).otherwise(last)
+    return (F.col("step") + 2 >= k) & (F.size(F.array_distinct(with_seed)) == 2)
+
+
+def stall_flag(k: int = fixed.STALL_WINDOW, col: str = "score", episode: Sequence[str] = EPISODE) -> Column:
+    """W10 condition at step t: more than k scores (seed 0 counts) and the
+    last k are one value."""
+    w = w_ep(episode).rowsBetween(-(k - 1), 0)
+    return (F.col("step") + 2 > k) & (F.min(col).over(w) == F.max(col).over(w))
+
+
+def first_true(df: DataFrame, flag: Column, name: str, episode: Sequence[str] = EPISODE) -> DataFrame:
+    """Add ``name`` = first step where ``flag`` holds (null if never)."""
+    w = Window.partitionBy(*episode)
+    return df.withColumn(name, F.min(F.when(flag, F.col("step"))).over(w))
+
+
+def loop_stop(steps: DataFrame, k: int = fixed.LOOP_WINDOW, col: Column | str = "action",
+              episode: Sequence[str] = EPISODE) -> DataFrame:
+    """Keep the prefix up to and including the step where the loop rule
+    first fires."""
+    df = steps.withColumn("_f", loop_flag(k, col, episode))
+    df = first_true(df, F.col("_f"), "stop_step", episode)
+    return df.where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step"))).drop("_f")
+
+
+def stall_stop(steps: DataFrame, k: int = fixed.STALL_WINDOW, col: str = "score",
+               episode: Sequence[str] = EPISODE) -> DataFrame:
+    """Keep the prefix up to the step where the stall rule first fires."""
+    df = steps.withColumn("_f", stall_flag(k, col, episode))
+    df = first_true(df, F.col("_f"), "stop_step", episode)
+    return df.where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step"))).drop("_f")
+
+
+def negative_stop(steps: DataFrame, no_stop: bool = False, episode: Sequence[str] = EPISODE,
+                  score: str = "score") -> DataFrame:
+    """The first negative score ends the episode; its final score is the
+    previous score with ``no_stop``, else 0.  Adds ``neg_step`` and
+    ``final_score`` (per episode) and keeps the prefix."""
+    w = w_ep(episode)
+    df = steps.withColumn("_prev", F.coalesce(F.lag(score).over(w), F.lit(0.0)))
+    df = first_true(df, F.col(score) < 0, "neg_step", episode)
+    at_neg = F.when(F.col("step") == F.col("neg_step"), F.lit(0.0) if not no_stop else F.col("_prev"))
+    df = df.withColumn("_fs", F.max(at_neg).over(Window.partitionBy(*episode)))
+    return (df.where(F.col("neg_step").isNull() | (F.col("step") <= F.col("neg_step")))
+            .withColumnRenamed("_fs", "neg_final").drop("_prev"))
+
+
+def step_cap(steps: DataFrame, limit: int) -> DataFrame:
+    """The loop stops at 2 x step limit."""
+    return steps.where(F.col("step") < 2 * limit)
+
+
+def finals(steps: DataFrame, limit: int = 100, loop_k: int | None = fixed.LOOP_WINDOW,
+           stall_k: int | None = None, no_stop: bool = False, episode: Sequence[str] = EPISODE,
+           action: Column | str = "action", score: str = "score") -> DataFrame:
+    """One row per episode: the step where the loop ended (first of:
+    negative score, loop rule, stall rule, step cap, last step) and the
+    final score there.  A negative score ends first; its final score is 0
+    (or the previous score with ``no_stop``)."""
+    w = w_ep(episode)
+    allw = Window.partitionBy(*episode)
+    df = steps.withColumn("_prev", F.coalesce(F.lag(score).over(w), F.lit(0.0)))
+    ends = [F.when(F.col(score) < 0, F.col("step"))]
+    if loop_k:
+        ends.append(F.when(loop_flag(loop_k, action, episode), F.col("step")))
+    if stall_k:
+        ends.append(F.when(stall_flag(stall_k, score, episode), F.col("step")))
+    ends.append(F.when(F.col("step") == 2 * limit - 1, F.col("step")))
+    df = df.withColumn("_neg", F.when(F.col(score) < 0, F.col("step")))
+    df = df.withColumn("_end", F.least(*ends))
+    # pick the row at the end step without collecting the episode
+    df = df.withColumn("end_step", F.coalesce(F.min("_end").over(allw), F.max("step").over(allw)))
+    df = df.withColumn("neg_step", F.min("_neg").over(allw))
+    at_end = df.where(F.col("step") == F.col("end_step"))
+    neg_final = F.lit(0.0) if not no_stop else F.col("_prev")
+    fs = F.when(F.col("neg_step") == F.col("end_step"), neg_final).otherwise(F.col(score))
+    keep = [c for c in ("task_no",) if c in steps.columns and c not in episode]
+    return at_end.select(*episode, *keep, "end_step", fs.alias("final_score"))
+
+
+# --- W14: sub-goal segment markers ----------------------------------------------------
+
+def insert_markers(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
+    """After a step whose successor has a different sub-goal, insert an
+    ``end subgoal`` / ``the current subgoal is done.`` row copying score,
+    look, inventory and sub-goal; ``step`` is renumbered.  The new number is
+    the old one plus the markers before it (a running sum), so no second
+    sort is needed."""
+    w = w_ep(episode)
+    nxt = F.lead("subgoal").over(w)
+    changed = (nxt.isNotNull() & (nxt != F.col("subgoal"))).cast("int")
+    df = steps.withColumn("_chg", changed)
+    df = df.withColumn("_before", F.coalesce(F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = df.withColumn("is_marker", F.lit(False)).withColumn("step", (F.col("step") + F.col("_before")).cast("int"))
+    marks = (df.where(F.col("_chg") == 1)
+             .withColumn("action", F.lit(fixed.MARKER_ACTION))
+             .withColumn("observation", F.lit(fixed.MARKER_OBSERVATION))
+             .withColumn("is_marker", F.lit(True))
+             .withColumn("step", (F.col("step") + F.col("_before") + 1).cast("int")))
+    return base.unionByName(marks).drop("_chg", "_before")
+
+
+# --- W15: running exact match -------------------------------------------------------------
+
+def running_match(pairs: DataFrame, group: str = "task_no", order: Sequence[str] = ("variation_id", "step"),
+                  pred: str = "prediction", target: str = "target") -> DataFrame:
+    """Cumulative exact-match % after each row, per group (a task
+    file), in the given row order.
+
+    A hot group is not sorted in one task: rows are summed per first order
+    key (an episode), those per-episode totals are prefix-summed (a much
+    smaller table), and the offset is joined back to a running sum *within*
+    each episode."""
+    first, rest = order[0], list(order[1:])
+    m = pairs.withColumn("_m", F.col(pred).eqNullSafe(F.col(target)).cast("int"))
+    per = m.groupBy(group, first).agg(F.sum("_m").alias("_sm"), F.count(F.lit(1)).alias("_sn"))
+    wo = Window.partitionBy(group).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(group, first, F.coalesce(F.sum("_sm").over(wo), F.lit(0)).alias("_om"),
+                     F.coalesce(F.sum("_sn").over(wo), F.lit(0)).alias("_on"))
+    wi = Window.partitionBy(group, first).orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0) if rest else \
+        Window.partitionBy(group, first).rowsBetween(Window.unboundedPreceding, 0)
+    j = m.join(per, [group, first], "inner")
+    cm = F.col("_om") + F.sum("_m").over(wi)
+    cn = F.col("_on") + F.count(F.lit(1)).over(wi)
+    return j.withColumn("running_match", cm * 100.0 / cn).drop("_m", "_om", "_on")
+
+
+# --- W16 - W18: history clean-up ------------------------------------------------------------
+
+def clean_history(steps: DataFrame, episode: Sequence[str] = EPISODE, score: str = "score") -> DataFrame:
+    """Remove ``examine*``; ``teleport``->``go`` when score >= 0 and
+    ``go``->``teleport`` when score < 0 (action and observation, every
+    occurrence); remove ``open door*`` when score < 0; remove a row whose
+    (rewritten) action recurs in the next 2 raw actions when score >= 0."""
+    w = w_ep(episode)
+    a, o, s = F.col("action"), F.col("observation"), F.col(score)
+    t2g = a.startswith("teleport to") & (s >= 0)
+    a1 = F.when(t2g, F.replace(a, F.lit("teleport"), F.lit("go"))).otherwise(a)
+    o1 = F.when(t2g, F.replace(o, F.lit("teleport"), F.lit("go"))).otherwise(o)
+    g2t = a1.startswith("go to") & (s < 0)
+    a2 = F.when(g2t, F.replace(a1, F.lit("go"), F.lit("teleport"))).otherwise(a1)
+    o2 = F.when(g2t, F.replace(o1, F.lit("go"), F.lit("teleport"))).otherwise(o1)
+    n1, n2 = F.lead("action", 1).over(w), F.lead("action", 2).over(w)
+    recur = ((F.coalesce(n1 == a2, F.lit(False)) | F.coalesce(n2 == a2, F.lit(False))) & (s >= 0))
+    drop = a.startswith("examine") | (a2.startswith("open door") & (s < 0)) | recur
+    return (steps.withColumn("_drop", drop).withColumn("_a", a2).withColumn("_o", o2)
+            .where(~F.col("_drop")).drop("action", "observation", "_drop")
+            .withColumnRenamed("_a", "action").withColumnRenamed("_o", "observation"))
+
+
+def collapse_repeats(steps: DataFrame, before: int = 5, after: int = 4, episode: Sequence[str] = EPISODE,
+                     line: str = "Repeat the above action for {} times.") -> DataFrame:
+    """Drop a step whose action occurs in the previous ``before`` and in
+    the next ``after`` actions (not the last row); each kept row reports in
+    ``repeat_line`` how many rows were dropped right before it (emitted after
+    it, as in the original; a trailing dropped run is never reported).
+    Form A: before 5, after 4.  Form B: before 5, after 5 and the line
+    ``Repeat the above {} times.``"""
+    w = w_ep(episode)
+    prev = F.collect_list("action").over(w.rowsBetween(-before, -1))
+    nxt = F.collect_list("action").over(w.rowsBetween(1, after))
+    dropped = F.lead("step").over(w).isNotNull() & F.array_contains(prev, F.col("action")) & F.array_contains(nxt, F.col("action"))
+    kept = steps.withColumn("_d", dropped).where(~F.col("_d")).drop("_d")
+    first = F.min("step").over(Window.partitionBy(*episode))
+    gap = F.col("step") - F.coalesce(F.lag("step").over(w), first - 1) - 1
+    pre, post = line.split("{}")
+    return kept.withColumn("repeats", gap.cast("int")).withColumn(
+        "repeat_line", F.when(F.col("repeats") > 0, F.concat(F.lit(pre), F.col("repeats").cast("string"), F.lit(post))))
+
+
+def collapse_moves(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
+    """Observations ``You go/teleport to the`` read as ``move to``;
+    ``The door is already open.`` rows are dropped; of consecutive
+    ``move to the`` rows only the last is kept."""
+    o = F.col("observation")
+    moved = o.startswith("You move to the") | o.startswith("You go to the") | o.startswith("You teleport to the")
+    norm = F.when(moved, F.replace(F.replace(o, F.lit("go to"), F.lit("move to")), F.lit("teleport to"), F.lit("move to"))).otherwise(o)
+    s = steps.withColumn("observation", norm).where(F.col("observation") != "The door is already open.")
+    w = w_ep(episode)
+    s = s.withColumn("_nxt", F.lead("observation").over(w))
+    both = F.col("observation").contains("move to the") & F.coalesce(F.col("_nxt").contains("move to the"), F.lit(False))
+    return s.where(~both).drop("_nxt")

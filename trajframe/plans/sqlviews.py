@@ -59,6 +59,11 @@ def with_views(body: str, *ctes: str) -> str:
     return "with " + ",\n".join(base + list(ctes)) + "\n" + body
 
 
+def with_views_rec(body: str, *ctes: str) -> str:
+    """Same as ``with_views`` for bodies that use a recursive CTE."""
+    return "with recursive " + with_views(body, *ctes)[len("with "):]
+
+
 def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
