@@ -72,7 +72,8 @@ def _ngrams(tokens: F.Column, n: int) -> F.Column:
         F.array().cast("array<string>"))
 
 
-def corpus_bleu(pairs: DataFrame, pred: str = "prediction", target: str = "target", keys: Sequence[str] = ()) -> DataFrame:
+def corpus_bleu(pairs: DataFrame, pred: str = "prediction", target: str = "target", keys: Sequence[str] = (),
+                row_keys: Sequence[str] = ("variation_id", "step")) -> DataFrame:
     """Corpus BLEU (0..100, 4 decimals) of prediction vs one reference.
 
     Our tokenisation: both sides stripped and split on whitespace.  Clipped
@@ -80,7 +81,7 @@ def corpus_bleu(pairs: DataFrame, pred: str = "prediction", target: str = "targe
     row key), summed over the corpus, and combined with the brevity penalty
     and the exponential smoothing for zero-match orders.  This is a stated
     re-implementation, not a claim of equality with an external scorer."""
-    toks = pairs.select(*keys, F.monotonically_increasing_id().alias("_rid"),
+    toks = pairs.select(*keys, F.struct(*row_keys).alias("_rid"),
                         F.split(py_strip(F.col(pred)), r"\s+").alias("_h"),
                         F.split(py_strip(F.col(target)), r"\s+").alias("_r"))
     toks = toks.withColumn("_h", F.filter("_h", lambda x: x != "")).withColumn("_r", F.filter("_r", lambda x: x != ""))
@@ -97,13 +98,15 @@ def corpus_bleu(pairs: DataFrame, pred: str = "prediction", target: str = "targe
         F.sum(F.when(F.col("n") == n, F.least("hc", "rc")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)
     ], *[F.sum(F.when(F.col("n") == n, F.col("hc")).otherwise(0)).alias(f"t{n}") for n in range(1, 5)])
     lens = toks.groupBy(*keys).agg(F.sum(F.size("_h")).alias("hyp_len"), F.sum(F.size("_r")).alias("ref_len"))
-    s = stats.join(lens, list(keys), "inner") if keys else stats.crossJoin(lens)  # both single-row when no keys
+    if not keys:  # two one-row tables: join on a constant key
+        stats, lens, keys = stats.withColumn("_one", F.lit(1)), lens.withColumn("_one", F.lit(1)), ["_one"]
+    s = stats.join(lens, list(keys), "inner")
+    keys = [k for k in keys if k != "_one"]
     return s.select(*keys, bleu_expr().alias("bleu"), "hyp_len", "ref_len")
 
 
 def bleu_expr() -> F.Column:
     """Closed form over the m1..m4 / t1..t4 / hyp_len / ref_len columns."""
-    smooth = F.lit(1.0)
     logs = []
     for n in range(1, 5):
         m, t = F.col(f"m{n}").cast("double"), F.col(f"t{n}").cast("double")
@@ -111,7 +114,6 @@ def bleu_expr() -> F.Column:
         zeros_so_far = sum((F.when(F.col(f"m{j}") == 0, 1).otherwise(0) for j in range(1, n + 1)), F.lit(0))
         p = F.when(t == 0, F.lit(None)).when(m > 0, m / t).otherwise(F.lit(1.0) / (F.pow(F.lit(2.0), zeros_so_far) * t))
         logs.append(F.log(p))
-    del smooth
     mean_log = (logs[0] + logs[1] + logs[2] + logs[3]) / 4
     hyp, ref = F.col("hyp_len").cast("double"), F.col("ref_len").cast("double")
     bp = F.when(hyp == 0, F.lit(0.0)).when(hyp < ref, F.exp(F.lit(1.0) - ref / hyp)).otherwise(F.lit(1.0))

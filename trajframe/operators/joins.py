@@ -156,7 +156,8 @@ def rewrite_candidates(actions: DataFrame, keys: Sequence[str], text: str = "act
     focus_obj = py_strip(F.replace(a, F.lit("focus on"), F.lit("")))
     move_obj = F.regexp_extract(a, r"move (.*?) to", 1)
     unknown = F.regexp_replace(cut_in, r" [A-Z]", "")
-    no_rooms = a
+    # rule 9 keeps its rewrite for rule 10
+    no_rooms = F.when(a.contains(" unknown substance "), unknown).otherwise(a)
     for r in fixed.ROOMS:
         no_rooms = F.replace(no_rooms, F.lit("in " + r), F.lit(""))
     rules = [
