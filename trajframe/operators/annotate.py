@@ -285,3 +285,65 @@ def annotate(eps_steps: DataFrame, cache: DataFrame, answer_fn: Callable[[DataFr
     fixed_rows = repair(edits, eps_steps, ann_steps, keys, order)
     labelled = eps_steps.drop("subgoal").join(fixed_rows.select(*keys, order, "subgoal", "source"), [*keys, order], "left")
     return labelled, fresh
+
+
+# --- L3 ---------------------------------------------------------------------------------------
+
+def _greedy_batches(keys: list[str]):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for rec in pdf.itertuples(index=False):
+                r = rec._asdict()
+                gold = list(r["gold"])
+                base = {k: r[k] for k in keys}
+                n_act, pos, seen = 0, 0, 0
+                answer = ""
+                for item in list(r["items"]):
+                    sg, acts = item["sg"], list(item["acts"])
+                    added = False
+                    for act in acts:
+                        if n_act >= len(gold):
+                            break
+                        if act.strip() == gold[n_act]:
+                            if not added:
+                                seen += 1
+                                added = True
+                                answer += f"{seen}- {sg}: {{"
+                            answer += act + ", "
+                            out.append({**base, "pos": pos, "gold_step": n_act, "action": gold[n_act],
+                                        "subgoal": sg, "is_marker": False})
+                            pos += 1
+                            n_act += 1
+                    if added:
+                        answer += "}\n"
+                        out.append({**base, "pos": pos, "gold_step": n_act - 1, "action": fixed.MARKER_ACTION,
+                                    "subgoal": sg, "is_marker": True})
+                        pos += 1
+                for o in out[len(out) - pos:]:
+                    o["answer"] = answer
+            yield pd.DataFrame(out, columns=[*keys, "pos", "gold_step", "action", "subgoal", "is_marker", "answer"])
+    return run
+
+
+def greedy_align(gold: DataFrame, items: DataFrame, keys: Sequence[str] = ("variation_id",), order: str = "step",
+                 col: str = "action") -> DataFrame:
+    """L3: walk the annotated actions item by item and accept each one that
+    equals the next unmatched gold action; every item that accepted at
+    least one action is closed by an ``end subgoal`` marker row.  Also
+    returns the cleaned answer text per episode.  ``items`` is the L1
+    output (one row per action).  One ordered row per episode goes through
+    ``mapInPandas``."""
+    g = sequences(gold, keys, order, col, "gold")
+    it = (items.groupBy(*keys, "sg_no", "sg").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("act_no", F.col("action").alias("a")))), lambda x: x["a"]).alias("acts"),
+        F.min("idx").alias("_first"))
+        .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "sg", "acts"))),
+                                        lambda x: F.struct(x["sg"].alias("sg"), x["acts"].alias("acts"))).alias("items")))
+    both = g.join(it, list(keys), "inner")
+    from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+    key_fields = [f for f in both.schema.fields if f.name in keys]
+    schema = StructType(key_fields + [StructField("pos", IntegerType()), StructField("gold_step", IntegerType()),
+                                      StructField("action", StringType()), StructField("subgoal", StringType()),
+                                      StructField("is_marker", BooleanType()), StructField("answer", StringType())])
+    return both.mapInPandas(_greedy_batches(list(keys)), schema)

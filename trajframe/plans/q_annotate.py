@@ -1,3 +1,169 @@
-"""Registered queries."""
+"""Registered queries: annotation parsing, alignment, repair, labelling and
+the annotation prompts (L1-L7, C11, C12)."""
 
 from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import annotate as L
+from ..operators import sampling as T
+from ..operators import windows as W
+from .catalog import query
+from .q_match import ANSWERS_SQL, v_answers
+from .sqlviews import strip_sql, with_views
+from .views import v_f, v_f_plain
+
+K = ["variation_id"]
+
+
+def _items_sql(mark: bool) -> str:
+    clean = strip_sql("regexp_replace(x, '[{,}.'']', '', 'g')")
+    acts = ("list_filter(list_transform(string_split(regexp_extract(item, '\\{([^{}]*)\\}', 1), ','), "
+            f"lambda x: {clean}), lambda x: x <> '')")
+    if mark:
+        acts = f"list_append({acts}, 'end subgoal')"
+    return f"""
+it as (select variation_id, unnest(items) as item, generate_subscripts(items, 1) as ipos
+       from (select variation_id, regexp_extract_all(answer, '(?:^|\\s)\\d+-\\s*[^{{}}]*?:\\s*\\{{[^{{}}]*\\}}', 0) as items from answers)),
+it2 as (select variation_id, ipos, cast(regexp_extract(item, '(\\d+)-', 1) as int) as sg_no,
+               {strip_sql("regexp_extract(item, '\\d+-\\s*([^{}]*?)\\s*:\\s*\\{', 1)")} as sg, {acts} as acts from it),
+ex as (select variation_id, sg_no, sg, unnest(acts) as action, generate_subscripts(acts, 1) as act_no, ipos from it2),
+ann_items as (select variation_id, sg_no, sg, act_no, action,
+                     cast(row_number() over (partition by variation_id order by ipos, act_no) - 1 as int) as idx from ex)"""
+
+
+query("explode_annotations", with_views("select variation_id, sg_no, sg, act_no, action, idx from ann_items",
+                                        ANSWERS_SQL, _items_sql(False)))(
+    lambda spark, sf: L.explode_annotations(v_answers(spark, sf)).select(
+        "variation_id", "sg_no", "sg", F.col("act_no").cast("long").alias("act_no"), "action", "idx"))
+
+query("explode_annotations_marked", with_views("select variation_id, sg_no, sg, act_no, action, idx from ann_items",
+                                               ANSWERS_SQL, _items_sql(True)))(
+    lambda spark, sf: L.explode_annotations(v_answers(spark, sf), mark=True).select(
+        "variation_id", "sg_no", "sg", F.col("act_no").cast("long").alias("act_no"), "action", "idx"))
+
+
+def v_ann(spark, sf):
+    """FIXTURES ``v_ann``: v_f with rows removed where k % 11 = 0 and ``wait1``
+    inserted before rows where k % 13 = 0 (k = round(score*100) + 2)."""
+    f = v_f_plain(spark, sf).withColumn("_k", (F.round(F.col("score") * 100) + 2).cast("int"))
+    orig = f.where(F.col("_k") % 11 != 0).select("task_no", "variation_id", (F.col("step") * 2 + 1).alias("_o"), "action", "subgoal")
+    ins = f.where(F.col("_k") % 13 == 0).select("task_no", "variation_id", (F.col("step") * 2).alias("_o"),
+                                                F.lit("wait1").alias("action"), "subgoal")
+    a = orig.unionByName(ins)
+    w = Window.partitionBy("variation_id").orderBy("_o")
+    return a.withColumn("step", (F.row_number().over(w) - 1).cast("int")).drop("_o")
+
+
+def q_align(spark, sf):
+    return L.align(v_f_plain(spark, sf), v_ann(spark, sf), K)
+
+
+query("align_trajectories")(q_align)
+
+
+def q_repair(spark, sf):
+    gold, ann = v_f_plain(spark, sf), v_ann(spark, sf)
+    edits = L.align(gold, ann, K)
+    return L.repair(edits, gold, ann, K)
+
+
+query("repair_annotations")(q_repair)
+
+
+def q_label(spark, sf):
+    items = L.explode_annotations(v_answers(spark, sf))
+    lab, _bad = L.label_steps(v_f_plain(spark, sf), items, K)
+    return lab.select("variation_id", "step", "action", "subgoal")
+
+
+query("label_steps", with_views("""
+select f.variation_id, f.step, f.action, a.sg as subgoal from v_f f left join ann_items a on a.variation_id = f.variation_id and a.idx = f.step""",
+    ANSWERS_SQL, _items_sql(False)))(q_label)
+
+
+def q_label_violations(spark, sf):
+    ann = v_ann(spark, sf).select("variation_id", F.col("step").alias("idx"), "action", F.col("subgoal").alias("sg"))
+    _lab, bad = L.label_steps(v_f_plain(spark, sf), ann, K)
+    return bad.groupBy("variation_id").agg(F.count(F.lit(1)).alias("violations"))
+
+
+query("label_steps_violations")(q_label_violations)
+
+
+def q_greedy(spark, sf):
+    items = L.explode_annotations(v_answers(spark, sf))
+    return L.greedy_align(v_f_plain(spark, sf), items, K).select("variation_id", "pos", "gold_step", "action", "subgoal", "is_marker")
+
+
+query("greedy_align")(q_greedy)
+
+
+def v_ann_answers(spark, sf):
+    """Answers written from the perturbed annotation ``v_ann`` (same format
+    as ``v_answers``), so that alignment has work to do."""
+    a = v_ann(spark, sf)
+    w = Window.partitionBy("variation_id").orderBy("step")
+    chg = F.when(F.lag("subgoal").over(w).isNull() | (F.lag("subgoal").over(w) != F.col("subgoal")), 1).otherwise(0)
+    a = a.withColumn("run", F.sum(chg).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = a.groupBy("variation_id", "run").agg(
+        F.first("subgoal").alias("sg"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "action"))),
+                                 lambda x: F.concat(F.lit("'"), x["action"], F.lit("'"))), ", ").alias("acts"))
+    item = F.concat(F.col("run").cast("string"), F.lit("- "), F.col("sg"), F.lit(": {"), F.col("acts"), F.lit("} "))
+    return runs.groupBy("variation_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", item.alias("it")))), lambda x: x["it"]), "").alias("answer"))
+
+
+def q_annotate(spark, sf):
+    answers = v_ann_answers(spark, sf)
+    cache = answers.where("variation_id % 3 = 0")
+
+    def answer_fn(need):
+        return need.join(answers, K, "inner")
+
+    labelled, _fresh = L.annotate(v_f_plain(spark, sf), cache, answer_fn, K)
+    return labelled.select("variation_id", "step", "action", "subgoal", "source")
+
+
+query("annotate_batch")(q_annotate)
+
+
+def _paths(spark, sf):
+    f = W.min_steps(v_f(spark, sf), 2)
+    return f.groupBy("task_no", "variation_id", "task_desc").agg(
+        L.path_text(F.transform(F.array_sort(F.collect_list(F.struct("step", "action"))), lambda x: x["action"])).alias("path"))
+
+
+def q_prompt_annotate(spark, sf):
+    eps = _paths(spark, sf)
+    ex = T.exemplars(W.min_steps(v_f_plain(spark, sf), 2), 1).join(v_answers(spark, sf), K).select("task_no", "path", "answer")
+    p = L.annotation_prompt(eps, ex, K)
+    return p.select("variation_id", F.size("messages").cast("long").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("prompt"))
+
+
+query("prompt_annotate", with_views("""
+select p.variation_id, 4 as n_messages,
+       concat('system: You are a helpful assistant.', chr(10),
+              'user: ', p.task_desc, 'Here is the goal path to achieve to the goal:', coalesce(x.path, ''), chr(10),
+              'assistant: ', coalesce(x.answer, ''), chr(10),
+              'user: ', p.task_desc, 'Here is the goal path to achieve to the goal:', p.path) as prompt
+from paths p left join ex x on x.task_no = p.task_no""", ANSWERS_SQL, """
+paths as (select task_no, variation_id, task_desc, string_agg(concat(action, ', '), '' order by step) as path from v_ft group by 1, 2, 3),
+ex as (select p.task_no, p.path, a.answer from paths p join answers a on a.variation_id = p.variation_id
+       where p.variation_id in (select min(variation_id) from v_f group by task_no))""").replace("4 as n_messages", "cast(4 as bigint) as n_messages"))(
+    q_prompt_annotate)
+
+
+def q_prompt_gap(spark, sf):
+    gold, ann = v_f_plain(spark, sf), v_ann(spark, sf)
+    rep = L.repair(L.align(gold, ann, K), gold, ann, K)
+    gaps = L.gap_requests(rep, K)
+    eps = _paths(spark, sf).join(v_ann_answers(spark, sf), K)
+    p = L.gap_prompt(gaps, eps, K)
+    return p.select("variation_id", "gap_start", F.array_join(F.transform("messages", lambda m: m["content"]), "\n").alias("prompt"))
+
+
+query("prompt_annotate_gap")(q_prompt_gap)
