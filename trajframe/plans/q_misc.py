@@ -1,3 +1,409 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks (round trips through the shared
+scratch folder), streaming (R1-R3), history prompts (C13, C15) and the
+dataset recipes (C16)."""
 
 from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.actions import formalize
+from ..functions.text import clean_look, current_room
+from ..operators import sampling as T
+from ..operators import windows as W
+from ..operators.compose import RECIPES, compose, compose_first_subgoal
+from ..sources import files as S
+from ..sources import sinks as K
+from ..sources.tables import table, task_dimension
+from ..streaming import state as R
+from .catalog import query
+from .q_compose import compose_sql
+from .sqlviews import with_views
+from .views import v_cands, v_f, v_f_plain, v_preds, v_steps, with_tasks
+
+# ============================================================== S1 gold corpus
+
+
+def gold_json(spark, sf):
+    """The step table written in the gold-corpus shape: one JSON object per
+    task, ``{task_id: {taskName, taskIdx, goldActionSequences: [...]}}``."""
+    s = with_tasks(v_steps(spark, sf), spark)
+    step = F.struct("action", "observation", F.col("score").cast("string").alias("score"),
+                    F.lit("false").alias("isCompleted"), "freelook", "inventory")
+    eps = s.groupBy("task_no", "task_name", "variation_id", "fold", "task_desc").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", step.alias("s")))), lambda x: x["s"]).alias("path"))
+    ep = F.struct(F.col("task_desc").alias("taskDescription"), F.col("variation_id").alias("variationIdx"),
+                  "fold", "path")
+    tasks = eps.groupBy("task_no", "task_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("variation_id", ep.alias("e")))), lambda x: x["e"]).alias("seqs"))
+    obj = F.create_map(F.col("task_no").cast("string"),
+                       F.struct(F.col("task_name").alias("taskName"), F.col("task_no").cast("string").alias("taskIdx"),
+                                F.col("seqs").alias("goldActionSequences")))
+    return tasks.select("task_no", F.to_json(obj).alias("value"))
+
+
+def q_src_gold(spark, sf):
+    d = K.scratch_dir(spark, "gold")
+    # one file per task: each file is one JSON object, as the corpus format
+    gold_json(spark, sf).repartition("task_no").write.partitionBy("task_no").text(d)
+    g = S.read_gold(spark, d)
+    return g.select(F.col("task_id").cast("long").alias("task_no"), "variation_id", "fold", "pos", "action", "score")
+
+
+query("src_gold", with_views("select task_no, variation_id, fold, pos, action, score from v_steps"))(q_src_gold)
+
+# ============================================================== K1 / S2 / S3 examples
+
+
+def _examples(spark, sf):
+    ex = compose(v_f(spark, sf), RECIPES["action_raw_norooms"])
+    dim = task_dimension(spark).select("task_no", "task_real_id", "task_group")
+    return ex.join(F.broadcast(dim), "task_no").select(
+        "input", "target", F.col("task_no").cast("int").alias("task_id"), "variation_id", "task_real_id", "task_group",
+        "fold", "step")
+
+
+EXAMPLES_SQL = compose_sql(RECIPES["action_raw_norooms"])
+
+
+def q_sink_examples(spark, sf):
+    d = K.scratch_dir(spark, "examples")
+    K.write_examples(_examples(spark, sf).drop("task_group", "step"), d)
+    back = spark.read.json(d)  # partition columns come back from the folder names
+    return back.groupBy("fold", "task_real_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("sink_examples", with_views("select fold, task_real_id, count(*) as n from v_ft where step >= 1 group by 1, 2"))(q_sink_examples)
+
+
+def q_src_examples(spark, sf):
+    d = K.scratch_dir(spark, "examples-s2")
+    _examples(spark, sf).select("input", "target", "task_id", "variation_id", "task_real_id", "fold") \
+        .write.partitionBy("fold").json(d)
+    paths = [f"{d}/fold={f}" for f in ("train", "dev", "test")]
+    return S.read_examples(spark, paths).select("variation_id", "input", "target")
+
+
+query("src_examples", "select variation_id, input, target from (" + EXAMPLES_SQL + ")")(q_src_examples)
+
+
+def q_src_by_suffix(spark, sf):
+    stage = K.scratch_dir(spark, "examples-stage")
+    flat = K.scratch_dir(spark, "examples-flat")
+    ex = _examples(spark, sf)
+    val_mini = T.first_per_group(ex.where("fold = 'dev'"), ["task_real_id"], 3, ["variation_id", "step"]) \
+        .withColumn("fold", F.lit("val.mini"))
+    named = ex.withColumn("fold", F.when(F.col("fold") == "dev", F.lit("val")).otherwise(F.col("fold"))).unionByName(val_mini)
+    # partition on copies so every line keeps its own task_real_id, as in the original files
+    named.select("input", "target", "task_id", "variation_id", "task_real_id",
+                 F.col("task_real_id").alias("_t"), F.col("fold").alias("_s")).write.partitionBy("_t", "_s").json(stage)
+    K.rename_parts(spark, stage, flat, lambda p, n: f"{p['_t']}-{n:05d}.{p['_s']}.json")
+    val = S.read_split(spark, flat, "val").withColumn("split", F.lit("val"))
+    test = S.read_split(spark, flat, "test").withColumn("split", F.lit("test"))
+    return val.unionByName(test).groupBy("split", "task_real_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("src_by_suffix", with_views(
+    "select case fold when 'dev' then 'val' else fold end as split, task_real_id, count(*) as n from v_ft "
+    "where step >= 1 and fold in ('dev', 'test') group by 1, 2"))(q_src_by_suffix)
+
+# ============================================================== K2
+
+
+def q_sink_by_group(spark, sf):
+    d = K.scratch_dir(spark, "groups")
+    K.write_groups(_examples(spark, sf).drop("task_real_id"), d, mini_n=20)
+    back = spark.read.json(d)
+    return back.groupBy(F.col("task_group").cast("string").alias("task_group"), F.col("fold").alias("split")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+query("sink_by_group", with_views("""
+select task_group, fold as split, count(*) as n from v_ft where step >= 1 group by 1, 2
+union all
+select task_group, 'dev.mini' as split, least(count(*), 20) as n from v_ft where step >= 1 and fold = 'dev' group by 1"""))(q_sink_by_group)
+
+# ============================================================== S4 / K3 annotation cache
+
+
+def _cache_rows(spark, sf):
+    from .q_match import v_answers
+    a = v_answers(spark, sf)
+    f = v_f_plain(spark, sf)
+    sg = f.groupBy("task_no", "variation_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("step", "subgoal", "action"))),
+                    lambda x: F.struct(x["action"].alias("action"), x["subgoal"].alias("sg"), x["step"].alias("idx"))).alias("pas"))
+    return sg.join(a, "variation_id").select("task_no", "variation_id", F.lit("primary").alias("model"),
+                                             F.col("answer").alias("chatgpt_output"), "pas")
+
+
+def q_src_annotation_cache(spark, sf):
+    d = K.scratch_dir(spark, "cache-csv")
+    c = _cache_rows(spark, sf)
+    # legacy form: nested columns written as python literals (single quotes)
+    lit_list = F.concat(F.lit("["), F.array_join(F.transform(F.array_distinct(F.transform("pas", lambda x: x["sg"])),
+                                                             lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", "), F.lit("]"))
+    lit_pas = F.concat(F.lit("["), F.array_join(F.transform("pas", lambda x: F.format_string(
+        "{'action': '%s', 'sg': '%s', 'idx': %d}", x["action"], x["sg"], x["idx"])), ", "), F.lit("]"))
+    c.select(F.col("variation_id").alias("variations"), "chatgpt_output", lit_list.alias("subgoal"),
+             lit_pas.alias("path_act_sg")).write.option("header", "true").option("escape", '"').csv(d)
+    back = S.read_annotations(spark, d, legacy_csv=True)
+    return back.select(F.col("variations").alias("variation_id"), F.size("subgoal").cast("long").alias("n_subgoals"),
+                       F.size("path_act_sg").cast("long").alias("n_steps"),
+                       F.aggregate(F.transform("path_act_sg", lambda x: x["idx"]), F.lit(0).cast("long"),
+                                   lambda s, v: s + v).alias("idx_sum"))
+
+
+query("src_annotation_cache", with_views(
+    "select variation_id, count(distinct subgoal) as n_subgoals, count(*) as n_steps, sum(step)::bigint as idx_sum from v_f group by 1"))(
+    q_src_annotation_cache)
+
+
+def q_sink_annotation_append(spark, sf):
+    d = K.scratch_dir(spark, "cache-append")
+    c = _cache_rows(spark, sf)
+    K.append_annotations(spark, c.where("variation_id % 2 = 0"), d)
+    K.append_annotations(spark, c, d)          # overlaps the first write: only new keys are appended
+    K.append_annotations(spark, c, d)          # idempotent
+    back = spark.read.parquet(d)
+    return back.groupBy("variation_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+query("sink_annotation_append", with_views("select distinct variation_id, 1::bigint as copies from v_f"))(q_sink_annotation_append)
+
+# ============================================================== S5 / S6
+
+
+def q_src_messages(spark, sf):
+    d = K.scratch_dir(spark, "messages")
+    c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").withColumnRenamed("text", "content")
+    c.repartition(4).write.json(d)   # file order is scrambled on purpose
+    m = S.read_messages(spark, d)
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return m.select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"))
+
+
+query("src_messages", with_views(
+    "select conv_id, turn, role, lag(role) over (partition by conv_id order by turn) as prev_role from conversations"))(q_src_messages)
+
+
+def q_src_prompt_bank(spark, sf):
+    f = v_f(spark, sf)
+    bank = f.select(F.col("task_no").alias("taskIdx"), F.col("task_desc").alias("taskDescription"),
+                    F.col("freelook").alias("look_around"), "inventory", "subgoal",
+                    (F.col("variation_id") * 1000 + F.col("step")).alias("bank_pos"))
+    tasks = table(spark, sf, "events", "user_id").select((F.col("user_id") % 32).alias("taskIdx")).distinct()
+    out = S.prompt_for_task(bank, tasks)
+    return out.select("taskIdx", "inventory", "subgoal")
+
+
+query("src_prompt_bank", with_views("""
+select t.taskIdx, b.inventory, b.subgoal from (select distinct user_id % 32 as taskIdx from events) t
+left join (select task_no as taskIdx, arg_max(inventory, variation_id * 1000 + step) as inventory,
+                  arg_max(subgoal, variation_id * 1000 + step) as subgoal from v_ft group by 1) b on b.taskIdx = t.taskIdx"""))(
+    q_src_prompt_bank)
+
+# ============================================================== K4 / K5 / K6
+
+
+def q_sink_metrics(spark, sf):
+    d = K.scratch_dir(spark, "metrics")
+    from ..operators import aggregates as A
+    from .views import v_pairs
+    em = A.exact_match(v_pairs(spark, sf)).select("task_no", F.lit("exact_match").alias("metric"),
+                                                  F.col("exact_match").alias("value"))
+    K.write_metrics(em, d, "run-a")
+    K.write_metrics(em.withColumn("value", F.col("value") / 2), d, "run-b")
+    back = spark.read.parquet(d)
+    return back.select("run_id", "task_no", "metric", F.round("value", 6).alias("value"))
+
+
+query("sink_metrics", with_views("""
+select 'run-a' as run_id, task_no, 'exact_match' as metric, round(avg(case when prediction = target then 1.0 else 0.0 end) * 100, 6) as value from pairs group by 2
+union all
+select 'run-b', task_no, 'exact_match', round(avg(case when prediction = target then 1.0 else 0.0 end) * 100 / 2, 6) from pairs group by 2""",
+    """
+pairs as (select task_no, variation_id, step, action as prediction, lead(action) over (partition by variation_id order by step) as target
+          from v_f qualify target is not null)"""))(q_sink_metrics)
+
+
+def q_sink_predictions(spark, sf):
+    d = K.scratch_dir(spark, "preds")
+    p = v_preds(spark, sf).where("rnk = 1").select(F.concat(F.lit("  "), F.col("action"), F.lit(" ")).alias("prediction"))
+    K.write_predictions(p, d)
+    return spark.read.text(d).groupBy(F.col("value").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+query("sink_predictions", with_views(
+    "select action as prediction, count(*) as n from v_f where step % 5 = 0 group by 1"))(q_sink_predictions)
+
+
+def q_sink_run_history(spark, sf):
+    d = K.scratch_dir(spark, "history")
+    h = W.with_history_state(v_f_plain(spark, sf)).select("variation_id", "step", "h_action", "reward")
+    K.write_history(h, d, max_rows=500)
+    back = spark.read.parquet(d).withColumn("_file", F.col("_metadata.file_name"))
+    per_file = back.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per episode read back; bounded = every file it landed in holds <= 500 rows
+    j = back.join(per_file, "_file")
+    return j.groupBy("variation_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("_n") <= 500).alias("bounded"))
+
+
+query("sink_run_history", with_views("select variation_id, count(*) as rows, true as bounded from v_f group by 1"))(q_sink_run_history)
+
+# ============================================================== C13 / C15 history prompts
+
+
+def history_block(steps, k: int = 10, episode=("task_no", "variation_id")):
+    """C13 core: the history lines of the next-actions prompt for the final
+    state of each episode: W16 clean-up, then per kept row
+    ``- (in <room>) Action: <FORMAL> --> <obs>``, W17 (form A) repeat lines,
+    the last ``k`` lines, joined by newlines."""
+    s = steps.withColumn("_loc", current_room("freelook"))
+    s = W.clean_history(s, episode)
+    s = W.collapse_repeats(s, 5, 4, episode)
+    fa = F.coalesce(formalize("action"), F.lit("None"))
+    line = F.concat(F.lit("- (in "), F.coalesce(F.col("_loc"), F.lit("None")), F.lit(") Action: "), fa,
+                    F.lit(" --> "), F.col("observation"))
+    # repeat line is written after the row it follows
+    lines = F.when(F.col("repeat_line").isNotNull(), F.array(line, F.col("repeat_line"))).otherwise(F.array(line))
+    g = s.groupBy(*episode).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step", lines.alias("l")))),
+                                                      lambda x: x["l"])).alias("_all"))
+    return g.select(*episode, F.array_join(F.slice("_all", F.greatest(F.size("_all") - k + 1, F.lit(1)), k), "\n").alias("history"))
+
+
+query("prompt_next_actions")(lambda spark, sf: history_block(v_f_plain(spark, sf)))
+
+SELECT_INTRO = "Let's play a text game."
+SELECT_LIST = "There are some action candidates as follows:"
+SELECT_ASK = ("Please consider the objects in the room and inventory and my goal. Think carefully, and then select the "
+              "best replacement from the list. If no one in the list is a good replacement, return 'none'.")
+
+
+def candidate_prompt(cands, ctx, keys):
+    """Candidate-list prompt for a prediction that is not valid."""
+    lst = cands.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_set("action")),
+                                                            lambda a: F.concat(F.lit("- "), a)), "\n").alias("_list"))
+    j = ctx.join(lst, list(keys))
+    text = F.concat_ws("\n", F.lit(SELECT_INTRO), clean_look("freelook"), F.col("inventory"), F.lit(SELECT_LIST),
+                       F.col("_list"),
+                       F.concat(F.lit("\n I want to achieve this goal: "), F.col("goal"), F.lit(" but my action '"),
+                                F.col("action"), F.lit("' is not in the candidate list.")),
+                       F.lit(SELECT_ASK), F.lit("Selected action:"))
+    return j.select(*keys, text.alias("prompt"))
+
+
+def q_prompt_select(spark, sf):
+    f = v_f_plain(spark, sf).select("variation_id", "step", "freelook", "inventory", F.col("subgoal").alias("goal"))
+    p = v_preds(spark, sf).where("rnk = 1").select("variation_id", "grp", "action")
+    ctx = p.join(f, (p.variation_id == f.variation_id) & (f.step == p.grp * 5)).drop(f.variation_id)
+    return candidate_prompt(v_cands(spark, sf), ctx, ["variation_id", "grp"])
+
+
+query("prompt_select_candidate")(q_prompt_select)
+
+# ============================================================== C16 dataset recipes
+
+
+def build_dataset(steps, recipe: str, test_cap: int = 10, episode=("task_no", "variation_id")):
+    """The full example pipeline for one training set: F2, W13 cap on
+    episodes, then the recipe's composition.  Recipes: ``action_sg`` (C1),
+    ``subgoal`` (C2), ``first_subgoal`` (C10), ``action_formal`` (the set
+    without sub-goals)."""
+    s = W.min_steps(steps, 2, episode)
+    eps = T.cap_test_episodes(s.select(*episode, "fold").distinct(), test_cap)
+    s = s.join(eps.select(*episode), list(episode), "left_semi")
+    if recipe == "first_subgoal":
+        return compose_first_subgoal(s, episode)
+    return compose(s, RECIPES[recipe], episode)
+
+
+def q_recipes(spark, sf):
+    f = v_f(spark, sf)
+    out = None
+    for r in ("action_sg", "subgoal", "first_subgoal", "action_formal"):
+        d = build_dataset(f, r).groupBy("fold").agg(F.count(F.lit(1)).alias("n")).withColumn("recipe", F.lit(r))
+        out = d if out is None else out.unionByName(d)
+    return out.select("recipe", "fold", "n")
+
+
+query("dataset_recipes", with_views("""
+select 'action_sg' as recipe, fold, count(*) as n from v_f where step >= 1 group by 2
+union all
+select 'subgoal', fold, count(*) from v_f where step >= 1 group by 2
+union all
+select 'action_formal', fold, count(*) from v_f where step >= 1 group by 2
+union all
+select 'first_subgoal', fold, count(*) from v_f where step = 0 group by 2"""))(q_recipes)
+
+# ============================================================== R1-R3 streaming
+
+
+def _stream_input(spark, sf):
+    """``events`` copied into several parquet files (rows scrambled across
+    files), then two late heartbeat files that move the watermark past every
+    real row, so all episodes are flushed and closed."""
+    d = K.scratch_dir(spark, "events-stream")
+    table(spark, sf, "events").repartition(4).write.parquet(d)
+    for i in (0, 1):
+        hb = spark.createDataFrame([(-1 - i, "2100-01-01 00:00:00", -1, "signup", 0.0, '{"k": 50}')],
+                                   "event_id long, ts string, user_id long, event_type string, value double, props string")
+        hb.withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(d)
+    return d
+
+
+def _run_stream(spark, df, name, mode="append"):
+    out = K.scratch_dir(spark, name)
+    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ckpt")
+         .outputMode(mode).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+STREAM_WATERMARK = "3650 days"   # disorder bound of the test copy (files are scrambled)
+STREAM_GAP = "3650 days"         # quiet time that closes an episode
+
+
+def q_stream_state(spark, sf):
+    ev = R.read_event_stream(spark, _stream_input(spark, sf))
+    s = R.stream_state(ev, watermark=STREAM_WATERMARK, object_limit=20, gap=STREAM_GAP)
+    return _run_stream(spark, s, "r1").where("variation_id >= 0").select(
+        "variation_id", "step", "action", F.round("reward", 6).alias("reward"), "places", "objects")
+
+
+query("stream_episode_state")(q_stream_state)
+
+
+def q_stream_stops(spark, sf):
+    from .q_core import LOOP_K, STEP_LIMIT
+    ev = R.read_event_stream(spark, _stream_input(spark, sf))
+    s = R.stream_state(ev, watermark=STREAM_WATERMARK, loop_k=LOOP_K, step_limit=STEP_LIMIT, gap=STREAM_GAP, mode="stops")
+    return _run_stream(spark, s, "r2").where("variation_id >= 0").select(
+        "variation_id", "task_no", "end_step", F.round("final_score", 6).alias("final_score"), "reason")
+
+
+query("stream_stop_rules")(q_stream_stops)
+
+
+def q_stream_scores(spark, sf):
+    stops = q_stream_stops(spark, sf)
+    # R3 consumes the R2 sink as a stream and keeps the running per-task mean
+    src = K.scratch_dir(spark, "r3-in")
+    stops.write.parquet(src)
+    st = spark.readStream.schema(stops.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = K.scratch_dir(spark, "r3-metrics")
+
+    def to_metrics(batch, epoch_id):
+        K.write_metrics(batch.withColumn("epoch", F.lit(epoch_id)), out, f"epoch-{epoch_id}")
+
+    q = (R.stream_scores(st).writeStream.outputMode("update").foreachBatch(to_metrics)
+         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    m = spark.read.parquet(out)
+    w = Window.partitionBy("task_no").orderBy(F.desc("epoch"))
+    return m.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
+        "task_no", F.round("mean_score", 6).alias("mean_score"), "episodes")
+
+
+query("stream_running_score")(q_stream_scores)
+

@@ -30,6 +30,7 @@ def get_spark(app: str = "trajframe", cpus: str | int = "*", shuffle_partitions:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -48,3 +49,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``trajframe`` importable on the executors' Python workers (the
+    per-episode pandas functions live in it): zip the package once into the
+    shared checkpoint folder and ``addPyFile`` it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    if base.startswith("file:"):
+        base = base[len("file:"):]
+    target_dir = base if os.path.isdir(base) else tempfile.mkdtemp(prefix="trajframe-pkg-", dir="/tmp")
+    path = os.path.join(target_dir, f"trajframe-{app}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
