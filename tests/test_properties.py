@@ -34,3 +34,28 @@ def test_script_turns_annotation_into_gold(gold, ann):
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=10))
 def test_identical_sequences_have_no_edits(xs):
     assert edit_script(xs, list(xs)) == (0, [])
+
+
+VERBS = ["focus on", "look at", "look around", "read", "pick up", "open door to", "close door to", "open", "close",
+         "activate", "deactivate", "go to", "teleport to", "examine", "connect", "move", "use", "pour", "dunk", "mix",
+         "drop", "wait", "wait1", "0", "1", "end subgoal", "eat", "FOCUS(", "WAIT(", "SEE()", "PICK_UP(", "OPEN_DOOR(",
+         "MOVE(", "DROP(", "CHOOSE(0)"]
+WORDS = ["a", "to", "in", "into", "on", "cup", "metal pot", ",", ")", "(", " ", "\t", "\n", "x y"]
+
+
+def test_dispatched_rules_equal_plain_chain(spark):
+    """The first-word dispatch gives exactly the ordered chain's answer."""
+    import random
+    from trajframe.functions.actions import formalize, formalize_chain, recover, recover_chain
+    rnd = random.Random(7)
+    texts = set()
+    for _ in range(3000):
+        t = rnd.choice(VERBS)
+        for _ in range(rnd.randint(0, 4)):
+            t += rnd.choice([" ", ""]) + rnd.choice(WORDS)
+        if rnd.random() < 0.2:
+            t = rnd.choice([" ", "\t", ""]) + t + rnd.choice([" ", "\n", ""])
+        texts.add(t)
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "t string")
+    bad = df.where(~formalize("t").eqNullSafe(formalize_chain("t")) | ~recover("t").eqNullSafe(recover_chain("t")))
+    assert bad.count() == 0, bad.limit(5).collect()

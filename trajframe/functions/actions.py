@@ -15,22 +15,23 @@ from .fixed import FORMALIZE_RULES, RECOVER_RULES
 
 
 def py_strip(c: Column) -> Column:
-    """Whitespace strip on both ends (the ``str.strip()`` of the rules)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """``str.strip()``: every python whitespace character, both ends."""
+    from .text import py_strip as strip
+    return strip(c)
 
 
 def _apply_rule(c: Column, pattern: str, fmt: str, nargs: int) -> tuple[Column, Column]:
-    """Return (condition, value) of one rule."""
+    """Return (condition, value) of one rule.
+
+    A regex rule is an ``rlike`` test plus one ``regexp_replace`` whose
+    pattern also swallows the rest of the text (``[\\s\\S]*``), so a match
+    yields exactly the formatted groups in one pass (no per-group extract)."""
     if nargs == 0:
         return py_strip(c) == F.lit(pattern.strip()), F.lit(fmt)
-    pieces = fmt.split("{}")
-    parts: list[Column] = []
-    for g, lit in enumerate(pieces):
-        if lit:
-            parts.append(F.lit(lit))
-        if g < nargs:
-            parts.append(F.regexp_extract(c, pattern, g + 1))
-    return c.rlike(pattern), F.concat(*parts)
+    repl = fmt.replace("$", "\\$")
+    for g in range(1, nargs + 1):
+        repl = repl.replace("{}", f"${g}", 1)
+    return c.rlike(pattern), F.regexp_replace(c, pattern + r"[\s\S]*$", repl)
 
 
 def _rule_chain(c: Column, rules) -> Column:
@@ -41,16 +42,56 @@ def _rule_chain(c: Column, rules) -> Column:
     return out  # no otherwise: unmatched -> null
 
 
+def _dispatched(c: Column, rules, head: Column, head_of) -> Column:
+    """Same result as the ordered rule chain, evaluated cheaply.
+
+    Regex rules are anchored at a literal first word, so only the rules of
+    the row's own first word (``head``) can match: one ``CASE`` on the word
+    picks that short ordered sub-chain instead of running every regex.
+    Exact (zero-argument) rules compare the stripped text; no text equal to
+    one of them can also match a regex rule (those need the word, a space
+    or parenthesis and at least one more character), so trying them only
+    when no regex rule matched keeps first-match-wins; ``coalesce`` is lazy,
+    so the strip runs only for those rows."""
+    groups: dict[str, list] = {}
+    for p, f, n in rules:
+        if n:
+            groups.setdefault(head_of(p), []).append((p, f, n))
+    exact_rules = [(p.strip(), f) for p, f, n in rules if n == 0]
+    stripped = py_strip(c)
+    exact = None
+    for x, f in exact_rules:
+        exact = F.when(stripped == x, F.lit(f)) if exact is None else exact.when(stripped == x, F.lit(f))
+    out = None
+    for h, rs in groups.items():
+        chain = _rule_chain(c, rs)
+        out = F.when(head == h, chain) if out is None else out.when(head == h, chain)
+    return F.coalesce(out, exact)
+
+
 def formalize(c: Column | str) -> Column:
     """``pick up apple`` -> ``PICK(apple)``; unmatched -> null."""
     c = F.col(c) if isinstance(c, str) else c
-    return _rule_chain(c, [(p, f, n) for p, f, n in FORMALIZE_RULES])
+    return _dispatched(c, FORMALIZE_RULES, F.substring_index(c, " ", 1),
+                       lambda p: p[1:].split(" ")[0])
 
 
 def recover(c: Column | str) -> Column:
     """``PICK(apple)`` -> ``pick up apple``; unmatched (e.g. ``END_SG()``) -> null."""
     c = F.col(c) if isinstance(c, str) else c
-    return _rule_chain(c, [(p, f, n) for p, f, n in RECOVER_RULES])
+    return _dispatched(c, RECOVER_RULES, F.substring_index(c, "(", 1),
+                       lambda p: p[1:].split("\\(")[0])
+
+
+def formalize_chain(c: Column | str) -> Column:
+    """The plain ordered chain (reference formulation, used in tests)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return _rule_chain(c, FORMALIZE_RULES)
+
+
+def recover_chain(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return _rule_chain(c, RECOVER_RULES)
 
 
 def formal_verb(c: Column | str) -> Column:

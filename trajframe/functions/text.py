@@ -41,13 +41,15 @@ def drop_phrases(c: Column | str) -> Column:
     return out
 
 
+# python's str.isspace() characters
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(x) for x in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(c: Column | str, chars: str | None = None) -> Column:
-    """``str.strip()`` (whitespace) or ``str.strip(chars)`` for a literal char set."""
-    c = _c(c)
-    if chars is None:
-        return F.regexp_replace(c, r"^\s+|\s+$", "")
-    cls = "[" + "".join("\\" + ch for ch in chars) + "]"
-    return F.regexp_replace(c, f"^{cls}+|{cls}+$", "")
+    """``str.strip()`` (python whitespace) or ``str.strip(chars)``: ``btrim``
+    with the character set, no regex."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE if chars is None else chars))
 
 
 def observation_room(obs: Column | str) -> Column:

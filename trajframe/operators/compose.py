@@ -101,7 +101,7 @@ def compose(steps: DataFrame, recipe: Recipe | str, episode: Sequence[str] = EPI
         df = df.withColumn("subgoals", W.subgoal_runs_col(episode))
     if r.label == "next_subgoal":
         df = W.with_next_subgoal(df, episode)
-    df = df.withColumn("history", W.history_text(r.history, r.formal_history, episode))
+    df = W.add_history(df, r.history, r.formal_history, episode)
     df = df.where(F.col("step") >= 1)
 
     pieces: list[Column] = [

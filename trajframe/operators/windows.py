@@ -80,26 +80,35 @@ def with_history_state(steps: DataFrame, episode: Sequence[str] = EPISODE) -> Da
     )
 
 
-def history_text(k: int = 10, formal: bool = True, episode: Sequence[str] = EPISODE) -> Column:
-    """The last ``k`` history items before the current row, oldest first,
-    tagged 10, 9, 8 ...  Needs the columns of ``with_history_state``.
-
-    Item = `` <extra_id_T> ACTION (+R) --> OBS | `` with R = int(reward*100);
-    ACTION is formalised (``None`` when unmatched) or raw."""
-    act = F.coalesce(formalize("h_action"), F.lit("None")) if formal else F.col("h_action")
-    item = F.struct(act.alias("a"), trunc100(F.col("reward")).alias("r"), F.col("h_obs").alias("o"))
-    frame = w_ep(episode).rowsBetween(-k, -1)
-    items = F.collect_list(item).over(frame)
-    shown = F.transform(
-        items,
-        lambda x, i: F.format_string(" <extra_id_%d> %s (+%d) --> %s | ", F.lit(10) - i, x["a"], x["r"], x["o"]),
-    )
-    return F.array_join(shown, "")
+def history_item(formal: bool = True) -> Column:
+    """One history item without its tag: ``> ACTION (+R) --> OBS | ``.
+    Needs the columns of ``with_history_state``; evaluate it in a projection
+    *before* the window so each row's item is built once."""
+    act = F.coalesce(formalize("h_action"), F.lit("None")) if formal else F.coalesce(F.col("h_action"), F.lit("None"))
+    return F.concat(F.lit("> "), act, F.lit(" (+"), trunc100(F.col("reward")).cast("string"), F.lit(") --> "),
+                    F.coalesce(F.col("h_obs"), F.lit("None")), F.lit(" | "))
+
+
+def history_from_items(item_col: str, k: int = 10, episode: Sequence[str] = EPISODE) -> Column:
+    """The last ``k`` items before the current row, oldest first, tagged
+    10, 9, 8 ...  Gathered with ``k`` offset (``lag``) lookups, which are O(1)
+    per row, instead of re-aggregating a sliding frame."""
+    w = w_ep(episode)
+    lags = F.array(*[F.lag(item_col, j).over(w) for j in range(k, 0, -1)])  # oldest first
+    shown = F.filter(lags, lambda x: x.isNotNull())
+    return F.array_join(F.transform(shown, lambda x, i: F.concat(F.lit(" <extra_id_"), (F.lit(10) - i).cast("string"), x)), "")
+
+
+def add_history(df: DataFrame, k: int = 10, formal: bool = True, episode: Sequence[str] = EPISODE,
+                name: str = "history") -> DataFrame:
+    """W3 on a frame that has the ``with_history_state`` columns."""
+    return (df.withColumn("_hitem", history_item(formal))
+            .withColumn(name, history_from_items("_hitem", k, episode)).drop("_hitem"))
 
 
 def last_k(steps: DataFrame, k: int = 10, formal: bool = True, episode: Sequence[str] = EPISODE) -> DataFrame:
     """W3 as an operator: adds ``history`` (text of the last k items)."""
-    return with_history_state(steps, episode).withColumn("history", history_text(k, formal, episode))
+    return add_history(with_history_state(steps, episode), k, formal, episode)
 
 
 # --- W4 / W5: sub-goals ------------------------------------------------------

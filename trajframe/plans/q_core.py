@@ -179,7 +179,7 @@ query("win_reward", with_views(f"select variation_id, step, round(reward, 6) as
 
 query("win_last_k", with_views("select h2.variation_id, h2.step, hist.history from h2 join hist using (variation_id, step) where h2.step >= 1",
                                HIST_STATE, hist_cte(10, False)))(
-    lambda spark, sf: _hist(spark, sf).withColumn("history", W.history_text(10, False))
+    lambda spark, sf: W.add_history(_hist(spark, sf), 10, False)
     .where(F.col("step") >= 1).select("variation_id", "step", "history"))
 
 query("win_next_subgoal", with_views("select variation_id, step, next_subgoal from h2", HIST_STATE))(

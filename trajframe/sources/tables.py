@@ -47,9 +47,12 @@ def events_as_steps(events: DataFrame) -> DataFrame:
     room = _pick(BINDING_ROOMS, F.col("k") % 10)
     obj = _pick(BINDING_OBJECTS, F.col("k") % 7)
     b = b.withColumn("room", room).withColumn("obj", obj)
-    grp = F.floor(F.col("user_id") / 30).cast("int") % 5
+    grp = F.floor(F.col("variation_id") / 30).cast("int") % 5
     fold = F.when(grp.isin(1, 4), "test").when(grp == 3, "dev").otherwise("train")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # the episode key is the (renamed) user id; windows downstream partition
+    # by it too, so the whole step pipeline shuffles once
+    w = Window.partitionBy("variation_id").orderBy("ts", "event_id")
+    b = b.withColumn("variation_id", F.col("user_id"))
     et, kk = F.col("event_type"), F.col("k")
     action = (
         F.when(et == "view", F.lit("look around"))
@@ -75,8 +78,8 @@ def events_as_steps(events: DataFrame) -> DataFrame:
     )
     sg_room = _pick(BINDING_SUBGOAL_ROOMS, F.floor(kk / 34))
     return b.select(
-        F.col("user_id").alias("variation_id"),
-        (F.col("user_id") % N_TASKS).alias("task_no"),
+        "variation_id",
+        (F.col("variation_id") % N_TASKS).alias("task_no"),
         fold.alias("fold"),
         (F.row_number().over(w) - 1).cast("int").alias("pos"),
         action.alias("action"),
