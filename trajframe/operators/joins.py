@@ -128,8 +128,8 @@ def nearest_by_vector(preds: DataFrame, cands: DataFrame, keys: Sequence[str], n
     sims = pairs.groupBy(*keys, item).agg(F.sum(cos).alias("score"))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), item)
     ranked = sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = ranked.withColumn("_m", size)
+    # candidates kept in the group (n, or fewer when the group is small)
+    ranked = ranked.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     target = F.lit(1) if pick == "best" else F.least(F.lit(n), F.col("_m"))
     return ranked.withColumn("chosen", F.col("rank") == target).drop("_m")
 
@@ -228,16 +228,17 @@ def exclude_recent(cands: DataFrame, recent: DataFrame, keys: Sequence[str], tex
 
 # --- T6 ---------------------------------------------------------------------------
 
-def rank_candidates(queries: DataFrame, cands: DataFrame, text: str = "name") -> DataFrame:
-    """For each query, candidates with the same first word ranked by
-    (shared words, text) descending.  Only distinct texts take part and the
-    join is an equi-join on the first word."""
-    q = queries.select(F.col(text).alias("query")).distinct() \
+def rank_candidates(queries: DataFrame, cands: DataFrame, keys: Sequence[str] = (), text: str = "action") -> DataFrame:
+    """For each query, the candidates of the same group (``keys``, e.g.
+    one step's valid actions) whose first word equals the query's, ranked
+    by (shared words, text) descending.  An equi-join on (keys, first word)
+    of distinct texts: pairs exist only inside one group's candidate set."""
+    q = queries.select(*keys, F.col(text).alias("query")).distinct() \
         .withColumn("_fw", F.split("query", " ").getItem(0))
-    c = cands.select(F.col(text).alias("candidate")).distinct() \
+    c = cands.select(*keys, F.col(text).alias("candidate")).distinct() \
         .withColumn("_fw", F.split("candidate", " ").getItem(0))
-    j = q.join(c, "_fw", "inner")
+    j = q.join(c, [*keys, "_fw"], "inner")
     shared = F.size(F.array_intersect(F.split("query", " "), F.split("candidate", " ")))
     j = j.withColumn("shared", shared)
-    w = Window.partitionBy("query").orderBy(F.desc("shared"), F.desc("candidate"))
+    w = Window.partitionBy(*keys, "query").orderBy(F.desc("shared"), F.desc("candidate"))
     return j.withColumn("rank", F.row_number().over(w)).drop("_fw")

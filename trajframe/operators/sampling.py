@@ -92,16 +92,18 @@ def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 
 def cap_test_episodes(eps: DataFrame, cap: int = 10, task: str = "task_no", order: str = "variation_id",
-                      fold: str = "fold") -> DataFrame:
+                      fold: str = "fold", block_size: int = 4096) -> DataFrame:
     """Walking a task's episodes in corpus order, the ``cap``-th test
     episode ends the task: it and everything after it (any fold) is dropped.
 
-    Running count of test episodes over (task order by corpus position);
-    keep rows whose running count *including* themselves is < cap."""
-    w = Window.partitionBy(task).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.sum(F.when(F.col(fold) == "test", 1).otherwise(0)).over(w)
-    # once the count reaches cap, every later row has count >= cap as well
-    return eps.withColumn("_tests", run).where(F.col("_tests") < cap).drop("_tests")
+    Keep rows whose running count of test episodes, including themselves,
+    is below ``cap`` (once reached, every later row stays >= cap).  The
+    running count is two-level (blocks of ``block_size`` episodes in corpus
+    order), so a task with most of the corpus is not sorted in one task."""
+    from .windows import blocked_running_sum
+    t = F.when(F.col(fold) == "test", 1).otherwise(0).cast("long")
+    r = blocked_running_sum(eps, [task], [order], {"_tests": t}, F.floor(F.col(order) / block_size))
+    return r.where(F.col("_tests") < cap).drop("_tests")
 
 
 def exemplars(eps_steps: DataFrame, n: int = 2, task: str = "task_no", key: str = "variation_id",
@@ -118,13 +120,31 @@ def exemplars(eps_steps: DataFrame, n: int = 2, task: str = "task_no", key: str
     return paths.withColumn("n_found", F.count(F.lit(1)).over(w))
 
 
+def dense_index(values: DataFrame, col: str) -> DataFrame:
+    """0-based index of every distinct value of ``col`` in sort order,
+    without a single-partition window: the values are range-partitioned
+    and sorted, each partition's offset is the row count of the partitions
+    before it (a table with one row per partition), and the position inside
+    a partition comes from ``monotonically_increasing_id`` (partition index
+    in the high bits, row number in the low 33 bits).  Both branches read
+    the same range exchange, which Spark reuses."""
+    d = values.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    d = d.select(col, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    j = d.join(F.broadcast(offs), "_pid")
+    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return j.select(col, (F.col("_off") + pos).alias("index"))
+
+
 def inject_random(steps: DataFrame, vocab: DataFrame, every: int = 10, seed: int = 1,
                   keys: Sequence[str] = ("variation_id",), step: str = "step", col: str = "subgoal") -> DataFrame:
     """Every ``every``-th step replaces its sub-goal by a vocabulary entry
     picked by a seeded hash.  The vocabulary is ranked once and joined on the
-    picked rank (AQE broadcasts it when its runtime size is small)."""
-    v = vocab.select(F.col(col).alias("_v")).distinct()
-    v = v.withColumn("_vr", F.row_number().over(Window.orderBy("_v")) - 1)
+    picked rank (AQE broadcasts it when its runtime size is small).  The
+    ranking is distributed (``dense_index``)."""
+    v = dense_index(vocab.select(F.col(col).alias("_v")), "_v").withColumnRenamed("index", "_vr")
     nv = v.agg(F.count(F.lit(1)).alias("_nv"))
     pick = F.pmod(seeded_int(seed, *keys, step), F.col("_nv"))
     # one-row side: joined on a constant key and broadcast

@@ -342,27 +342,36 @@ def insert_markers(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFr
 
 # --- W15: running exact match -------------------------------------------------------------
 
+def blocked_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                        block_of: Column) -> DataFrame:
+    """Running sums of ``values`` over ``group`` in ``order`` (inclusive of
+    the current row) without sorting a whole group in one task.
+
+    ``block_of`` maps a row to a block that is monotone in ``order`` (e.g.
+    ``variation_id div 4096``).  Per-block totals are prefix-summed over a
+    small table (one row per group and block), joined back, and added to a
+    running sum *within* each (group, block) partition, so a group holding a
+    third of all rows is spread over its blocks."""
+    d = df.withColumn("_blk", block_of)
+    tot = d.groupBy(*group, "_blk").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in values.items()])
+    wb = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*group, "_blk", *[F.coalesce(F.sum(f"_t_{k}").over(wb), F.lit(0)).alias(f"_o_{k}") for k in values])
+    wi = Window.partitionBy(*group, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    j = d.join(offs, [*group, "_blk"], "inner")
+    for k, v in values.items():
+        j = j.withColumn(k, F.col(f"_o_{k}") + F.sum(v).over(wi))
+    return j.drop("_blk", *[f"_o_{k}" for k in values])
+
+
 def running_match(pairs: DataFrame, group: str = "task_no", order: Sequence[str] = ("variation_id", "step"),
-                  pred: str = "prediction", target: str = "target") -> DataFrame:
+                  pred: str = "prediction", target: str = "target", block_size: int = 4096) -> DataFrame:
     """Cumulative exact-match % after each row, per group (a task
-    file), in the given row order.
-
-    A hot group is not sorted in one task: rows are summed per first order
-    key (an episode), those per-episode totals are prefix-summed (a much
-    smaller table), and the offset is joined back to a running sum *within*
-    each episode."""
-    first, rest = order[0], list(order[1:])
-    m = pairs.withColumn("_m", F.col(pred).eqNullSafe(F.col(target)).cast("int"))
-    per = m.groupBy(group, first).agg(F.sum("_m").alias("_sm"), F.count(F.lit(1)).alias("_sn"))
-    wo = Window.partitionBy(group).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(group, first, F.coalesce(F.sum("_sm").over(wo), F.lit(0)).alias("_om"),
-                     F.coalesce(F.sum("_sn").over(wo), F.lit(0)).alias("_on"))
-    wi = Window.partitionBy(group, first).orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0) if rest else \
-        Window.partitionBy(group, first).rowsBetween(Window.unboundedPreceding, 0)
-    j = m.join(per, [group, first], "inner")
-    cm = F.col("_om") + F.sum("_m").over(wi)
-    cn = F.col("_on") + F.count(F.lit(1)).over(wi)
-    return j.withColumn("running_match", cm * 100.0 / cn).drop("_m", "_om", "_on")
+    file), in the given row order; two-level running sum
+    (``blocked_running_sum``) with blocks of ``block_size`` episodes."""
+    m = pairs.withColumn("_m", F.col(pred).eqNullSafe(F.col(target)).cast("long"))
+    block = F.floor(F.col(order[0]) / block_size)
+    r = blocked_running_sum(m, [group], list(order), {"_cm": F.col("_m"), "_cn": F.lit(1).cast("long")}, block)
+    return r.withColumn("running_match", F.col("_cm") * 100.0 / F.col("_cn")).drop("_m", "_cm", "_cn")
 
 
 # --- W16 - W18: history clean-up ------------------------------------------------------------

@@ -166,15 +166,16 @@ select round(avg(len(list_filter(regexp_split_to_array({strip_sql('prediction')}
 # ============================================================== T6
 
 query("topk_rank_common_words", with_views("""
-select query, candidate, shared, rank from (
-  select q.query, c.candidate, len(list_intersect(string_split(q.query, ' '), string_split(c.candidate, ' '))) as shared
-  from (select distinct p_name as query from part) q join (select distinct p_name as candidate from part) c
-    on split_part(q.query, ' ', 1) = split_part(c.candidate, ' ', 1))
-qualify true""").replace("qualify true", "").replace(
-    "select query, candidate, shared, rank from (", "select query, candidate, shared, row_number() over (partition by query order by shared desc, candidate desc) as rank from ("))(
-    lambda spark, sf: J.rank_candidates(table(spark, sf, "part", "p_name").withColumnRenamed("p_name", "name"),
-                                        table(spark, sf, "part", "p_name").withColumnRenamed("p_name", "name"))
-    .select("query", "candidate", F.col("shared").cast("long").alias("shared"), "rank"))
+select variation_id, grp, query, candidate, shared,
+       row_number() over (partition by variation_id, grp, query order by shared desc, candidate desc) as rank from (
+  select q.variation_id, q.grp, q.query, c.candidate,
+         len(list_intersect(string_split(q.query, ' '), string_split(c.candidate, ' '))) as shared
+  from (select distinct variation_id, grp, action as query from preds where rnk = 1) q
+  join (select distinct variation_id, grp, action as candidate from cands) c
+    on c.variation_id = q.variation_id and c.grp = q.grp and split_part(q.query, ' ', 1) = split_part(c.candidate, ' ', 1))""",
+    FOCUS_CANDS_SQL))(
+    lambda spark, sf: J.rank_candidates(v_preds(spark, sf).where("rnk = 1"), v_cands(spark, sf), GK)
+    .select(*GK, "query", "candidate", F.col("shared").cast("long").alias("shared"), "rank"))
 
 # ============================================================== J2 / J3 (annotation caches)
 
@@ -381,3 +382,23 @@ def q_truncate(spark, sf):
 
 
 query("truncate_lengths", None)(q_truncate)
+
+# ============================================================== T7
+
+TOPK_N = 3
+
+
+def q_topk_vector(spark, sf):
+    v = v_vecs(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
+    return J.nearest_by_vector(v.where("is_pred"), v.where("not is_pred"), ["grp"], n=TOPK_N, pick="nth").select(
+        "grp", "vec_id", F.round("score", 6).alias("score"), "rank", "chosen")
+
+
+query("topk_vector", with_views(f"""
+select grp, vec_id, round(score, 6) as score, rank, rank = least({TOPK_N}, m) as chosen from (
+  select *, row_number() over (partition by grp order by score desc, vec_id) as rank, count(*) over (partition by grp) as m0 from (
+    select c.grp, c.vec_id, sum(list_dot_product(c.e, p.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(p.e, p.e)))) as score
+    from vv c join vv p on c.grp = p.grp and not c.is_pred and p.is_pred group by 1, 2))
+  , lateral (select least(m0, {TOPK_N}) as m)
+where rank <= {TOPK_N}""", "vv as (select cast(floor(vec_id / 50) as bigint) as grp, vec_id, cast(embedding as double[]) as e, vec_id % 50 < 5 as is_pred from embeddings)"))(
+    q_topk_vector)

@@ -7,8 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.actions import formalize
-from ..functions.text import clean_look, current_room
+from ..operators.prompts import candidate_prompt, history_block, plan_observations
 from ..operators import sampling as T
 from ..operators import windows as W
 from ..operators.compose import RECIPES, compose, compose_first_subgoal
@@ -254,45 +253,8 @@ query("sink_run_history", with_views("select variation_id, count(*) as rows, tru
 # ============================================================== C13 / C15 history prompts
 
 
-def history_block(steps, k: int = 10, episode=("task_no", "variation_id")):
-    """C13 core: the history lines of the next-actions prompt for the final
-    state of each episode: W16 clean-up, then per kept row
-    ``- (in <room>) Action: <FORMAL> --> <obs>``, W17 (form A) repeat lines,
-    the last ``k`` lines, joined by newlines."""
-    s = steps.withColumn("_loc", current_room("freelook"))
-    s = W.clean_history(s, episode)
-    s = W.collapse_repeats(s, 5, 4, episode)
-    fa = F.coalesce(formalize("action"), F.lit("None"))
-    line = F.concat(F.lit("- (in "), F.coalesce(F.col("_loc"), F.lit("None")), F.lit(") Action: "), fa,
-                    F.lit(" --> "), F.col("observation"))
-    # repeat line is written after the row it follows
-    lines = F.when(F.col("repeat_line").isNotNull(), F.array(line, F.col("repeat_line"))).otherwise(F.array(line))
-    g = s.groupBy(*episode).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step", lines.alias("l")))),
-                                                      lambda x: x["l"])).alias("_all"))
-    return g.select(*episode, F.array_join(F.slice("_all", F.greatest(F.size("_all") - k + 1, F.lit(1)), k), "\n").alias("history"))
-
-
 query("prompt_next_actions")(lambda spark, sf: history_block(v_f_plain(spark, sf)))
 
-SELECT_INTRO = "Let's play a text game."
-SELECT_LIST = "There are some action candidates as follows:"
-SELECT_ASK = ("Please consider the objects in the room and inventory and my goal. Think carefully, and then select the "
-              "best replacement from the list. If no one in the list is a good replacement, return 'none'.")
-
-
-def candidate_prompt(cands, ctx, keys):
-    """Candidate-list prompt for a prediction that is not valid."""
-    lst = cands.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_set("action")),
-                                                            lambda a: F.concat(F.lit("- "), a)), "\n").alias("_list"))
-    j = ctx.join(lst, list(keys))
-    text = F.concat_ws("\n", F.lit(SELECT_INTRO), clean_look("freelook"), F.col("inventory"), F.lit(SELECT_LIST),
-                       F.col("_list"),
-                       F.concat(F.lit("\n I want to achieve this goal: "), F.col("goal"), F.lit(" but my action '"),
-                                F.col("action"), F.lit("' is not in the candidate list.")),
-                       F.lit(SELECT_ASK), F.lit("Selected action:"))
-    return j.select(*keys, text.alias("prompt"))
-
-
 def q_prompt_select(spark, sf):
     f = v_f_plain(spark, sf).select("variation_id", "step", "freelook", "inventory", F.col("subgoal").alias("goal"))
     p = v_preds(spark, sf).where("rnk = 1").select("variation_id", "grp", "action")
@@ -302,6 +264,8 @@ def q_prompt_select(spark, sf):
 
 query("prompt_select_candidate")(q_prompt_select)
 
+query("prompt_plan")(lambda spark, sf: plan_observations(v_f_plain(spark, sf)))
+
 # ============================================================== C16 dataset recipes
 
 

@@ -25,6 +25,10 @@ def get_spark(app: str = "trajframe", cpus: str | int = "*", shuffle_partitions:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HotSpot does not JIT methods above 8000 bytes of bytecode; a whole-stage
+        # method bigger than that would run interpreted.  Above this limit Spark
+        # falls back to per-expression codegen, which the JIT does compile.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", os.environ.get("TRAJFRAME_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
