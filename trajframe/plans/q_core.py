@@ -270,7 +270,7 @@ group by variation_id"""))(
 
 query("win_negative_stop", with_views("""
 select variation_id, min(neg) as neg_step, max(case when step = n then prev end) as final_no_stop,
-       max(case when step = n then 0.0 end) as final_stop, count(*) filter (where step <= coalesce(n, 1 << 30)) as kept from (
+       max(case when step = n then 0.0::double end) as final_stop, count(*) filter (where step <= coalesce(n, 1 << 30)) as kept from (
   select *, min(neg) over (partition by variation_id) as n from (
     select variation_id, step, case when score < 0 then step end as neg,
            coalesce(lag(score) over (partition by variation_id order by step), 0.0) as prev from v_f))

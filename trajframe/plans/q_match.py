@@ -61,7 +61,7 @@ VEC_N = 5
 def q_vector(spark, sf):
     v = v_vecs(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
     return J.nearest_by_vector(v.where("is_pred"), v.where("not is_pred"), ["grp"], n=VEC_N).select(
-        "grp", "vec_id", F.round("score", 6).alias("score"), "rank", "chosen")
+        "grp", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "chosen")
 
 
 query("join_vector_similarity", with_views(f"""
@@ -175,7 +175,7 @@ select variation_id, grp, query, candidate, shared,
     on c.variation_id = q.variation_id and c.grp = q.grp and split_part(q.query, ' ', 1) = split_part(c.candidate, ' ', 1))""",
     FOCUS_CANDS_SQL))(
     lambda spark, sf: J.rank_candidates(v_preds(spark, sf).where("rnk = 1"), v_cands(spark, sf), GK)
-    .select(*GK, "query", "candidate", F.col("shared").cast("long").alias("shared"), "rank"))
+    .select(*GK, "query", "candidate", F.col("shared").cast("long").alias("shared"), F.col("rank").cast("long").alias("rank")))
 
 # ============================================================== J2 / J3 (annotation caches)
 
@@ -391,7 +391,7 @@ TOPK_N = 3
 def q_topk_vector(spark, sf):
     v = v_vecs(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
     return J.nearest_by_vector(v.where("is_pred"), v.where("not is_pred"), ["grp"], n=TOPK_N, pick="nth").select(
-        "grp", "vec_id", F.round("score", 6).alias("score"), "rank", "chosen")
+        "grp", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "chosen")
 
 
 query("topk_vector", with_views(f"""

@@ -79,8 +79,7 @@ def q_src_examples(spark, sf):
     d = K.scratch_dir(spark, "examples-s2")
     _examples(spark, sf).select("input", "target", "task_id", "variation_id", "task_real_id", "fold") \
         .write.partitionBy("fold").json(d)
-    paths = [f"{d}/fold={f}" for f in ("train", "dev", "test")]
-    return S.read_examples(spark, paths).select("variation_id", "input", "target")
+    return S.read_examples(spark, d).select("variation_id", "input", "target")
 
 
 query("src_examples", "select variation_id, input, target from (" + EXAMPLES_SQL + ")")(q_src_examples)
