@@ -63,15 +63,17 @@ def plan_observations(steps: DataFrame, lite: bool = True, keep_last: int = 15,
     prev = F.collect_list("action").over(w.rowsBetween(-5, -1))
     nxt = F.collect_list("action").over(w.rowsBetween(1, 5))
     s = s.withColumn("_rep", F.array_contains(prev, F.col("action")) & F.array_contains(nxt, F.col("action")))
-    s = s.where((F.col("step") >= 1) & (F.col("_obs") != "The door is already open."))
+    s = s.where(F.col("_obs") != "The door is already open.")
     is_move = F.col("_obs").contains("move to the")
     short = F.concat(F.lit("In "), F.col("_loc"), F.lit(", "), F.col("_obs"))
     if lite:
-        # the first non-repeat row with a given line is written, later copies are skipped
-        fw = Window.partitionBy(*episode, "_line_key").orderBy("step")
-        s = s.withColumn("_line_key", F.when(~F.col("_rep") & ~is_move, short))
-        s = s.withColumn("_dup", F.col("_line_key").isNotNull() & (F.row_number().over(fw) > 1))
-        s = s.where(~F.col("_dup"))
+        # a row whose ``In <room>, <obs>`` line is already written is skipped
+        # before the repeat test (it is neither written nor counted); the
+        # line was written iff an earlier non-repeat row had it
+        s = s.withColumn("_line_key", F.when(~is_move, short))
+        fw = Window.partitionBy(*episode, "_line_key").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+        seen = F.coalesce(F.sum(F.when(~F.col("_rep"), 1).otherwise(0)).over(fw), F.lit(0)) > 0
+        s = s.withColumn("_dup", F.col("_line_key").isNotNull() & seen).where(~F.col("_dup"))
     long = F.concat(F.lit("In "), F.col("_loc"), F.lit(", "), F.col("action"), F.lit(" --> "), F.col("_obs"))
     s = s.withColumn("_line", F.when(is_move, F.col("_obs")).otherwise(short if lite else long))
     # rows dropped as repeats between two written rows (rows skipped for the
@@ -85,7 +87,7 @@ def plan_observations(steps: DataFrame, lite: bool = True, keep_last: int = 15,
     g = _ordered_lines(kept, episode, lines, "_all")
     # W18 on the written lines: of consecutive move lines keep the last
     g = g.withColumn("_all", F.filter("_all", lambda x, i: ~(x.contains("move to the")
-                                                              & F.coalesce(F.element_at("_all", i + 2).contains("move to the"), F.lit(False)))))
+                                                              & F.coalesce(F.try_element_at("_all", i + 2).contains("move to the"), F.lit(False)))))
     g = g.withColumn("_all", F.transform("_all", lambda x: F.replace(x, F.lit("a substance called"), F.lit("there is a"))))
     g = g.withColumn("_all", F.transform("_all", lambda x, i: F.concat(F.lit("- "), (i + 1).cast("string"), F.lit(". "), x)))
     if lite:

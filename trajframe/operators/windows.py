@@ -409,12 +409,16 @@ def collapse_repeats(steps: DataFrame, before: int = 5, after: int = 4, episode:
     prev = F.collect_list("action").over(w.rowsBetween(-before, -1))
     nxt = F.collect_list("action").over(w.rowsBetween(1, after))
     dropped = F.lead("step").over(w).isNotNull() & F.array_contains(prev, F.col("action")) & F.array_contains(nxt, F.col("action"))
-    kept = steps.withColumn("_d", dropped).where(~F.col("_d")).drop("_d")
-    first = F.min("step").over(Window.partitionBy(*episode))
-    gap = F.col("step") - F.coalesce(F.lag("step").over(w), first - 1) - 1
+    # dropped rows before each row (rows are counted, not step numbers, so
+    # gaps left by earlier filters do not count as repeats)
+    d = steps.withColumn("_d", dropped.cast("int"))
+    d = d.withColumn("_before", F.coalesce(F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = d.where(F.col("_d") == 0)
+    gap = F.col("_before") - F.coalesce(F.lag("_before").over(w), F.lit(0))
     pre, post = line.split("{}")
     return kept.withColumn("repeats", gap.cast("int")).withColumn(
-        "repeat_line", F.when(F.col("repeats") > 0, F.concat(F.lit(pre), F.col("repeats").cast("string"), F.lit(post))))
+        "repeat_line", F.when(F.col("repeats") > 0, F.concat(F.lit(pre), F.col("repeats").cast("string"), F.lit(post)))
+    ).drop("_d", "_before")
 
 
 def collapse_moves(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
