@@ -37,7 +37,13 @@ def history_block(steps: DataFrame, k: int = 10, episode: Sequence[str] = EPISOD
     line = F.concat(F.lit("- (in "), F.coalesce(F.col("_loc"), F.lit("None")), F.lit(") Action: "), fa,
                     F.lit(" --> "), F.col("observation"))
     lines = F.when(F.col("repeat_line").isNotNull(), F.array(line, F.col("repeat_line"))).otherwise(F.array(line))
-    g = _ordered_lines(s, episode, lines, "_all")
+    # each kept row writes 1 or 2 lines; only rows among the last k lines are
+    # gathered (lines counted from the end with a window), so the collected
+    # list is bounded by k whatever the episode length
+    s = s.withColumn("_nl", F.size(lines)).withColumn("_l", lines)
+    after = F.coalesce(F.sum("_nl").over(W.w_ep(episode).rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    s = s.withColumn("_after", after).where(F.col("_after") < k)
+    g = _ordered_lines(s, episode, F.col("_l"), "_all")
     return g.select(*episode, F.array_join(F.slice("_all", F.greatest(F.size("_all") - k + 1, F.lit(1)), k), "\n").alias("history"))
 
 
@@ -82,14 +88,30 @@ def plan_observations(steps: DataFrame, lite: bool = True, keep_last: int = 15,
         "_reps_before", F.sum("_r").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     kept = cnt.where(~F.col("_rep")).withColumn(
         "_n", F.coalesce(F.col("_reps_before"), F.lit(0)) - F.coalesce(F.lag("_reps_before").over(w), F.lit(0)))
-    lines = F.when(F.col("_n") > 0, F.array(F.col("_line"), F.concat(F.lit("Repeat the above "), F.col("_n").cast("string"),
-                                                                        F.lit(" times.")))).otherwise(F.array(F.col("_line")))
+    rep_line = F.concat(F.lit("Repeat the above "), F.col("_n").cast("string"), F.lit(" times."))
+    kept = kept.withColumn("_rl", F.when(F.col("_n") > 0, rep_line))
+    # W18 on the written lines: a move line is dropped when the next written
+    # line is a move line too.  A row's next line is its own repeat line if
+    # it has one (never a move line), else the next kept row's line.
+    nxt_line = F.lead("_line").over(W.w_ep(episode))
+    drop_main = (F.col("_line").contains("move to the") & F.col("_rl").isNull()
+                 & F.coalesce(nxt_line.contains("move to the"), F.lit(False)))
+    kept = kept.withColumn("_keep_main", ~drop_main)
+    kept = kept.withColumn("_nl", F.col("_keep_main").cast("int") + F.col("_rl").isNotNull().cast("int"))
+    before = F.coalesce(F.sum("_nl").over(W.w_ep(episode).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = kept.withColumn("_first_no", before + 1)
+    if lite:
+        total = F.sum("_nl").over(Window.partitionBy(*episode))
+        kept = kept.withColumn("_total", total)
+        kept = kept.where(F.col("_first_no") + F.col("_nl") - 1 > F.col("_total") - keep_last)
+
+    def numbered(no, text):
+        return F.concat(F.lit("- "), no.cast("string"), F.lit(". "), F.replace(text, F.lit("a substance called"), F.lit("there is a")))
+
+    main = F.when(F.col("_keep_main"), numbered(F.col("_first_no"), F.col("_line")))
+    rep = F.when(F.col("_rl").isNotNull(), numbered(F.col("_first_no") + F.col("_keep_main").cast("int"), F.col("_rl")))
+    lines = F.filter(F.array(main, rep), lambda x: x.isNotNull())
     g = _ordered_lines(kept, episode, lines, "_all")
-    # W18 on the written lines: of consecutive move lines keep the last
-    g = g.withColumn("_all", F.filter("_all", lambda x, i: ~(x.contains("move to the")
-                                                              & F.coalesce(F.try_element_at("_all", i + 2).contains("move to the"), F.lit(False)))))
-    g = g.withColumn("_all", F.transform("_all", lambda x: F.replace(x, F.lit("a substance called"), F.lit("there is a"))))
-    g = g.withColumn("_all", F.transform("_all", lambda x, i: F.concat(F.lit("- "), (i + 1).cast("string"), F.lit(". "), x)))
     if lite:
         g = g.withColumn("_all", F.slice("_all", F.greatest(F.size("_all") - keep_last + 1, F.lit(1)), keep_last))
     return g.select(*episode, F.array_join("_all", "\n").alias("observations"))

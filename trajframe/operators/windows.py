@@ -213,19 +213,24 @@ def with_objects(steps: DataFrame, limit: int = fixed.OBJECT_LIMIT_OFFLINE, epis
 
 def final_objects(steps: DataFrame, limit: int, episode: Sequence[str] = EPISODE, look: str = "freelook",
                   start_step: int = 1) -> DataFrame:
-    """W8 final state per episode as a SQL fold (``aggregate`` over the
-    ordered mention lists): ``array_except`` adds the new ones, ``slice``
-    evicts the oldest."""
-    from ..functions.text import object_mentions
-    s = steps.where(F.col("step") >= start_step).select(*episode, "step", object_mentions(look).alias("t"))
-    g = s.groupBy(*episode).agg(F.array_sort(F.collect_list(F.struct("step", "t"))).alias("_l"))
+    """W8 final state per episode: the state of the last step of the
+    streaming fold, taken with ``max_by`` (a partial aggregate; no episode
+    is collected into one row)."""
+    s = with_objects(steps, limit, episode, look, start_step)
+    return s.groupBy(*episode).agg(F.max_by("objects", "step").alias("objects"))
+
+
+def fold_objects_sql(lists: Column, limit: int) -> Column:
+    """The same fold as a SQL ``aggregate`` over an ordered array of mention
+    lists (``array_except`` adds the new ones, ``slice`` evicts the oldest);
+    for small, already-grouped inputs."""
     empty = F.array().cast("array<string>")
 
     def step_fn(acc, x):
-        grown = F.concat(acc, F.array_except(x["t"], acc))
+        grown = F.concat(acc, F.array_except(x, acc))
         return F.when(F.size(grown) > limit, F.slice(grown, -limit, limit)).otherwise(grown)
 
-    return g.select(*episode, F.aggregate("_l", empty, step_fn).alias("objects"))
+    return F.aggregate(lists, empty, step_fn)
 
 
 # --- W9 - W12: stop rules ---------------------------------------------------------

@@ -24,8 +24,8 @@ from .views import v_cands, v_f, v_f_plain, v_preds, v_steps, with_tasks
 
 
 def gold_json(spark, sf):
-    """The step table written in the gold-corpus shape: one JSON object per
-    task, ``{task_id: {taskName, taskIdx, goldActionSequences: [...]}}``."""
+    """The step table written in the gold-corpus shape,
+    ``{task_id: {taskName, taskIdx, goldActionSequences: [...]}}``."""
     s = with_tasks(v_steps(spark, sf), spark)
     step = F.struct("action", "observation", F.col("score").cast("string").alias("score"),
                     F.lit("false").alias("isCompleted"), "freelook", "inventory")
@@ -33,19 +33,19 @@ def gold_json(spark, sf):
         F.transform(F.array_sort(F.collect_list(F.struct("pos", step.alias("s")))), lambda x: x["s"]).alias("path"))
     ep = F.struct(F.col("task_desc").alias("taskDescription"), F.col("variation_id").alias("variationIdx"),
                   "fold", "path")
-    tasks = eps.groupBy("task_no", "task_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("variation_id", ep.alias("e")))), lambda x: x["e"]).alias("seqs"))
+    # one corpus object per episode (a task's episodes spread over many
+    # objects/files; the reader merges them), so no task is gathered in one row
     obj = F.create_map(F.col("task_no").cast("string"),
                        F.struct(F.col("task_name").alias("taskName"), F.col("task_no").cast("string").alias("taskIdx"),
-                                F.col("seqs").alias("goldActionSequences")))
-    return tasks.select("task_no", F.to_json(obj).alias("value"))
+                                F.array(ep).alias("goldActionSequences")))
+    return eps.select("task_no", "variation_id", F.to_json(obj).alias("value"))
 
 
 def q_src_gold(spark, sf):
     d = K.scratch_dir(spark, "gold")
-    # one file per task: each file is one JSON object, as the corpus format
-    gold_json(spark, sf).repartition("task_no").write.partitionBy("task_no").text(d)
-    g = S.read_gold(spark, d)
+    # one JSON object per line (splittable); the reader merges the objects
+    gold_json(spark, sf).select("value").write.text(d)
+    g = S.read_gold(spark, d, one_object_per_file=False)
     return g.select(F.col("task_id").cast("long").alias("task_no"), "variation_id", "fold", "pos", "action", "score")
 
 

@@ -2,15 +2,15 @@
 
 Everything is a ``spark.read`` with an explicit schema; nothing is parsed on
 the driver.  The gold corpus format is one JSON object (task id -> task); a
-directory of such objects (one per file) is read in parallel, one file per
-task, and should be re-sharded to Parquet once (``reshard``).
+directory of such objects (one per file, or one per line) is read in
+parallel and should be re-sharded to Parquet once (``reshard``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,15 +41,16 @@ MESSAGE_SCHEMA = T.StructType([
 ])
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
+def read_gold(spark: SparkSession, path: str, one_object_per_file: bool = True) -> DataFrame:
     """Gold corpus -> one row per step.
 
     Each file holds one JSON object ``{task_id: {taskName, taskIdx,
     goldActionSequences: [...]}}``; ``wholetext`` keeps a multi-line object in
-    one record.  Output: task_id, task_name, task_idx, variation_id,
+    one record (``one_object_per_file=False`` reads one object per line, the
+    splittable form for large corpora).  Output: task_id, task_name, task_idx, variation_id,
     task_desc, fold, episode_pos (corpus order), pos, step fields, and
     ``score`` cast to double (it may arrive as text)."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.option("wholetext", "true" if one_object_per_file else "false").text(path)
     tasks = raw.select(F.explode(F.from_json("value", GOLD_SCHEMA)).alias("task_id", "t"))
     eps = tasks.select("task_id", F.col("t.taskName").alias("task_name"), F.col("t.taskIdx").alias("task_idx"),
                        F.posexplode("t.goldActionSequences").alias("episode_pos", "e"))
@@ -119,7 +120,3 @@ def prompt_for_task(bank: DataFrame, tasks: DataFrame, task: str = "taskIdx", po
     best = bank.groupBy(task).agg(F.max_by(F.struct(*cols), pos).alias("_row"))
     out = tasks.join(best, task, "left")
     return out.select(task, *[F.col("_row")[c].alias(c) for c in cols])
-
-
-def ordered_by_file(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy("turn")))
