@@ -28,13 +28,20 @@ def seeded_int(seed: int | str, *cols: str) -> Column:
 def downsample(eps: DataFrame, rules: Sequence[tuple[str, int]] = tuple(fixed.DOWNSAMPLE_RULES), seed: int = 1,
                task: str = "task_real_id", key: str = "variation_id") -> DataFrame:
     """Tasks whose real id starts with a rule's prefix keep ``cap`` random
-    episodes; others are unchanged."""
-    cap = None
+    episodes; others are unchanged.  Each rule is a ``row_number() <= cap``
+    filter with a literal cap, which Spark plans as a per-partition
+    ``WindowGroupLimit`` below the shuffle, so a huge task ships at most
+    ``cap`` rows per partition."""
+    out = None
+    matched = F.lit(False)
     for prefix, n in rules:
-        cap = F.when(F.col(task).startswith(prefix), F.lit(n)) if cap is None else cap.when(F.col(task).startswith(prefix), F.lit(n))
-    w = Window.partitionBy(task).orderBy(seeded_key(seed, key), key)
-    return (eps.withColumn("_cap", cap).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_cap").isNull() | (F.col("_rn") <= F.col("_cap"))).drop("_cap", "_rn"))
+        this = F.col(task).startswith(prefix) & ~matched
+        matched = matched | F.col(task).startswith(prefix)
+        w = Window.partitionBy(task).orderBy(seeded_key(seed, key), key)
+        part = eps.where(this).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+        out = part if out is None else out.unionByName(part)
+    rest = eps.where(~matched)
+    return rest if out is None else out.unionByName(rest)
 
 
 def mini(df: DataFrame, n: int, seed: int = 1, key: Sequence[str] = ("variation_id", "step")) -> DataFrame:
@@ -55,28 +62,34 @@ def pick_variations(eps: DataFrame, which: str, task: str = "task_no", key: str
 
     train: task 26 first 1/10, task 29 first 1/2, others all;
     test: at most ``test_cap`` random; dev: first 3; test_mini_2: rows 3..9;
-    test_mini: first 3; test_mini_mini: first 1.  Unknown set -> ValueError."""
-    folds = {"train": "train", "dev": "dev"}
-    base_fold = folds.get(which, "test")
+    test_mini: first 3; test_mini_mini: first 1.  Unknown set -> ValueError.
+    Fixed caps are literal ``row_number`` limits (``WindowGroupLimit``); the
+    train fractions use a per-task count (partial aggregate) and a two-level
+    running rank, so no task is ranked in one task."""
     if which not in ("train", "test", "dev", "test_mini_2", "test_mini", "test_mini_mini"):
         raise ValueError(f"unknown variation set {which!r}")
+    base_fold = {"train": "train", "dev": "dev"}.get(which, "test")
     e = eps.where(F.col(fold) == base_fold)
-    w = Window.partitionBy(task).orderBy(key)
-    e = e.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(task)))
     if which == "train":
-        keep = (F.when(F.col(task) == 26, F.col("_rn") < F.floor(F.col("_n") / 10))
-                .when(F.col(task) == 29, F.col("_rn") < F.floor(F.col("_n") / 2)).otherwise(F.lit(True)))
-    elif which == "test":
-        w2 = Window.partitionBy(task).orderBy(seeded_key(seed, key), key)
-        e = e.withColumn("_rn", F.row_number().over(w2) - 1)
-        keep = F.col("_rn") < test_cap
-    elif which == "dev" or which == "test_mini":
-        keep = F.col("_rn") < 3
+        from .windows import blocked_running_sum
+        n = e.groupBy(task).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = blocked_running_sum(e, [task], [key], {"_rn": F.lit(1).cast("long")}, F.floor(F.col(key) / 4096))
+        ranked = ranked.join(n, task)
+        keep = (F.when(F.col(task) == 26, F.col("_rn") - 1 < F.floor(F.col("_n") / 10))
+                .when(F.col(task) == 29, F.col("_rn") - 1 < F.floor(F.col("_n") / 2)).otherwise(F.lit(True)))
+        return ranked.where(keep).drop("_rn", "_n")
+    if which == "test":
+        w = Window.partitionBy(task).orderBy(seeded_key(seed, key), key)
+        return e.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= test_cap).drop("_rn")
+    w = Window.partitionBy(task).orderBy(key)
+    r = e.withColumn("_rn", F.row_number().over(w))
+    if which in ("dev", "test_mini"):
+        r = r.where(F.col("_rn") <= 3)
     elif which == "test_mini_2":
-        keep = (F.col("_rn") >= 3) & (F.col("_rn") < 10)
+        r = r.where((F.col("_rn") <= 10) & (F.col("_rn") >= 4))
     else:
-        keep = F.col("_rn") < 1
-    return e.where(keep).drop("_rn", "_n")
+        r = r.where(F.col("_rn") <= 1)
+    return r.drop("_rn")
 
 
 def first_variations(df: DataFrame, n: int = 10, task: str = "task_no", key: str = "variation_id") -> DataFrame:
