@@ -1,0 +1,114 @@
+"""Hot episodes: splitting a group that holds a large share of the rows.
+
+Per-episode windows put a whole episode in one task.  Episodes above
+``threshold`` rows are *hot*; they are found with a partial-aggregate count
+(the list has at most rows/threshold entries, so broadcasting it is safe)
+and handled differently from the rest:
+
+* ``dense_number``: the 0-based position in episode order without sorting
+  the episode in one task: hot rows are range-partitioned on
+  (episode, order), each (episode, partition) piece gets the number of rows
+  of its episode in earlier partitions as offset (a table with one row per
+  hot episode and partition) and the position inside the piece from
+  ``monotonically_increasing_id``;
+* ``split_bounded``: windows whose frames reach at most ``before`` rows back
+  and ``after`` rows ahead run on chunks of ``chunk`` rows keyed by
+  (episode, chunk); each chunk also receives the ``before`` rows preceding
+  it and the ``after`` rows following it as halo rows, which give the frames
+  their context and are dropped afterwards.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+DEFAULT_HOT_ROWS = 1_000_000
+DEFAULT_CHUNK = 100_000
+
+
+def hot_rows_setting(spark, default: int | None = DEFAULT_HOT_ROWS) -> int | None:
+    """``trajframe.hotEpisodeRows`` (default 1,000,000; ``off`` disables)."""
+    v = spark.conf.get("trajframe.hotEpisodeRows", None)
+    if v is None:
+        return default
+    return None if str(v).lower() in ("", "none", "off", "0") else int(v)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
+    """Episodes with more than ``threshold`` rows (at most rows/threshold)."""
+    return (df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") > threshold).select(*keys))
+
+
+def split_by_heat(df: DataFrame, keys: Sequence[str], threshold: int) -> tuple[DataFrame, DataFrame]:
+    hot = F.broadcast(hot_keys(df, keys, threshold))
+    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+
+
+def dense_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str,
+                 threshold: int | None, n_parts: int = 64, all_hot: bool = False) -> DataFrame:
+    """``row_number() - 1`` over (keys order by order); hot episodes (above
+    ``threshold`` rows, or every episode with ``all_hot``) split."""
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    if threshold is None and not all_hot:
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+    if all_hot:
+        cold, hot = None, df
+    else:
+        cold, hot = split_by_heat(df, keys, threshold)
+        cold = cold.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+    h = hot.repartitionByRange(n_parts, *keys, *order_cols).sortWithinPartitions(*keys, *order_cols)
+    h = h.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    pieces = h.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = pieces.select(*keys, "_pid", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    h = h.join(F.broadcast(offs), [*keys, "_pid"])   # one row per hot episode and partition
+    h = h.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("int")).drop("_pid", "_mid", "_m0", "_off")
+    return h if cold is None else cold.unionByName(h)
+
+
+def split_bounded(df: DataFrame, keys: Sequence[str], index: str, before: int, after: int,
+                  fn: Callable[[DataFrame, Sequence[str]], DataFrame], chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Run a row-preserving window transform ``fn(df, keys)`` whose frames
+    span at most ``before`` rows back and ``after`` ahead on chunks of one
+    episode (``index`` = dense position in the episode)."""
+    i = F.col(index).cast("long")
+    c = F.floor(i / chunk).cast("long")
+    core = df.withColumn("_chunk", c).withColumn("_halo", F.lit(False))
+    x = core
+    if before:
+        # a row is halo for every later chunk that starts at most ``before`` rows after it
+        last = F.floor((i + before) / chunk).cast("long")
+        pre = df.where(last > c).withColumn("_chunk", F.explode(F.sequence(c + 1, last)))
+        x = x.unionByName(pre.withColumn("_halo", F.lit(True)))
+    if after:
+        first = F.floor((i - after) / chunk).cast("long")
+        first = F.greatest(first, F.lit(0).cast("long"))
+        post = df.where(first < c).withColumn("_chunk", F.explode(F.sequence(first, c - 1)))
+        x = x.unionByName(post.withColumn("_halo", F.lit(True)))
+    out = fn(x, [*keys, "_chunk"])
+    return out.where(~F.col("_halo")).drop("_chunk", "_halo")
+
+
+def running_firsts(items: DataFrame, keys: Sequence[str], ord_col: str, value: str) -> DataFrame:
+    """Per episode, the values with the order of their first occurrence,
+    sorted: ``groupBy(episode, value).min(ord)`` (a partial aggregate) and
+    one list per episode bounded by its number of distinct values."""
+    firsts = items.groupBy(*keys, value).agg(F.min(ord_col).alias("_o"))
+    return firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col(value).alias("v")))).alias("_firsts"))
+
+
+def split_source(df: DataFrame, keys: Sequence[str], threshold: int | None) -> list[tuple[DataFrame, bool]]:
+    """Split a *source* table once into (cold rows, False) and (hot rows,
+    True) using a count of the key columns only.  Downstream pipelines run
+    plain on the cold part and split-aware on the hot part and are unioned
+    at the end, so the source is read once per part (with AQE, the hot part
+    is pruned at run time when there is no hot episode)."""
+    if threshold is None:
+        return [(df, False)]
+    hot = F.broadcast(hot_keys(df, keys, threshold))
+    return [(df.join(hot, list(keys), "left_anti"), False), (df.join(hot, list(keys), "left_semi"), True)]

@@ -31,12 +31,16 @@ def trunc100(c: Column) -> Column:
 
 # --- F1 / F2 / F6 ------------------------------------------------------------
 
-def drop_noise_steps(steps: DataFrame, episode: Sequence[str] = EPISODE, order: str = "pos") -> DataFrame:
+def drop_noise_steps(steps: DataFrame, episode: Sequence[str] = EPISODE, order: str = "pos",
+                     hot_rows: int | None = None, all_hot: bool = False) -> DataFrame:
     """drop ``look around`` and ``close door*`` steps, then renumber
-    ``step`` = 0.. within the episode (filter runs before the window)."""
+    ``step`` = 0.. within the episode (filter runs before the window).
+    With ``hot_rows``, episodes longer than that are numbered without
+    sorting them in one task (``skew.dense_number``)."""
+    from .skew import dense_number
     a = F.col("action")
     kept = steps.where(~((a == fixed.NOISE_ACTION) | a.startswith(fixed.NOISE_PREFIX)))
-    return kept.withColumn("step", (F.row_number().over(w_ep(episode, order)) - 1).cast("int"))
+    return dense_number(kept, list(episode), [order], "step", hot_rows, all_hot=all_hot)
 
 
 def min_steps(steps: DataFrame, n: int = 2, episode: Sequence[str] = EPISODE) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators.compose import RECIPES, Recipe, compose, compose_first_subgoal,
 from .catalog import query
 from .sqlviews import (drop_phrases_sql, formalize_sql, look_room_sql, obs_room_sql,
                        sanitize_sql, trunc100_sql, with_views)
-from .views import v_f
+from .views import v_f, v_f_parts
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -127,7 +127,13 @@ def _register(key: str, recipe_name: str) -> None:
     r = RECIPES[recipe_name]
 
     def build(spark, sf):
-        return compose(v_f(spark, sf), r)
+        # cold episodes: one shuffle, whole-episode windows; hot episodes:
+        # split numbering and chunked windows (see operators.skew)
+        out = None
+        for steps, hot in v_f_parts(spark, sf):
+            part = compose(steps, r, all_hot=hot)
+            out = part if out is None else out.unionByName(part)
+        return out
 
     query(key, compose_sql(r))(build)
 

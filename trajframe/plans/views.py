@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
+from ..operators.skew import hot_rows_setting, split_source
 from ..sources.tables import events_as_steps, table, task_description, task_dimension
 
 
@@ -16,6 +17,18 @@ def v_steps(spark: SparkSession, sf: str) -> DataFrame:
     return events_as_steps(ev)
 
 
+def v_f_parts(spark: SparkSession, sf: str) -> list[tuple[DataFrame, bool]]:
+    """``v_f`` split once at the source into its cold part and its hot part
+    (episodes above ``trajframe.hotEpisodeRows`` events); the hot part is
+    numbered without sorting an episode in one task."""
+    ev = table(spark, sf, "events", "user_id", "event_id", "ts", "event_type", "props")
+    out = []
+    for part, hot in split_source(ev, ["user_id"], hot_rows_setting(spark)):
+        steps = W.drop_noise_steps(events_as_steps(part, all_hot=hot), all_hot=hot)
+        out.append((with_tasks(steps, spark), hot))
+    return out
+
+
 def with_tasks(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Attach task name / real id / description (30-row dimension, broadcast)."""
     dim = task_dimension(spark)

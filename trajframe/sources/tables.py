@@ -8,7 +8,7 @@ columns each reader needs are selected so the parquet scan prunes the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import TASK_TABLE
@@ -36,7 +36,7 @@ def _pick(values: list[str], idx) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
-def events_as_steps(events: DataFrame) -> DataFrame:
+def events_as_steps(events: DataFrame, hot_rows: int | None = None, all_hot: bool = False) -> DataFrame:
     """``events`` -> long step table ``v_steps`` (one row per event).
 
     Output: variation_id, task_no, fold, pos, action, observation, score,
@@ -50,9 +50,11 @@ def events_as_steps(events: DataFrame) -> DataFrame:
     grp = F.floor(F.col("variation_id") / 30).cast("int") % 5
     fold = F.when(grp.isin(1, 4), "test").when(grp == 3, "dev").otherwise("train")
     # the episode key is the (renamed) user id; windows downstream partition
-    # by it too, so the whole step pipeline shuffles once
-    w = Window.partitionBy("variation_id").orderBy("ts", "event_id")
+    # by it too, so the whole step pipeline shuffles once.  Long (hot)
+    # episodes are numbered without sorting them in one task.
+    from ..operators.skew import dense_number
     b = b.withColumn("variation_id", F.col("user_id"))
+    b = dense_number(b, ["variation_id"], ["ts", "event_id"], "pos", hot_rows, all_hot=all_hot)
     et, kk = F.col("event_type"), F.col("k")
     action = (
         F.when(et == "view", F.lit("look around"))
@@ -81,7 +83,7 @@ def events_as_steps(events: DataFrame) -> DataFrame:
         "variation_id",
         (F.col("variation_id") % N_TASKS).alias("task_no"),
         fold.alias("fold"),
-        (F.row_number().over(w) - 1).cast("int").alias("pos"),
+        "pos",
         action.alias("action"),
         observation.alias("observation"),
         ((kk - 2) / F.lit(100.0)).cast("double").alias("score"),
