@@ -89,7 +89,15 @@ def q_label_violations(spark, sf):
     return bad.groupBy("variation_id").agg(F.count(F.lit(1)).alias("violations"))
 
 
-query("label_steps_violations")(q_label_violations)
+V_ANN_SQL = """
+ann0 as (select variation_id, step * 2 + 1 as o, action, subgoal from v_f where (cast(round(score * 100) as int) + 2) % 11 <> 0
+         union all
+         select variation_id, step * 2 as o, 'wait1' as action, subgoal from v_f where (cast(round(score * 100) as int) + 2) % 13 = 0),
+v_ann as (select variation_id, cast(row_number() over (partition by variation_id order by o) - 1 as int) as step, action, subgoal from ann0)"""
+
+query("label_steps_violations", with_views("""
+select f.variation_id, count(*) as violations from v_f f left join v_ann a on a.variation_id = f.variation_id and a.step = f.step
+where a.action is null or a.action <> f.action group by 1""", V_ANN_SQL))(q_label_violations)
 
 
 def q_greedy(spark, sf):

@@ -376,12 +376,22 @@ TRUNC_SRC, TRUNC_TGT = 1024, 30
 def q_truncate(spark, sf):
     ex = compose(v_f(spark, sf), RECIPES["action_raw"])
     n_in = F.size(F.split(py_strip("input"), r"\s+"))
-    return ex.select("variation_id", "step", n_in.alias("input_tokens"), (n_in > TRUNC_SRC).alias("input_over"),
+    return ex.select("variation_id", "step", n_in.cast("long").alias("input_tokens"), (n_in > TRUNC_SRC).alias("input_over"),
                      F.length(truncate_tokens("input", TRUNC_SRC)).alias("input_chars"),
                      truncate_tokens("target", TRUNC_TGT).alias("target"))
 
 
-query("truncate_lengths", None)(q_truncate)
+def _truncate_sql():
+    from .q_compose import compose_sql
+    toks = f"regexp_split_to_array({strip_sql('input')}, '\\s+')"
+    tgt = f"regexp_split_to_array({strip_sql('target')}, '\\s+')"
+    return (f"select variation_id, step, len({toks}) as input_tokens, len({toks}) > {TRUNC_SRC} as input_over, "
+            f"length(array_to_string(list_slice({toks}, 1, {TRUNC_SRC}), ' ')) as input_chars, "
+            f"array_to_string(list_slice({tgt}, 1, {TRUNC_TGT}), ' ') as target "
+            f"from ({compose_sql(RECIPES['action_raw'])})")
+
+
+query("truncate_lengths", _truncate_sql())(q_truncate)
 
 # ============================================================== T7
 

@@ -261,7 +261,26 @@ def q_prompt_select(spark, sf):
     return candidate_prompt(v_cands(spark, sf), ctx, ["variation_id", "grp"])
 
 
-query("prompt_select_candidate")(q_prompt_select)
+
+def _select_sql():
+    from ..operators.prompts import SELECT_ASK, SELECT_INTRO, SELECT_LIST
+    from .q_core import FOCUS_CANDS_SQL
+    from .q_match import _clean_look_sql
+
+    def q(x):
+        return "'" + x.replace("'", "''") + "'"
+    goal = ("concat(chr(10), ' I want to achieve this goal: ', f.subgoal, ' but my action ', chr(39), p.action, chr(39), "
+            "' is not in the candidate list.')")
+    return with_views(f"""
+select p.variation_id, p.grp, concat_ws(chr(10), {q(SELECT_INTRO)}, {_clean_look_sql('f.freelook', False)}, f.inventory,
+    {q(SELECT_LIST)}, l.lst, {goal}, {q(SELECT_ASK)}, 'Selected action:') as prompt
+from preds p join v_f f on f.variation_id = p.variation_id and f.step = p.grp * 5
+join (select variation_id, grp, string_agg('- ' || action, chr(10) order by action) as lst
+      from (select distinct variation_id, grp, action from cands) group by 1, 2) l on l.variation_id = p.variation_id and l.grp = p.grp
+where p.rnk = 1""", FOCUS_CANDS_SQL)
+
+
+query("prompt_select_candidate", _select_sql())(q_prompt_select)
 
 query("prompt_plan")(lambda spark, sf: plan_observations(v_f_plain(spark, sf)))
 
