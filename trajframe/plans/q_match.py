@@ -377,7 +377,7 @@ def q_truncate(spark, sf):
     ex = compose(v_f(spark, sf), RECIPES["action_raw"])
     n_in = F.size(F.split(py_strip("input"), r"\s+"))
     return ex.select("variation_id", "step", n_in.cast("long").alias("input_tokens"), (n_in > TRUNC_SRC).alias("input_over"),
-                     F.length(truncate_tokens("input", TRUNC_SRC)).alias("input_chars"),
+                     F.length(truncate_tokens("input", TRUNC_SRC)).cast("long").alias("input_chars"),
                      truncate_tokens("target", TRUNC_TGT).alias("target"))
 
 
