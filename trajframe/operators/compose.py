@@ -102,9 +102,16 @@ def _features_hot(steps: DataFrame, r: Recipe, episode: Sequence[str], chunk: in
     """The same features for hot episodes (see ``skew``): bounded frames on
     chunks with halo rows; the running room and sub-goal lists from
     per-episode first-occurrence tables instead of running windows."""
+    from pyspark import StorageLevel
+
     from .skew import running_firsts, split_bounded
     from ..functions.text import look_room, observation_room
 
+    # the chunked windows read their input three times (core rows and the
+    # two halos): keep the hot part's numbered steps instead of recomputing
+    # them (MEMORY_AND_DISK; lost blocks are recomputed from the lineage)
+    steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
+
     def bounded(d, keys):
         w = W.w_ep(keys)
         d = W.with_history_state(d, keys)

@@ -106,9 +106,14 @@ def split_source(df: DataFrame, keys: Sequence[str], threshold: int | None) -> l
     """Split a *source* table once into (cold rows, False) and (hot rows,
     True) using a count of the key columns only.  Downstream pipelines run
     plain on the cold part and split-aware on the hot part and are unioned
-    at the end, so the source is read once per part (with AQE, the hot part
-    is pruned at run time when there is no hot episode)."""
+    at the end, so the source is read once per part.  Whether a hot part
+    exists is decided when the plan is built, from a scalar ``isEmpty``
+    check of the (tiny, cached) hot-key table, so the common case plans only
+    the plain pipeline."""
     if threshold is None:
         return [(df, False)]
-    hot = F.broadcast(hot_keys(df, keys, threshold))
+    keys_df = hot_keys(df, keys, threshold).cache()
+    if keys_df.isEmpty():
+        return [(df, False)]
+    hot = F.broadcast(keys_df)
     return [(df.join(hot, list(keys), "left_anti"), False), (df.join(hot, list(keys), "left_semi"), True)]
