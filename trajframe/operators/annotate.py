@@ -132,9 +132,16 @@ def align(gold: DataFrame, ann: DataFrame, keys: Sequence[str] = ("variation_id"
     """L4: edit rows ``(op, i, j)`` and ``distance`` per episode.  Episodes
     whose sequences are equal (or whose last elements alone differ) get one
     row with distance 0 and null op without entering Python."""
-    g = sequences(gold, keys, order, col, "gold")
-    a = sequences(ann, keys, order, col, "ann")
-    both = g.join(a, list(keys), "inner")
+    # both sequences from one grouping of the tagged union (one shuffle)
+    tag = gold.select(*keys, F.col(order).alias("_o"), F.col(col).alias("_v"), F.lit(0).alias("_side")).unionByName(
+        ann.select(*keys, F.col(order).alias("_o"), F.col(col).alias("_v"), F.lit(1).alias("_side")))
+
+    def seq(side):
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == side, F.struct("_o", "_v")))),
+                           lambda x: x["_v"])
+
+    both = tag.groupBy(*keys).agg(seq(0).alias("gold"), seq(1).alias("ann"))
+    both = both.where((F.size("gold") > 0) & (F.size("ann") > 0))
     same = F.slice("gold", 1, F.size("gold") - 1) == F.slice("ann", 1, F.size("ann") - 1)
     eq = both.where(same & (F.size("gold") == F.size("ann")))
     rest = both.where(~(same & (F.size("gold") == F.size("ann"))))

@@ -190,7 +190,7 @@ def _fifo_fold(keys: list[str], limit: int, start_step: int):
                     while len(objs) > limit:
                         objs.pop(0)
                 out.append(list(objs))
-            pdf = pdf.drop(columns=["_things"])
+            pdf = pdf.drop(columns=["_things", "_rn"])
             pdf["objects"] = out
             yield pdf
     return run
@@ -208,9 +208,12 @@ def with_objects(steps: DataFrame, limit: int = fixed.OBJECT_LIMIT_OFFLINE, epis
     (``mapInPandas``, Arrow batches, O(limit) state)."""
     from ..functions.text import object_mentions
     from pyspark.sql.types import ArrayType, StringType, StructField, StructType
-    df = steps.withColumn("_things", object_mentions(look))
-    df = df.repartition(*episode).sortWithinPartitions(*episode, "step")
-    schema = StructType([f for f in df.schema.fields if f.name != "_things"]
+    # a window over the episode asks for the clustering and the (episode,
+    # step) order; Spark adds a shuffle only if the input is not already
+    # partitioned by the episode (an explicit repartition always would)
+    # (``_rn`` is consumed by the fold, so the window is not pruned away)
+    df = steps.withColumn("_things", object_mentions(look)).withColumn("_rn", F.row_number().over(w_ep(episode)))
+    schema = StructType([f for f in df.schema.fields if f.name not in ("_things", "_rn")]
                         + [StructField("objects", ArrayType(StringType()))])
     return df.mapInPandas(_fifo_fold(list(episode), limit, start_step), schema)
 
