@@ -43,3 +43,21 @@ def test_registered_compose_with_forced_hot(spark):
         assert a.exceptAll(b).count() == 0
     finally:
         spark.conf.unset("trajframe.hotEpisodeRows")
+
+
+@pytest.mark.parametrize("name", ["project_step_io", "win_reward", "win_last_k", "win_next_subgoal", "win_loop_stop",
+                                  "win_stall_stop", "compose_subgoal"])
+def test_registered_queries_with_small_hot_chunks(spark, name):
+    from trajframe.plans.catalog import load_all
+    fn = load_all()[name][0]
+    spark.conf.set("trajframe.hotEpisodeRows", "off")
+    a = fn(spark, SF_SMALL)
+    try:
+        spark.conf.set("trajframe.hotEpisodeRows", "10")
+        spark.conf.set("trajframe.hotChunkRows", "6")
+        b = fn(spark, SF_SMALL)
+        assert a.count() == b.count() > 0
+        assert a.exceptAll(b).count() == 0
+    finally:
+        spark.conf.unset("trajframe.hotEpisodeRows")
+        spark.conf.unset("trajframe.hotChunkRows")

@@ -37,6 +37,12 @@ def hot_rows_setting(spark, default: int | None = DEFAULT_HOT_ROWS) -> int | Non
     return None if str(v).lower() in ("", "none", "off", "0") else int(v)
 
 
+def hot_chunk_setting(spark, default: int = DEFAULT_CHUNK) -> int:
+    """``trajframe.hotChunkRows``: rows per chunk of a hot episode."""
+    v = spark.conf.get("trajframe.hotChunkRows", None)
+    return default if v is None else int(v)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
     """Episodes with more than ``threshold`` rows (at most rows/threshold)."""
     return (df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -9,6 +9,7 @@ from .catalog import query
 from .sqlviews import (drop_phrases_sql, formalize_sql, look_room_sql, obs_room_sql,
                        sanitize_sql, trunc100_sql, with_views)
 from .views import v_f, v_f_parts
+from ..operators.skew import hot_chunk_setting
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -131,7 +132,7 @@ def _register(key: str, recipe_name: str) -> None:
         # split numbering and chunked windows (see operators.skew)
         out = None
         for steps, hot in v_f_parts(spark, sf):
-            part = compose(steps, r, all_hot=hot)
+            part = compose(steps, r, all_hot=hot, chunk=hot_chunk_setting(spark))
             out = part if out is None else out.unionByName(part)
         return out
 

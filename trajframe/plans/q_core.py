@@ -21,7 +21,7 @@ from ..sources.tables import task_dimension
 from .catalog import query
 from .q_compose import HIST_STATE, ROOMS_CTE, SG_CTE, hist_cte
 from .sqlviews import formalize_sql, strip_sql, trunc100_sql, with_views, with_views_rec
-from .views import v_cands, v_eps, v_f, v_f_plain, v_pairs, v_steps, with_tasks
+from .views import over_parts, v_cands, v_eps, v_f, v_f_plain, v_pairs, v_steps, with_tasks
 
 EP = ["task_no", "variation_id"]
 
@@ -78,7 +78,7 @@ query("project_step_io", with_views(
     "select variation_id, step, action, prev_action, prev_observation, inventory from ("
     "select *, lag(action) over w as prev_action, lag(observation) over w as prev_observation from v_f "
     "window w as (partition by variation_id order by step)) where step >= 1"))(
-    lambda spark, sf: W.step_io(v_f_plain(spark, sf)).select(
+    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.step_io(d, k), 1, 0).select(
         "variation_id", "step", "action", "prev_action", "prev_observation", "inventory"))
 
 
@@ -174,16 +174,17 @@ query("win_history", with_views(
     HIST_STATE))(q_win_history)
 
 query("win_reward", with_views(f"select variation_id, step, round(reward, 6) as reward, {trunc100_sql('reward')} as reward_pct from h2", HIST_STATE))(
-    lambda spark, sf: _hist(spark, sf).select("variation_id", "step", F.round("reward", 6).alias("reward"),
-                                             W.trunc100(F.col("reward")).alias("reward_pct")))
+    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.with_history_state(d, k), 1, 0).select(
+        "variation_id", "step", F.round("reward", 6).alias("reward"), W.trunc100(F.col("reward")).alias("reward_pct")))
 
 query("win_last_k", with_views("select h2.variation_id, h2.step, hist.history from h2 join hist using (variation_id, step) where h2.step >= 1",
                                HIST_STATE, hist_cte(10, False)))(
-    lambda spark, sf: W.add_history(_hist(spark, sf), 10, False)
+    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.add_history(W.with_history_state(d, k), 10, False, k), 11, 0)
     .where(F.col("step") >= 1).select("variation_id", "step", "history"))
 
 query("win_next_subgoal", with_views("select variation_id, step, next_subgoal from h2", HIST_STATE))(
-    lambda spark, sf: W.with_next_subgoal(v_f_plain(spark, sf)).select("variation_id", "step", "next_subgoal"))
+    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.with_next_subgoal(d, k), 0, 1).select(
+        "variation_id", "step", "next_subgoal"))
 
 query("win_subgoal_runs", with_views("select variation_id, step, n_sg, sg_all as subgoals from sgrun", HIST_STATE, SG_CTE))(
     lambda spark, sf: W.with_subgoal_runs(v_f_plain(spark, sf)).select(
@@ -191,7 +192,8 @@ query("win_subgoal_runs", with_views("select variation_id, step, n_sg, sg_all as
 
 query("win_returns_to_go", with_views(
     "select variation_id, step, round(1.0 - lag(score) over (partition by variation_id order by step), 2) as returns_to_go from v_f"))(
-    lambda spark, sf: W.with_history_state(v_f_plain(spark, sf)).select("variation_id", "step", "returns_to_go"))
+    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.with_history_state(d, k), 1, 0).select(
+        "variation_id", "step", "returns_to_go"))
 
 query("win_visited_rooms", with_views(
     "select h2.variation_id, h2.step, pl.places from h2 left join places pl using (variation_id, step) where h2.step >= 1",
@@ -236,6 +238,14 @@ def _stop_summary(df, stop="stop_step"):
     return df.groupBy("variation_id").agg(F.max(stop).alias(stop), F.count(F.lit(1)).alias("kept"))
 
 
+def _flag_summary(flags):
+    """First firing step and kept rows per episode from per-row flags, as
+    partial aggregates (steps are dense 0..n-1, so kept = stop + 1)."""
+    g = flags.groupBy("variation_id").agg(F.min(F.when(F.col("_f"), F.col("step"))).alias("stop_step"),
+                                          F.count(F.lit(1)).alias("_n"))
+    return g.select("variation_id", "stop_step", F.coalesce(F.col("stop_step") + 1, F.col("_n")).cast("long").alias("kept"))
+
+
 LOOP_K = 5
 query("win_loop_stop", with_views(f"""
 select variation_id, min(case when fired then step end) as stop_step,
@@ -245,7 +255,8 @@ select variation_id, min(case when fired then step end) as stop_step,
              then list_prepend('look around', l) else l end)) = 2 as fired
     from (select variation_id, step, list(action) over (partition by variation_id order by step rows between {LOOP_K - 1} preceding and current row) as l from v_f)))
 group by variation_id"""))(
-    lambda spark, sf: _stop_summary(W.loop_stop(v_f_plain(spark, sf), LOOP_K)))
+    lambda spark, sf: _flag_summary(over_parts(spark, sf, lambda d, k: d.withColumn("_f", W.loop_flag(LOOP_K, "action", k)),
+                                               LOOP_K - 1, 0)))
 
 LOOP_WORD_K = 10
 query("win_loop_stop_words", with_views(f"""
@@ -256,7 +267,9 @@ select variation_id, min(case when fired then step end) as stop_step,
              then list_prepend('look around', l) else l end)) = 2 as fired
     from (select variation_id, step, list(split_part(action, ' ', 1)) over (partition by variation_id order by step rows between {LOOP_WORD_K - 1} preceding and current row) as l from v_f)))
 group by variation_id"""))(
-    lambda spark, sf: _stop_summary(W.loop_stop(v_f_plain(spark, sf), LOOP_WORD_K, F.split("action", " ").getItem(0))))
+    lambda spark, sf: _flag_summary(over_parts(
+        spark, sf, lambda d, k: d.withColumn("_f", W.loop_flag(LOOP_WORD_K, F.split("action", " ").getItem(0), k)),
+        LOOP_WORD_K - 1, 0)))
 
 STALL_K = 2
 query("win_stall_stop", with_views(f"""
@@ -266,7 +279,8 @@ select variation_id, min(case when fired then step end) as stop_step,
     select variation_id, step, step + 2 > {STALL_K} and min(score) over w = max(score) over w as fired
     from v_f window w as (partition by variation_id order by step rows between {STALL_K - 1} preceding and current row)))
 group by variation_id"""))(
-    lambda spark, sf: _stop_summary(W.stall_stop(v_f_plain(spark, sf), STALL_K)))
+    lambda spark, sf: _flag_summary(over_parts(spark, sf, lambda d, k: d.withColumn("_f", W.stall_flag(STALL_K, "score", k)),
+                                               STALL_K - 1, 0)))
 
 query("win_negative_stop", with_views("""
 select variation_id, min(neg) as neg_step, max(case when step = n then prev end) as final_no_stop,

@@ -82,3 +82,16 @@ def v_vecs(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", "embedding",
         (F.col("vec_id") % 50 < 5).alias("is_pred"),
     )
+
+
+def over_parts(spark: SparkSession, sf: str, op, before: int, after: int, episode=("task_no", "variation_id")) -> DataFrame:
+    """Run a bounded-frame window operator ``op(steps, episode_keys)`` over
+    ``v_f``: directly on the cold part, on chunks with halo rows for the
+    hot part (``skew.split_bounded``), unioned."""
+    from ..operators.skew import hot_chunk_setting, split_bounded
+    chunk = hot_chunk_setting(spark)
+    out = None
+    for steps, hot in v_f_parts(spark, sf):
+        d = split_bounded(steps, list(episode), "step", before, after, op, chunk) if hot else op(steps, list(episode))
+        out = d if out is None else out.unionByName(d)
+    return out
