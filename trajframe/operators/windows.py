@@ -332,7 +332,7 @@ def finals(steps: DataFrame, limit: int = 100, loop_k: int | None = fixed.LOOP_W
 
 # --- W14: sub-goal segment markers ----------------------------------------------------
 
-def insert_markers(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
+def insert_markers(steps: DataFrame, episode: Sequence[str] = EPISODE, block: int | None = None) -> DataFrame:
     """After a step whose successor has a different sub-goal, insert an
     ``end subgoal`` / ``the current subgoal is done.`` row copying score,
     look, inventory and sub-goal; ``step`` is renumbered.  The new number is
@@ -342,7 +342,30 @@ def insert_markers(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFr
     nxt = F.lead("subgoal").over(w)
     changed = (nxt.isNotNull() & (nxt != F.col("subgoal"))).cast("int")
     df = steps.withColumn("_chg", changed)
-    df = df.withColumn("_before", F.coalesce(F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if block is None:
+        df = df.withColumn("_before", F.coalesce(F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        # hot episodes: two-level running count over blocks of ``block`` steps
+        df = blocked_running_sum(df, list(episode), ["step"], {"_incl": F.col("_chg").cast("long")},
+                                 F.floor(F.col("step") / block))
+        df = df.withColumn("_before", (F.col("_incl") - F.col("_chg")).cast("int")).drop("_incl")
+    base = df.withColumn("is_marker", F.lit(False)).withColumn("step", (F.col("step") + F.col("_before")).cast("int"))
+    marks = (df.where(F.col("_chg") == 1)
+             .withColumn("action", F.lit(fixed.MARKER_ACTION))
+             .withColumn("observation", F.lit(fixed.MARKER_OBSERVATION))
+             .withColumn("is_marker", F.lit(True))
+             .withColumn("step", (F.col("step") + F.col("_before") + 1).cast("int")))
+    return base.unionByName(marks).drop("_chg", "_before")
+
+
+def insert_markers_from_flags(steps: DataFrame, block: int, episode: Sequence[str] = EPISODE) -> DataFrame:
+    """W14 for hot episodes: ``_nxt`` (next sub-goal) was computed on chunks;
+    marker offsets come from a two-level running count (no episode-wide
+    window)."""
+    chg = (F.col("_nxt").isNotNull() & (F.col("_nxt") != F.col("subgoal"))).cast("int")
+    df = steps.withColumn("_chg", chg).drop("_nxt")
+    df = blocked_running_sum(df, list(episode), ["step"], {"_incl": F.col("_chg").cast("long")}, F.floor(F.col("step") / block))
+    df = df.withColumn("_before", (F.col("_incl") - F.col("_chg")).cast("int")).drop("_incl")
     base = df.withColumn("is_marker", F.lit(False)).withColumn("step", (F.col("step") + F.col("_before")).cast("int"))
     marks = (df.where(F.col("_chg") == 1)
              .withColumn("action", F.lit(fixed.MARKER_ACTION))

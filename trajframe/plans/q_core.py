@@ -282,18 +282,25 @@ group by variation_id"""))(
     lambda spark, sf: _flag_summary(over_parts(spark, sf, lambda d, k: d.withColumn("_f", W.stall_flag(STALL_K, "score", k)),
                                                STALL_K - 1, 0)))
 
+def q_negative_stop(spark, sf):
+    """W11 with a bounded lag and partial aggregates: first negative step,
+    final score 0 (stop) or the previous score (no_stop), kept rows."""
+    f = over_parts(spark, sf, lambda d, k: d.withColumn("_prev", F.coalesce(F.lag("score").over(W.w_ep(k)), F.lit(0.0))), 1, 0)
+    neg = F.when(F.col("score") < 0, F.col("step"))
+    g = f.groupBy("variation_id").agg(F.min(neg).alias("neg_step"), F.min_by("_prev", neg).alias("_p"),
+                                      F.count(F.lit(1)).alias("_n"))
+    return g.select("variation_id", "neg_step", F.when(F.col("neg_step").isNotNull(), F.lit(0.0)).alias("final_stop"),
+                    F.coalesce(F.col("neg_step") + 1, F.col("_n")).cast("long").alias("kept"),
+                    F.when(F.col("neg_step").isNotNull(), F.col("_p")).alias("final_no_stop"))
+
+
 query("win_negative_stop", with_views("""
 select variation_id, min(neg) as neg_step, max(case when step = n then prev end) as final_no_stop,
        max(case when step = n then 0.0::double end) as final_stop, count(*) filter (where step <= coalesce(n, 1 << 30)) as kept from (
   select *, min(neg) over (partition by variation_id) as n from (
     select variation_id, step, case when score < 0 then step end as neg,
            coalesce(lag(score) over (partition by variation_id order by step), 0.0) as prev from v_f))
-group by variation_id"""))(
-    lambda spark, sf: (lambda a, b: a.join(b, "variation_id"))(
-        W.negative_stop(v_f_plain(spark, sf), no_stop=False).groupBy("variation_id").agg(
-            F.max("neg_step").alias("neg_step"), F.max("neg_final").alias("final_stop"), F.count(F.lit(1)).alias("kept")),
-        W.negative_stop(v_f_plain(spark, sf), no_stop=True).groupBy("variation_id").agg(
-            F.max("neg_final").alias("final_no_stop"))))
+group by variation_id"""))(q_negative_stop)
 
 STEP_LIMIT = 20
 query("win_step_cap", with_views(f"select variation_id, step from v_f where step < 2 * {STEP_LIMIT}"))(
@@ -306,6 +313,30 @@ select task_no, variation_id, fold from (
   from (select distinct task_no, variation_id, fold from v_f)) where c < {TEST_CAP}"""))(
     lambda spark, sf: T.cap_test_episodes(v_eps(spark, sf), TEST_CAP))
 
+def q_markers(spark, sf):
+    """W14; hot episodes: lead on chunks with a halo row, marker offsets by a
+    two-level running count."""
+    from ..operators.skew import hot_chunk_setting
+    from .views import v_f_parts
+    out = None
+    for steps, hot in v_f_parts(spark, sf):
+        if hot:
+            chunk = hot_chunk_setting(spark)
+            flags = split_bounded_lead(steps, chunk)
+            part = W.insert_markers_from_flags(flags, chunk)
+        else:
+            part = W.insert_markers(steps)
+        part = part.select("variation_id", "step", "action", "subgoal", "is_marker")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def split_bounded_lead(steps, chunk):
+    from ..operators.skew import split_bounded
+    return split_bounded(steps, ["task_no", "variation_id"], "step", 0, 1,
+                         lambda d, k: d.withColumn("_nxt", F.lead("subgoal").over(W.w_ep(k))), chunk)
+
+
 query("win_segment_markers", with_views("""
 select variation_id, cast(step + before as int) as step, action, subgoal, false as is_marker from m
 union all
@@ -314,7 +345,7 @@ select variation_id, cast(step + before + 1 as int) as step, 'end subgoal' as ac
 m0 as (select *, case when lead(subgoal) over w is not null and lead(subgoal) over w <> subgoal then 1 else 0 end as chg
        from v_f window w as (partition by variation_id order by step)),
 m as (select *, coalesce(sum(chg) over (partition by variation_id order by step rows between unbounded preceding and 1 preceding), 0) as before from m0)"""))(
-    lambda spark, sf: W.insert_markers(v_f_plain(spark, sf)).select("variation_id", "step", "action", "subgoal", "is_marker"))
+    q_markers)
 
 PAIRS_SQL = """
 pairs as (select task_no, variation_id, step, action as prediction, lead(action) over (partition by variation_id order by step) as target
