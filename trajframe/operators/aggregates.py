@@ -85,24 +85,24 @@ def corpus_bleu(pairs: DataFrame, pred: str = "prediction", target: str = "targe
                         F.split(py_strip(F.col(pred)), r"\s+").alias("_h"),
                         F.split(py_strip(F.col(target)), r"\s+").alias("_r"))
     toks = toks.withColumn("_h", F.filter("_h", lambda x: x != "")).withColumn("_r", F.filter("_r", lambda x: x != ""))
-    rows = []
-    for n in range(1, 5):
-        h = toks.select(*keys, "_rid", F.lit(n).alias("n"), F.explode(_ngrams(F.col("_h"), n)).alias("g"), F.lit(1).alias("hc"), F.lit(0).alias("rc"))
-        r = toks.select(*keys, "_rid", F.lit(n).alias("n"), F.explode(_ngrams(F.col("_r"), n)).alias("g"), F.lit(0).alias("hc"), F.lit(1).alias("rc"))
-        rows += [h, r]
-    allg = rows[0]
-    for x in rows[1:]:
-        allg = allg.unionByName(x)
+
+    # all n-grams of both sides from one projection and one explode
+    def tagged(n, hc, rc):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(hc).alias("hc"), F.lit(rc).alias("rc"))
+
+    parts = [F.transform(_ngrams(F.col(side), n), tagged(n, hc, rc))
+             for n in range(1, 5) for side, hc, rc in (("_h", 1, 0), ("_r", 0, 1))]
+    # n = 0 carries the row's token counts, so the lengths need no second pass
+    parts.append(F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.size("_h").alias("hc"),
+                                  F.size("_r").alias("rc"))))
+    allg = toks.select(*keys, "_rid", F.explode(F.concat(*parts)).alias("_x")).select(*keys, "_rid", "_x.*")
     per = allg.groupBy(*keys, "_rid", "n", "g").agg(F.sum("hc").alias("hc"), F.sum("rc").alias("rc"))
     stats = per.groupBy(*keys).agg(*[
         F.sum(F.when(F.col("n") == n, F.least("hc", "rc")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)
-    ], *[F.sum(F.when(F.col("n") == n, F.col("hc")).otherwise(0)).alias(f"t{n}") for n in range(1, 5)])
-    lens = toks.groupBy(*keys).agg(F.sum(F.size("_h")).alias("hyp_len"), F.sum(F.size("_r")).alias("ref_len"))
-    if not keys:  # two one-row tables: join on a constant key
-        stats, lens, keys = stats.withColumn("_one", F.lit(1)), lens.withColumn("_one", F.lit(1)), ["_one"]
-    s = stats.join(lens, list(keys), "inner")
-    keys = [k for k in keys if k != "_one"]
-    return s.select(*keys, bleu_expr().alias("bleu"), "hyp_len", "ref_len")
+    ], *[F.sum(F.when(F.col("n") == n, F.col("hc")).otherwise(0)).alias(f"t{n}") for n in range(1, 5)],
+        F.sum(F.when(F.col("n") == 0, F.col("hc")).otherwise(0)).alias("hyp_len"),
+        F.sum(F.when(F.col("n") == 0, F.col("rc")).otherwise(0)).alias("ref_len"))
+    return stats.select(*keys, bleu_expr().alias("bleu"), "hyp_len", "ref_len")
 
 
 def bleu_expr() -> F.Column:
