@@ -367,7 +367,8 @@ select variation_id, step, a2 as action, o2 as observation from (
     from v_f window w as (partition by variation_id order by step)))
 where not (starts_with(action, 'examine') or (starts_with(a2, 'open door') and score < 0)
            or ((coalesce(n1 = a2, false) or coalesce(n2 = a2, false)) and score >= 0))"""))(
-    lambda spark, sf: W.clean_history(v_f_plain(spark, sf)).select("variation_id", "step", "action", "observation"))
+    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.clean_history(d, k), 0, 2).select(
+        "variation_id", "step", "action", "observation"))
 
 query("win_repeat_collapse", with_views("""
 select variation_id, step, action, cast(step - coalesce(lag(step) over w, first - 1) - 1 as int) as repeats,
