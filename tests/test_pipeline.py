@@ -52,3 +52,13 @@ def test_splits_disjoint(spark):
     f = v_f(spark, SF_SMALL)
     per = f.groupBy("variation_id").agg(F.countDistinct("fold").alias("n"))
     assert per.where("n > 1").count() == 0
+
+
+def test_stream_running_score_equals_batch_means(spark):
+    from trajframe.operators import aggregates as A
+    from trajframe.plans.q_core import LOOP_K, STEP_LIMIT
+    got = q_misc.q_stream_scores(spark, SF_SMALL)
+    fin = W.finals(v_f_plain(spark, SF_SMALL), limit=STEP_LIMIT, loop_k=LOOP_K)
+    want = A.mean_scores(fin).select("task_no", F.round("mean_score", 6).alias("mean_score"), "episodes")
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
