@@ -47,7 +47,7 @@ def test_registered_compose_with_forced_hot(spark):
 
 @pytest.mark.parametrize("name", ["project_step_io", "win_reward", "win_last_k", "win_next_subgoal", "win_loop_stop",
                                   "win_stall_stop", "compose_subgoal", "win_negative_stop", "win_segment_markers",
-                                  "win_clean_history"])
+                                  "win_clean_history", "win_repeat_collapse"])
 def test_registered_queries_with_small_hot_chunks(spark, name):
     from trajframe.plans.catalog import load_all
     fn = load_all()[name][0]

@@ -468,3 +468,33 @@ def collapse_moves(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFr
     s = s.withColumn("_nxt", F.lead("observation").over(w))
     both = F.col("observation").contains("move to the") & F.coalesce(F.col("_nxt").contains("move to the"), F.lit(False))
     return s.where(~both).drop("_nxt")
+
+
+def collapse_repeats_hot(steps: DataFrame, before: int = 5, after: int = 4, episode: Sequence[str] = EPISODE,
+                         line: str = "Repeat the above action for {} times.", chunk: int = 100_000) -> DataFrame:
+    """W17 for hot episodes, without an episode-wide window: the dropped
+    flag has bounded frames (chunks with halo rows); a run of dropped rows is
+    keyed by the running count of kept rows before it (two-level running
+    sum), counted with a ``groupBy`` and joined to the kept row that follows
+    it (whose running kept count is one more)."""
+    from .skew import split_bounded
+
+    def flag(d, keys):
+        w = w_ep(keys)
+        prev = F.collect_list("action").over(w.rowsBetween(-before, -1))
+        nxt = F.collect_list("action").over(w.rowsBetween(1, after))
+        dropped = (F.lead("step").over(w).isNotNull() & F.array_contains(prev, F.col("action"))
+                   & F.array_contains(nxt, F.col("action")))
+        return d.withColumn("_d", dropped.cast("int"))
+
+    f = split_bounded(steps, list(episode), "step", before, after, flag, chunk)
+    f = blocked_running_sum(f, list(episode), ["step"], {"_k": (1 - F.col("_d")).cast("long")},
+                            F.floor(F.col("step") / chunk))
+    runs = f.where(F.col("_d") == 1).groupBy(*episode, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    kept = f.where(F.col("_d") == 0).withColumn("_k", F.col("_k") - 1)
+    j = kept.join(runs, [*episode, "_k"], "left")
+    pre, post = line.split("{}")
+    return (j.withColumn("repeats", F.coalesce(F.col("_n"), F.lit(0)).cast("int"))
+            .withColumn("repeat_line", F.when(F.col("repeats") > 0,
+                                              F.concat(F.lit(pre), F.col("repeats").cast("string"), F.lit(post))))
+            .drop("_d", "_k", "_n"))

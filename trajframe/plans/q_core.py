@@ -370,6 +370,18 @@ where not (starts_with(action, 'examine') or (starts_with(a2, 'open door') and s
     lambda spark, sf: over_parts(spark, sf, lambda d, k: W.clean_history(d, k), 0, 2).select(
         "variation_id", "step", "action", "observation"))
 
+def q_repeat_collapse(spark, sf):
+    from ..operators.skew import hot_chunk_setting
+    from .views import v_f_parts
+    out = None
+    for steps, hot in v_f_parts(spark, sf):
+        part = (W.collapse_repeats_hot(steps, 5, 4, chunk=hot_chunk_setting(spark)) if hot
+                else W.collapse_repeats(steps, 5, 4))
+        part = part.select("variation_id", "step", "action", "repeats", "repeat_line")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 query("win_repeat_collapse", with_views("""
 select variation_id, step, action, cast(step - coalesce(lag(step) over w, first - 1) - 1 as int) as repeats,
        case when step - coalesce(lag(step) over w, first - 1) - 1 > 0
@@ -382,7 +394,7 @@ from (select *, min(step) over (partition by variation_id) as first from (
                         n as (partition by variation_id order by step rows between 1 following and 4 following))
       where not dropped)
 window w as (partition by variation_id order by step)"""))(
-    lambda spark, sf: W.collapse_repeats(v_f_plain(spark, sf), 5, 4).select("variation_id", "step", "action", "repeats", "repeat_line"))
+    q_repeat_collapse)
 
 query("win_move_collapse", with_views("""
 select variation_id, step, observation from (
