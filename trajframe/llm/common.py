@@ -148,3 +148,52 @@ def blocks(rows: DataFrame, key: str, id_col: str, size: int) -> DataFrame:
             .withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o"))
             .withColumn("side", (F.col("_b") != F.col("bi")).cast("int"))
             .drop("_n", "_k", "_b", "_o"))
+
+
+def whole_groups(batches, keys: list[str]):
+    """From Arrow batches sorted by ``keys``: tables that hold whole groups only.
+    What is carried over is the last, unfinished group."""
+    import pyarrow as pa
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+        n = table.num_rows
+        if not n:
+            continue
+        same = np.ones(n, bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            same &= values == values[-1]
+        first = n - int(same[::-1].argmin()) if not same.all() else 0
+        if first:
+            yield table.slice(0, first)
+        rest = table.slice(first)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def pairs_in_groups(starts: np.ndarray):
+    """For rows sorted into groups (``starts[i]``: the row opens a group): yields
+    ``(i, j)`` index arrays that together hold every two rows of a group."""
+    n = len(starts)
+    group = np.cumsum(starts)
+    last = np.r_[np.flatnonzero(starts)[1:], n][group - 1] - 1        # last row of each row's group
+    i = np.flatnonzero(last > np.arange(n))
+    step = 1
+    while len(i):
+        yield i, i + step
+        step += 1
+        i = i[i + step <= last[i]]
+
+
+def vectors_of(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as doubles, short rows filled with zeros, and which rows
+    hold a vector without null or non-finite components."""
+    out, good = np.zeros((len(column), width)), np.zeros(len(column), bool)
+    for r, v in enumerate(column.to_pylist()):
+        if v is not None and None not in v:
+            x = np.asarray(v, np.float64)
+            if np.isfinite(x).all():
+                out[r, :len(x)], good[r] = x, True
+    return out, good

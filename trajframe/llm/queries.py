@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_minhash, packing, substring, toxicity
+from . import mixing, near_lattice, near_minhash, packing, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op2_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_cost_packing": (op1_cost_packing, None),
+    "op2_lattice_near_vectors": (op2_lattice_near_vectors, near_lattice.SQL),
     "op5_minhash_near_duplicates": (op5_minhash_near_duplicates, None),
     "op6_toxicity": (op6_toxicity, None),
     "op9_substring_dedup": (op9_substring_dedup, substring.SQL),
