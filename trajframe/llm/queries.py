@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_lattice, near_minhash, packing, substring, toxicity
+from . import inner_product, main_text, mixing, near_lattice, near_minhash, packing, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
 
+def op8_norm_sorted_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text", "spans")
 
@@ -38,8 +46,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_cost_packing": (op1_cost_packing, None),
     "op2_lattice_near_vectors": (op2_lattice_near_vectors, near_lattice.SQL),
+    "op4_main_text": (op4_main_text, None),
     "op5_minhash_near_duplicates": (op5_minhash_near_duplicates, None),
     "op6_toxicity": (op6_toxicity, None),
+    "op8_norm_sorted_top_products": (op8_norm_sorted_top_products, inner_product.SQL),
     "op9_substring_dedup": (op9_substring_dedup, substring.SQL),
     "op10_source_mixing": (op10_source_mixing, mixing.SQL),
 }
