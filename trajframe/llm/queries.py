@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inner_product, main_text, mixing, near_lattice, near_minhash, packing, substring, toxicity
+from . import inner_product, main_text, mixing, near_lattice, near_minhash, packing, substring, toxicity, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.temporal_filter(url_lists.captures_of(pages), url_lists.entries_of(pages))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -46,6 +51,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_cost_packing": (op1_cost_packing, None),
     "op2_lattice_near_vectors": (op2_lattice_near_vectors, near_lattice.SQL),
+    "op3_temporal_url_lists": (op3_temporal_url_lists, url_lists.SQL),
     "op4_main_text": (op4_main_text, None),
     "op5_minhash_near_duplicates": (op5_minhash_near_duplicates, None),
     "op6_toxicity": (op6_toxicity, None),
