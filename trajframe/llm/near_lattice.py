@@ -127,6 +127,7 @@ def _cells(width: int):
 def _candidates(batches):
     for table in whole_groups(batches, ["key", "bi", "bj"]):
         key, bi, bj, ids, side, home, s0, s1 = (table.column(c).to_numpy() for c in ("key", "bi", "bj", "vec_id", "side", "home", "s0", "s1"))
+        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
         new = np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
         a, b = [], []
         for i, j in pairs_in_groups(new):
