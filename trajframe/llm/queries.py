@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inner_product, main_text, mixing, near_lattice, near_minhash, packing, substring, toxicity, url_lists
+from . import inner_product, main_text, mixing, near_lattice, near_minhash, packing, substring, tool_calls, toxicity, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
 
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.messages_of(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_tool_calls(calls, results, tool_calls.tools_of(spark))
+
+
 def op8_norm_sorted_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_product.top_products(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_main_text": (op4_main_text, None),
     "op5_minhash_near_duplicates": (op5_minhash_near_duplicates, None),
     "op6_toxicity": (op6_toxicity, None),
+    "op7_tool_call_linking": (op7_tool_call_linking, tool_calls.SQL),
     "op8_norm_sorted_top_products": (op8_norm_sorted_top_products, inner_product.SQL),
     "op9_substring_dedup": (op9_substring_dedup, substring.SQL),
     "op10_source_mixing": (op10_source_mixing, mixing.SQL),
