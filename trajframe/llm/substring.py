@@ -8,8 +8,8 @@ Only edges that occur in two different texts matter, so
 2. every edge is filed under its minimizer, the least hash of its runs of
    ``PART`` words; minimizers of a single text (most of them) go, found by a
    partial aggregate, and with them all edges that cannot repeat;
-3. the edges left are counted by a 128-bit hash with the smallest document they
-   start in and the least and greatest edge before and after;
+3. the edges left are counted by a 96-bit hash, with the smallest document they
+   start in and whether the edges before and after are always the same;
 4. joined back to their source coordinates ``(document, start)``, edges that
    follow each other without a branch compact into one path span, and what the
    spans of a document cover is checked and cut from its words.
@@ -20,7 +20,8 @@ judged on the input.
 
 Defined cases: a null text has no words; fewer than ``WINDOW`` words are never
 cut; rows with a null ``doc_id`` keep everything and are no source; rows that
-repeat a ``doc_id`` are one document (neither is smaller)."""
+repeat a ``doc_id`` are one document (neither is smaller), of different texts under
+one id the one with the least hash takes part and the others keep everything."""
 
 from __future__ import annotations
 
@@ -66,21 +67,27 @@ def _features(batches):
             ["doc_id", "n_words", "sig", "sha", "least"])
 
 
+def _of_class(batches):
+    """Rows whose text is of the class that takes part under their id."""
+    for batch in batches:
+        same = [xxhash.xxh3_128_digest(b" ".join(text_bytes(t).split())) == s for t, s in zip(batch.column("text").to_pylist(), batch.column("sig").to_pylist())]
+        yield batch.filter(pa.array(same, pa.bool_())).select(["doc_id", "text", "sig", "wanted"])
+
+
 def _edges(batches):
+    low = lambda x, bits: (x & np.uint64((1 << bits) - 1))
     for batch in batches:
-        out = [[] for _ in range(7)]
-        for doc, c, sig, text, wanted in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "c", "sig", "text", "wanted"))):
-            words = text_bytes(text).split()
-            if xxhash.xxh3_128_digest(b" ".join(words)) != sig:      # another text under the same id
-                continue
-            hashes = HASHES.of(words)
+        out = [[] for _ in range(5)]
+        for doc, text, wanted in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "wanted"))):
+            hashes = HASHES.of(text_bytes(text).split())
             at = np.flatnonzero(np.isin(minimizers(hashes).view(np.int64), np.array(wanted, np.int64)))
-            one, two = windows(hashes, WINDOW).view(np.int64), windows(hashes, WINDOW, 20).view(np.int64)
-            around = np.concatenate([[0], one, [0]])
-            for column, values in zip(out, (one[at], two[at], np.full(len(at), doc), np.full(len(at), c), at, around[at], around[at + 2])):
+            one, two = windows(hashes, WINDOW), windows(hashes, WINDOW, 20)
+            around = np.r_[np.uint64(0), low(one, 16), np.uint64(0)]
+            for column, values in zip(out, (one[at].view(np.int64), low(two[at], 32).astype(np.uint32).view(np.int32), np.full(len(at), doc),
+                                            at, (around[at] << np.uint64(16) | around[at + 2]).astype(np.uint32).view(np.int32))):
                 column.append(values)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in out],
-                                         ["one", "two", "doc_id", "c", "start", "before", "after"])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], k) for x, k in zip(out, kinds)], ["one", "two", "doc_id", "start", "around"])
 
 
 def path_spans(start: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
@@ -96,12 +103,8 @@ def path_spans(start: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[t
 def _cuts(batches):
     for batch in batches:
         removed, sha, rest, spans = [], [], [], []
-        ids, sigs = [], []
-        for doc, sig, text, edges in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "sig", "text", "edges"))):
+        for text, edges in zip(batch.column("text").to_pylist(), batch.column("edges").to_pylist()):
             words = text_bytes(text).split()
-            if xxhash.xxh3_128_digest(b" ".join(words)) != sig:
-                continue
-            ids.append(doc), sigs.append(sig)
             rows = np.unique(np.array([(e["start"], e["first"], e["last"]) for e in edges], np.int64), axis=0)
             found = path_spans(rows[:, 0], rows[:, 1] > 0, rows[:, 2] > 0)
             keep = np.ones(len(words), bool)
@@ -112,7 +115,7 @@ def _cuts(batches):
             rest.append(kept.decode("utf-8", "surrogatepass")), spans.append([{"start": a, "end": b} for a, b in found])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(rest, pa.string()), pa.array(spans, kind)],
+            [batch.column("doc_id"), batch.column("sig"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(rest, pa.string()), pa.array(spans, kind)],
             ["doc_id", "sig", "n_removed", "kept_sha", "kept_text", "spans"])
 
 
@@ -122,27 +125,28 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_words long, sig binary, sha string, least array<long>"
     features = cut(docs.mapInArrow(_features, schema), "features")
-    base = features.select("doc_id", "n_words", "sig", "sha")
-    class_of = F.xxhash64("sig")
+    base = cut(features.select("doc_id", "n_words", "sig", "sha"), "base")
 
+    class_of = F.xxhash64("sig")
+    classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    chosen = classes.where("rep is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.min("sig").alias("sig")).withColumn("c", class_of)
     least = features.where("doc_id is not null and sig is not null").select(class_of.alias("c"), F.explode("least").alias("h"))
     repeated = least.groupBy("h").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a < _b").select("h")
-    classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    wanted = (least.join(repeated, "h").distinct().groupBy("c").agg(F.collect_list("h").alias("wanted"))
-              .join(classes.where("rep is not null").withColumn("c", class_of), "c").select("sig", "c", F.col("rep").alias("doc_id"), "wanted"))
-    texts = cut(docs.join(wanted, "doc_id"), "texts")
-
-    edges = cut(texts.mapInArrow(_edges, "one long, two long, doc_id long, c long, start long, before long, after long"), "edges")
-    counted = edges.groupBy("one", "two").agg(
-        F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.min("before").alias("_b0"), F.max("before").alias("_b1"),
-        F.min("after").alias("_a0"), F.max("after").alias("_a1")).where("_lo < _hi")
-    spans = (edges.join(counted, ["one", "two"]).where("doc_id > _lo")
-             .groupBy("doc_id", "c").agg(F.collect_list(F.struct(
-                 F.col("start").cast("int").alias("start"), (F.col("_b0") < F.col("_b1")).cast("int").alias("first"),
-                 (F.col("_a0") < F.col("_a1")).cast("int").alias("last"))).alias("edges")))
+    wanted = cut(least.join(repeated, "h").groupBy("c").agg(F.collect_set("h").alias("wanted")).join(chosen, "c").select("sig", "doc_id", "wanted"), "wanted")
+    discard(features)
+    texts = cut(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"])
+                .mapInArrow(_of_class, "doc_id long, text string, sig binary, wanted array<long>"), "texts")
+    discard(wanted)
+
+    edges = cut(texts.mapInArrow(_edges, "one long, two int, doc_id long, start int, around int"), "edges")
+    counted = cut(edges.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("_hi"), F.bit_and("around").alias("_and"), F.bit_or("around").alias("_or"))
+                  .where("lo < _hi").select("one", "two", "lo", F.col("_and").bitwiseXOR(F.col("_or")).alias("differ")), "counted")
+    edge = F.struct("start", (F.shiftrightunsigned("differ", 16) != 0).cast("int").alias("first"), (F.col("differ").bitwiseAND(65535) != 0).cast("int").alias("last"))
+    spans = cut(edges.join(counted, ["one", "two"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(edge).alias("edges")), "spans")
+    discard(edges, counted)
     kind = "doc_id long, sig binary, n_removed long, kept_sha string, kept_text string, spans array<struct<start:int,end:int>>"
-    cuts = cut(texts.join(spans, ["doc_id", "c"]).mapInArrow(_cuts, kind).dropDuplicates(["doc_id", "sig"]), "cuts")
-    discard(texts, edges)
+    cuts = cut(texts.join(spans, "doc_id").mapInArrow(_cuts, kind), "cuts").dropDuplicates(["doc_id", "sig"])
+    discard(texts, spans)
 
     rows = base.join(classes, "sig", "left").join(cuts, ["doc_id", "sig"], "left")
     copy = F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False))
