@@ -135,7 +135,7 @@ def top_products(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFram
         gram[at] = x
     rotate = spark.sparkContext.broadcast(np.linalg.eigh(gram.reshape(width, width))[1][:, ::-1].copy())
     top = rows.orderBy(F.desc("length"), "vec_id").limit(SEEDS).select("vec_id", "v").collect()
-    seeds = spark.sparkContext.broadcast((np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64).reshape(len(top), -1)))
+    seeds = spark.sparkContext.broadcast((np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64).reshape(len(top), width)))
 
     parts = max(1, min(RANGES, -(-n // CELL)))
     ends = sorted(set(rows.approxQuantile("length", [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []

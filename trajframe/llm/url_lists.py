@@ -34,7 +34,7 @@ def asked_patterns(url) -> F.Column:
     """Host suffixes of two labels or more, and path prefixes, as an array."""
     host, labels, parts = host_of(url), F.split(host_of(url), r"\."), F.split(path_of(url), "/")
     suffixes = F.when(F.size(labels) >= 2, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.when(F.size(parts) >= 3, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.concat(host, F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+    prefixes = F.when(F.size(parts) >= 2, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(host, F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
     none = F.array().cast("array<string>")
     return F.array_distinct(F.concat(F.coalesce(suffixes, none), F.coalesce(prefixes, none)))
 
