@@ -97,11 +97,9 @@ def test_object_fifo_reentry(spark):
 def test_loop_stop(spark):
     acts = ["A", "B"] * 5
     rows = [(0, 1, i, a, "o", 0.5) for i, a in enumerate(acts[:9])]
-    out = W.loop_stop(_steps(spark, rows), 10).select("stop_step").distinct().collect()
-    assert out[0].stop_step is None
+    assert W.stop_step(_steps(spark, rows), lambda k: W.loop_flag(10, "action", k), 9).first().stop_step is None
     rows = [(0, 1, i, a, "o", 0.5) for i, a in enumerate(acts)]
-    out = W.loop_stop(_steps(spark, rows), 10).select("stop_step").distinct().collect()
-    assert out[0].stop_step == 9
+    assert W.stop_step(_steps(spark, rows), lambda k: W.loop_flag(10, "action", k), 9).first().stop_step == 9
 
 
 def test_negative_stop(spark):
@@ -125,7 +123,7 @@ def test_segment_markers(spark):
     out = W.insert_markers(df).orderBy("step").collect()
     assert [(r.action, r.subgoal) for r in out] == [("a0", "A"), ("a1", "A"), ("end subgoal", "A"), ("a2", "B"),
                                                     ("end subgoal", "B"), ("a3", "C")]
-    runs = W.with_subgoal_runs(df).orderBy("step").collect()[-1].subgoals
+    runs = W.subgoal_runs(df).orderBy("step").collect()[-1].subgoals
     assert runs == ["A", "B", "C"]
 
 
@@ -143,5 +141,5 @@ def test_task_name_and_real_id(spark):
 
 def test_explode_annotations(spark):
     df = spark.createDataFrame([(1, "1- go(k): {'a b', 'c'} 2- hold(x):{'d'}")], "variation_id long, answer string")
-    out = [(r.sg_no, r.sg, r.act_no, r.action) for r in L.explode_annotations(df).orderBy("idx").collect()]
+    out = [(r.sg_no, r.sg, r.act_no, r.action) for r in L.explode_annotations(df, ["variation_id"]).orderBy("idx").collect()]
     assert out == [(1, "go(k)", 1, "a b"), (1, "go(k)", 2, "c"), (2, "hold(x)", 1, "d")]

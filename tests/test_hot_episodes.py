@@ -1,64 +1,66 @@
-"""Hot-episode paths (split numbering, chunked windows with halo rows,
-first-occurrence tables) give exactly the whole-episode results."""
+"""Episodes of every size go through the same blocks: long ones give exactly what
+one plain window gives."""
 
-import pytest
+import tempfile
 
+import pytest
 from conftest import SF_SMALL
-from trajframe.operators import windows as W
-from trajframe.operators.compose import compose
-from trajframe.plans.views import with_tasks
-from trajframe.sources.tables import events_as_steps, table
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from trajframe.operators import blocks
+from trajframe.operators import windows as W
+from trajframe.plans.catalog import load_all
 
-def _steps(spark, hot):
-    ev = table(spark, SF_SMALL, "events", "user_id", "event_id", "ts", "event_type", "props")
-    return with_tasks(W.drop_noise_steps(events_as_steps(ev, hot_rows=hot), hot_rows=hot), spark)
+BLOCKED = ["project_step_io", "win_reward", "win_history", "win_last_k", "win_next_subgoal", "win_subgoal_runs", "win_visited_rooms",
+           "win_loop_stop", "win_stall_stop", "win_negative_stop", "win_segment_markers", "win_clean_history", "win_repeat_collapse",
+           "win_move_collapse", "win_exclude_recent", "win_running_match", "agg_episode_final", "filter_noise_steps",
+           "compose_action_sg", "compose_action_formal", "compose_subgoal"]
 
 
-def test_numbering_split_equals_plain(spark):
-    a = _steps(spark, None).select("variation_id", "pos", "step", "action")
-    b = _steps(spark, 5).select("variation_id", "pos", "step", "action")
-    assert a.count() == b.count() > 0
-    assert a.exceptAll(b).count() == 0
+@pytest.mark.parametrize("name", BLOCKED)
+def test_small_blocks_equal_whole_episodes(spark, monkeypatch, name):
+    fn = load_all()[name][0]
+    whole = sorted(map(tuple, fn(spark, SF_SMALL).collect()), key=repr)
+    monkeypatch.setattr(blocks, "BLOCK", 6)          # every episode is long, frames reach over several chunks
+    cut = sorted(map(tuple, fn(spark, SF_SMALL).collect()), key=repr)
+    assert len(whole) > 0 and cut == whole
 
 
-@pytest.mark.parametrize("recipe", ["action_formal", "action_sg", "subgoal", "action_raw_nohist", "subgoal_v4"])
-def test_compose_split_equals_plain(spark, recipe):
-    s = _steps(spark, None)
-    a = compose(s, recipe)
-    b = compose(s, recipe, hot_rows=5, chunk=7)     # every episode is hot, chunks of 7 rows
-    assert a.count() == b.count() > 0
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+@pytest.fixture(scope="module")
+def one_long_episode(spark):
+    """A table folder whose events are almost all of one user, in uneven time, with ties."""
+    folder = tempfile.mkdtemp(prefix="long-episode-", dir="/tmp")
+    i = F.col("id")
+    kind = F.element_at(F.array(*map(F.lit, ("view", "click", "purchase", "error", "signup"))), (F.pmod(F.xxhash64(i), F.lit(5)) + 1).cast("int"))
+    seconds = F.when(i % 3 == 0, F.floor(i / 50)).otherwise(i * 2)
+    rows = spark.range(0, 1_500_000).select(
+        i.alias("event_id"), F.timestamp_seconds(seconds + 1_700_000_000).alias("ts"), F.when(i % 50 == 0, i % 7).otherwise(3).alias("user_id"),
+        kind.alias("event_type"), (i / 7).alias("value"), F.concat(F.lit('{"k": '), F.pmod(F.xxhash64(i, F.lit(1)), F.lit(100)).cast("string"), F.lit("}")).alias("props"))
+    rows.write.parquet(f"{folder}/events.parquet")
+    return folder
 
 
-def test_registered_compose_with_forced_hot(spark):
-    from trajframe.plans.catalog import load_all
-    fn = load_all()["compose_action_sg"][0]
-    spark.conf.set("trajframe.hotEpisodeRows", "off")
-    a = fn(spark, SF_SMALL)
-    try:
-        spark.conf.set("trajframe.hotEpisodeRows", "10")   # every episode is hot
-        b = fn(spark, SF_SMALL)
-        assert a.count() == b.count() > 0
-        assert a.exceptAll(b).count() == 0
-    finally:
-        spark.conf.unset("trajframe.hotEpisodeRows")
+def test_long_episode_equals_row_number(spark, one_long_episode):
+    events = spark.read.parquet(f"{one_long_episode}/events.parquet")
+    got = load_all()["win_reward"][0](spark, one_long_episode)
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
+    plain = (events.withColumn("k", k).where(~((F.col("event_type") == "view") | ((F.col("event_type") == "error") & (F.col("k") % 2 == 0))))
+             .withColumn("variation_id", F.col("user_id")).withColumn("score", ((F.col("k") - 2) / F.lit(100.0)).cast("double"))
+             .withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+             .withColumn("action", F.lit("a")).withColumn("observation", F.lit("o")))
+    want = W.with_history_state(plain, ["variation_id"]).select("variation_id", "step", F.round("reward", 6).alias("reward"))
+    got = got.select("variation_id", "step", "reward")
+    sums = [F.count(F.lit(1)), F.sum("step"), F.max("step"), F.sum(F.pmod(F.xxhash64("variation_id", F.col("step").cast("long"), "reward"), F.lit(2**31)))]
+    assert tuple(got.agg(*sums).first()) == tuple(want.agg(*sums).first())
+    assert got.where("variation_id = 3").select("step").distinct().count() == got.where("variation_id = 3").count() > 1_000_000
 
 
-@pytest.mark.parametrize("name", ["project_step_io", "win_reward", "win_last_k", "win_next_subgoal", "win_loop_stop",
-                                  "win_stall_stop", "compose_subgoal", "win_negative_stop", "win_segment_markers",
-                                  "win_clean_history", "win_repeat_collapse"])
-def test_registered_queries_with_small_hot_chunks(spark, name):
-    from trajframe.plans.catalog import load_all
-    fn = load_all()[name][0]
-    spark.conf.set("trajframe.hotEpisodeRows", "off")
-    a = fn(spark, SF_SMALL)
-    try:
-        spark.conf.set("trajframe.hotEpisodeRows", "10")
-        spark.conf.set("trajframe.hotChunkRows", "6")
-        b = fn(spark, SF_SMALL)
-        assert a.count() == b.count() > 0
-        assert a.exceptAll(b).count() == 0
-    finally:
-        spark.conf.unset("trajframe.hotEpisodeRows")
-        spark.conf.unset("trajframe.hotChunkRows")
+def test_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 10)
+    df = spark.range(0, 1000).select(F.floor(F.col("id") % 10 / 9).alias("k"), F.timestamp_seconds("id").alias("t"), "id")
+    b = blocks.time_blocks(df, ["k"], "t")
+    assert b.groupBy("k", "_blk").count().agg(F.max("count")).first()[0] <= 11
+    n = blocks.number(b, ["k"], ["t", "id"], "n")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    assert n.withColumn("_w", F.row_number().over(w) - 1).where("n <> _w").count() == 0

@@ -142,7 +142,7 @@ def sample_counts(ex: DataFrame, caps: dict[str, int], split: str = "fold") -> D
             .withColumn("samples", F.least(F.col("rows"), F.coalesce(cap[F.col(split)], F.col("rows")))))
 
 
-def failure_messages(steps: DataFrame, keys: Sequence[str] = ("variation_id",), obs: str = "observation") -> DataFrame:
+def failure_messages(steps: DataFrame, keys: Sequence[str] = ("task_no", "variation_id"), obs: str = "observation") -> DataFrame:
     """U4: distinct failure messages per episode, sorted."""
     f = steps.where(failed_col(obs))
     return f.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(obs)), " || ").alias("messages"),

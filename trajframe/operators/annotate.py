@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import py_strip
 
+EPISODE = ("task_no", "variation_id")
 ITEM_RE = r"(?:^|\s)\d+-\s*[^{}]*?:\s*\{[^{}]*\}"
 
 
 # --- L1 / L2 -------------------------------------------------------------------
 
-def explode_annotations(answers: DataFrame, keys: Sequence[str] = ("variation_id",), answer: str = "answer",
+def explode_annotations(answers: DataFrame, keys: Sequence[str] = EPISODE, answer: str = "answer",
                         mark: bool = False) -> DataFrame:
     """L1: ``1- name(args): {'a', 'b'} 2- ...`` -> one row per (sub-goal
     item, action): ``sg_no`` (the item number), ``sg`` (trimmed name),
@@ -49,7 +51,7 @@ def explode_annotations(answers: DataFrame, keys: Sequence[str] = ("variation_id
                     (F.row_number().over(w) - 1).cast("int").alias("idx"))
 
 
-def rejected_items(answers: DataFrame, keys: Sequence[str] = ("variation_id",), answer: str = "answer") -> DataFrame:
+def rejected_items(answers: DataFrame, keys: Sequence[str] = EPISODE, answer: str = "answer") -> DataFrame:
     """Answers that contain no parseable ``n- name: {...}`` item."""
     items = F.regexp_extract_all(F.col(answer), F.lit(ITEM_RE), F.lit(0))
     return answers.where(F.size(items) == 0).select(*keys, answer)
@@ -58,64 +60,51 @@ def rejected_items(answers: DataFrame, keys: Sequence[str] = ("variation_id",),
 # --- L4 --------------------------------------------------------------------------
 
 def edit_script(gold: list, ann: list) -> tuple[int, list[tuple[str, int, int]]]:
-    """Minimum add/remove script turning ``ann`` into ``gold`` over suffixes.
-
-    Cost 1 for add (gold i missing) and remove (ann j extra), matches free;
-    the last elements are treated as equal.  Ties: add is tried first,
-    remove replaces it only if strictly cheaper, a match only if strictly
-    cheaper still.  Returns (distance, [(op, i, j)]) with op add/remove."""
-    n, m = len(gold), len(ann)
-    if n == 0 or m == 0:
-        return max(n, m), []
-    dp = [[0] * m for _ in range(n)]
-    par = [[0] * m for _ in range(n)]
-    for i in range(n - 1, -1, -1):
-        gi = gold[i]
-        row, nrow = dp[i], dp[i + 1] if i + 1 < n else None
-        prow = par[i]
-        for j in range(m - 1, -1, -1):
-            if i == n - 1 and j == m - 1:
-                row[j] = 0
-            elif i == n - 1:
-                row[j] = row[j + 1] + 1
-                prow[j] = 2
-            elif j == m - 1:
-                row[j] = nrow[j] + 1
-                prow[j] = 1
-            else:
-                best, p = nrow[j] + 1, 1
-                if best > row[j + 1] + 1:
-                    best, p = row[j + 1] + 1, 2
-                if gi == ann[j] and best > nrow[j + 1]:
-                    best, p = nrow[j + 1], 0
-                row[j], prow[j] = best, p
-    ops: list[tuple[str, int, int]] = []
-    i = j = 0
-    while not (i == n - 1 and j == m - 1):
-        p = par[i][j]
-        if p == 0:
-            i, j = i + 1, j + 1
-        elif p == 1:
+    """Shortest script of insertions and deletions that turns ``ann`` into ``gold``,
+    the last elements counting as equal: ``(distance, [(op, i, j)])``.
+
+    Without their last elements the two differ by what a longest common
+    subsequence leaves over.  Let L(i, j) be its length from gold i and annotation j
+    on.  Walking from the start, gold i is an ``add`` when leaving it out keeps L, else
+    annotation j is a ``remove`` when leaving it out keeps L, else the two match.
+    Rows of L are built from the end, one array operation a row; of the table
+    only two bits a cell are kept."""
+    if not gold or not ann:
+        return max(len(gold), len(ann)), []
+    names: dict = {}
+    left, right = (np.array([names.setdefault(x, len(names)) for x in seq[:-1]], np.int64) for seq in (gold, ann))
+    n, m = len(left), len(right)
+    below = np.zeros(m + 1, np.int32)
+    free_add, free_remove = [], []
+    for x in left[::-1]:
+        best = below.copy()
+        best[:m] = np.maximum(best[:m], np.where(right == x, below[1:] + 1, 0))
+        row = np.maximum.accumulate(best[::-1])[::-1]
+        free_add.append(np.packbits(row[:m] == below[:m]))
+        free_remove.append(np.packbits(row[:m] == row[1:]))
+        below = row
+    bit = lambda rows, i, j: rows[n - 1 - i][j >> 3] >> (7 - (j & 7)) & 1
+    ops, i, j = [], 0, 0
+    while i < n and j < m:
+        if bit(free_add, i, j):
             ops.append(("add", i, j))
             i += 1
-        else:
+        elif bit(free_remove, i, j):
             ops.append(("remove", i, j))
             j += 1
-    return dp[0][0], ops
+        else:
+            i, j = i + 1, j + 1
+    ops += [("add", k, m) for k in range(i, n)] + [("remove", n, k) for k in range(j, m)]
+    return n + m - 2 * int(below[0]), ops
 
 
 def _align_batches(keys: list[str]):
     def run(batches):
         for pdf in batches:
             out = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                dist, ops = edit_script(list(r["gold"]), list(r["ann"]))
-                base = {k: r[k] for k in keys}
-                if not ops:
-                    out.append({**base, "distance": dist, "op": None, "i": None, "j": None})
-                for op, i, j in ops:
-                    out.append({**base, "distance": dist, "op": op, "i": i, "j": j})
+            for *key, gold, ann in pdf[[*keys, "gold", "ann"]].itertuples(index=False):
+                distance, ops = edit_script(list(gold), list(ann))
+                out += [(*key, distance, *op) for op in ops or [(None, None, None)]]
             yield pd.DataFrame(out, columns=[*keys, "distance", "op", "i", "j"])
     return run
 
@@ -127,7 +116,7 @@ def sequences(steps: DataFrame, keys: Sequence[str], order: str, col: str, name:
                     lambda x: x["v"]).alias(name))
 
 
-def align(gold: DataFrame, ann: DataFrame, keys: Sequence[str] = ("variation_id",), order: str = "step",
+def align(gold: DataFrame, ann: DataFrame, keys: Sequence[str] = EPISODE, order: str = "step",
           col: str = "action") -> DataFrame:
     """L4: edit rows ``(op, i, j)`` and ``distance`` per episode.  Episodes
     whose sequences are equal (or whose last elements alone differ) get one
@@ -157,20 +146,22 @@ def align(gold: DataFrame, ann: DataFrame, keys: Sequence[str] = ("variation_id"
 
 # --- L5 ------------------------------------------------------------------------------
 
-def repair(edits: DataFrame, gold: DataFrame, ann: DataFrame, keys: Sequence[str] = ("variation_id",),
+def repair(edits: DataFrame, gold: DataFrame, ann: DataFrame, keys: Sequence[str] = EPISODE,
            order: str = "step", gap_answers: DataFrame | None = None) -> DataFrame:
-    """L5 (one round): the repaired annotation, one row per gold step.
+    """The repaired annotation, one row per gold step.
 
     Removed annotated rows are dropped; matched rows keep their sub-goal; an
     added gold step that is alone inherits the sub-goal of the annotated row
     before it (its own neighbour's when first); runs of >= 2 added steps are
-    gaps: they take the sub-goal from ``gap_answers`` (keys, gap_start, sg)
-    when given, else stay null and are reported by ``gap_requests``.  Gold
-    and the repaired annotation are then equal by construction, so one round
-    suffices (the original loops until equal)."""
+    gaps, and so is a whole episode without annotation: they take the sub-goals
+    of ``gap_answers`` (keys, gap_start, idx, action, sg), matched by position and
+    action, or stay null with source ``gap``.  Gold and the repaired annotation
+    are then equal by construction, so no further round changes anything."""
     g = gold.select(*keys, F.col(order).alias("i"), F.col("action"))
     added = edits.where(F.col("op") == "add").select(*keys, "i", F.col("j").alias("_aj"))
-    gi = g.join(added, [*keys, "i"], "left").withColumn("_added", F.col("_aj").isNotNull())
+    there = ann.select(*keys).distinct().withColumn("_there", F.lit(True))
+    gi = (g.join(added, [*keys, "i"], "left").join(there, list(keys), "left")
+          .withColumn("_bare", F.col("_there").isNull()).withColumn("_added", F.col("_aj").isNotNull() | F.col("_bare")))
     a = ann.select(*keys, F.col(order).alias("_j"), F.col("subgoal").alias("_sg"))
     # matched gold positions pair, in order, with the annotated rows that are not removed
     removed = edits.where(F.col("op") == "remove").select(*keys, F.col("j").alias("_j"))
@@ -188,18 +179,18 @@ def repair(edits: DataFrame, gold: DataFrame, ann: DataFrame, keys: Sequence[str
     j = (gi.join(kept, [*keys, "_k"], "left")
          .join(a.select(*keys, F.col("_j").alias("_src_j"), F.col("_sg").alias("_inh")), [*keys, "_src_j"], "left"))
     src = (F.when(~F.col("_added"), F.lit("matched"))
-           .when(F.col("_run") == 1, F.lit("inherited")).otherwise(F.lit("gap")))
-    sg = F.when(~F.col("_added"), F.col("_sg")).when(F.col("_run") == 1, F.col("_inh"))
+           .when((F.col("_run") == 1) & ~F.col("_bare"), F.lit("inherited")).otherwise(F.lit("gap")))
+    sg = F.when(~F.col("_added"), F.col("_sg")).when((F.col("_run") == 1) & ~F.col("_bare"), F.col("_inh"))
     out = j.withColumn("source", src).withColumn("subgoal", sg)
     if gap_answers is not None:
-        ga = gap_answers.select(*keys, "gap_start", F.col("sg").alias("_gsg"))
-        out = out.join(ga, [*keys, "gap_start"], "left").withColumn(
+        ga = gap_answers.groupBy(*keys, "gap_start", (F.col("gap_start") + F.col("idx")).alias("i"), "action").agg(F.min("sg").alias("_gsg"))
+        out = out.join(ga, [*keys, "gap_start", "i", "action"], "left").withColumn(
             "subgoal", F.when(F.col("source") == "gap", F.col("_gsg")).otherwise(F.col("subgoal"))).drop("_gsg")
     return out.select(*keys, F.col("i").alias(order), "action", "subgoal", "source",
                       F.when(F.col("source") == "gap", F.col("gap_start")).alias("gap_start"))
 
 
-def gap_requests(repaired: DataFrame, keys: Sequence[str] = ("variation_id",), order: str = "step") -> DataFrame:
+def gap_requests(repaired: DataFrame, keys: Sequence[str] = EPISODE, order: str = "step") -> DataFrame:
     """Runs of >= 2 unannotated gold steps as request rows (C12 input)."""
     gaps = repaired.where(F.col("source") == "gap")
     return gaps.groupBy(*keys, "gap_start").agg(
@@ -208,7 +199,7 @@ def gap_requests(repaired: DataFrame, keys: Sequence[str] = ("variation_id",), o
 
 # --- L6 ---------------------------------------------------------------------------------
 
-def label_steps(steps: DataFrame, ann: DataFrame, keys: Sequence[str] = ("variation_id",), order: str = "step",
+def label_steps(steps: DataFrame, ann: DataFrame, keys: Sequence[str] = EPISODE, order: str = "step",
                 ann_order: str = "idx") -> tuple[DataFrame, DataFrame]:
     """Attach the annotated sub-goal to each step by position; returns
     (labelled steps, violations).  Violations list positions whose actions
@@ -232,7 +223,7 @@ def path_text(actions: Column) -> Column:
     return F.array_join(F.transform(actions, lambda x: F.concat(x, F.lit(", "))), "")
 
 
-def annotation_prompt(eps: DataFrame, exemplar: DataFrame, keys: Sequence[str] = ("variation_id",),
+def annotation_prompt(eps: DataFrame, exemplar: DataFrame, keys: Sequence[str] = EPISODE,
                       task: str = "task_no", task_desc: str = "task_desc", path: str = "path") -> DataFrame:
     """C11: one message array per episode: system text, the task's
     exemplar (T8) as a user/assistant pair, then the new path."""
@@ -251,7 +242,7 @@ def annotation_prompt(eps: DataFrame, exemplar: DataFrame, keys: Sequence[str] =
     return j.select(*keys, msgs.alias("messages"))
 
 
-def gap_prompt(gaps: DataFrame, eps: DataFrame, keys: Sequence[str] = ("variation_id",),
+def gap_prompt(gaps: DataFrame, eps: DataFrame, keys: Sequence[str] = EPISODE,
                task_desc: str = "task_desc", path: str = "path", answer: str = "answer") -> DataFrame:
     """Request for a run of unannotated steps: the whole path and the
     earlier answer as context, then the missed actions."""
@@ -275,82 +266,79 @@ def gap_prompt(gaps: DataFrame, eps: DataFrame, keys: Sequence[str] = ("variatio
 # --- L7 --------------------------------------------------------------------------------------
 
 def annotate(eps_steps: DataFrame, cache: DataFrame, answer_fn: Callable[[DataFrame], DataFrame],
-             keys: Sequence[str] = ("variation_id",), order: str = "step") -> tuple[DataFrame, DataFrame]:
-    """Resolve cached answers, ask ``answer_fn`` for the missing episodes
-    (a DataFrame -> DataFrame hook: keys -> keys, answer; a table join in
-    tests, ``mapInPandas`` around a client in production), explode, align,
-    repair, label and return (labelled steps, new cache rows)."""
+             gap_fn: Callable[[DataFrame], DataFrame] | None = None, keys: Sequence[str] = EPISODE,
+             order: str = "step") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Take cached answers, ask ``answer_fn`` for the missing episodes (a
+    DataFrame -> DataFrame hook: keys -> keys, answer; a table join in tests,
+    ``mapInPandas`` around a client in production), explode, align, repair, ask
+    ``gap_fn`` for the gaps (keys, gap_start, missed -> keys, gap_start, answer), splice
+    its answers, label and insert the segment markers.  One answer an episode
+    counts: the cached one, else the least.  Returns ``(labelled steps with
+    markers, answers to append to the cache, report)``; the report lists every step
+    left without sub-goal, and why."""
     from .joins import annotation_requests
+    from .windows import insert_markers
     eps = eps_steps.select(*keys).distinct()
-    need = annotation_requests(eps, cache, keys)
-    fresh = answer_fn(need).select(*keys, "answer")
-    have = cache.where(F.col("answer").isNotNull() & (F.length("answer") > 0)).select(*keys, "answer")
-    answers = have.unionByName(fresh)
+    usable = F.col("answer").isNotNull() & (F.length("answer") > 0)
+    fresh = answer_fn(annotation_requests(eps, cache, keys)).where(usable).groupBy(*keys).agg(F.min("answer").alias("answer"))
+    have = cache.where(usable).groupBy(*keys).agg(F.min("answer").alias("answer"))
+    answers = have.unionByName(fresh.join(have.select(*keys), list(keys), "left_anti"))
     ann = explode_annotations(answers, keys)
-    ann_steps = ann.select(*keys, F.col("idx").alias(order), "action", F.col("sg").alias("subgoal"))
+    ann_steps = ann.select(*keys, F.col("idx").cast("long").alias(order), "action", F.col("sg").alias("subgoal"))
     edits = align(eps_steps, ann_steps, keys, order)
-    fixed_rows = repair(edits, eps_steps, ann_steps, keys, order)
-    labelled = eps_steps.drop("subgoal").join(fixed_rows.select(*keys, order, "subgoal", "source"), [*keys, order], "left")
-    return labelled, fresh
+    rows = repair(edits, eps_steps, ann_steps, keys, order)
+    if gap_fn is not None:
+        asked = gap_fn(gap_requests(rows, keys, order)).where(usable).groupBy(*keys, "gap_start").agg(F.min("answer").alias("answer"))
+        rows = repair(edits, eps_steps, ann_steps, keys, order, explode_annotations(asked, [*keys, "gap_start"]))
+    labelled = eps_steps.drop("subgoal").join(rows.select(*keys, order, "subgoal", "source"), [*keys, order], "left")
+    why = F.when(F.col("source") == "gap", "gap without a fitting answer").otherwise("annotated row without sub-goal")
+    report = labelled.where("subgoal is null").select(*keys, order, "action", why.alias("why"))
+    return insert_markers(labelled, keys), fresh, report
 
 
 # --- L3 ---------------------------------------------------------------------------------------
 
-def _greedy_batches(keys: list[str]):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for rec in pdf.itertuples(index=False):
-                r = rec._asdict()
-                gold = list(r["gold"])
-                base = {k: r[k] for k in keys}
-                n_act, pos, seen = 0, 0, 0
-                answer = ""
-                for item in list(r["items"]):
-                    sg, acts = item["sg"], list(item["acts"])
-                    added = False
-                    for act in acts:
-                        if n_act >= len(gold):
-                            break
-                        if act.strip() == gold[n_act]:
-                            if not added:
-                                seen += 1
-                                added = True
-                                answer += f"{seen}- {sg}: {{"
-                            answer += act + ", "
-                            out.append({**base, "pos": pos, "gold_step": n_act, "action": gold[n_act],
-                                        "subgoal": sg, "is_marker": False})
-                            pos += 1
-                            n_act += 1
-                    if added:
-                        answer += "}\n"
-                        out.append({**base, "pos": pos, "gold_step": n_act - 1, "action": fixed.MARKER_ACTION,
-                                    "subgoal": sg, "is_marker": True})
-                        pos += 1
-                for o in out[len(out) - pos:]:
-                    o["answer"] = answer
-            yield pd.DataFrame(out, columns=[*keys, "pos", "gold_step", "action", "subgoal", "is_marker", "answer"])
-    return run
+def accepted(gold: list[str], offered: list[str]) -> list[int]:
+    """Places in ``offered`` where it yields, in order, the next element of ``gold``."""
+    waiting = iter(gold)
+    wanted = next(waiting, None)
+    places = []
+    for k, x in enumerate(offered):
+        if wanted is not None and x.strip() == wanted:
+            places.append(k)
+            wanted = next(waiting, None)
+    return places
+
 
+def _accepted(gold: pd.Series, offered: pd.Series) -> pd.Series:
+    return pd.Series([accepted(list(g), list(o)) for g, o in zip(gold, offered)])
 
-def greedy_align(gold: DataFrame, items: DataFrame, keys: Sequence[str] = ("variation_id",), order: str = "step",
+
+def greedy_align(gold: DataFrame, items: DataFrame, keys: Sequence[str] = EPISODE, order: str = "step",
                  col: str = "action") -> DataFrame:
-    """L3: walk the annotated actions item by item and accept each one that
-    equals the next unmatched gold action; every item that accepted at
-    least one action is closed by an ``end subgoal`` marker row.  Also
-    returns the cleaned answer text per episode.  ``items`` is the L1
-    output (one row per action).  One ordered row per episode goes through
-    ``mapInPandas``."""
+    """L3: walk the annotated actions in order and accept each that equals the
+    next unmatched gold action; every item that accepted an action is closed by
+    an ``end subgoal`` row.  ``items`` is the L1 output (one row per action).  Adds
+    the cleaned ``answer`` of the episode.  Only the walk is Python; the rows, their
+    numbers and the answer follow from the accepted places by columns."""
     g = sequences(gold, keys, order, col, "gold")
-    it = (items.groupBy(*keys, "sg_no", "sg").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("act_no", F.col("action").alias("a")))), lambda x: x["a"]).alias("acts"),
-        F.min("idx").alias("_first"))
-        .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "sg", "acts"))),
-                                        lambda x: F.struct(x["sg"].alias("sg"), x["acts"].alias("acts"))).alias("items")))
-    both = g.join(it, list(keys), "inner")
-    from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
-    key_fields = [f for f in both.schema.fields if f.name in keys]
-    schema = StructType(key_fields + [StructField("pos", IntegerType()), StructField("gold_step", IntegerType()),
-                                      StructField("action", StringType()), StructField("subgoal", StringType()),
-                                      StructField("is_marker", BooleanType()), StructField("answer", StringType())])
-    return both.mapInPandas(_greedy_batches(list(keys)), schema)
+    o = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "sg_no", "sg", "action"))).alias("offered"))
+    walk = F.pandas_udf(_accepted, "array<int>")
+    both = g.join(o, list(keys)).withColumn("at", walk("gold", F.transform("offered", lambda x: x["action"])))
+    hits = (both.select(*keys, F.posexplode("at").alias("gold_step", "_k"), "offered")
+            .withColumn("_o", F.element_at("offered", F.col("_k") + 1)).select(*keys, "gold_step", "_o.sg_no", "_o.sg", F.col("_o.action").alias("_raw"), "_o.idx"))
+    # an item is the run of its actions; the item number may come again later
+    parts = items.groupBy(*keys, "sg_no", "sg").agg(F.min("idx").alias("_first"))
+    hits = hits.join(parts, [*keys, "sg_no", "sg"])
+    closed = Window.partitionBy(*keys).orderBy("_first", "sg_no", "sg")
+    named = (hits.groupBy(*keys, "sg_no", "sg", "_first").agg(
+        F.max("gold_step").alias("_last"), F.transform(F.array_sort(F.collect_list(F.struct("gold_step", "_raw"))), lambda x: x["_raw"]).alias("_acts"))
+        .withColumn("_nth", F.row_number().over(closed)))
+    piece = F.concat(F.col("_nth").cast("string"), F.lit("- "), F.col("sg"), F.lit(": {"),
+                     F.array_join(F.transform("_acts", lambda x: F.concat(x, F.lit(", "))), ""), F.lit("}\n"))
+    answers = named.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", piece.alias("t")))), lambda x: x["t"]), "").alias("answer"))
+    steps = hits.join(named.select(*keys, "sg_no", "sg", "_nth"), [*keys, "sg_no", "sg"]).select(
+        *keys, (F.col("gold_step") + F.col("_nth") - 1).cast("int").alias("pos"), "gold_step", F.trim("_raw").alias("action"), F.col("sg").alias("subgoal"), F.lit(False).alias("is_marker"))
+    marks = named.select(*keys, (F.col("_last") + F.col("_nth")).cast("int").alias("pos"), F.col("_last").alias("gold_step"),
+                         F.lit(fixed.MARKER_ACTION).alias("action"), F.col("sg").alias("subgoal"), F.lit(True).alias("is_marker"))
+    return steps.unionByName(marks).join(answers, list(keys))

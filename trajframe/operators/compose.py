@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.actions import formalize
 from ..functions.text import drop_phrases, sanitize
 from . import windows as W
+from .blocks import carried, chunked
 from .windows import EPISODE
 
 Q_ACTION = " What action should you do next? </s> "
@@ -87,88 +88,36 @@ def _finish(text: Column) -> Column:
 
 
 def _features(steps: DataFrame, r: Recipe, episode: Sequence[str]) -> DataFrame:
-    """Per-episode window features of a recipe (one sort per episode)."""
-    df = W.with_history_state(steps, episode)
-    if r.rooms:
-        df = W.with_rooms(df, episode)
-    if r.subgoals != "none":
-        df = df.withColumn("subgoals", W.subgoal_runs_col(episode))
-    if r.label == "next_subgoal":
-        df = W.with_next_subgoal(df, episode)
-    return W.add_history(df, r.history, r.formal_history, episode)
-
-
-def _features_hot(steps: DataFrame, r: Recipe, episode: Sequence[str], chunk: int) -> DataFrame:
-    """The same features for hot episodes (see ``skew``): bounded frames on
-    chunks with halo rows; the running room and sub-goal lists from
-    per-episode first-occurrence tables instead of running windows."""
-    from pyspark import StorageLevel
-
-    from .skew import running_firsts, split_bounded
-    from ..functions.text import look_room, observation_room
-
-    # the chunked windows read their input three times (core rows and the
-    # two halos): keep the hot part's numbered steps instead of recomputing
-    # them (MEMORY_AND_DISK; lost blocks are recomputed from the lineage)
-    steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def bounded(d, keys):
-        w = W.w_ep(keys)
+    """Window features of a recipe, on chunks of each episode (``blocks``); the
+    running room and sub-goal lists are carried from chunk to chunk."""
+    def windows(d, keys):
         d = W.with_history_state(d, keys)
+        if r.rooms:
+            d = W.with_rooms(d, keys)
+        if r.subgoals != "none":
+            d = W.with_subgoal_runs(d, keys)
         if r.label == "next_subgoal":
             d = W.with_next_subgoal(d, keys)
-        d = d.withColumn("_prev_obs", F.lag("observation").over(w))
-        if r.subgoals != "none":
-            d = d.withColumn("_sg_prev", F.lag("subgoal").over(w))
         return W.add_history(d, r.history, r.formal_history, keys)
 
     # history items reach r.history rows back and each item's reward one more
-    df = split_bounded(steps, episode, "step", r.history + 1, 1, bounded, chunk)
-    keys = list(episode)
+    df = chunked(steps, list(episode), "step", r.history + 1, 1, windows, keep=True)
     if r.rooms:
-        items = df.where(F.col("step") >= 1).select(*keys, F.inline(F.array(
-            F.struct((F.col("step") * 2).alias("o"), observation_room("_prev_obs").alias("room")),
-            F.struct((F.col("step") * 2 + 1).alias("o"), look_room("freelook").alias("room")))))
-        firsts = running_firsts(items.where(F.col("room").isNotNull()), keys, "o", "room")
-        # one short list per hot episode (bounded by its distinct rooms)
-        df = df.join(F.broadcast(firsts), keys, "left")
-        upto = F.col("step") * 2 + 1
-        df = df.withColumn("places", F.when(F.col("step") >= 1, F.transform(
-            F.filter(F.coalesce("_firsts", F.array().cast("array<struct<o:bigint,v:string>>")), lambda x: x["o"] <= upto),
-            lambda x: x["v"])).otherwise(F.array().cast("array<string>"))).drop("_firsts")
+        df = carried(df, list(episode), "step", "places").withColumn("places", F.array_distinct("places"))
     if r.subgoals != "none":
-        starts = df.where(F.col("_sg_prev").isNull() | (F.col("_sg_prev") != F.col("subgoal"))).select(
-            *keys, F.struct("step", "subgoal").alias("_s"))
-        lists = starts.groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_starts"))
-        df = df.join(lists, keys, "left").withColumn(
-            "subgoals", F.transform(F.filter("_starts", lambda x: x["step"] <= F.col("step")), lambda x: x["subgoal"])
-        ).drop("_starts", "_sg_prev")
-    return df.drop("_prev_obs")
+        df = carried(df, list(episode), "step", "subgoals")
+    return df
 
 
 def compose(steps: DataFrame, recipe: Recipe | str, episode: Sequence[str] = EPISODE,
-            task_desc: str = "task_desc", hot_rows: int | None = None, chunk: int = 100_000,
-            all_hot: bool = False) -> DataFrame:
+            task_desc: str = "task_desc") -> DataFrame:
     """Steps (with ``step``, ``action``, ``observation``, ``score``,
     ``freelook``, ``inventory`` and, for sub-goal recipes, ``subgoal``) ->
     one example per step i >= 1: ``input``, ``target`` plus the episode keys
     and ``step``.  An action that cannot be formalised gives a null target
-    (the original job stops there).  With ``hot_rows``, episodes longer than
-    that are split (``_features_hot``) instead of being processed whole;
-    ``all_hot`` treats every input episode as hot (the input is the hot part
-    of a source split once with ``skew.split_source``)."""
+    (the original job stops there)."""
     r = RECIPES[recipe] if isinstance(recipe, str) else recipe
-    if all_hot:
-        df = _features_hot(steps, r, episode, chunk)
-    elif hot_rows is None:
-        df = _features(steps, r, episode)
-    else:
-        from .skew import split_by_heat
-        cold, hot = split_by_heat(steps, episode, hot_rows)
-        df = _features(cold, r, episode).unionByName(
-            _features_hot(hot, r, episode, chunk), allowMissingColumns=True)
-    df = df.where(F.col("step") >= 1)
-    return _assemble(df, r, episode, task_desc)
+    return _assemble(_features(steps, r, episode).where(F.col("step") >= 1), r, episode, task_desc)
 
 
 def _assemble(df: DataFrame, r: Recipe, episode: Sequence[str], task_desc: str) -> DataFrame:

@@ -31,19 +31,22 @@ def with_real_id(df: DataFrame, dim: DataFrame, name: str = "task_name") -> Data
             .drop("_lookup", "_dim_name"))
 
 
+EPISODE = ("task_no", "variation_id")
+
+
 # --- J2 / J3: annotation caches ------------------------------------------------
 
 def resolve_annotations(eps: DataFrame, caches: Sequence[tuple[str, DataFrame]],
-                        keys: Sequence[str] = ("variation_id",), answer: str = "answer") -> DataFrame:
+                        keys: Sequence[str] = EPISODE, answer: str = "answer", order: str | None = None) -> DataFrame:
     """The first non-empty answer from an ordered list of caches
-    (``(source_name, df[keys, answer])``); ``source`` tags which one."""
+    (``(source_name, df[keys, answer])``); ``source`` tags which one.  Of several rows a
+    key the first written counts (column ``order``; without it the least answer)."""
     out = eps
     vals, srcs = [], []
     for i, (name, c) in enumerate(caches):
         col = f"_a{i}"
         good = c.where(F.col(answer).isNotNull() & (F.length(F.col(answer)) > 0))
-        # several rows per key in one cache: the last written wins -> take max
-        good = good.groupBy(*keys).agg(F.max(answer).alias(col))
+        good = good.groupBy(*keys).agg((F.min_by(answer, order) if order else F.min(answer)).alias(col))
         out = out.join(good, list(keys), "left")
         vals.append(F.col(col))
         srcs.append(F.when(F.col(col).isNotNull(), F.lit(name)))
@@ -51,7 +54,7 @@ def resolve_annotations(eps: DataFrame, caches: Sequence[tuple[str, DataFrame]],
     return out.drop(*[f"_a{i}" for i in range(len(caches))])
 
 
-def annotation_requests(eps: DataFrame, cache: DataFrame, keys: Sequence[str] = ("variation_id",),
+def annotation_requests(eps: DataFrame, cache: DataFrame, keys: Sequence[str] = EPISODE,
                         answer: str = "answer") -> DataFrame:
     """Episodes without a usable (non-empty) cached answer."""
     good = cache.where(F.col(answer).isNotNull() & (F.length(F.col(answer)) > 0)).select(*keys)
@@ -113,14 +116,16 @@ def _norm(a: Column) -> Column:
 
 
 def nearest_by_vector(preds: DataFrame, cands: DataFrame, keys: Sequence[str], n: int = 5,
-                      vec: str = "embedding", item: str = "vec_id", pick: str = "best") -> DataFrame:
+                      vec: str = "embedding", item: str = "vec_id", pick: str = "best",
+                      rank: str | None = None, k: int = 5) -> DataFrame:
     """Per candidate, the sum of cosine similarities to the group's
-    predictions; keep the top ``n`` by that sum (``rank`` 1 = best).
+    first ``k`` predictions (by ``rank``; by ``item`` without it); keep the top ``n`` by that sum (``rank`` 1 = best).
 
     ``pick='nth'`` reproduces the original's choice of the n-th best as the
     answer (flag ``chosen``); ``'best'`` flags rank 1.  Pairs are formed only
     within a group key."""
-    p = preds.select(*keys, F.col(vec).alias("_pv"))
+    first = Window.partitionBy(*keys).orderBy(rank or item)
+    p = preds.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k).select(*keys, F.col(vec).alias("_pv"))
     p = p.withColumn("_pn", _norm(F.col("_pv")))
     c = cands.select(*keys, item, F.col(vec).alias("_cv")).withColumn("_cn", _norm(F.col("_cv")))
     pairs = c.join(p, list(keys), "inner")
@@ -142,38 +147,56 @@ def rewrite_candidates(actions: DataFrame, keys: Sequence[str], text: str = "act
 
     Rules, in order: 1 ``wait*`` -> ``wait`` (no validity test); 2 identity;
     3 greenhouse/adult/baby doubling; 4 ``go to`` -> ``teleport to``;
-    5 ``go to`` -> ``open door to``; 6 ``focus on X`` with X in the inventory ->
-    ``focus on substance in inventory``; 7 ``move X to ...`` with X in the
-    inventory -> X replaced by ``substance in inventory``; 8 cut at the last
-    `` in ``; 9 `` unknown substance `` -> cut at last `` in `` then drop
-    single capital letters; 10 room suffixes ``in <room>`` removed (no test)."""
-    a = F.col(text)
+    5 ``go to`` -> ``open door to``; 6 ``pick up X`` where the look names X as what a
+    container is ``called`` -> X replaced by the container; 7 the action itself when it is
+    valid without ``substance in `` (of a pick up); 8 ``focus on X`` with X in the inventory
+    -> ``focus on substance in inventory``; 9 ``move X to ...`` with X in the inventory -> X
+    replaced by ``substance in inventory``; 10 a ``move`` that names ``to`` but no object is
+    left as it is (no test); 11 cut at the last `` in ``; 12 `` unknown substance `` -> cut
+    at last `` in `` then drop single capital letters; 13 room suffixes ``in <room>``
+    removed (no test).  A pick up goes on as rewritten by rule 6."""
+    given = F.col(text)
+    held = F.regexp_replace(given, r"^\S+\s+\S+\s*", "")
+    look_at = F.col(look)
+    place = F.instr(look_at, held)
+    # the last parenthesis before the object, with the character before it
+    ahead = F.substring(look_at, F.lit(1), place - 1)
+    opened = F.length(ahead) - F.instr(F.reverse(ahead), "(") + 1
+    closed = F.length(ahead) - F.instr(F.reverse(ahead), ")") + 1
+    container = F.substring(look_at, F.greatest(opened - 1, F.lit(1)), F.greatest(closed - opened + 2, F.lit(0)))
+    inside = given.startswith("pick up") & (held != "") & (place > 0) & (F.substring(look_at, place - 8, F.lit(7)) == "called ") & ahead.contains("(") & ahead.contains(")")
+    a = F.when(inside, F.replace(given, held, container)).otherwise(given)
+    picks = given.startswith("pick up")
     inv = F.col(inventory)
     cut_in = F.when(F.instr(a, " in ") > 0,
                     F.regexp_extract(a, r"^(.*) in ", 1)).otherwise(a)
-    doubled = F.replace(F.replace(F.replace(a, F.lit("green house"), F.lit("greenhouse")),
+    doubled = F.replace(F.replace(F.replace(given, F.lit("green house"), F.lit("greenhouse")),
                                   F.lit("adult"), F.lit("adult adult")), F.lit("baby"), F.lit("baby baby"))
     focus_obj = py_strip(F.replace(a, F.lit("focus on"), F.lit("")))
     move_obj = F.regexp_extract(a, r"move (.*?) to", 1)
+    moves = a.startswith("move") & a.contains("to")
     unknown = F.regexp_replace(cut_in, r" [A-Z]", "")
     # rule 9 keeps its rewrite for rule 10
     no_rooms = F.when(a.contains(" unknown substance "), unknown).otherwise(a)
     for r in fixed.ROOMS:
         no_rooms = F.replace(no_rooms, F.lit("in " + r), F.lit(""))
     rules = [
-        (1, F.when(a.startswith("wait"), F.lit("wait")), False),
-        (2, a, True),
+        (1, F.when(given.startswith("wait"), F.lit("wait")), False),
+        (2, given, True),
         (3, doubled, True),
         (4, F.when(a.startswith("go to"), F.replace(a, F.lit("go to"), F.lit("teleport to"))), True),
         (5, F.when(a.startswith("go to"), F.replace(a, F.lit("go to"), F.lit("open door to"))), True),
-        (6, F.when(a.startswith("focus on") & (F.instr(inv, focus_obj) > 0), F.lit("focus on substance in inventory")), True),
-        (7, F.when(a.startswith("move") & a.contains("to") & (move_obj != "") & (F.instr(inv, move_obj) > 0),
-                   F.replace(a, move_obj, F.lit("substance in inventory"))), True),
-        (8, cut_in, True),
-        (9, F.when(a.contains(" unknown substance "), unknown), True),
-        (10, no_rooms, False),
+        (6, F.when(picks, a), True),
+        (7, F.when(picks, F.replace(a, F.lit("substance in "), F.lit(""))), True),
+        (8, F.when(a.startswith("focus on") & (F.instr(inv, focus_obj) > 0), F.lit("focus on substance in inventory")), True),
+        (9, F.when(moves & (move_obj != "") & (F.instr(inv, move_obj) > 0), F.replace(a, move_obj, F.lit("substance in inventory"))), True),
+        (10, F.when(moves & ~a.rlike("move (.*?) to"), a), False),
+        (11, cut_in, True),
+        (12, F.when(a.contains(" unknown substance "), unknown), True),
+        (13, no_rooms, False),
     ]
-    arr = F.array(*[F.struct(F.lit(n).alias("rule"), v.alias("rewritten"), F.lit(t).alias("needs_valid"))
+    # rule 7 tests the shorter text but answers with the action
+    arr = F.array(*[F.struct(F.lit(n).alias("rule"), v.alias("rewritten"), (a if n == 7 else v).alias("answer"), F.lit(t).alias("needs_valid"))
                     for n, v, t in rules])
     return actions.select(*keys, text, F.inline(arr)).where(F.col("rewritten").isNotNull())
 
@@ -186,7 +209,7 @@ def rewrite_to_valid(actions: DataFrame, cands: DataFrame, keys: Sequence[str],
     valid = cands.select(*keys, F.col(text).alias("rewritten")).distinct().withColumn("_valid", F.lit(True))
     j = rc.join(valid, [*keys, "rewritten"], "left")
     ok = j.where(~F.col("needs_valid") | F.col("_valid").isNotNull())
-    return ok.groupBy(*keys, text).agg(F.min_by("rewritten", "rule").alias("resolved"), F.min("rule").alias("rule"))
+    return ok.groupBy(*keys, text).agg(F.min_by("answer", "rule").alias("resolved"), F.min("rule").alias("rule"))
 
 
 # --- J8 ---------------------------------------------------------------------------

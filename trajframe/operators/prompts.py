@@ -25,14 +25,22 @@ def _ordered_lines(df: DataFrame, episode: Sequence[str], lines: F.Column, name:
         F.array_sort(F.collect_list(F.struct("step", lines.alias("l")))), lambda x: x["l"])).alias(name))
 
 
-def history_block(steps: DataFrame, k: int = 10, episode: Sequence[str] = EPISODE) -> DataFrame:
+def history_block(steps: DataFrame, k: int = 10, episode: Sequence[str] = EPISODE, demos: DataFrame | None = None) -> DataFrame:
     """C13 core: history lines of the next-actions prompt for the final state
-    of each episode: W16 clean-up, per kept row
-    ``- (in <room>) Action: <FORMAL> --> <obs>``, W17 form A repeat lines
-    after the row that follows a dropped run, the last ``k`` lines."""
-    s = steps.withColumn("_loc", current_room("freelook"))
-    s = W.clean_history(s, episode)
-    s = W.collapse_repeats(s, 5, 4, episode)
+    of each episode: W16 clean-up as for a score of -1 in every row (this prompt
+    knows no scores), per kept row ``- (in <room>) Action: <FORMAL> --> <obs>``,
+    W17 form A repeat lines after the row that follows a dropped run, the last
+    ``k`` lines.  Rows observed as ``N/A``, without a formal action, or of a type that
+    the task's demonstration (``demos``: task_no, demo; F10) lacks write no line; they
+    are left out before the repeat test but stay context of it."""
+    s = steps.withColumn("_loc", current_room("freelook")).withColumn("_minus", F.lit(-1.0))
+    formal = F.coalesce(formalize("action"), F.lit("None"))
+    shown = (F.col("observation") != "N/A") & (F.instr(formal, "(") > 0)
+    s = W.clean_history(s, episode, "_minus")
+    if demos is not None:      # one row for each of the 30 tasks
+        s = s.join(F.broadcast(demos.select("task_no", F.col("demo").alias("_demo"))), "task_no")
+        shown = shown & F.col("_demo").contains(F.substring_index(formal, "(", 1))
+    s = W.collapse_repeats(s, 5, 4, episode, counted=shown)
     fa = F.coalesce(formalize("action"), F.lit("None"))
     line = F.concat(F.lit("- (in "), F.coalesce(F.col("_loc"), F.lit("None")), F.lit(") Action: "), fa,
                     F.lit(" --> "), F.col("observation"))

@@ -134,25 +134,19 @@ def exemplars(eps_steps: DataFrame, n: int = 2, task: str = "task_no", key: str
 
 
 def dense_index(values: DataFrame, col: str) -> DataFrame:
-    """0-based index of every distinct value of ``col`` in sort order,
-    without a single-partition window: the values are range-partitioned
-    and sorted, each partition's offset is the row count of the partitions
-    before it (a table with one row per partition), and the position inside
-    a partition comes from ``monotonically_increasing_id`` (partition index
-    in the high bits, row number in the low 33 bits).  Both branches read
-    the same range exchange, which Spark reuses."""
-    d = values.select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
-    d = d.select(col, F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
-    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    j = d.join(F.broadcast(offs), "_pid")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return j.select(col, (F.col("_off") + pos).alias("index"))
+    """0-based index of every distinct value of ``col`` in the order of its hash
+    (then the value).  Values lie in 4,096 blocks by their hash: rows of the blocks
+    before plus the row number inside the block."""
+    d = values.select(col).distinct().withColumn("_h", F.md5(F.col(col).cast("string")))
+    d = d.withColumn("_b", F.substring("_h", 1, 3))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)      # at most 4,096 rows
+    ahead = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_a"))
+    inside = Window.partitionBy("_b").orderBy("_h", col)
+    return d.join(F.broadcast(ahead), "_b").select(col, (F.col("_a") + F.row_number().over(inside) - 1).alias("index"))
 
 
 def inject_random(steps: DataFrame, vocab: DataFrame, every: int = 10, seed: int = 1,
-                  keys: Sequence[str] = ("variation_id",), step: str = "step", col: str = "subgoal") -> DataFrame:
+                  keys: Sequence[str] = ("task_no", "variation_id"), step: str = "step", col: str = "subgoal") -> DataFrame:
     """Every ``every``-th step replaces its sub-goal by a vocabulary entry
     picked by a seeded hash.  The vocabulary is ranked once and joined on the
     picked rank (AQE broadcasts it when its runtime size is small).  The

@@ -8,7 +8,7 @@ bounded (``k preceding``) wherever the consumer only needs ``k`` items.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.actions import formalize
 from ..functions.text import look_room, observation_room
+from .blocks import BLOCK, carried, chunked, renumber
 
 EPISODE = ("task_no", "variation_id")
 
@@ -31,22 +32,22 @@ def trunc100(c: Column) -> Column:
 
 # --- F1 / F2 / F6 ------------------------------------------------------------
 
-def drop_noise_steps(steps: DataFrame, episode: Sequence[str] = EPISODE, order: str = "pos",
-                     hot_rows: int | None = None, all_hot: bool = False) -> DataFrame:
-    """drop ``look around`` and ``close door*`` steps, then renumber
-    ``step`` = 0.. within the episode (filter runs before the window).
-    With ``hot_rows``, episodes longer than that are numbered without
-    sorting them in one task (``skew.dense_number``)."""
-    from .skew import dense_number
-    a = F.col("action")
-    kept = steps.where(~((a == fixed.NOISE_ACTION) | a.startswith(fixed.NOISE_PREFIX)))
-    return dense_number(kept, list(episode), [order], "step", hot_rows, all_hot=all_hot)
+def not_noise(action: str = "action") -> Column:
+    """F1 rule: neither ``look around`` nor ``close door*``."""
+    a = F.col(action)
+    return ~((a == fixed.NOISE_ACTION) | a.startswith(fixed.NOISE_PREFIX))
+
+
+def drop_noise_steps(steps: DataFrame, episode: Sequence[str] = EPISODE, order: str = "pos") -> DataFrame:
+    """drop ``look around`` and ``close door*`` steps, then renumber ``step`` =
+    0.. within the episode (``order``: a dense position), in chunks."""
+    return renumber(steps.where(not_noise()), list(episode), order, "step")
 
 
 def min_steps(steps: DataFrame, n: int = 2, episode: Sequence[str] = EPISODE) -> DataFrame:
     """drop episodes with fewer than ``n`` steps."""
-    cnt = F.count(F.lit(1)).over(Window.partitionBy(*episode))
-    return steps.withColumn("_n", cnt).where(F.col("_n") >= n).drop("_n")
+    enough = steps.groupBy(*episode).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n).drop("_n")
+    return steps.join(enough, list(episode), "left_semi")
 
 
 def step_io(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
@@ -122,24 +123,29 @@ def with_next_subgoal(steps: DataFrame, episode: Sequence[str] = EPISODE) -> Dat
     return steps.withColumn("next_subgoal", F.lead("subgoal", 1, fixed.FINAL_SUBGOAL).over(w_ep(episode)))
 
 
-def subgoal_runs_col(episode: Sequence[str] = EPISODE, col: str = "subgoal") -> Column:
-    """Running list of adjacent-distinct sub-goals up to the current row.
+def segment_start(episode: Sequence[str], col: str = "subgoal") -> Column:
+    """The sub-goal where it differs from the previous row's, else null."""
+    prev = F.lag(col).over(w_ep(episode))
+    return F.when(prev.isNull() | (prev != F.col(col)), F.col(col))
 
-    A sub-goal enters the list when it differs from the previous row's; the
-    list therefore holds one entry per segment started so far."""
-    w = w_ep(episode)
-    changed = F.lag(col).over(w).isNull() | (F.lag(col).over(w) != F.col(col))
-    start = F.when(changed, F.col(col))
-    return F.collect_list(start).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+def own_rows(df: DataFrame, value: Column) -> Column:
+    """``value`` on rows of the chunk itself, null on its context rows."""
+    return F.when(~F.col("_halo"), value) if "_halo" in df.columns else value
 
 
 def with_subgoal_runs(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
-    w = w_ep(episode)
-    prev = F.lag("subgoal").over(w)
-    df = steps.withColumn("_sg_start", F.when(prev.isNull() | (prev != F.col("subgoal")), F.col("subgoal")))
-    return df.withColumn(
-        "subgoals", F.collect_list("_sg_start").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_sg_start")
+    """Running list of adjacent-distinct sub-goals up to the current row; one
+    entry per segment started so far.  Needs the row before as context."""
+    df = steps.withColumn("_sg_start", segment_start(episode))
+    df = df.withColumn("_sg_start", own_rows(df, F.col("_sg_start")))
+    return df.withColumn("subgoals", F.collect_list("_sg_start").over(w_ep(episode).rowsBetween(Window.unboundedPreceding, 0))).drop("_sg_start")
+
+
+def subgoal_runs(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
+    """W5 for episodes of every size."""
+    df = chunked(steps, list(episode), "step", 1, 0, with_subgoal_runs, keep=True)
+    return carried(df, list(episode), "step", "subgoals").drop("_chunk")
 
 
 # --- W7: visited rooms -------------------------------------------------------
@@ -150,18 +156,17 @@ def with_rooms(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
     Row j >= 1 contributes the room of the observation of step j-1 and then
     the room of the look of step j.  Only the *first* occurrence of a room
     is carried in the running frame, so the running list is bounded by the
-    number of distinct rooms, not by the episode length."""
+    number of distinct rooms, not by the episode length.  Needs the row before
+    as context."""
     w = w_ep(episode)
-    items = F.when(
-        F.col("step") >= 1,
-        F.filter(F.array(observation_room(F.lag("observation").over(w)), look_room("freelook")),
-                 lambda x: x.isNotNull()),
-    ).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    items = F.when(F.col("step") >= 1, F.filter(F.array(observation_room(F.lag("observation").over(w)), look_room("freelook")), lambda x: x.isNotNull())).otherwise(none)
     df = steps.withColumn("_rooms", items)
+    df = df.withColumn("_rooms", F.coalesce(own_rows(df, F.col("_rooms")), none))
     # rooms seen strictly before this row: a running *set* (buffer bounded by
     # the distinct room pairs, not by the episode length)
     seen = F.flatten(F.collect_set("_rooms").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("_new", F.array_except(F.col("_rooms"), F.coalesce(seen, F.array().cast("array<string>"))))
+    df = df.withColumn("_new", F.array_except(F.col("_rooms"), F.coalesce(seen, none)))
     # collect_list skips nulls: only rows that add a room enter the buffer
     firsts = F.when(F.size("_new") > 0, F.col("_new"))
     return df.withColumn(
@@ -169,6 +174,12 @@ def with_rooms(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
     ).drop("_rooms", "_new")
 
 
+def visited_rooms(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
+    """W7 for episodes of every size."""
+    df = chunked(steps, list(episode), "step", 1, 0, with_rooms, keep=True)
+    return carried(df, list(episode), "step", "places").drop("_chunk").withColumn("places", F.array_distinct("places"))
+
+
 # --- W8: bounded FIFO of seen objects ------------------------------------------
 
 def _fifo_fold(keys: list[str], limit: int, start_step: int):
@@ -227,19 +238,6 @@ def final_objects(steps: DataFrame, limit: int, episode: Sequence[str] = EPISODE
     return s.groupBy(*episode).agg(F.max_by("objects", "step").alias("objects"))
 
 
-def fold_objects_sql(lists: Column, limit: int) -> Column:
-    """The same fold as a SQL ``aggregate`` over an ordered array of mention
-    lists (``array_except`` adds the new ones, ``slice`` evicts the oldest);
-    for small, already-grouped inputs."""
-    empty = F.array().cast("array<string>")
-
-    def step_fn(acc, x):
-        grown = F.concat(acc, F.array_except(x, acc))
-        return F.when(F.size(grown) > limit, F.slice(grown, -limit, limit)).otherwise(grown)
-
-    return F.aggregate(lists, empty, step_fn)
-
-
 # --- W9 - W12: stop rules ---------------------------------------------------------
 
 def loop_flag(k: int = fixed.LOOP_WINDOW, col: Column | str = "action", episode: Sequence[str] = EPISODE,
@@ -260,41 +258,24 @@ def stall_flag(k: int = fixed.STALL_WINDOW, col: str = "score", episode: Sequenc
     return (F.col("step") + 2 > k) & (F.min(col).over(w) == F.max(col).over(w))
 
 
-def first_true(df: DataFrame, flag: Column, name: str, episode: Sequence[str] = EPISODE) -> DataFrame:
-    """Add ``name`` = first step where ``flag`` holds (null if never)."""
-    w = Window.partitionBy(*episode)
-    return df.withColumn(name, F.min(F.when(flag, F.col("step"))).over(w))
-
+def stop_step(steps: DataFrame, flag: Callable[[Sequence[str]], Column], reach: int, episode: Sequence[str] = EPISODE) -> DataFrame:
+    """Per episode the first step where the rule ``flag(keys)`` fires
+    (``stop_step``, null if never) and the rows kept up to it (``kept``)."""
+    f = chunked(steps, list(episode), "step", reach, 0, lambda d, k: d.withColumn("_f", flag(k)))
+    g = f.groupBy(*episode).agg(F.min(F.when(F.col("_f"), F.col("step"))).alias("stop_step"), F.count(F.lit(1)).alias("_n"))
+    return g.select(*episode, "stop_step", F.coalesce(F.col("stop_step") + 1, F.col("_n")).cast("long").alias("kept"))
 
-def loop_stop(steps: DataFrame, k: int = fixed.LOOP_WINDOW, col: Column | str = "action",
-              episode: Sequence[str] = EPISODE) -> DataFrame:
-    """Keep the prefix up to and including the step where the loop rule
-    first fires."""
-    df = steps.withColumn("_f", loop_flag(k, col, episode))
-    df = first_true(df, F.col("_f"), "stop_step", episode)
-    return df.where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step"))).drop("_f")
 
-
-def stall_stop(steps: DataFrame, k: int = fixed.STALL_WINDOW, col: str = "score",
-               episode: Sequence[str] = EPISODE) -> DataFrame:
-    """Keep the prefix up to the step where the stall rule first fires."""
-    df = steps.withColumn("_f", stall_flag(k, col, episode))
-    df = first_true(df, F.col("_f"), "stop_step", episode)
-    return df.where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step"))).drop("_f")
-
-
-def negative_stop(steps: DataFrame, no_stop: bool = False, episode: Sequence[str] = EPISODE,
-                  score: str = "score") -> DataFrame:
-    """The first negative score ends the episode; its final score is the
-    previous score with ``no_stop``, else 0.  Adds ``neg_step`` and
-    ``final_score`` (per episode) and keeps the prefix."""
-    w = w_ep(episode)
-    df = steps.withColumn("_prev", F.coalesce(F.lag(score).over(w), F.lit(0.0)))
-    df = first_true(df, F.col(score) < 0, "neg_step", episode)
-    at_neg = F.when(F.col("step") == F.col("neg_step"), F.lit(0.0) if not no_stop else F.col("_prev"))
-    df = df.withColumn("_fs", F.max(at_neg).over(Window.partitionBy(*episode)))
-    return (df.where(F.col("neg_step").isNull() | (F.col("step") <= F.col("neg_step")))
-            .withColumnRenamed("_fs", "neg_final").drop("_prev"))
+def negative_stop(steps: DataFrame, episode: Sequence[str] = EPISODE, score: str = "score") -> DataFrame:
+    """The first negative score ends the episode (``neg_step``, ``kept`` rows);
+    its final score is 0 (``final_stop``) or, without the stop, the score before
+    (``final_no_stop``)."""
+    f = chunked(steps, list(episode), "step", 1, 0, lambda d, k: d.withColumn("_prev", F.coalesce(F.lag(score).over(w_ep(k)), F.lit(0.0))))
+    neg = F.when(F.col(score) < 0, F.col("step"))
+    g = f.groupBy(*episode).agg(F.min(neg).alias("neg_step"), F.min_by("_prev", neg).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    ended = F.col("neg_step").isNotNull()
+    return g.select(*episode, "neg_step", F.when(ended, F.lit(0.0)).alias("final_stop"), F.when(ended, F.col("_p")).alias("final_no_stop"),
+                    F.coalesce(F.col("neg_step") + 1, F.col("_n")).cast("long").alias("kept"))
 
 
 def step_cap(steps: DataFrame, limit: int) -> DataFrame:
@@ -309,69 +290,49 @@ def finals(steps: DataFrame, limit: int = 100, loop_k: int | None = fixed.LOOP_W
     negative score, loop rule, stall rule, step cap, last step) and the
     final score there.  A negative score ends first; its final score is 0
     (or the previous score with ``no_stop``)."""
-    w = w_ep(episode)
-    allw = Window.partitionBy(*episode)
-    df = steps.withColumn("_prev", F.coalesce(F.lag(score).over(w), F.lit(0.0)))
-    ends = [F.when(F.col(score) < 0, F.col("step"))]
-    if loop_k:
-        ends.append(F.when(loop_flag(loop_k, action, episode), F.col("step")))
-    if stall_k:
-        ends.append(F.when(stall_flag(stall_k, score, episode), F.col("step")))
-    ends.append(F.when(F.col("step") == 2 * limit - 1, F.col("step")))
-    df = df.withColumn("_neg", F.when(F.col(score) < 0, F.col("step")))
-    df = df.withColumn("_end", F.least(*ends))
-    # pick the row at the end step without collecting the episode
-    df = df.withColumn("end_step", F.coalesce(F.min("_end").over(allw), F.max("step").over(allw)))
-    df = df.withColumn("neg_step", F.min("_neg").over(allw))
-    at_end = df.where(F.col("step") == F.col("end_step"))
-    neg_final = F.lit(0.0) if not no_stop else F.col("_prev")
-    fs = F.when(F.col("neg_step") == F.col("end_step"), neg_final).otherwise(F.col(score))
+    reach = max(1, (loop_k or 1) - 1, (stall_k or 1) - 1)
+
+    def flags(d, keys):
+        ends = [F.when(F.col(score) < 0, F.col("step"))]
+        if loop_k:
+            ends.append(F.when(loop_flag(loop_k, action, keys), F.col("step")))
+        if stall_k:
+            ends.append(F.when(stall_flag(stall_k, score, keys), F.col("step")))
+        ends.append(F.when(F.col("step") == 2 * limit - 1, F.col("step")))
+        prev = F.coalesce(F.lag(score).over(w_ep(keys)), F.lit(0.0))
+        return d.withColumn("_end", F.least(*ends)).withColumn("_prev", prev)
+
+    df = chunked(steps, list(episode), "step", reach, 0, flags)
     keep = [c for c in ("task_no",) if c in steps.columns and c not in episode]
-    return at_end.select(*episode, *keep, "end_step", fs.alias("final_score"))
+    # the row at the first end, else the last row: partial aggregates only
+    row = F.struct("step", F.col(score).alias("score"), "_prev")
+    ended = df.groupBy(*episode, *keep).agg(
+        F.min_by(row, F.col("_end")).alias("_at"), F.min("_end").alias("_first"), F.max_by(row, "step").alias("_last"),
+        F.min(F.when(F.col(score) < 0, F.col("step"))).alias("neg_step"))
+    ended = ended.withColumn("_row", F.when(F.col("_first").isNotNull(), F.col("_at")).otherwise(F.col("_last")))
+    neg_final = F.lit(0.0) if not no_stop else F.col("_row._prev")
+    fs = F.when(F.col("neg_step") == F.col("_row.step"), neg_final).otherwise(F.col("_row.score"))
+    return ended.select(*episode, *keep, F.col("_row.step").alias("end_step"), fs.alias("final_score"))
 
 
 # --- W14: sub-goal segment markers ----------------------------------------------------
 
-def insert_markers(steps: DataFrame, episode: Sequence[str] = EPISODE, block: int | None = None) -> DataFrame:
+def insert_markers(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
     """After a step whose successor has a different sub-goal, insert an
     ``end subgoal`` / ``the current subgoal is done.`` row copying score,
     look, inventory and sub-goal; ``step`` is renumbered.  The new number is
-    the old one plus the markers before it (a running sum), so no second
-    sort is needed."""
-    w = w_ep(episode)
-    nxt = F.lead("subgoal").over(w)
-    changed = (nxt.isNotNull() & (nxt != F.col("subgoal"))).cast("int")
-    df = steps.withColumn("_chg", changed)
-    if block is None:
-        df = df.withColumn("_before", F.coalesce(F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    else:
-        # hot episodes: two-level running count over blocks of ``block`` steps
-        df = blocked_running_sum(df, list(episode), ["step"], {"_incl": F.col("_chg").cast("long")},
-                                 F.floor(F.col("step") / block))
-        df = df.withColumn("_before", (F.col("_incl") - F.col("_chg")).cast("int")).drop("_incl")
-    base = df.withColumn("is_marker", F.lit(False)).withColumn("step", (F.col("step") + F.col("_before")).cast("int"))
-    marks = (df.where(F.col("_chg") == 1)
-             .withColumn("action", F.lit(fixed.MARKER_ACTION))
-             .withColumn("observation", F.lit(fixed.MARKER_OBSERVATION))
-             .withColumn("is_marker", F.lit(True))
-             .withColumn("step", (F.col("step") + F.col("_before") + 1).cast("int")))
-    return base.unionByName(marks).drop("_chg", "_before")
-
-
-def insert_markers_from_flags(steps: DataFrame, block: int, episode: Sequence[str] = EPISODE) -> DataFrame:
-    """W14 for hot episodes: ``_nxt`` (next sub-goal) was computed on chunks;
-    marker offsets come from a two-level running count (no episode-wide
-    window)."""
-    chg = (F.col("_nxt").isNotNull() & (F.col("_nxt") != F.col("subgoal"))).cast("int")
-    df = steps.withColumn("_chg", chg).drop("_nxt")
-    df = blocked_running_sum(df, list(episode), ["step"], {"_incl": F.col("_chg").cast("long")}, F.floor(F.col("step") / block))
-    df = df.withColumn("_before", (F.col("_incl") - F.col("_chg")).cast("int")).drop("_incl")
-    base = df.withColumn("is_marker", F.lit(False)).withColumn("step", (F.col("step") + F.col("_before")).cast("int"))
+    the old one plus the markers before it (a running sum in chunks), so no
+    second sort is needed."""
+    df = chunked(steps, list(episode), "step", 0, 1, lambda d, k: d.withColumn("_nxt", F.lead("subgoal").over(w_ep(k))))
+    df = df.withColumn("_chg", (F.col("_nxt").isNotNull() & (F.col("_nxt") != F.col("subgoal"))).cast("int")).drop("_nxt")
+    df = blocked_running_sum(df, list(episode), ["step"], {"_incl": F.col("_chg").cast("long")}, F.floor(F.col("step") / BLOCK))
+    df = df.withColumn("_before", F.col("_incl") - F.col("_chg")).drop("_incl")
+    base = df.withColumn("is_marker", F.lit(False)).withColumn("step", F.col("step") + F.col("_before"))
     marks = (df.where(F.col("_chg") == 1)
              .withColumn("action", F.lit(fixed.MARKER_ACTION))
              .withColumn("observation", F.lit(fixed.MARKER_OBSERVATION))
              .withColumn("is_marker", F.lit(True))
-             .withColumn("step", (F.col("step") + F.col("_before") + 1).cast("int")))
+             .withColumn("step", F.col("step") + F.col("_before") + 1))
     return base.unionByName(marks).drop("_chg", "_before")
 
 
@@ -433,27 +394,32 @@ def clean_history(steps: DataFrame, episode: Sequence[str] = EPISODE, score: str
 
 
 def collapse_repeats(steps: DataFrame, before: int = 5, after: int = 4, episode: Sequence[str] = EPISODE,
-                     line: str = "Repeat the above action for {} times.") -> DataFrame:
+                     line: str = "Repeat the above action for {} times.", counted: Column | None = None) -> DataFrame:
     """Drop a step whose action occurs in the previous ``before`` and in
     the next ``after`` actions (not the last row); each kept row reports in
     ``repeat_line`` how many rows were dropped right before it (emitted after
     it, as in the original; a trailing dropped run is never reported).
     Form A: before 5, after 4.  Form B: before 5, after 5 and the line
-    ``Repeat the above {} times.``"""
-    w = w_ep(episode)
-    prev = F.collect_list("action").over(w.rowsBetween(-before, -1))
-    nxt = F.collect_list("action").over(w.rowsBetween(1, after))
-    dropped = F.lead("step").over(w).isNotNull() & F.array_contains(prev, F.col("action")) & F.array_contains(nxt, F.col("action"))
-    # dropped rows before each row (rows are counted, not step numbers, so
-    # gaps left by earlier filters do not count as repeats)
-    d = steps.withColumn("_d", dropped.cast("int"))
-    d = d.withColumn("_before", F.coalesce(F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    kept = d.where(F.col("_d") == 0)
-    gap = F.col("_before") - F.coalesce(F.lag("_before").over(w), F.lit(0))
+    ``Repeat the above {} times.``  Rows for which ``counted`` is false are left out
+    of the result and of the counts, but are context of the other rows."""
+    def flag(d, keys):
+        w = w_ep(keys)
+        prev = F.collect_list("action").over(w.rowsBetween(-before, -1))
+        nxt = F.collect_list("action").over(w.rowsBetween(1, after))
+        dropped = F.lead("_i").over(w).isNotNull() & F.array_contains(prev, F.col("action")) & F.array_contains(nxt, F.col("action"))
+        return d.withColumn("_d", dropped.cast("int"))
+
+    # positions are counted again: an earlier filter may have left gaps in ``step``
+    f = chunked(renumber(steps, list(episode), "step", "_i"), list(episode), "_i", before, after, flag)
+    if counted is not None:
+        f = renumber(f.where(counted).withColumnRenamed("_i", "_j"), list(episode), "_j", "_i").drop("_j")
+    # a kept row's position among the kept rows tells how many dropped rows lie between two of them
+    kept = renumber(f.where("_d = 0"), list(episode), "_i", "_k")
+    gone = F.col("_i") - F.col("_k")
+    kept = chunked(kept, list(episode), "_k", 1, 0, lambda d, k: d.withColumn("repeats", (gone - F.coalesce(F.lag(gone).over(w_ep(k, "_k")), F.lit(0))).cast("int")))
     pre, post = line.split("{}")
-    return kept.withColumn("repeats", gap.cast("int")).withColumn(
-        "repeat_line", F.when(F.col("repeats") > 0, F.concat(F.lit(pre), F.col("repeats").cast("string"), F.lit(post)))
-    ).drop("_d", "_before")
+    return kept.withColumn(
+        "repeat_line", F.when(F.col("repeats") > 0, F.concat(F.lit(pre), F.col("repeats").cast("string"), F.lit(post)))).drop("_d", "_i", "_k")
 
 
 def collapse_moves(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFrame:
@@ -464,37 +430,7 @@ def collapse_moves(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFr
     moved = o.startswith("You move to the") | o.startswith("You go to the") | o.startswith("You teleport to the")
     norm = F.when(moved, F.replace(F.replace(o, F.lit("go to"), F.lit("move to")), F.lit("teleport to"), F.lit("move to"))).otherwise(o)
     s = steps.withColumn("observation", norm).where(F.col("observation") != "The door is already open.")
-    w = w_ep(episode)
-    s = s.withColumn("_nxt", F.lead("observation").over(w))
+    s = chunked(renumber(s, list(episode), "step", "_i"), list(episode), "_i", 0, 1,
+                lambda d, k: d.withColumn("_nxt", F.lead("observation").over(w_ep(k, "_i")))).drop("_i")
     both = F.col("observation").contains("move to the") & F.coalesce(F.col("_nxt").contains("move to the"), F.lit(False))
     return s.where(~both).drop("_nxt")
-
-
-def collapse_repeats_hot(steps: DataFrame, before: int = 5, after: int = 4, episode: Sequence[str] = EPISODE,
-                         line: str = "Repeat the above action for {} times.", chunk: int = 100_000) -> DataFrame:
-    """W17 for hot episodes, without an episode-wide window: the dropped
-    flag has bounded frames (chunks with halo rows); a run of dropped rows is
-    keyed by the running count of kept rows before it (two-level running
-    sum), counted with a ``groupBy`` and joined to the kept row that follows
-    it (whose running kept count is one more)."""
-    from .skew import split_bounded
-
-    def flag(d, keys):
-        w = w_ep(keys)
-        prev = F.collect_list("action").over(w.rowsBetween(-before, -1))
-        nxt = F.collect_list("action").over(w.rowsBetween(1, after))
-        dropped = (F.lead("step").over(w).isNotNull() & F.array_contains(prev, F.col("action"))
-                   & F.array_contains(nxt, F.col("action")))
-        return d.withColumn("_d", dropped.cast("int"))
-
-    f = split_bounded(steps, list(episode), "step", before, after, flag, chunk)
-    f = blocked_running_sum(f, list(episode), ["step"], {"_k": (1 - F.col("_d")).cast("long")},
-                            F.floor(F.col("step") / chunk))
-    runs = f.where(F.col("_d") == 1).groupBy(*episode, "_k").agg(F.count(F.lit(1)).alias("_n"))
-    kept = f.where(F.col("_d") == 0).withColumn("_k", F.col("_k") - 1)
-    j = kept.join(runs, [*episode, "_k"], "left")
-    pre, post = line.split("{}")
-    return (j.withColumn("repeats", F.coalesce(F.col("_n"), F.lit(0)).cast("int"))
-            .withColumn("repeat_line", F.when(F.col("repeats") > 0,
-                                              F.concat(F.lit(pre), F.col("repeats").cast("string"), F.lit(post))))
-            .drop("_d", "_k", "_n"))

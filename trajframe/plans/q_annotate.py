@@ -35,12 +35,12 @@ ann_items as (select variation_id, sg_no, sg, act_no, action,
 
 query("explode_annotations", with_views("select variation_id, sg_no, sg, act_no, action, idx from ann_items",
                                         ANSWERS_SQL, _items_sql(False)))(
-    lambda spark, sf: L.explode_annotations(v_answers(spark, sf)).select(
+    lambda spark, sf: L.explode_annotations(v_answers(spark, sf), K).select(
         "variation_id", "sg_no", "sg", F.col("act_no").cast("long").alias("act_no"), "action", "idx"))
 
 query("explode_annotations_marked", with_views("select variation_id, sg_no, sg, act_no, action, idx from ann_items",
                                                ANSWERS_SQL, _items_sql(True)))(
-    lambda spark, sf: L.explode_annotations(v_answers(spark, sf), mark=True).select(
+    lambda spark, sf: L.explode_annotations(v_answers(spark, sf), K, mark=True).select(
         "variation_id", "sg_no", "sg", F.col("act_no").cast("long").alias("act_no"), "action", "idx"))
 
 
@@ -73,7 +73,7 @@ query("repair_annotations")(q_repair)
 
 
 def q_label(spark, sf):
-    items = L.explode_annotations(v_answers(spark, sf))
+    items = L.explode_annotations(v_answers(spark, sf), K)
     lab, _bad = L.label_steps(v_f_plain(spark, sf), items, K)
     return lab.select("variation_id", "step", "action", "subgoal")
 
@@ -101,8 +101,8 @@ where a.action is null or a.action <> f.action group by 1""", V_ANN_SQL))(q_labe
 
 
 def q_greedy(spark, sf):
-    items = L.explode_annotations(v_answers(spark, sf))
-    return L.greedy_align(v_f_plain(spark, sf), items, K).select("variation_id", "pos", "gold_step", "action", "subgoal", "is_marker")
+    items = L.explode_annotations(v_answers(spark, sf), K)
+    return L.greedy_align(v_f_plain(spark, sf), items, K).select("variation_id", "pos", "gold_step", "action", "subgoal", "is_marker", "answer")
 
 
 query("greedy_align")(q_greedy)
@@ -131,8 +131,12 @@ def q_annotate(spark, sf):
     def answer_fn(need):
         return need.join(answers, K, "inner")
 
-    labelled, _fresh = L.annotate(v_f_plain(spark, sf), cache, answer_fn, K)
-    return labelled.select("variation_id", "step", "action", "subgoal", "source")
+    def gap_fn(gaps):
+        acts = F.array_join(F.transform("missed", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
+        return gaps.select(*K, "gap_start", F.concat(F.lit("1- fill("), F.col("gap_start").cast("string"), F.lit("): {"), acts, F.lit("} ")).alias("answer"))
+
+    labelled, _fresh, _report = L.annotate(v_f_plain(spark, sf), cache, answer_fn, gap_fn, K)
+    return labelled.select("variation_id", "step", "action", "subgoal", "source", "is_marker")
 
 
 query("annotate_batch")(q_annotate)

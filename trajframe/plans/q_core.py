@@ -17,18 +17,19 @@ from ..operators import sampling as T
 from ..operators import windows as W
 from ..operators.compose import RECIPES, compose
 from ..operators.joins import drop_invalid_focus, exclude_recent, extend_valid, with_real_id
+from ..operators.blocks import BLOCK
 from ..sources.tables import task_dimension
 from .catalog import query
 from .q_compose import HIST_STATE, ROOMS_CTE, SG_CTE, hist_cte
 from .sqlviews import formalize_sql, strip_sql, trunc100_sql, with_views, with_views_rec
-from .views import over_parts, v_cands, v_eps, v_f, v_f_plain, v_pairs, v_steps, with_tasks
+from .views import over_chunks, v_cands, v_eps, v_f, v_f_plain, v_pairs, v_steps, with_tasks
 
 EP = ["task_no", "variation_id"]
 
 # ============================================================== filters (F)
 
 query("filter_noise_steps", with_views("select task_no, variation_id, pos, step, action from v_f"))(
-    lambda spark, sf: v_f_plain(spark, sf).select("task_no", "variation_id", "pos", "step", "action"))
+    lambda spark, sf: v_f_plain(spark, sf, position=True).select("task_no", "variation_id", "pos", "step", "action"))
 
 query("filter_short_episodes", with_views(
     "select task_no, variation_id, step from v_f where variation_id in "
@@ -78,7 +79,7 @@ query("project_step_io", with_views(
     "select variation_id, step, action, prev_action, prev_observation, inventory from ("
     "select *, lag(action) over w as prev_action, lag(observation) over w as prev_observation from v_f "
     "window w as (partition by variation_id order by step)) where step >= 1"))(
-    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.step_io(d, k), 1, 0).select(
+    lambda spark, sf: over_chunks(spark, sf, lambda d, k: W.step_io(d, k), 1, 0).select(
         "variation_id", "step", "action", "prev_action", "prev_observation", "inventory"))
 
 
@@ -152,18 +153,15 @@ demos as (select f.task_no, string_agg(coalesce({formalize_sql('f.action')}, 'No
 # ============================================================== windows (W)
 
 
-def _hist(spark, sf):
-    return W.with_history_state(v_f(spark, sf))
-
-
 def q_win_history(spark, sf):
-    h = _hist(spark, sf)
-    w = W.w_ep()
-    pre = w.rowsBetween(Window.unboundedPreceding, -1)
-    return h.select("variation_id", "step",
-                    F.count(F.lit(1)).over(pre).alias("n_items"),
-                    F.concat(F.lag("h_action").over(w), F.lit(" --> "), F.lag("h_obs").over(w)).alias("last_item"),
-                    (F.round(F.sum("reward").over(pre), 6) + F.lit(0.0)).alias("reward_sum")).where(F.col("step") >= 1)
+    def items(d, k):
+        h, w = W.with_history_state(d, k), W.w_ep(k)
+        return h.withColumn("last_item", F.concat(F.lag("h_action").over(w), F.lit(" --> "), F.lag("h_obs").over(w)))
+
+    h = over_chunks(spark, sf, items, 2, 0)
+    h = W.blocked_running_sum(h, EP, ["step"], {"_sum": F.col("reward")}, F.floor(F.col("step") / BLOCK))
+    return h.where(F.col("step") >= 1).select("variation_id", "step", F.col("step").alias("n_items"), "last_item",
+                                              (F.round(F.col("_sum") - F.col("reward"), 6) + F.lit(0.0)).alias("reward_sum"))
 
 
 query("win_history", with_views(
@@ -174,31 +172,31 @@ query("win_history", with_views(
     HIST_STATE))(q_win_history)
 
 query("win_reward", with_views(f"select variation_id, step, round(reward, 6) as reward, {trunc100_sql('reward')} as reward_pct from h2", HIST_STATE))(
-    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.with_history_state(d, k), 1, 0).select(
+    lambda spark, sf: over_chunks(spark, sf, lambda d, k: W.with_history_state(d, k), 1, 0).select(
         "variation_id", "step", F.round("reward", 6).alias("reward"), W.trunc100(F.col("reward")).alias("reward_pct")))
 
 query("win_last_k", with_views("select h2.variation_id, h2.step, hist.history from h2 join hist using (variation_id, step) where h2.step >= 1",
                                HIST_STATE, hist_cte(10, False)))(
-    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.add_history(W.with_history_state(d, k), 10, False, k), 11, 0)
+    lambda spark, sf: over_chunks(spark, sf, lambda d, k: W.add_history(W.with_history_state(d, k), 10, False, k), 11, 0)
     .where(F.col("step") >= 1).select("variation_id", "step", "history"))
 
 query("win_next_subgoal", with_views("select variation_id, step, next_subgoal from h2", HIST_STATE))(
-    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.with_next_subgoal(d, k), 0, 1).select(
+    lambda spark, sf: over_chunks(spark, sf, lambda d, k: W.with_next_subgoal(d, k), 0, 1).select(
         "variation_id", "step", "next_subgoal"))
 
 query("win_subgoal_runs", with_views("select variation_id, step, n_sg, sg_all as subgoals from sgrun", HIST_STATE, SG_CTE))(
-    lambda spark, sf: W.with_subgoal_runs(v_f_plain(spark, sf)).select(
+    lambda spark, sf: W.subgoal_runs(v_f_plain(spark, sf)).select(
         "variation_id", "step", F.size("subgoals").cast("long").alias("n_sg"), F.array_join("subgoals", ", ").alias("subgoals")))
 
 query("win_returns_to_go", with_views(
     "select variation_id, step, round(1.0 - lag(score) over (partition by variation_id order by step), 2) as returns_to_go from v_f"))(
-    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.with_history_state(d, k), 1, 0).select(
+    lambda spark, sf: over_chunks(spark, sf, lambda d, k: W.with_history_state(d, k), 1, 0).select(
         "variation_id", "step", "returns_to_go"))
 
 query("win_visited_rooms", with_views(
     "select h2.variation_id, h2.step, pl.places from h2 left join places pl using (variation_id, step) where h2.step >= 1",
     HIST_STATE, ROOMS_CTE))(
-    lambda spark, sf: W.with_rooms(v_f_plain(spark, sf)).where(F.col("step") >= 1).select(
+    lambda spark, sf: W.visited_rooms(v_f_plain(spark, sf)).where(F.col("step") >= 1).select(
         "variation_id", "step", F.when(F.size("places") > 0, F.array_join("places", ", ")).alias("places")))
 
 
@@ -234,18 +232,6 @@ query("win_seen_objects_final", with_views_rec(
         "variation_id", F.array_join("objects", ", ").alias("objects")))
 
 
-def _stop_summary(df, stop="stop_step"):
-    return df.groupBy("variation_id").agg(F.max(stop).alias(stop), F.count(F.lit(1)).alias("kept"))
-
-
-def _flag_summary(flags):
-    """First firing step and kept rows per episode from per-row flags, as
-    partial aggregates (steps are dense 0..n-1, so kept = stop + 1)."""
-    g = flags.groupBy("variation_id").agg(F.min(F.when(F.col("_f"), F.col("step"))).alias("stop_step"),
-                                          F.count(F.lit(1)).alias("_n"))
-    return g.select("variation_id", "stop_step", F.coalesce(F.col("stop_step") + 1, F.col("_n")).cast("long").alias("kept"))
-
-
 LOOP_K = 5
 query("win_loop_stop", with_views(f"""
 select variation_id, min(case when fired then step end) as stop_step,
@@ -255,8 +241,7 @@ select variation_id, min(case when fired then step end) as stop_step,
              then list_prepend('look around', l) else l end)) = 2 as fired
     from (select variation_id, step, list(action) over (partition by variation_id order by step rows between {LOOP_K - 1} preceding and current row) as l from v_f)))
 group by variation_id"""))(
-    lambda spark, sf: _flag_summary(over_parts(spark, sf, lambda d, k: d.withColumn("_f", W.loop_flag(LOOP_K, "action", k)),
-                                               LOOP_K - 1, 0)))
+    lambda spark, sf: W.stop_step(v_f_plain(spark, sf), lambda k: W.loop_flag(LOOP_K, "action", k), LOOP_K - 1, ["variation_id"]))
 
 LOOP_WORD_K = 10
 query("win_loop_stop_words", with_views(f"""
@@ -267,9 +252,8 @@ select variation_id, min(case when fired then step end) as stop_step,
              then list_prepend('look around', l) else l end)) = 2 as fired
     from (select variation_id, step, list(split_part(action, ' ', 1)) over (partition by variation_id order by step rows between {LOOP_WORD_K - 1} preceding and current row) as l from v_f)))
 group by variation_id"""))(
-    lambda spark, sf: _flag_summary(over_parts(
-        spark, sf, lambda d, k: d.withColumn("_f", W.loop_flag(LOOP_WORD_K, F.split("action", " ").getItem(0), k)),
-        LOOP_WORD_K - 1, 0)))
+    lambda spark, sf: W.stop_step(v_f_plain(spark, sf), lambda k: W.loop_flag(LOOP_WORD_K, F.split("action", " ").getItem(0), k),
+                                  LOOP_WORD_K - 1, ["variation_id"]))
 
 STALL_K = 2
 query("win_stall_stop", with_views(f"""
@@ -279,20 +263,7 @@ select variation_id, min(case when fired then step end) as stop_step,
     select variation_id, step, step + 2 > {STALL_K} and min(score) over w = max(score) over w as fired
     from v_f window w as (partition by variation_id order by step rows between {STALL_K - 1} preceding and current row)))
 group by variation_id"""))(
-    lambda spark, sf: _flag_summary(over_parts(spark, sf, lambda d, k: d.withColumn("_f", W.stall_flag(STALL_K, "score", k)),
-                                               STALL_K - 1, 0)))
-
-def q_negative_stop(spark, sf):
-    """W11 with a bounded lag and partial aggregates: first negative step,
-    final score 0 (stop) or the previous score (no_stop), kept rows."""
-    f = over_parts(spark, sf, lambda d, k: d.withColumn("_prev", F.coalesce(F.lag("score").over(W.w_ep(k)), F.lit(0.0))), 1, 0)
-    neg = F.when(F.col("score") < 0, F.col("step"))
-    g = f.groupBy("variation_id").agg(F.min(neg).alias("neg_step"), F.min_by("_prev", neg).alias("_p"),
-                                      F.count(F.lit(1)).alias("_n"))
-    return g.select("variation_id", "neg_step", F.when(F.col("neg_step").isNotNull(), F.lit(0.0)).alias("final_stop"),
-                    F.coalesce(F.col("neg_step") + 1, F.col("_n")).cast("long").alias("kept"),
-                    F.when(F.col("neg_step").isNotNull(), F.col("_p")).alias("final_no_stop"))
-
+    lambda spark, sf: W.stop_step(v_f_plain(spark, sf), lambda k: W.stall_flag(STALL_K, "score", k), STALL_K - 1, ["variation_id"]))
 
 query("win_negative_stop", with_views("""
 select variation_id, min(neg) as neg_step, max(case when step = n then prev end) as final_no_stop,
@@ -300,7 +271,8 @@ select variation_id, min(neg) as neg_step, max(case when step = n then prev end)
   select *, min(neg) over (partition by variation_id) as n from (
     select variation_id, step, case when score < 0 then step end as neg,
            coalesce(lag(score) over (partition by variation_id order by step), 0.0) as prev from v_f))
-group by variation_id"""))(q_negative_stop)
+group by variation_id"""))(
+    lambda spark, sf: W.negative_stop(v_f_plain(spark, sf), ["variation_id"]))
 
 STEP_LIMIT = 20
 query("win_step_cap", with_views(f"select variation_id, step from v_f where step < 2 * {STEP_LIMIT}"))(
@@ -314,27 +286,7 @@ select task_no, variation_id, fold from (
     lambda spark, sf: T.cap_test_episodes(v_eps(spark, sf), TEST_CAP))
 
 def q_markers(spark, sf):
-    """W14; hot episodes: lead on chunks with a halo row, marker offsets by a
-    two-level running count."""
-    from ..operators.skew import hot_chunk_setting
-    from .views import v_f_parts
-    out = None
-    for steps, hot in v_f_parts(spark, sf):
-        if hot:
-            chunk = hot_chunk_setting(spark)
-            flags = split_bounded_lead(steps, chunk)
-            part = W.insert_markers_from_flags(flags, chunk)
-        else:
-            part = W.insert_markers(steps)
-        part = part.select("variation_id", "step", "action", "subgoal", "is_marker")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def split_bounded_lead(steps, chunk):
-    from ..operators.skew import split_bounded
-    return split_bounded(steps, ["task_no", "variation_id"], "step", 0, 1,
-                         lambda d, k: d.withColumn("_nxt", F.lead("subgoal").over(W.w_ep(k))), chunk)
+    return W.insert_markers(v_f_plain(spark, sf)).select("variation_id", "step", "action", "subgoal", "is_marker")
 
 
 query("win_segment_markers", with_views("""
@@ -367,19 +319,11 @@ select variation_id, step, a2 as action, o2 as observation from (
     from v_f window w as (partition by variation_id order by step)))
 where not (starts_with(action, 'examine') or (starts_with(a2, 'open door') and score < 0)
            or ((coalesce(n1 = a2, false) or coalesce(n2 = a2, false)) and score >= 0))"""))(
-    lambda spark, sf: over_parts(spark, sf, lambda d, k: W.clean_history(d, k), 0, 2).select(
+    lambda spark, sf: over_chunks(spark, sf, lambda d, k: W.clean_history(d, k), 0, 2).select(
         "variation_id", "step", "action", "observation"))
 
 def q_repeat_collapse(spark, sf):
-    from ..operators.skew import hot_chunk_setting
-    from .views import v_f_parts
-    out = None
-    for steps, hot in v_f_parts(spark, sf):
-        part = (W.collapse_repeats_hot(steps, 5, 4, chunk=hot_chunk_setting(spark)) if hot
-                else W.collapse_repeats(steps, 5, 4))
-        part = part.select("variation_id", "step", "action", "repeats", "repeat_line")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return W.collapse_repeats(v_f_plain(spark, sf), 5, 4).select("variation_id", "step", "action", "repeats", "repeat_line")
 
 
 query("win_repeat_collapse", with_views("""
@@ -408,9 +352,8 @@ where not (contains(observation, 'move to the') and coalesce(contains(nxt, 'move
 
 
 def q_exclude_recent(spark, sf):
-    f = v_f_plain(spark, sf)
-    w = W.w_ep().rowsBetween(-2, 0)
-    recent = (f.withColumn("_l", F.collect_list("action").over(w)).where(F.col("step") % 5 == 4)
+    recent = (over_chunks(spark, sf, lambda d, k: d.withColumn("_l", F.collect_list("action").over(W.w_ep(k).rowsBetween(-2, 0))), 2, 0)
+              .where(F.col("step") % 5 == 4)
               .select("variation_id", F.floor(F.col("step") / 5).cast("long").alias("grp"), F.explode("_l").alias("action")))
     return exclude_recent(v_cands(spark, sf), recent, ["variation_id", "grp"])
 
@@ -598,12 +541,12 @@ group by task_no, variation_id"""))(
 
 def q_random_subgoal(spark, sf):
     f = v_f_plain(spark, sf)
-    return T.inject_random(f, A.subgoal_vocab(f), 10, 1).select("variation_id", "step", "subgoal")
+    return T.inject_random(f, A.subgoal_vocab(f), 10, 1, ["variation_id"]).select("variation_id", "step", "subgoal")
 
 
 query("topk_random_subgoal", with_views("""
 select f.variation_id, f.step, coalesce(v.subgoal, f.subgoal) as subgoal from v_f f
-left join (select subgoal, row_number() over (order by subgoal) - 1 as r from (select distinct subgoal from v_f)) v
+left join (select subgoal, row_number() over (order by md5(subgoal), subgoal) - 1 as r from (select distinct subgoal from v_f)) v
   on f.step % 10 = 0 and v.r = (('0x' || substr(md5(concat_ws('|', '1', cast(f.variation_id as varchar), cast(f.step as varchar))), 1, 8))::bigint
                                 % (select count(distinct subgoal) from v_f))"""))(q_random_subgoal)
 

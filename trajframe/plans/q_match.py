@@ -92,19 +92,31 @@ def _rules_sql() -> str:
     no_rooms = f"(case when contains({a}, ' unknown substance ') then {unknown} else {a} end)"
     for r in fixed.ROOMS:
         no_rooms = f"replace({no_rooms}, 'in {r}', '')"
+    held = f"regexp_replace({a}, '^\\S+\\s+\\S+\\s*', '')"
+    place = f"instr(freelook, {held})"
+    ahead = f"substr(freelook, 1, {place} - 1)"
+    last = lambda c: f"(length({ahead}) - instr(reverse({ahead}), '{c}') + 1)"
+    box = f"substr(freelook, greatest({last('(')} - 1, 1), greatest({last(')')} - {last('(')} + 2, 0))"
+    inside = (f"(starts_with({a}, 'pick up') and {held} <> '' and {place} > 0 and substr(freelook, {place} - 8, 7) = 'called ' "
+              f"and contains({ahead}, '(') and contains({ahead}, ')'))")
+    b = f"(case when {inside} then replace({a}, {held}, {box}) else {a} end)"
+    moves = f"(starts_with({a}, 'move') and contains({a}, 'to'))"
     rules = [
         (1, f"case when starts_with({a}, 'wait') then 'wait' end", False),
         (2, a, True),
         (3, f"replace(replace(replace({a}, 'green house', 'greenhouse'), 'adult', 'adult adult'), 'baby', 'baby baby')", True),
         (4, f"case when starts_with({a}, 'go to') then replace({a}, 'go to', 'teleport to') end", True),
         (5, f"case when starts_with({a}, 'go to') then replace({a}, 'go to', 'open door to') end", True),
-        (6, f"case when starts_with({a}, 'focus on') and instr({inv}, {strip_sql(f"replace({a}, 'focus on', '')")}) > 0 "
+        (6, f"case when starts_with({a}, 'pick up') then {b} end", True),
+        (7, f"case when starts_with({a}, 'pick up') then replace({b}, 'substance in ', '') end", True),
+        (8, f"case when starts_with({a}, 'focus on') and instr({inv}, {strip_sql(f"replace({a}, 'focus on', '')")}) > 0 "
             "then 'focus on substance in inventory' end", True),
-        (7, f"case when starts_with({a}, 'move') and contains({a}, 'to') and {move_obj} <> '' and instr({inv}, {move_obj}) > 0 "
+        (9, f"case when {moves} and {move_obj} <> '' and instr({inv}, {move_obj}) > 0 "
             f"then replace({a}, {move_obj}, 'substance in inventory') end", True),
-        (8, cut_in, True),
-        (9, f"case when contains({a}, ' unknown substance ') then {unknown} end", True),
-        (10, no_rooms, False),
+        (10, f"case when {moves} and not regexp_matches({a}, 'move (.*?) to') then {a} end", False),
+        (11, cut_in, True),
+        (12, f"case when contains({a}, ' unknown substance ') then {unknown} end", True),
+        (13, no_rooms, False),
     ]
     return " union all ".join(
         f"select variation_id, grp, a as action, {n} as rule, {e} as rewritten, {str(t).lower()} as needs_valid from ri"
@@ -230,13 +242,13 @@ from (select distinct variation_id from v_steps) e
 left join (select * from c1 where length(answer) > 0) c1 using (variation_id)
 left join (select * from c2 where length(answer) > 0) c2 using (variation_id)
 left join (select * from c3 where length(answer) > 0) c3 using (variation_id)""", ANSWERS_SQL, CACHES_SQL))(
-    lambda spark, sf: J.resolve_annotations(v_eps(spark, sf).select("variation_id"), _caches(spark, sf)).select(
+    lambda spark, sf: J.resolve_annotations(v_eps(spark, sf).select("variation_id"), _caches(spark, sf), ["variation_id"]).select(
         "variation_id", F.col("answer").isNotNull().alias("resolved"), "source", F.md5("answer").alias("answer_md5")))
 
 query("join_annotation_missing", with_views("""
 select variation_id from (select distinct variation_id from v_steps) e
 where not exists (select 1 from c1 where c1.variation_id = e.variation_id and length(c1.answer) > 0)""", ANSWERS_SQL, CACHES_SQL))(
-    lambda spark, sf: J.annotation_requests(v_eps(spark, sf).select("variation_id"), _caches(spark, sf)[0][1]))
+    lambda spark, sf: J.annotation_requests(v_eps(spark, sf).select("variation_id"), _caches(spark, sf)[0][1], ["variation_id"]))
 
 # ============================================================== X jobs
 

@@ -4,6 +4,8 @@ dataset recipes (C16)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from ..sources.tables import table, task_dimension
 from ..streaming import state as R
 from .catalog import query
 from .q_compose import compose_sql
+from .q_core import _demos
 from .sqlviews import with_views
 from .views import v_cands, v_f, v_f_plain, v_preds, v_steps, with_tasks
 
@@ -62,17 +65,25 @@ def _examples(spark, sf):
         "fold", "step")
 
 
-EXAMPLES_SQL = compose_sql(RECIPES["action_raw_norooms"])
+COMPOSED_SQL = EXAMPLES_SQL = compose_sql(RECIPES["action_raw_norooms"])
+
+#: Sum of a 32-bit hash of every example's text: equal contents, not only equal counts.
+CONTENT_SQL = "sum(('0x' || substr(md5(concat_ws('|', input, target)), 1, 8))::bigint)::bigint as content"
+
+
+def content():
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", "input", "target")), 1, 8), 16, 10).cast("long")).alias("content")
 
 
 def q_sink_examples(spark, sf):
     d = K.scratch_dir(spark, "examples")
     K.write_examples(_examples(spark, sf).drop("task_group", "step"), d)
     back = spark.read.json(d)  # partition columns come back from the folder names
-    return back.groupBy("fold", "task_real_id").agg(F.count(F.lit(1)).alias("n"))
+    return back.groupBy("fold", "task_real_id").agg(F.count(F.lit(1)).alias("n"), content())
 
 
-query("sink_examples", with_views("select fold, task_real_id, count(*) as n from v_ft where step >= 1 group by 1, 2"))(q_sink_examples)
+query("sink_examples", with_views(f"select x.fold, t.task_real_id, count(*) as n, {CONTENT_SQL} "
+                                  f"from ({COMPOSED_SQL}) x join tasks t on x.task_no = t.task_no group by 1, 2"))(q_sink_examples)
 
 
 def q_src_examples(spark, sf):
@@ -95,15 +106,14 @@ def q_src_by_suffix(spark, sf):
     # partition on copies so every line keeps its own task_real_id, as in the original files
     named.select("input", "target", "task_id", "variation_id", "task_real_id",
                  F.col("task_real_id").alias("_t"), F.col("fold").alias("_s")).write.partitionBy("_t", "_s").json(stage)
-    K.rename_parts(spark, stage, flat, lambda p, n: f"{p['_t']}-{n:05d}.{p['_s']}.json")
-    val = S.read_split(spark, flat, "val").withColumn("split", F.lit("val"))
-    test = S.read_split(spark, flat, "test").withColumn("split", F.lit("test"))
-    return val.unionByName(test).groupBy("split", "task_real_id").agg(F.count(F.lit(1)).alias("n"))
+    K.rename_parts(spark, stage, flat, lambda p, n: f"{p['_s'].split('.')[0]}/{p['_t']}-{n:05d}.{p['_s']}.json")
+    read = [S.read_split(spark, flat, s).withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
+    return reduce(lambda a, b: a.unionByName(b), read).groupBy("split", "task_real_id").agg(F.count(F.lit(1)).alias("n"), content())
 
 
 query("src_by_suffix", with_views(
-    "select case fold when 'dev' then 'val' else fold end as split, task_real_id, count(*) as n from v_ft "
-    "where step >= 1 and fold in ('dev', 'test') group by 1, 2"))(q_src_by_suffix)
+    "select case x.fold when 'dev' then 'val' else x.fold end as split, t.task_real_id, count(*) as n, " + CONTENT_SQL +
+    f" from ({COMPOSED_SQL}) x join tasks t on x.task_no = t.task_no group by 1, 2"))(q_src_by_suffix)
 
 # ============================================================== K2
 
@@ -113,13 +123,15 @@ def q_sink_by_group(spark, sf):
     K.write_groups(_examples(spark, sf).drop("task_real_id"), d, mini_n=20)
     back = spark.read.json(d)
     return back.groupBy(F.col("task_group").cast("string").alias("task_group"), F.col("fold").alias("split")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), content())
 
 
 query("sink_by_group", with_views("""
-select task_group, fold as split, count(*) as n from v_ft where step >= 1 group by 1, 2
+select task_group, fold as split, count(*) as n, {c} from gx group by 1, 2
 union all
-select task_group, 'dev.mini' as split, least(count(*), 20) as n from v_ft where step >= 1 and fold = 'dev' group by 1"""))(q_sink_by_group)
+select task_group, 'dev.mini' as split, count(*) as n, {c} from (
+  select * from gx where fold = 'dev' qualify row_number() over (partition by task_group order by variation_id, step) <= 20) group by 1""".replace("{c}", CONTENT_SQL),
+    f"gx as (select x.*, split_part(t.task_real_id, '-', 1) as task_group from ({COMPOSED_SQL}) x join tasks t on x.task_no = t.task_no)"))(q_sink_by_group)
 
 # ============================================================== S4 / K3 annotation cache
 
@@ -175,7 +187,7 @@ query("sink_annotation_append", with_views("select distinct variation_id, 1::big
 def q_src_messages(spark, sf):
     d = K.scratch_dir(spark, "messages")
     c = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").withColumnRenamed("text", "content")
-    c.repartition(4).write.json(d)   # file order is scrambled on purpose
+    c.repartition(F.xxhash64("turn")).write.json(d)   # file order is scrambled on purpose
     m = S.read_messages(spark, d)
     w = Window.partitionBy("conv_id").orderBy("turn")
     return m.select("conv_id", "turn", "role", F.lag("role").over(w).alias("prev_role"))
@@ -252,7 +264,7 @@ query("sink_run_history", with_views("select variation_id, count(*) as rows, tru
 # ============================================================== C13 / C15 history prompts
 
 
-query("prompt_next_actions")(lambda spark, sf: history_block(v_f_plain(spark, sf)))
+query("prompt_next_actions")(lambda spark, sf: history_block(v_f_plain(spark, sf), demos=_demos(spark, sf)))
 
 def q_prompt_select(spark, sf):
     f = v_f_plain(spark, sf).select("variation_id", "step", "freelook", "inventory", F.col("subgoal").alias("goal"))
@@ -326,7 +338,7 @@ def _stream_input(spark, sf):
     files), then two late heartbeat files that move the watermark past every
     real row, so all episodes are flushed and closed."""
     d = K.scratch_dir(spark, "events-stream")
-    table(spark, sf, "events").repartition(4).write.parquet(d)
+    table(spark, sf, "events").repartition(F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(d)
     for i in (0, 1):
         hb = spark.createDataFrame([(-1 - i, "2100-01-01 00:00:00", -1, "signup", 0.0, '{"k": 50}')],
                                    "event_id long, ts string, user_id long, event_type string, value double, props string")

@@ -17,7 +17,7 @@ r as (
 select user_id as variation_id, user_id % 30 as task_no,
   case when cast(floor(user_id / 30) as int) % 5 in (1, 4) then 'test'
        when cast(floor(user_id / 30) as int) % 5 = 3 then 'dev' else 'train' end as fold,
-  cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as pos,
+  row_number() over (partition by user_id order by ts, event_id) - 1 as pos,
   case event_type when 'view' then 'look around'
        when 'error' then case when k % 2 = 0 then concat('close door to ', room) else concat('eat ', obj) end
        when 'click' then case k % 3 when 0 then concat('go to ', room) when 1 then concat('teleport to ', room) else concat('open door to ', room) end
@@ -34,7 +34,7 @@ from r)"""
 
 V_F_PLAIN = """
 v_f as (
-  select *, cast(row_number() over (partition by variation_id order by pos) - 1 as int) as step
+  select *, row_number() over (partition by variation_id order by pos) - 1 as step
   from v_steps where not (action = 'look around' or starts_with(action, 'close door')))"""
 
 

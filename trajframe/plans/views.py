@@ -4,11 +4,11 @@ parquet scans are pruned, and returns a lazy DataFrame."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
-from ..operators.skew import hot_rows_setting, split_source
+from ..operators.blocks import chunked, number
 from ..sources.tables import events_as_steps, table, task_description, task_dimension
 
 
@@ -17,16 +17,12 @@ def v_steps(spark: SparkSession, sf: str) -> DataFrame:
     return events_as_steps(ev)
 
 
-def v_f_parts(spark: SparkSession, sf: str) -> list[tuple[DataFrame, bool]]:
-    """``v_f`` split once at the source into its cold part and its hot part
-    (episodes above ``trajframe.hotEpisodeRows`` events); the hot part is
-    numbered without sorting an episode in one task."""
+def _numbered(spark: SparkSession, sf: str, position: bool) -> DataFrame:
+    """F1 on the events: noise dropped, then ``step`` numbered in blocks; long
+    episodes keep ``_nb`` (see ``operators.blocks``)."""
     ev = table(spark, sf, "events", "user_id", "event_id", "ts", "event_type", "props")
-    out = []
-    for part, hot in split_source(ev, ["user_id"], hot_rows_setting(spark)):
-        steps = W.drop_noise_steps(events_as_steps(part, all_hot=hot), all_hot=hot)
-        out.append((with_tasks(steps, spark), hot))
-    return out
+    kept = events_as_steps(ev, position, order=True).where(W.not_noise())
+    return number(kept, ["variation_id"], ["ts", "event_id"], "step").drop("ts", "event_id", "_blk")
 
 
 def with_tasks(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -36,19 +32,19 @@ def with_tasks(df: DataFrame, spark: SparkSession) -> DataFrame:
     return out.withColumn("task_desc", task_description(F.col("task_name")))
 
 
-def v_f(spark: SparkSession, sf: str) -> DataFrame:
+def v_f(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
     """F1 on v_steps with the dense ``step`` number (plus task columns)."""
-    return with_tasks(W.drop_noise_steps(v_steps(spark, sf)), spark)
+    return with_tasks(_numbered(spark, sf, position), spark)
 
 
-def v_f_plain(spark: SparkSession, sf: str) -> DataFrame:
-    return W.drop_noise_steps(v_steps(spark, sf))
+def v_f_plain(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
+    return _numbered(spark, sf, position)
 
 
 def v_eps(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct episodes with their position in corpus order within the task."""
-    eps = v_steps(spark, sf).select("variation_id", "task_no", "fold").distinct()
-    return eps
+    ev = table(spark, sf, "events", "user_id", "event_id", "ts", "event_type", "props")
+    return events_as_steps(ev, position=False).select("variation_id", "task_no", "fold").distinct()
 
 
 def v_preds(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,10 +65,9 @@ def v_cands(spark: SparkSession, sf: str) -> DataFrame:
 
 def v_pairs(spark: SparkSession, sf: str) -> DataFrame:
     f = v_f_plain(spark, sf)
-    w = Window.partitionBy("variation_id").orderBy("step")
-    return (f.select("task_no", "variation_id", "step", F.col("action").alias("prediction"),
-                     F.lead("action").over(w).alias("target"))
-            .where(F.col("target").isNotNull()))
+    nxt = chunked(f.select("task_no", "variation_id", "step", "action", "_nb"), ["variation_id"], "step", 0, 1,
+                  lambda d, k: d.withColumn("target", F.lead("action").over(W.w_ep(k))))
+    return nxt.where(F.col("target").isNotNull()).select("task_no", "variation_id", "step", F.col("action").alias("prediction"), "target")
 
 
 def v_vecs(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,14 +79,6 @@ def v_vecs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def over_parts(spark: SparkSession, sf: str, op, before: int, after: int, episode=("task_no", "variation_id")) -> DataFrame:
-    """Run a bounded-frame window operator ``op(steps, episode_keys)`` over
-    ``v_f``: directly on the cold part, on chunks with halo rows for the
-    hot part (``skew.split_bounded``), unioned."""
-    from ..operators.skew import hot_chunk_setting, split_bounded
-    chunk = hot_chunk_setting(spark)
-    out = None
-    for steps, hot in v_f_parts(spark, sf):
-        d = split_bounded(steps, list(episode), "step", before, after, op, chunk) if hot else op(steps, list(episode))
-        out = d if out is None else out.unionByName(d)
-    return out
+def over_chunks(spark: SparkSession, sf: str, op, before: int, after: int, episode=("task_no", "variation_id")) -> DataFrame:
+    """Run a bounded-frame window operator ``op(steps, keys)`` over ``v_f`` in chunks."""
+    return chunked(v_f_plain(spark, sf), list(episode), "step", before, after, op)

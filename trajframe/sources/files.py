@@ -49,15 +49,20 @@ def read_gold(spark: SparkSession, path: str, one_object_per_file: bool = True)
     one record (``one_object_per_file=False`` reads one object per line, the
     splittable form for large corpora).  Output: task_id, task_name, task_idx, variation_id,
     task_desc, fold, episode_pos (corpus order), pos, step fields, and
-    ``score`` cast to double (it may arrive as text)."""
+    ``score`` cast to double (it may arrive as text).  A malformed object fails
+    the job; ``source_file`` and, inside it, ``task_pos`` and ``episode_pos`` give
+    the corpus order."""
     raw = spark.read.option("wholetext", "true" if one_object_per_file else "false").text(path)
-    tasks = raw.select(F.explode(F.from_json("value", GOLD_SCHEMA)).alias("task_id", "t"))
-    eps = tasks.select("task_id", F.col("t.taskName").alias("task_name"), F.col("t.taskIdx").alias("task_idx"),
+    objects = F.from_json("value", GOLD_SCHEMA, {"mode": "FAILFAST"})
+    tasks = (raw.where(F.length(F.trim("value")) > 0).select(F.col("_metadata.file_name").alias("source_file"), objects.alias("o"))
+             .select("source_file", F.posexplode(F.map_entries("o")).alias("task_pos", "_e"))
+             .select("source_file", "task_pos", F.col("_e.key").alias("task_id"), F.col("_e.value").alias("t")))
+    eps = tasks.select("source_file", "task_pos", "task_id", F.col("t.taskName").alias("task_name"), F.col("t.taskIdx").alias("task_idx"),
                        F.posexplode("t.goldActionSequences").alias("episode_pos", "e"))
-    steps = eps.select("task_id", "task_name", "task_idx", "episode_pos",
+    steps = eps.select("source_file", "task_pos", "task_id", "task_name", "task_idx", "episode_pos",
                        F.col("e.variationIdx").alias("variation_id"), F.col("e.taskDescription").alias("task_desc"),
                        F.col("e.fold").alias("fold"), F.posexplode("e.path").alias("pos", "s"))
-    return steps.select("task_id", "task_name", "task_idx", "episode_pos", "variation_id", "task_desc", "fold",
+    return steps.select("source_file", "task_pos", "task_id", "task_name", "task_idx", "episode_pos", "variation_id", "task_desc", "fold",
                         F.col("pos").cast("int").alias("pos"), "s.action", "s.observation",
                         F.col("s.score").try_cast("double").alias("score"),
                         F.col("s.isCompleted").alias("isCompleted"), "s.freelook", "s.inventory")
@@ -76,11 +81,12 @@ def read_examples(spark: SparkSession, paths: str | Sequence[str], schema: T.Str
 
 
 def read_split(spark: SparkSession, directory: str, split: str, schema: T.StructType = EXAMPLE_SCHEMA) -> DataFrame:
-    """S3: all ``*.<split>.json`` files of a directory.  ``val`` therefore
-    excludes ``*.val.mini.json``; train/test take every ``.json`` of the split.
-    Adds ``source_file`` (from the file metadata)."""
-    df = (spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", f"*.{split}.json")
-          .json(directory))
+    """S3: the example files of ``<directory>/<split>``.  ``val`` takes ``*.val.json``
+    only (not ``*.val.mini.json``), train and test take every ``.json``.  Adds
+    ``source_file`` (from the file metadata)."""
+    pattern = "*.val.json" if split == "val" else "*.json"
+    df = (spark.read.schema(schema).option("mode", "FAILFAST").option("pathGlobFilter", pattern)
+          .json(f"{directory}/{split}"))
     return df.withColumn("source_file", F.col("_metadata.file_name"))
 
 
@@ -108,9 +114,9 @@ def read_annotations(spark: SparkSession, path: str, legacy_csv: bool = False) -
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Prompt message file(s); order is the explicit ``turn`` column (file
-    order is not a Spark guarantee)."""
-    return spark.read.schema(MESSAGE_SCHEMA).json(path).orderBy("conv_id", "turn")
+    """Prompt message file(s); their order is the ``turn`` column (file order is
+    not a Spark guarantee), sorting is the consumer's."""
+    return spark.read.schema(MESSAGE_SCHEMA).json(path)
 
 
 def prompt_for_task(bank: DataFrame, tasks: DataFrame, task: str = "taskIdx", pos: str = "bank_pos") -> DataFrame:

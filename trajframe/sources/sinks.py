@@ -20,9 +20,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/trajframe-out/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _spread(df: DataFrame, *folders: str) -> DataFrame:
+    """Balance the rows of output folders: Spark splits large folders over tasks
+    and joins small ones, by their measured size."""
+    return df.hint("rebalance", *folders)
+
+
 def write_examples(df: DataFrame, path: str, split: str = "fold", task: str = "task_real_id") -> None:
     """K1: examples per split and per task (``split=<s>/task_real_id=<t>/``)."""
-    df.repartition(split, task).write.mode("overwrite").partitionBy(split, task).json(path)
+    _spread(df, split, task).write.mode("overwrite").partitionBy(split, task).json(path)
 
 
 def write_groups(df: DataFrame, path: str, group: str = "task_group", split: str = "fold",
@@ -32,21 +38,24 @@ def write_groups(df: DataFrame, path: str, group: str = "task_group", split: str
     w = Window.partitionBy(group).orderBy(*order)
     mini = (df.where(F.col(split) == mini_split).withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") <= mini_n).drop("_rn").withColumn(split, F.lit(f"{mini_split}.mini")))
-    df.unionByName(mini).repartition(group, split).write.mode("overwrite").partitionBy(group, split).json(path)
+    _spread(df.unionByName(mini), group, split).write.mode("overwrite").partitionBy(group, split).json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def append_annotations(spark: SparkSession, df: DataFrame, path: str,
-                       keys: Sequence[str] = ("task_no", "variation_id", "model")) -> int:
+                       keys: Sequence[str] = ("task_no", "variation_id", "model")) -> None:
     """K3: append annotated episodes to the Parquet cache, idempotently: rows
-    whose (task, variation, model) is already stored are skipped.  Returns
-    nothing useful to the data path; the count is for logging only."""
-    try:
-        have = spark.read.parquet(path).select(*keys).distinct()
-        new = df.join(have, list(keys), "left_anti")
-    except Exception:  # noqa: BLE001  (first write: the folder does not exist yet)
-        new = df
+    whose (task, variation, model) is already stored are skipped, and of several
+    rows of one key one is written."""
+    new = df.dropDuplicates(list(keys))
+    if exists(spark, path):
+        new = new.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
     new.write.mode("append").parquet(path)
-    return 0
 
 
 def write_metrics(df: DataFrame, path: str, run_id: str) -> None:
@@ -87,4 +96,7 @@ def rename_parts(spark: SparkSession, src: str, dst_dir: str, name_of) -> None:
             k, v = q.getName().split("=", 1)
             parts[k] = v
             q = q.getParent()
-        fs.rename(p, Path(f"{dst_dir}/{name_of(parts, n)}"))
+        target = Path(f"{dst_dir}/{name_of(parts, n)}")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(p, target):
+            raise OSError(f"cannot rename {p} to {target}")

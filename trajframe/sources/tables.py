@@ -36,11 +36,12 @@ def _pick(values: list[str], idx) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
-def events_as_steps(events: DataFrame, hot_rows: int | None = None, all_hot: bool = False) -> DataFrame:
+def events_as_steps(events: DataFrame, position: bool = True, order: bool = False) -> DataFrame:
     """``events`` -> long step table ``v_steps`` (one row per event).
 
     Output: variation_id, task_no, fold, pos, action, observation, score,
-    freelook, inventory, subgoal.
+    freelook, inventory, subgoal.  ``position=False`` leaves ``pos`` out;
+    ``order`` keeps the order columns and blocks (see ``operators.blocks``).
     """
     k = F.regexp_extract("props", "[0-9]+", 0).try_cast("int")
     b = events.select("user_id", "event_id", "ts", "event_type", k.alias("k"))
@@ -49,12 +50,12 @@ def events_as_steps(events: DataFrame, hot_rows: int | None = None, all_hot: boo
     b = b.withColumn("room", room).withColumn("obj", obj)
     grp = F.floor(F.col("variation_id") / 30).cast("int") % 5
     fold = F.when(grp.isin(1, 4), "test").when(grp == 3, "dev").otherwise("train")
-    # the episode key is the (renamed) user id; windows downstream partition
-    # by it too, so the whole step pipeline shuffles once.  Long (hot)
-    # episodes are numbered without sorting them in one task.
-    from ..operators.skew import dense_number
+    from ..operators.blocks import number, time_blocks
     b = b.withColumn("variation_id", F.col("user_id"))
-    b = dense_number(b, ["variation_id"], ["ts", "event_id"], "pos", hot_rows, all_hot=all_hot)
+    if position or order:
+        b = time_blocks(b, ["variation_id"], "ts")
+    if position:
+        b = number(b, ["variation_id"], ["ts", "event_id"], "pos")
     et, kk = F.col("event_type"), F.col("k")
     action = (
         F.when(et == "view", F.lit("look around"))
@@ -83,7 +84,8 @@ def events_as_steps(events: DataFrame, hot_rows: int | None = None, all_hot: boo
         "variation_id",
         (F.col("variation_id") % N_TASKS).alias("task_no"),
         fold.alias("fold"),
-        "pos",
+        *(["pos"] if position else []),
+        *(["ts", "event_id", "_nb", "_blk"] if order else []),
         action.alias("action"),
         observation.alias("observation"),
         ((kk - 2) / F.lit(100.0)).cast("double").alias("score"),
