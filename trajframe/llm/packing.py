@@ -13,9 +13,10 @@ tokenizer, memory bounded by the buffer and the longest text.  A lost task is ru
 again on the same split and gives the same rows.  ``sequence_id`` is the number
 of the task and a counter.
 
-Tokens are looked up by words (runs without ASCII white space), which is exact
-for tokenizers that never join characters across white space, as this one; words
-seen before are kept in a bounded cache.
+Tokens are looked up by words (runs without ASCII white space, ASCII letters in
+lower case), which is exact for tokenizers that lower-case and never join
+characters across white space, as this one; words seen before are kept in a
+bounded cache.
 
 Defined cases: a null or empty text is its end id alone; repeated rows are
 documents of their own; a null ``doc_id`` stays null; further columns are ignored."""
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import UPPER_TO_LOWER, text_bytes
 
 LENGTH, END_ID, TAILS = 2048, 1, 8192
 #: Cost of a piece of n tokens: the dense layers, and attention among its own tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 TOKENIZER = "word_bpe_49k.json"
+END = np.array([END_ID], "<u4").tobytes()
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_cost double, ids array<int>")
 
@@ -44,29 +46,51 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-class TokenIds(dict):
-    """Little-endian 32-bit ids of words, as bytes; emptied when large."""
+class TokenIds:
+    """Little-endian 32-bit ids of texts, looked up by words; the words seen are
+    kept as bytes of ids and forgotten when they are many."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
+    MARKS = b"!#$%&*,.?:;"
 
     def __init__(self, path: str):
         import os
 
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, new: list[bytes]) -> None:
+        """Encode words in one call; a token belongs to the word its first character lies in."""
+        line = b" ".join(new).decode("utf-8", "replace")
+        found = self.tokenizer.encode(line, add_special_tokens=False)
+        sizes = np.fromiter(map(len, line.split(" ")), np.int64, len(new))
+        at = np.searchsorted([a for a, _ in found.offsets], np.r_[0, np.cumsum(sizes + 1)]) * 4
+        ids = np.asarray(found.ids, "<u4").tobytes()
+        self.known.update(zip(new, (ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))))
+
+    def learn(self, new) -> None:
+        """Words of letters with marks behind are encoded as their two parts, which
+        the tokenizer splits anyway, so that a word is encoded once for all its marks."""
+        parts = [(w, w.rstrip(self.MARKS)) for w in new]
+        parts = [(w, stem if stem != w and b"a" <= stem[-1:] <= b"z" else w) for w, stem in parts]
+        wanted = {stem for _, stem in parts}
+        wanted.update(w[len(stem):] for w, stem in parts if stem != w)
+        if wanted := list(wanted.difference(self.known)):
+            self.encode(wanted)
+        known = self.known
+        known.update([(w, known[stem] + known[w[len(stem):]]) for w, stem in parts if stem != w])
 
     def of(self, text: str | None) -> np.ndarray:
-        words = text_bytes(text).split()
-        if len(self) > self.LIMIT:
-            self.clear()
-        new = [w for w in set(words) if w not in self]
-        if new:
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, found):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)) + np.array([END_ID], "<u4").tobytes(), "<u4")
+        raw = text_bytes(text)
+        # the tokenizer lower-cases all but its special tokens
+        words = (raw if b"<|" in raw else raw.translate(UPPER_TO_LOWER)).split()
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        if new := set(words).difference(self.known):
+            self.learn(new)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)) + END, "<u4")
 
 
 _LOADED: dict[str, TokenIds] = {}
