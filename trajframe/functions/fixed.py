@@ -165,3 +165,9 @@ LOOP_WINDOW = 10
 STALL_WINDOW = 50
 OBJECT_LIMIT_OFFLINE = 25
 OBJECT_LIMIT_ONLINE = 20
+
+# Paint-mixing tasks and the container their first prediction names (fixed values).
+PAINT_CONTAINERS = {
+    "chemistry-mix-paint-tertiary-color": "bowl",
+    "chemistry-mix-paint-secondary-color": "jug",
+}

@@ -72,36 +72,29 @@ def _ngrams(tokens: F.Column, n: int) -> F.Column:
         F.array().cast("array<string>"))
 
 
-def corpus_bleu(pairs: DataFrame, pred: str = "prediction", target: str = "target", keys: Sequence[str] = (),
-                row_keys: Sequence[str] = ("variation_id", "step")) -> DataFrame:
+def corpus_bleu(pairs: DataFrame, pred: str = "prediction", target: str = "target", keys: Sequence[str] = ()) -> DataFrame:
     """Corpus BLEU (0..100, 4 decimals) of prediction vs one reference.
 
     Our tokenisation: both sides stripped and split on whitespace.  Clipped
-    n-gram matches for n = 1..4 are counted per row (explode + groupBy per
-    row key), summed over the corpus, and combined with the brevity penalty
-    and the exponential smoothing for zero-match orders.  This is a stated
-    re-implementation, not a claim of equality with an external scorer."""
-    toks = pairs.select(*keys, F.struct(*row_keys).alias("_rid"),
-                        F.split(py_strip(F.col(pred)), r"\s+").alias("_h"),
-                        F.split(py_strip(F.col(target)), r"\s+").alias("_r"))
-    toks = toks.withColumn("_h", F.filter("_h", lambda x: x != "")).withColumn("_r", F.filter("_r", lambda x: x != ""))
-
-    # all n-grams of both sides from one projection and one explode
-    def tagged(n, hc, rc):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(hc).alias("hc"), F.lit(rc).alias("rc"))
-
-    parts = [F.transform(_ngrams(F.col(side), n), tagged(n, hc, rc))
-             for n in range(1, 5) for side, hc, rc in (("_h", 1, 0), ("_r", 0, 1))]
-    # n = 0 carries the row's token counts, so the lengths need no second pass
-    parts.append(F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.size("_h").alias("hc"),
-                                  F.size("_r").alias("rc"))))
-    allg = toks.select(*keys, "_rid", F.explode(F.concat(*parts)).alias("_x")).select(*keys, "_rid", "_x.*")
-    per = allg.groupBy(*keys, "_rid", "n", "g").agg(F.sum("hc").alias("hc"), F.sum("rc").alias("rc"))
-    stats = per.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("n") == n, F.least("hc", "rc")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)
-    ], *[F.sum(F.when(F.col("n") == n, F.col("hc")).otherwise(0)).alias(f"t{n}") for n in range(1, 5)],
-        F.sum(F.when(F.col("n") == 0, F.col("hc")).otherwise(0)).alias("hyp_len"),
-        F.sum(F.when(F.col("n") == 0, F.col("rc")).otherwise(0)).alias("ref_len"))
+    n-gram matches for n = 1..4 are counted inside each row by array functions
+    and only their sums are aggregated, so no n-gram is shuffled and rows need no
+    key.  Combined with the brevity penalty and the exponential smoothing for
+    zero-match orders.  This is a stated re-implementation, not a claim of
+    equality with an external scorer."""
+    words = lambda c: F.filter(F.split(py_strip(F.col(c)), r"\s+"), lambda x: x != "")
+    toks = pairs.select(*keys, F.coalesce(words(pred), F.array().cast("array<string>")).alias("_h"),
+                        F.coalesce(words(target), F.array().cast("array<string>")).alias("_r"))
+    for n in range(1, 5):
+        toks = toks.withColumn(f"_h{n}", _ngrams(F.col("_h"), n)).withColumn(f"_r{n}", _ngrams(F.col("_r"), n))
+
+    def clipped(n: int) -> F.Column:
+        times = lambda side, g: F.size(F.filter(f"{side}{n}", lambda x: x == g))
+        return F.aggregate(F.array_intersect(f"_h{n}", f"_r{n}"), F.lit(0), lambda s, g: s + F.least(times("_h", g), times("_r", g)))
+
+    stats = toks.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(clipped(n)), F.lit(0)).alias(f"m{n}") for n in range(1, 5)],
+        *[F.coalesce(F.sum(F.size(f"_h{n}")), F.lit(0)).alias(f"t{n}") for n in range(1, 5)],
+        F.coalesce(F.sum(F.size("_h")), F.lit(0)).alias("hyp_len"), F.coalesce(F.sum(F.size("_r")), F.lit(0)).alias("ref_len"))
     return stats.select(*keys, bleu_expr().alias("bleu"), "hyp_len", "ref_len")
 
 

@@ -96,13 +96,37 @@ def nearest_by_tokens(preds: DataFrame, cands: DataFrame, keys: Sequence[str], r
                       F.coalesce(F.col("_n"), F.lit(0)).alias("overlap"))
 
 
-def match_predictions(preds: DataFrame, cands: DataFrame, keys: Sequence[str], k: int = 5,
-                      rank: str = "rnk", text: str = "action") -> DataFrame:
-    """J4 then J5 for the groups J4 could not resolve."""
-    valid = pick_valid(preds, cands, keys, k, rank, text).select(*keys, "action", F.lit("valid").alias("how"))
-    rest = preds.join(valid.select(*keys), list(keys), "left_anti")
-    tok = nearest_by_tokens(rest, cands, keys, rank, text).select(*keys, "action", F.lit("tokens").alias("how"))
-    return valid.unionByName(tok)
+def fix_paint(preds: DataFrame, task_name: str = "task_name", rank: str = "rnk", text: str = "action") -> DataFrame:
+    """The first prediction of the two paint-mixing tasks, with the studio written
+    out; these tasks take it as it is."""
+    a = F.col(text)
+    return preds.where((F.col(rank) == 1) & F.col(task_name).isin(list(fixed.PAINT_CONTAINERS))).withColumn(text, F.coalesce(*[
+        F.when(F.col(task_name) == task, F.replace(a, F.lit(f"paint in {box}"), F.lit(f"paint in art studio in {box}"))) for task, box in fixed.PAINT_CONTAINERS.items()]))
+
+
+def resolve_predictions(preds: DataFrame, cands: DataFrame, context: DataFrame, recent: DataFrame, keys: Sequence[str],
+                        k: int = 5, rank: str = "rnk", text: str = "action", vectors: DataFrame | None = None) -> DataFrame:
+    """Ranked predictions -> one action a step, as one job: valid actions are the
+    candidates plus doors (U2) without impossible focus (U3), recent actions (W19),
+    closed doors (F8) and focus on what is not seen (F7); the first valid of the top
+    ``k`` predictions wins (J4), else the most similar valid action: by ``vectors``
+    (keys, action, score of J6) when given, else by shared words (J5).  Paint tasks take
+    their first prediction.  ``context``: keys, task_name, look, inventory; ``recent``: keys,
+    action.  Adds ``how``: paint, valid, vector or tokens."""
+    from .filters import open_doors_only, visible_focus
+    named = preds.join(context.select(*keys, "task_name"), list(keys))
+    paint = fix_paint(named, rank=rank, text=text).select(*keys, text, F.lit("paint").alias("how"))
+    rest = named.where(~F.coalesce(F.col("task_name").isin(list(fixed.PAINT_CONTAINERS)), F.lit(False))).drop("task_name")
+    valid = exclude_recent(drop_invalid_focus(extend_valid(cands, None, keys, text), text), recent, keys, text)
+    valid = visible_focus(open_doors_only(valid, text).join(context.select(*keys, "look", "inventory"), list(keys)), text, "look").select(*keys, text)
+    hit = pick_valid(rest, valid, keys, k, rank, text).select(*keys, text, F.lit("valid").alias("how"))
+    left = rest.join(hit.select(*keys), list(keys), "left_anti")
+    if vectors is not None:
+        best = vectors.join(valid, [*keys, text]).groupBy(*keys).agg(F.max_by(text, "score").alias(text))
+        near = left.select(*keys).distinct().join(best, list(keys)).select(*keys, text, F.lit("vector").alias("how"))
+    else:
+        near = nearest_by_tokens(left, valid, keys, rank, text).select(*keys, text, F.lit("tokens").alias("how"))
+    return paint.unionByName(hit).unionByName(near)
 
 
 # --- J6 / T7: vector similarity -------------------------------------------------

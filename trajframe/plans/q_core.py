@@ -456,7 +456,7 @@ FAILED_SQL = ("(observation = 'No known action matches that input.' or contains(
 query("set_error_messages", with_views(
     f"select variation_id, array_to_string(list_sort(list(distinct observation)), ' || ') as messages, count(*) as failures "
     f"from v_steps where {FAILED_SQL} group by 1"))(
-    lambda spark, sf: A.failure_messages(v_steps(spark, sf)))
+    lambda spark, sf: A.failure_messages(v_steps(spark, sf), ["variation_id"]))
 
 # ============================================================== sampling (T)
 

@@ -15,7 +15,7 @@ from ..operators.compose import RECIPES, compose
 from ..operators.sampling import seeded_int
 from ..sources.tables import table
 from .catalog import query
-from .q_core import FOCUS_CANDS_SQL, PAIRS_SQL, mentions_sql
+from .q_core import FOCUS_CANDS_SQL, PAIRS_SQL, ROOM_LIST_SQL, mentions_sql
 from .sqlviews import formalize_sql, recover_sql, sanitize_sql, strip_sql, with_views
 from .views import v_cands, v_eps, v_f, v_f_plain, v_pairs, v_preds, v_steps, v_vecs
 
@@ -53,6 +53,57 @@ ct as (select distinct variation_id, grp, cand, tok from (select variation_id, g
 common as (select ct.variation_id, ct.grp, ct.cand, count(*) as n from ct join pt using (variation_id, grp, tok) group by 1, 2, 3)"""))(
     q_token_overlap)
 
+# ============================================================== the whole chain
+
+
+def _painted(c):
+    return F.replace(F.replace(F.col(c), F.lit("metal pot"), F.lit("paint in bowl")), F.lit("orange"), F.lit("paint in jug"))
+
+
+def q_resolve(spark, sf):
+    from ..operators import windows as W
+    from .views import over_chunks
+    f = v_f(spark, sf)
+    cands = v_cands(spark, sf).withColumn("action", F.regexp_replace(_painted("action"), "^examine ", "focus on "))
+    preds = v_preds(spark, sf).join(cands.select(*GK).distinct(), GK, "left_semi").withColumn("action", _painted("action"))
+    grp = F.floor(F.col("step") / 5).cast("long").alias("grp")
+    context = f.where(F.col("step") % 5 == 0).select("variation_id", grp, "task_name", F.col("freelook").alias("look"), "inventory")
+    recent = (over_chunks(spark, sf, lambda d, k: d.withColumn("_l", F.collect_list("action").over(W.w_ep(k).rowsBetween(-2, 0))), 2, 0)
+              .where(F.col("step") % 5 == 4).select("variation_id", grp, F.explode("_l").alias("action")))
+    return J.resolve_predictions(preds, cands, context, recent, GK)
+
+
+_PAINT = "replace(replace(action, 'metal pot', 'paint in bowl'), 'orange', 'paint in jug')"
+query("resolve_predictions", with_views(f"""
+select variation_id, grp, case task_name when 'chemistry-mix-paint-tertiary-color' then replace(action, 'paint in bowl', 'paint in art studio in bowl')
+       else replace(action, 'paint in jug', 'paint in art studio in jug') end as action, 'paint' as how
+from rp where rnk = 1 and task_name in ('chemistry-mix-paint-tertiary-color', 'chemistry-mix-paint-secondary-color')
+union all
+select variation_id, grp, arg_min(action, rnk) as action, 'valid' as how from rh group by 1, 2
+union all
+select q.variation_id, q.grp, regexp_replace(coalesce(b.cand, q.pred), '[^A-Za-z0-9 ]+', '', 'g') as action, 'tokens' as how
+from q1 q left join (select * from rcommon qualify row_number() over (partition by variation_id, grp order by n desc, length(cand), cand) = 1) b using (variation_id, grp)
+""", FOCUS_CANDS_SQL, f"""
+rg as (select distinct variation_id, grp from cands),
+ctx as (select variation_id, cast(floor(step / 5) as bigint) as grp, task_name, freelook as look, inventory from v_ft where step % 5 = 0),
+rp as (select p.variation_id, p.grp, p.rnk, {_PAINT.replace('action', 'p.action')} as action, c.task_name
+       from preds p join rg using (variation_id, grp) join ctx c using (variation_id, grp)),
+rest as (select * from rp where task_name not in ('chemistry-mix-paint-tertiary-color', 'chemistry-mix-paint-secondary-color')),
+rv0 as (select variation_id, grp, regexp_replace({_PAINT}, '^examine ', 'focus on ') as action from cands
+        union select variation_id, grp, concat('open door to ', unnest({ROOM_LIST_SQL})) from rg),
+rv as (select distinct v.variation_id, v.grp, v.action from rv0 v join ctx c using (variation_id, grp)
+       where not list_contains(list_transform(['agent', 'air'] || {ROOM_LIST_SQL}, lambda x: 'focus on ' || x), v.action)
+         and not exists (select 1 from v_f f where f.variation_id = v.variation_id and f.step between 5 * v.grp + 2 and 5 * v.grp + 4 and f.action = v.action)
+         and not (contains(v.action, 'door') and not contains(v.action, 'open'))
+         and (not starts_with(v.action, 'focus on') or len(list_filter(string_split(regexp_replace(v.action, '(?i)\\b(?:focus|on|in|to)\\b', '', 'g'), ' '),
+              lambda w: not contains(concat(c.look, ' ', lower(c.inventory)), w))) = 0)),
+rh as (select r.variation_id, r.grp, r.rnk, v.action from rest r join rv v on v.variation_id = r.variation_id and v.grp = r.grp
+       and v.action = {strip_sql("replace(r.action, 'green house', 'greenhouse')")} where r.rnk <= 5),
+q1 as (select variation_id, grp, action as pred from rest r where rnk = 1 and not exists (select 1 from rh h where h.variation_id = r.variation_id and h.grp = r.grp)),
+qt as (select distinct variation_id, grp, unnest(string_split(pred, ' ')) as tok from q1),
+qc as (select distinct variation_id, grp, cand, tok from (select variation_id, grp, action as cand, unnest(string_split(action, ' ')) as tok from rv)),
+rcommon as (select qc.variation_id, qc.grp, qc.cand, count(*) as n from qc join qt using (variation_id, grp, tok) group by 1, 2, 3)"""))(q_resolve)
+
 # ============================================================== J6 / T7
 
 VEC_N = 5

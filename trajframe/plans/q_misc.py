@@ -333,16 +333,24 @@ select 'first_subgoal', fold, count(*) from v_f where step = 0 group by 2"""))(q
 # ============================================================== R1-R3 streaming
 
 
+STREAM_DELAY = "1 hour"          # disorder that the stream allows for
+STREAM_GAP = "40 days"           # quiet time that closes an episode
+STREAM_FILES = 4
+
+
 def _stream_input(spark, sf):
-    """``events`` copied into several parquet files (rows scrambled across
-    files), then two late heartbeat files that move the watermark past every
-    real row, so all episodes are flushed and closed."""
+    """``events`` as a log of files, each of a stretch of time with its rows in any
+    order, then two heartbeats past the quiet time, which close all episodes."""
     d = K.scratch_dir(spark, "events-stream")
-    table(spark, sf, "events").repartition(F.pmod(F.xxhash64("event_id"), F.lit(4))).write.parquet(d)
-    for i in (0, 1):
-        hb = spark.createDataFrame([(-1 - i, "2100-01-01 00:00:00", -1, "signup", 0.0, '{"k": 50}')],
-                                   "event_id long, ts string, user_id long, event_type string, value double, props string")
-        hb.withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(d)
+    ev = table(spark, sf, "events")
+    first, last = ev.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) / ((last - first).total_seconds() * 1e6 / STREAM_FILES + 1)), F.lit(STREAM_FILES - 1))
+    for i in range(STREAM_FILES):
+        ev.where(part == i).repartition(F.xxhash64("event_id")).write.mode("append").parquet(d)
+    for i in (1, 2):
+        beat = spark.range(1).select(F.lit(-i).cast("long").alias("event_id"), (F.lit(last) + F.expr(f"interval {40 * 24 + 2 * i} hours")).cast("timestamp").alias("ts"),
+                                     F.lit(-1).cast("long").alias("user_id"), F.lit("signup").alias("event_type"), F.lit(0.0).alias("value"), F.lit('{"k": 50}').alias("props"))
+        beat.write.mode("append").parquet(d)
     return d
 
 
@@ -354,13 +362,9 @@ def _run_stream(spark, df, name, mode="append"):
     return spark.read.parquet(out)
 
 
-STREAM_WATERMARK = "3650 days"   # disorder bound of the test copy (files are scrambled)
-STREAM_GAP = "3650 days"         # quiet time that closes an episode
-
-
 def q_stream_state(spark, sf):
     ev = R.read_event_stream(spark, _stream_input(spark, sf))
-    s = R.stream_state(ev, watermark=STREAM_WATERMARK, object_limit=20, gap=STREAM_GAP)
+    s = R.stream_state(ev, watermark=STREAM_DELAY, object_limit=20, gap=STREAM_GAP)
     return _run_stream(spark, s, "r1").where("variation_id >= 0").select(
         "variation_id", "step", "action", F.round("reward", 6).alias("reward"), "places", "objects")
 
@@ -371,7 +375,7 @@ query("stream_episode_state")(q_stream_state)
 def q_stream_stops(spark, sf):
     from .q_core import LOOP_K, STEP_LIMIT
     ev = R.read_event_stream(spark, _stream_input(spark, sf))
-    s = R.stream_state(ev, watermark=STREAM_WATERMARK, loop_k=LOOP_K, step_limit=STEP_LIMIT, gap=STREAM_GAP, mode="stops")
+    s = R.stream_state(ev, watermark=STREAM_DELAY, loop_k=LOOP_K, step_limit=STEP_LIMIT, gap=STREAM_GAP, mode="stops")
     return _run_stream(spark, s, "r2").where("variation_id >= 0").select(
         "variation_id", "task_no", "end_step", F.round("final_score", 6).alias("final_score"), "reason")
 

@@ -8,6 +8,8 @@ columns each reader needs are selected so the parquet scan prunes the rest.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +38,14 @@ def _pick(values: list[str], idx) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
-def events_as_steps(events: DataFrame, position: bool = True, order: bool = False) -> DataFrame:
+def events_as_steps(events: DataFrame, position: bool = True, order: bool = False,
+                    keep: Sequence[str] = ()) -> DataFrame:
     """``events`` -> long step table ``v_steps`` (one row per event).
 
     Output: variation_id, task_no, fold, pos, action, observation, score,
     freelook, inventory, subgoal.  ``position=False`` leaves ``pos`` out;
-    ``order`` keeps the order columns and blocks (see ``operators.blocks``).
+    ``order`` keeps the order columns and blocks (see ``operators.blocks``); without
+    either the rows are a plain projection, for streams too, with columns to ``keep``.
     """
     k = F.regexp_extract("props", "[0-9]+", 0).try_cast("int")
     b = events.select("user_id", "event_id", "ts", "event_type", k.alias("k"))
@@ -85,7 +89,7 @@ def events_as_steps(events: DataFrame, position: bool = True, order: bool = Fals
         (F.col("variation_id") % N_TASKS).alias("task_no"),
         fold.alias("fold"),
         *(["pos"] if position else []),
-        *(["ts", "event_id", "_nb", "_blk"] if order else []),
+        *(["ts", "event_id", "_nb", "_blk"] if order else keep),
         action.alias("action"),
         observation.alias("observation"),
         ((kk - 2) / F.lit(100.0)).cast("double").alias("score"),

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import fixed
+from ..functions.text import look_room, object_mentions, observation_room
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -47,71 +48,24 @@ def read_event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1
 
 
 def _step_rows(events: DataFrame) -> DataFrame:
-    """Per-event columns of the binding without the window (streamable)."""
-    from ..sources.tables import BINDING_OBJECTS, BINDING_ROOMS, N_TASKS, _pick
-    k = F.regexp_extract("props", "[0-9]+", 0).try_cast("int")
-    b = events.select("user_id", "event_id", "ts", "event_type", k.alias("k"))
-    b = b.withColumn("room", _pick(BINDING_ROOMS, F.col("k") % 10)).withColumn("obj", _pick(BINDING_OBJECTS, F.col("k") % 7))
-    et, kk = F.col("event_type"), F.col("k")
-    action = (
-        F.when(et == "view", F.lit("look around"))
-        .when(et == "error", F.when(kk % 2 == 0, F.concat(F.lit("close door to "), "room")).otherwise(F.concat(F.lit("eat "), "obj")))
-        .when(et == "click", F.when(kk % 3 == 0, F.concat(F.lit("go to "), "room"))
-              .when(kk % 3 == 1, F.concat(F.lit("teleport to "), "room")).otherwise(F.concat(F.lit("open door to "), "room")))
-        .when(et == "purchase", F.when(kk % 3 == 0, F.concat(F.lit("pick up "), "obj"))
-              .when(kk % 3 == 1, F.concat(F.lit("examine "), "obj")).otherwise(F.lit("wait1")))
-        .otherwise(F.concat(F.lit("move "), "obj", F.lit(" to "), "room")))
-    observation = (F.when(et == "click", F.concat(F.lit("You move to the "), "room", F.lit(".")))
-                   .when(et == "error", F.lit("No known action matches that input."))
-                   .otherwise(F.concat(F.lit("You see the "), "obj", F.lit("."))))
-    freelook = F.concat(
-        F.lit("This room is called the "), "room", F.lit(". In it, you see: \n\tthe agent\n\ta "),
-        "obj", F.lit(" (that is open)\n\ta substance called air\nYou also see:\n\tA door to the "), "room", F.lit("\n"))
-    out = b.select(
-        F.col("user_id").alias("variation_id"), (F.col("user_id") % N_TASKS).alias("task_no"), "ts", "event_id",
-        action.alias("action"), observation.alias("observation"),
-        ((kk - 2) / F.lit(100.0)).cast("double").alias("score"), freelook.alias("freelook"))
-    a = F.col("action")
-    return out.where(~((a == fixed.NOISE_ACTION) | a.startswith(fixed.NOISE_PREFIX)))
+    """The steps of the events with what the fold needs of their texts, as columns:
+    the room an observation tells, the room and the objects a look shows."""
+    from ..operators.windows import not_noise
+    from ..sources.tables import events_as_steps
+    return events_as_steps(events, position=False, keep=("ts", "event_id")).where(not_noise()).select(
+        "variation_id", "task_no", "ts", "event_id", "action", "score", observation_room("observation").alias("told_room"),
+        look_room("freelook").alias("seen_room"), object_mentions("freelook").alias("things"))
 
 
 # --- the per-episode fold -------------------------------------------------------------
 
-def _obs_room(obs: str | None):
-    if obs is None:
-        return None
-    i = obs.find("move to the")
-    if i == -1:
-        return None
-    return obs[i + 12:-1].strip()
-
-
-def _look_room(look: str):
-    start = look.find("This room is called the")
-    end = look.find(".")
-    if start == -1:
-        return None
-    return look[start + 24:end]
-
-
-def _mentions(look: str) -> list[str]:
-    import re
-    t = look.replace(",", "\n").replace(".", "\n").replace("(", "\n").replace(")", " ").replace(" an ", " a ")
-    out = []
-    for thing in re.findall(r"a .*?\n", t, re.I):
-        if "door" in thing:
-            continue
-        out.append(thing.replace("\n", " ").replace("\t", " ").strip().strip("."))
-    return out
-
-
 class EpisodeState:
     """Bounded per-episode state; serialised to one JSON string."""
 
     def __init__(self, d: dict | None = None):
         d = d or {}
         self.step = d.get("step", 0)
-        self.prev_obs = d.get("prev_obs")
+        self.told_room = d.get("told_room")
         self.prev_score = d.get("prev_score", 0.0)
         self.places = d.get("places", [])
         self.objects = d.get("objects", [])
@@ -130,12 +84,10 @@ class EpisodeState:
         """Consume one step; returns (state row, stop reason or None)."""
         step = self.step
         if step >= 1:
-            for r in (_obs_room(self.prev_obs), _look_room(row["freelook"])):
+            for r in (self.told_room, row["seen_room"]):
                 if r is not None and r not in self.places:
                     self.places.append(r)
-            for t in _mentions(row["freelook"]):
-                if t not in self.objects:
-                    self.objects.append(t)
+            self.objects += [t for t in dict.fromkeys(row["things"]) if t not in self.objects]
             while len(self.objects) > object_limit:
                 self.objects.pop(0)
         h_score = 0.0 if step == 0 else row["score"]
@@ -156,7 +108,7 @@ class EpisodeState:
             reason = "stall"
         elif step == 2 * step_limit - 1:
             reason = "step_cap"
-        self.prev_obs = row["observation"]
+        self.told_room = row["told_room"]
         self.prev_score = h_score
         self.last_score = score
         self.step += 1
@@ -169,6 +121,7 @@ def _fold(mode: str, object_limit: int, loop_k: int, step_limit: int, stall_k: i
         for pdf in pdfs:
             for r in pdf.to_dict("records"):
                 r["ts"] = int(pd.Timestamp(r["ts"]).value // 1_000_000)
+                r["things"] = [] if r["things"] is None else list(r["things"])
                 st.pending.append(r)
                 st.task_no = int(r["task_no"])
         wm = state.getCurrentWatermarkMs()
