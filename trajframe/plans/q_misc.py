@@ -18,8 +18,8 @@ from ..sources import sinks as K
 from ..sources.tables import table, task_dimension
 from ..streaming import state as R
 from .catalog import query
-from .q_compose import compose_sql
-from .q_core import _demos
+from .q_compose import FIRST_SQL, compose_sql
+from .q_core import DS_RULES, EPS_REAL_SQL, TEST_CAP, _demos, _md5_sql
 from .sqlviews import with_views
 from .views import v_cands, v_f, v_f_plain, v_preds, v_steps, with_tasks
 
@@ -299,36 +299,46 @@ query("prompt_plan")(lambda spark, sf: plan_observations(v_f_plain(spark, sf)))
 # ============================================================== C16 dataset recipes
 
 
-def build_dataset(steps, recipe: str, test_cap: int = 10, episode=("task_no", "variation_id")):
-    """The full example pipeline for one training set: F2, W13 cap on
-    episodes, then the recipe's composition.  Recipes: ``action_sg`` (C1),
-    ``subgoal`` (C2), ``first_subgoal`` (C10), ``action_formal`` (the set
-    without sub-goals)."""
-    s = W.min_steps(steps, 2, episode)
-    eps = T.cap_test_episodes(s.select(*episode, "fold").distinct(), test_cap)
-    s = s.join(eps.select(*episode), list(episode), "left_semi")
-    if recipe == "first_subgoal":
-        return compose_first_subgoal(s, episode)
-    return compose(s, RECIPES[recipe], episode)
+RECIPE_NAMES = ("action_sg", "subgoal", "first_subgoal", "action_formal")
 
 
-def q_recipes(spark, sf):
-    f = v_f(spark, sf)
-    out = None
-    for r in ("action_sg", "subgoal", "first_subgoal", "action_formal"):
-        d = build_dataset(f, r).groupBy("fold").agg(F.count(F.lit(1)).alias("n")).withColumn("recipe", F.lit(r))
-        out = d if out is None else out.unionByName(d)
-    return out.select("recipe", "fold", "n")
+def build_dataset(steps, recipe: str, rules=None, min_len: int = 2, test_cap: int = 10, episode=("task_no", "variation_id"), seed: int = 1):
+    """The example pipeline of one training set: T1 (``rules``, by task_real_id),
+    F2, W13 on the episodes, then the recipe's composition.  Recipes: ``action_sg``
+    (C1), ``subgoal`` (C2), ``first_subgoal`` (C10), ``action_formal`` (the set without
+    sub-goals)."""
+    eps = steps.groupBy(*episode, "fold", "task_real_id").agg(F.count(F.lit(1)).alias("_n"))
+    eps = T.downsample(eps, rules, seed) if rules else T.downsample(eps, seed=seed)
+    eps = T.cap_test_episodes(eps.where(F.col("_n") >= min_len), test_cap)
+    s = steps.join(eps.select(*episode), list(episode), "left_semi")
+    return compose_first_subgoal(s, episode) if recipe == "first_subgoal" else compose(s, RECIPES[recipe], episode)
 
 
-query("dataset_recipes", with_views("""
-select 'action_sg' as recipe, fold, count(*) as n from v_f where step >= 1 group by 2
-union all
-select 'subgoal', fold, count(*) from v_f where step >= 1 group by 2
-union all
-select 'action_formal', fold, count(*) from v_f where step >= 1 group by 2
-union all
-select 'first_subgoal', fold, count(*) from v_f where step = 0 group by 2"""))(q_recipes)
+def write_dataset(spark, steps, path: str, recipes=RECIPE_NAMES, **rules) -> None:
+    """C16 with K1: every recipe's examples under ``path/<recipe>``, by split and task."""
+    dim = F.broadcast(task_dimension(spark).select("task_no", "task_real_id"))
+    for r in recipes:
+        K.write_examples(build_dataset(steps, r, **rules).join(dim, "task_no"), f"{path}/{r}")
+
+
+def q_recipes(spark, sf):
+    d = K.scratch_dir(spark, "dataset")
+    write_dataset(spark, v_f(spark, sf), d, rules=DS_RULES, min_len=SHORT, test_cap=TEST_CAP)
+    read = [spark.read.json(f"{d}/{r}").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), content()).withColumn("recipe", F.lit(r)) for r in RECIPE_NAMES]
+    return reduce(lambda a, b: a.unionByName(b), read).select("recipe", "fold", "n", "content")
+
+
+SHORT = 45
+query("dataset_recipes", with_views(" union all ".join(
+    f"select '{r}' as recipe, x.fold, count(*) as n, {CONTENT_SQL} from ({FIRST_SQL if r == 'first_subgoal' else compose_sql(RECIPES[r])}) x "
+    f"where x.variation_id in (select variation_id from chosen) group by 2" for r in RECIPE_NAMES), EPS_REAL_SQL, f"""
+ds as (select * from (
+  select *, row_number() over (partition by task_real_id order by {_md5_sql('variation_id')}, variation_id) as rn,
+         case when starts_with(task_real_id, '9-') then 2 when starts_with(task_real_id, '10-') then 2
+              when starts_with(task_real_id, '3-3') then 3 end as cap from eps_real) where cap is null or rn <= cap),
+longer as (select d.* from ds d join (select variation_id, count(*) as n from v_f group by 1) c using (variation_id) where c.n >= {SHORT}),
+chosen as (select * from (select *, sum(case when fold = 'test' then 1 else 0 end) over (partition by task_no order by variation_id rows between unbounded preceding and current row) as tests
+           from longer) where tests < {TEST_CAP})"""))(q_recipes)
 
 # ============================================================== R1-R3 streaming
 

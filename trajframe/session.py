@@ -49,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="trajframe-ckpt-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="trajframe-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
@@ -60,23 +62,23 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``trajframe`` importable on the executors' Python workers (the
-    per-episode pandas functions live in it): zip the package once into the
-    shared checkpoint folder and ``addPyFile`` it."""
+    per-episode pandas functions live in it): zip the package once, put it into the
+    shared checkpoint folder by that folder's file system and ``addPyFile`` it."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    target_dir = base if os.path.isdir(base) else tempfile.mkdtemp(prefix="trajframe-pkg-", dir="/tmp")
-    path = os.path.join(target_dir, f"trajframe-{app}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for root, _dirs, files in os.walk(pkg):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(root, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    spark.sparkContext.addPyFile(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, f"trajframe-{app}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for root, _dirs, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        shared = jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark), os.path.basename(path))
+        shared.getFileSystem(conf).copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(path), shared)
+    spark.sparkContext.addPyFile(shared.toString())
     _SHIPPED.add(app)
