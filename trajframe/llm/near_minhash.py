@@ -25,13 +25,12 @@ repeat a ``doc_id`` count as one document; further columns are ignored."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, UPPER_TO_LOWER, blocks, components, cut, discard, mix, text_bytes, windows
+from .common import HASHES, UPPER_TO_LOWER, blocks, components, cut, discard, mix, pairs_in_groups, text_bytes, whole_groups, windows
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, K, BITS = 40, 5, 400, 1024
@@ -41,8 +40,9 @@ LEAST_ESTIMATE = 0.60
 BLOCK = 512
 
 _rng = np.random.default_rng(5)
-_A = (_rng.integers(0, 2**31, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)[:, None]
-_B = _rng.integers(0, 2**32, K, dtype=np.uint64).astype(np.uint32)[:, None]
+_A = (_rng.integers(0, 2**31, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
+_B = _rng.integers(0, 2**32, K, dtype=np.uint64).astype(np.uint32)
+_SPACE = np.empty((256, K), np.uint32)
 _SALT = mix(_rng.integers(0, 2**63, K, dtype=np.uint64))
 
 
@@ -61,11 +61,14 @@ def shingles(text: str | None) -> np.ndarray:
 
 def samples(values: np.ndarray) -> np.ndarray:
     """``K`` MinHash samples (uint32) of a set of shingle hashes."""
-    low = (values >> np.uint64(32)).astype(np.uint32)
+    low = (values >> np.uint64(32)).astype(np.uint32)[:, None]
     best = None
-    for i in range(0, len(low), 2048):
-        part = (_A * low[i:i + 2048] + _B).min(1)
-        best = part if best is None else np.minimum(best, part)
+    for i in range(0, len(low), len(_SPACE)):
+        part = low[i:i + len(_SPACE)]
+        space = _SPACE[:len(part)]
+        np.multiply(part, _A, out=space)
+        np.add(space, _B, out=space)
+        best = space.min(0) if best is None else np.minimum(best, space.min(0))
     return best
 
 
@@ -121,43 +124,38 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _find(parent, x):
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 def _block_links(percent: int, limit: int):
-    """Links that join different components inside one block pair of a band."""
-    def run(key, table):
-        table = table.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        band = key[0]
-        own = np.where(table["component"].isna(), table["doc_id"], table["component"]).astype(np.int64)
-        names, start = np.unique(own, return_inverse=True)
-        parent = list(range(len(names)))
-        ids, side = table["doc_id"].to_numpy(), table["side"].to_numpy()
-        odd = np.stack(table["odd"].to_numpy()).view(np.uint64)
-        keys = np.stack(table["keys"].to_numpy())
-        where = int(np.flatnonzero(keys[0] == band)[0])
-        values = [np.asarray(v).view(np.uint64) for v in table["values"]]
-        out = []
-        same = key[1] == key[2]
-        for i in range(len(ids)):
-            if not same and side[i]:
-                continue
-            later = np.arange(i + 1, len(ids)) if same else np.flatnonzero(side == 1)
-            later = later[start[later] != start[i]]
-            if not len(later):
-                continue
-            later = later[np.bitwise_count(odd[later] ^ odd[i]).sum(1) <= limit]
-            later = later[~(keys[later, :where] == keys[i, :where]).any(1)]
-            for j in later:
-                a, b = _find(parent, start[i]), _find(parent, start[j])
-                if a != b and similar(values[i], values[j], percent):
-                    parent[a] = b
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    """Pairs of components (``own``) that a link joins, over rows sorted by ``key, bi, bj``."""
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for table in whole_groups(batches, ["key", "bi", "bj"]):
+            key, bi, bj, side, ids, own = (table.column(c).to_numpy() for c in ("key", "bi", "bj", "side", "doc_id", "own"))
+            odd, keys, values = (table.column(c).combine_chunks() for c in ("odd", "keys", "values"))
+            odd = odd.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            keys = keys.flatten().to_numpy().reshape(len(ids), -1)
+            values = values.to_numpy(zero_copy_only=False)
+            band = (keys == key[:, None]).argmax(1)
+            new = np.r_[True, (key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]
+            a, b = [], []
+            for i, j in pairs_in_groups(new):
+                ok = (own[i] != own[j]) & ((bi[i] == bj[i]) | (side[i] != side[j]))
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(odd[i] ^ odd[j]).sum(1) <= limit
+                i, j = i[ok], j[ok]
+                # a pair is compared in the first band that both share
+                ok = (keys[i] == keys[j]).argmax(1) == band[i]
+                for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+                    u, v = find(int(own[x])), find(int(own[y]))
+                    if u != v and similar(values[x].view(np.uint64), values[y].view(np.uint64), percent):
+                        parent[max(u, v)] = min(u, v)
+                        a.append(u), b.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
@@ -173,14 +171,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row a document: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = cut(docs.mapInArrow(_features, "doc_id long, n_shingles long, sig binary, keys array<long>, odd array<long>"), "features")
+    n = features.count()
     narrow = features.select("doc_id", "n_shingles", "sig")
     classes = narrow.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = cut(features.join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi")
-               .dropDuplicates(["doc_id", "sig"]).select("doc_id", "keys", "odd"), "representatives")
+               .dropDuplicates(["doc_id", "sig"]).select("doc_id", "keys", "odd"), "representatives", n)
 
     banded = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_x")).where("_x > pivot").drop("_x")
-    members = cut(banded.join(shared, "key"), "members")
+    members = cut(banded.join(shared, "key"), "members", n)
 
     limit = most_bits(LEAST_ESTIMATE)
     odd = reps.select("doc_id", "odd")
@@ -190,20 +189,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             .where(F.aggregate(F.zip_with("_oa", "_ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= limit)
             .select("a", "b"))
     wanted = members.select("doc_id").distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets, "doc_id long, values array<long>"), "sets")
-    links = cut(confirmed(star, sets, percent), "links")
+    sets = cut(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(_sets, "doc_id long, values array<long>"), "sets", n)
+    links = cut(confirmed(star, sets, percent), "links", n)
     known = components(links)
 
     placed = members.select("key", "doc_id").join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     split = placed.groupBy("key").agg(F.min(own).alias("_lo"), F.max(own).alias("_hi")).where("_lo < _hi").select("key")
-    left = cut(placed.join(split, "key"), "left")
-    dealt = blocks(left, "key", "doc_id", BLOCK).join(reps, "doc_id").join(sets, "doc_id")
-    more = cut(dealt.groupBy("key", "bi", "bj").applyInPandas(_block_links(percent, limit), "a long, b long"), "more")
-    joined = components(links.unionByName(more))
+    left = cut(placed.join(split, "key"), "left", n)
+    dealt = blocks(left.select("key", "doc_id", own.alias("own")), "key", "doc_id", BLOCK).join(reps, "doc_id").join(sets, "doc_id")
+    more = cut(dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+               .mapInArrow(_block_links(percent, limit), "a long, b long"), "more", n)
+    merged = components(more)
     discard(members, sets, left)
 
-    named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("_c"))
+    first = known.withColumnRenamed("id", "rep").withColumnRenamed("component", "_first")
+    second = merged.select(F.col("id").alias("_c1"), F.col("component").alias("_second"))
+    named = (classes.join(first, "rep", "left").withColumn("_c1", F.coalesce("_first", "rep")).join(second, "_c1", "left")
+             .select("sig", F.coalesce("_second", "_c1").alias("_c")))
     with_set = narrow.where("sig is not null").join(named, "sig").select("doc_id", "n_shingles", F.col("_c").alias("component_id"))
     without = narrow.where("sig is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return with_set.unionByName(without).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
