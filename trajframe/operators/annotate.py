@@ -224,13 +224,17 @@ def path_text(actions: Column) -> Column:
 
 
 def annotation_prompt(eps: DataFrame, exemplar: DataFrame, keys: Sequence[str] = EPISODE,
-                      task: str = "task_no", task_desc: str = "task_desc", path: str = "path") -> DataFrame:
-    """C11: one message array per episode: system text, the task's
-    exemplar (T8) as a user/assistant pair, then the new path."""
+                      task: str = "task_no", task_desc: str = "task_desc", path: str = "path",
+                      description: str = "", opening: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """C11: one message array per episode: system text with the ``description`` of
+    the format, the ``opening`` messages that are the same for all tasks (a worked
+    example; data of a message file, S5), the task's exemplar (T8) as a user/assistant
+    pair, then the new path."""
     ex = exemplar.select(task, F.col("path").alias("_ex_path"), F.col("answer").alias("_ex_answer"))
-    j = eps.join(ex, task, "left")
+    j = eps.join(F.broadcast(ex), task, "left")      # one exemplar for each of the 30 tasks
     msgs = F.array(
-        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_TEXT).alias("content")),
+        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_TEXT + description).alias("content")),
+        *(F.struct(F.lit(role).alias("role"), F.lit(content).alias("content")) for role, content in opening),
         F.struct(F.lit("user").alias("role"),
                  F.concat(F.col(task_desc), F.lit("Here is the goal path to achieve to the goal:"),
                           F.coalesce(F.col("_ex_path"), F.lit(""))).alias("content")),
@@ -243,13 +247,13 @@ def annotation_prompt(eps: DataFrame, exemplar: DataFrame, keys: Sequence[str] =
 
 
 def gap_prompt(gaps: DataFrame, eps: DataFrame, keys: Sequence[str] = EPISODE,
-               task_desc: str = "task_desc", path: str = "path", answer: str = "answer") -> DataFrame:
+               task_desc: str = "task_desc", path: str = "path", answer: str = "answer", description: str = "") -> DataFrame:
     """Request for a run of unannotated steps: the whole path and the
     earlier answer as context, then the missed actions."""
     j = gaps.join(eps.select(*keys, task_desc, path, answer), list(keys), "inner")
     missed = F.concat(F.lit("["), F.array_join(F.transform("missed", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
     msgs = F.array(
-        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_TEXT).alias("content")),
+        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_TEXT + description).alias("content")),
         F.struct(F.lit("user").alias("role"), F.concat(
             F.col(task_desc), F.lit("Here is the goal path to achieve to the goal:"), F.col(path),
             F.lit(". Based on the given goal path, you already provided me with the functional format of high-level "

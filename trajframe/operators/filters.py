@@ -87,7 +87,7 @@ def task_overlap(cands: DataFrame, col: str = "action", task_id: str = "task_no"
     return cands.where(~(F.coalesce(focus_drop, F.lit(False)) | F.coalesce(exam_drop, F.lit(False))))
 
 
-def relevant_history(steps: DataFrame, demo_types: DataFrame, episode=("variation_id",),
+def relevant_history(steps: DataFrame, demo_types: DataFrame, episode=("task_no",),
                      action: str = "action", obs: str = "observation", demo_text: str = "demo") -> DataFrame:
     """drop history rows whose observation is ``N/A`` or whose formal
     action type (text before ``(``) does not occur in the demonstration text
@@ -96,6 +96,8 @@ def relevant_history(steps: DataFrame, demo_types: DataFrame, episode=("variatio
     fa = formalize(F.col(action))
     typ = F.when(F.instr(fa, "(") > 0, F.substring_index(fa, "(", 1))
     s = steps.withColumn("_type", typ)
+    if list(episode) == ["task_no"]:      # demonstrations of the 30 tasks
+        demo_types = F.broadcast(demo_types)
     j = s.join(demo_types, list(episode), "inner")
     keep = (F.col(obs) != "N/A") & F.col("_type").isNotNull() & (F.instr(F.col(demo_text), F.col("_type")) > 0)
     return j.where(keep).drop("_type", demo_text)
