@@ -17,14 +17,25 @@ UPPER_TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmn
 #: Java regex of the white space that separates words everywhere in this package.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Edges of a graph that one task handles in a round.
+EDGES = 500_000
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+#: Documents (or what stands for one) that a task of a written step handles at least.
+LEAST_ROWS = 2_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and read it back:
     lineage ends there, so a lost executor costs only the tasks it ran.  The
-    shuffle files of the write are released when it is done."""
+    shuffle files of the write are released when it is done.  With the number of
+    ``rows`` that the step is about, a small step writes a few files instead of one
+    for every partition."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(rows // LEAST_ROWS + 1)
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
@@ -102,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds.  A star's centre is found by a
     partial aggregate and joined back, so a centre with a third of all edges is
     a skewed join side that Spark splits; every round is cut to the shared
-    folder; the driver sees two numbers a round."""
+    folder in a file for every ``EDGES`` edges; the driver sees two numbers a round."""
     def oriented(df):
         return df.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
@@ -116,6 +127,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = cut(oriented(edges), "edges")
     seen = mark(now)
+    files = seen[0] // EDGES + 1
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = stars(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -123,7 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = stars(large)
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        after = cut(oriented(small), "edges")
+        after = cut(oriented(small).coalesce(files), "edges")
         found = mark(after)
         discard(now)
         now = after

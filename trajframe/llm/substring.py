@@ -78,9 +78,10 @@ def _edges(batches):
     low = lambda x, bits: (x & np.uint64((1 << bits) - 1))
     for batch in batches:
         out = [[] for _ in range(5)]
-        for doc, text, wanted in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "wanted"))):
+        wanted_of = batch.column("wanted").to_numpy(zero_copy_only=False)
+        for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), wanted_of):
             hashes = HASHES.of(text_bytes(text).split())
-            at = np.flatnonzero(np.isin(minimizers(hashes).view(np.int64), np.array(wanted, np.int64)))
+            at = np.flatnonzero(np.isin(minimizers(hashes).view(np.int64), wanted))
             one, two = windows(hashes, WINDOW), windows(hashes, WINDOW, 20)
             around = np.r_[np.uint64(0), low(one, 16), np.uint64(0)]
             for column, values in zip(out, (one[at].view(np.int64), low(two[at], 32).astype(np.uint32).view(np.int32), np.full(len(at), doc),
@@ -103,10 +104,10 @@ def path_spans(start: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[t
 def _cuts(batches):
     for batch in batches:
         removed, sha, rest, spans = [], [], [], []
-        for text, edges in zip(batch.column("text").to_pylist(), batch.column("edges").to_pylist()):
+        for text, edges in zip(batch.column("text").to_pylist(), batch.column("edges").to_numpy(zero_copy_only=False)):
             words = text_bytes(text).split()
-            rows = np.unique(np.array([(e["start"], e["first"], e["last"]) for e in edges], np.int64), axis=0)
-            found = path_spans(rows[:, 0], rows[:, 1] > 0, rows[:, 2] > 0)
+            edges = np.unique(edges)
+            found = path_spans(edges >> 2, (edges & 2) > 0, (edges & 1) > 0)
             keep = np.ones(len(words), bool)
             for a, b in found:
                 keep[a:b] = False
@@ -125,27 +126,30 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_words long, sig binary, sha string, least array<long>"
     features = cut(docs.mapInArrow(_features, schema), "features")
-    base = cut(features.select("doc_id", "n_words", "sig", "sha"), "base")
+    n = features.count()
+    base = cut(features.select("doc_id", "n_words", "sig", "sha"), "base", n)
 
     class_of = F.xxhash64("sig")
     classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     chosen = classes.where("rep is not null").groupBy(F.col("rep").alias("doc_id")).agg(F.min("sig").alias("sig")).withColumn("c", class_of)
     least = features.where("doc_id is not null and sig is not null").select(class_of.alias("c"), F.explode("least").alias("h"))
     repeated = least.groupBy("h").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a < _b").select("h")
-    wanted = cut(least.join(repeated, "h").groupBy("c").agg(F.collect_set("h").alias("wanted")).join(chosen, "c").select("sig", "doc_id", "wanted"), "wanted")
+    wanted = cut(least.join(repeated, "h").groupBy("c").agg(F.collect_set("h").alias("wanted")).join(chosen, "c").select("sig", "doc_id", "wanted"), "wanted", n)
     discard(features)
     texts = cut(docs.join(wanted, "doc_id").dropDuplicates(["doc_id", "text"])
-                .mapInArrow(_of_class, "doc_id long, text string, sig binary, wanted array<long>"), "texts")
+                .mapInArrow(_of_class, "doc_id long, text string, sig binary, wanted array<long>"), "texts", n)
     discard(wanted)
 
-    edges = cut(texts.mapInArrow(_edges, "one long, two int, doc_id long, start int, around int"), "edges")
+    edges = cut(texts.mapInArrow(_edges, "one long, two int, doc_id long, start int, around int"), "edges", n)
     counted = cut(edges.groupBy("one", "two").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("_hi"), F.bit_and("around").alias("_and"), F.bit_or("around").alias("_or"))
-                  .where("lo < _hi").select("one", "two", "lo", F.col("_and").bitwiseXOR(F.col("_or")).alias("differ")), "counted")
-    edge = F.struct("start", (F.shiftrightunsigned("differ", 16) != 0).cast("int").alias("first"), (F.col("differ").bitwiseAND(65535) != 0).cast("int").alias("last"))
-    spans = cut(edges.join(counted, ["one", "two"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(edge).alias("edges")), "spans")
+                  .where("lo < _hi").select("one", "two", "lo", F.col("_and").bitwiseXOR(F.col("_or")).alias("differ")), "counted", n)
+    # start, and whether a path begins or ends there, as one number
+    flag = lambda c, value: F.when(c, value).otherwise(0)
+    edge = F.col("start").cast("long") * 4 + flag(F.shiftrightunsigned("differ", 16) != 0, 2) + flag(F.col("differ").bitwiseAND(65535) != 0, 1)
+    spans = cut(edges.join(counted, ["one", "two"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(edge).alias("edges")), "spans", n)
     discard(edges, counted)
     kind = "doc_id long, sig binary, n_removed long, kept_sha string, kept_text string, spans array<struct<start:int,end:int>>"
-    cuts = cut(texts.join(spans, "doc_id").mapInArrow(_cuts, kind), "cuts").dropDuplicates(["doc_id", "sig"])
+    cuts = cut(texts.join(spans, "doc_id").mapInArrow(_cuts, kind), "cuts", n).dropDuplicates(["doc_id", "sig"])
     discard(texts, spans)
 
     rows = base.join(classes, "sig", "left").join(cuts, ["doc_id", "sig"], "left")
