@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SUPPORT, SIZE = 4, 3
+HOSTS, LEAST_PAGES = 1000, 1000
 MOST = 0.6
 
 # Fixed value lists: elements by their part in a page, names that mark boilerplate.
@@ -245,6 +246,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row a page: ``page_id, url, text, n_chars``."""
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     pages = pages.select("page_id", "url", "html", F.lower(F.when(host != "", host)).alias("host"), F.xxhash64("page_id", "url").alias("page"))
-    known = templates(pages.where("host is not null").select("host", "page", "html"))
-    return (pages.join(known, "host", "left").select("page_id", "url", "html", "template")
+    hosted = pages.where("host is not null")
+    known = templates(hosted.select("host", "page", "html"))
+    # a host with more than a HOSTS-th of all pages is spread over several keys; there are fewer than HOSTS such hosts
+    sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.greatest(F.lit(LEAST_PAGES), F.ceil(sizes.agg(F.sum("_n")).scalar() / HOSTS))
+    large = F.broadcast(sizes.where(F.col("_n") > share).select("host", F.ceil(F.col("_n") / share).alias("_k")))
+    keys = F.coalesce("_k", F.lit(1))
+    known = known.join(large, "host", "left").withColumn("_key", F.explode(F.sequence(F.lit(0).cast("long"), keys - 1)))
+    pages = pages.join(large, "host", "left").withColumn("_key", F.pmod("page", keys))
+    return (pages.join(known.select("host", "_key", "template"), ["host", "_key"], "left").select("page_id", "url", "html", "template")
             .mapInArrow(_main, "page_id long, url string, text string, n_chars long"))
