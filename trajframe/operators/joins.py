@@ -275,7 +275,7 @@ def exclude_recent(cands: DataFrame, recent: DataFrame, keys: Sequence[str], tex
 
 # --- T6 ---------------------------------------------------------------------------
 
-def rank_candidates(queries: DataFrame, cands: DataFrame, keys: Sequence[str] = (), text: str = "action") -> DataFrame:
+def rank_candidates(queries: DataFrame, cands: DataFrame, keys: Sequence[str], text: str = "action") -> DataFrame:
     """For each query, the candidates of the same group (``keys``, e.g.
     one step's valid actions) whose first word equals the query's, ranked
     by (shared words, text) descending.  An equi-join on (keys, first word)

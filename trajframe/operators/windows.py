@@ -362,12 +362,18 @@ def blocked_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str
 def running_match(pairs: DataFrame, group: str = "task_no", order: Sequence[str] = ("variation_id", "step"),
                   pred: str = "prediction", target: str = "target", block_size: int = 4096) -> DataFrame:
     """Cumulative exact-match % after each row, per group (a task
-    file), in the given row order; two-level running sum
-    (``blocked_running_sum``) with blocks of ``block_size`` episodes."""
-    m = pairs.withColumn("_m", F.col(pred).eqNullSafe(F.col(target)).cast("long"))
-    block = F.floor(F.col(order[0]) / block_size)
-    r = blocked_running_sum(m, [group], list(order), {"_cm": F.col("_m"), "_cn": F.lit(1).cast("long")}, block)
-    return r.withColumn("running_match", F.col("_cm") * 100.0 / F.col("_cn")).drop("_m", "_cm", "_cn")
+    file), in the order of (episode, step): totals of the chunks of each episode are
+    summed up in blocks of ``block_size`` episodes and added to the running sum inside
+    the chunk, so neither a task nor an episode is one sort."""
+    episode, step = order
+    m = pairs.withColumn("_m", F.col(pred).eqNullSafe(F.col(target)).cast("long")).withColumn("_c", F.floor(F.col(step) / BLOCK))
+    # totals of every chunk of an episode, summed up over the episodes before in blocks of episodes
+    tot = m.groupBy(group, episode, "_c").agg(F.sum("_m").alias("_tm"), F.count(F.lit(1)).alias("_tn"))
+    tot = blocked_running_sum(tot, [group], [episode, "_c"], {"_sm": F.col("_tm"), "_sn": F.col("_tn")}, F.floor(F.col(episode) / block_size))
+    ahead = tot.select(group, episode, "_c", (F.col("_sm") - F.col("_tm")).alias("_am"), (F.col("_sn") - F.col("_tn")).alias("_an"))
+    inside = Window.partitionBy(group, episode, "_c").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    r = m.join(ahead, [group, episode, "_c"]).withColumn("_cm", F.col("_am") + F.sum("_m").over(inside)).withColumn("_cn", F.col("_an") + F.count(F.lit(1)).over(inside))
+    return r.withColumn("running_match", F.col("_cm") * 100.0 / F.col("_cn")).drop("_m", "_c", "_cm", "_cn", "_am", "_an")
 
 
 # --- W16 - W18: history clean-up ------------------------------------------------------------
