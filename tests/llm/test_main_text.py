@@ -40,3 +40,17 @@ def test_template_of_a_host_goes_and_articles_stay(spark):
 
 def test_empty_table(spark):
     assert mt.main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_template_decides_inside_articles(spark):
+    again = "<p>Follow us every day.</p><p>Send us your story.</p><p>Printed in our own house.</p>"
+    rows = [(i, f"http://d.example/{i}", f"<article><h1>Title {i}</h1><h2>Summary</h2><p>{f'The report number {i} tells of something new. ' * 4}</p>{again}</article>") for i in range(8)]
+    near = "".join(f"<p>Paragraph {j} of a story that was sent to many papers.</p>" for j in range(6))
+    rows += [(20 + i, f"http://n.example/{i}", f"<article><p>Edition {i}</p>{near}</article>") for i in range(6)]
+    same = "<div><p>One text.</p><p>Without an article.</p><p>On six pages.</p></div>"
+    rows += [(40 + i, f"http://s.example/{i}", f"<body>{same}</body>") for i in range(6)]
+    got = extract(spark, rows)
+    for i in range(8):
+        assert got[i].text == f"Title {i}\n\nSummary\n\n" + f"The report number {i} tells of something new. " * 3 + f"The report number {i} tells of something new."
+    assert all(got[20 + i].text.count("\n\n") == 6 for i in range(6))
+    assert all(got[40 + i].text == "One text.\n\nWithout an article.\n\nOn six pages." for i in range(6))

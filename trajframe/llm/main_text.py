@@ -1,10 +1,10 @@
 """Operator 4, main text by equivalence classes of template tokens.
 
 A page is read into elements and text blocks.  Its tokens are the paths of its
-elements (tags with their classes) and its text blocks outside articles.  For
-every token of a host two sums over its pages, of hashes of (page, number of
-occurrences), stand for its occurrence vector; tokens with equal vectors are one
-class.  A class is valid when it occurs on ``SUPPORT`` pages or more and holds
+elements (tags with their classes) and its text blocks.  For every token of a host
+two sums over its pages, of hashes of (page, number of occurrences), stand for its
+occurrence vector; tokens with equal vectors are one class.  Pages with the same
+article (or, without one, the same text) count as one page.  A class is valid when it occurs on ``SUPPORT`` pages or more and holds
 ``SIZE`` tokens or more; classes nest by support.  The outermost ones (on at least
 half of the host's pages) are the host's template.  Text that belongs to it is
 boilerplate; what is left are its slots.
@@ -12,8 +12,9 @@ boilerplate; what is left are its slots.
 The main slot of a page is its article elements; without them its main element;
 without that the smallest element with most of the slot text.  Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-go by their elements, roles and class names (fixed lists below).  Text inside an
-article is never taken for template, so copies of an article stay whole.
+go by their elements, roles and class names (fixed lists below).  Text of an
+article that belongs to the template goes as well, but not its headings, and not
+when more than half of the article would go: near copies stay whole.
 
 A line break inside a block counts as white space.  Defined cases: null or empty
 html gives an empty text; a page without host is judged alone, as is a host with
@@ -168,23 +169,31 @@ class Page:
             self.path[e] = (self.path[p] + "/" if p >= 0 else "") + tag + "".join("." + x for x in sorted(self.names[e]))
 
     def tokens(self) -> dict[int, int]:
-        """Occurrences of element paths and of text blocks outside articles, by hash."""
+        """Occurrences of element paths and of text blocks, by hash."""
         found: dict[int, int] = {}
         for path in self.path:
-            key = xxhash.xxh3_64_intdigest(path) >> 1
+            key = path_key(path)
             found[key] = found.get(key, 0) + 1
         for e, text, _ in self.blocks:
-            if not self.article[e] and not self.out[e]:
+            if not self.out[e]:
                 key = block_key(text)
                 found[key] = found.get(key, 0) + 1
         return found
 
+    def copy(self) -> int:
+        """Equal for pages with the same article (without one: the same text)."""
+        kept = [(e, text) for e, text, _ in self.blocks if not self.out[e]]
+        inside = [text for e, text in kept if self.article[e]]
+        return xxhash.xxh3_64_intdigest("\n".join(inside or [text for _, text in kept])) >> 1
+
     def main(self, template: frozenset[int]) -> list[str]:
         """Text blocks of the main slot in page order."""
         kept = [(e, text, link) for e, text, link in self.blocks if not self.out[e]]
         inside = [(e, text) for e, text, _ in kept if self.article[e]]
         if inside:
-            return [text for _, text in inside]
+            slots = [text for e, text in inside if self.tag[e] in HEADINGS or block_key(text) not in template]
+            whole = [text for _, text in inside]
+            return slots if 2 * sum(map(len, slots)) >= sum(map(len, whole)) else whole
         kept = [(e, text, link) for e, text, link in kept if block_key(text) not in template]
         roots = [e for e in range(len(self.tag)) if not self.out[e] and (self.tag[e] == "main" or "main" in self.roles[e])]
         chosen = [(e, text) for e, text, _ in kept if any(r <= e <= self.last[r] for r in roots)]
@@ -205,21 +214,26 @@ class Page:
         return [text for _, text in chosen]
 
 
+def path_key(path: str) -> int:
+    return xxhash.xxh3_64_intdigest(path) >> 1
+
+
 def block_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest("\t" + text) >> 1
 
 
 def _tokens(batches):
     for batch in batches:
-        host, page, key, count = [], [], [], []
-        for h, p, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
-            found = Page(html).tokens()
+        host, copy, key, count = [], [], [], []
+        for h, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
+            page = Page(html)
+            found = page.tokens()
             host += [h] * len(found)
-            page += [p] * len(found)
+            copy += [page.copy()] * len(found)
             key += found.keys()
             count += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(key, pa.int64()), pa.array(count, pa.int32())],
-                                         ["host", "page", "token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(copy, pa.int64()), pa.array(key, pa.int64()), pa.array(count, pa.int32())],
+                                         ["host", "copy", "token", "n"])
 
 
 def _main(batches):
@@ -233,10 +247,12 @@ def _main(batches):
 
 def templates(pages: DataFrame) -> DataFrame:
     """``host, template``: hashes of the tokens of the host's outermost valid classes."""
-    token = pages.mapInArrow(_tokens, "host string, page long, token long, n int")
-    part = lambda seed: F.sum(F.pmod(F.xxhash64("page", "n", F.lit(seed)), F.lit(2**31)))
+    # copies of a page are one, and so are tokens they share
+    token = pages.mapInArrow(_tokens, "host string, copy long, token long, n int").groupBy("host", "token", "copy").agg(F.max("n").alias("n"))
+    part = lambda seed: F.sum(F.pmod(F.xxhash64("copy", "n", F.lit(seed)), F.lit(2**31)))
     vectors = token.groupBy("host", "token").agg(F.count(F.lit(1)).alias("support"), part(1).alias("s1"), part(2).alias("s2")).where(F.col("support") >= SUPPORT)
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    # every page has the path of its root once
+    sizes = vectors.where(F.col("token") == path_key("html")).select("host", F.col("support").alias("pages"))
     classes = (vectors.groupBy("host", "support", "s1", "s2").agg(F.collect_list("token").alias("tokens"))
                .join(sizes, "host").where((F.size("tokens") >= SIZE) & (F.col("support") * 2 >= F.col("pages"))))
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
@@ -247,7 +263,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     pages = pages.select("page_id", "url", "html", F.lower(F.when(host != "", host)).alias("host"), F.xxhash64("page_id", "url").alias("page"))
     hosted = pages.where("host is not null")
-    known = templates(hosted.select("host", "page", "html"))
+    known = templates(hosted.select("host", "html"))
     # a host with more than a HOSTS-th of all pages is spread over several keys; there are fewer than HOSTS such hosts
     sizes = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("_n"))
     share = F.greatest(F.lit(LEAST_PAGES), F.ceil(sizes.agg(F.sum("_n")).scalar() / HOSTS))
