@@ -54,3 +54,21 @@ def test_template_decides_inside_articles(spark):
         assert got[i].text == f"Title {i}\n\nSummary\n\n" + f"The report number {i} tells of something new. " * 3 + f"The report number {i} tells of something new."
     assert all(got[20 + i].text.count("\n\n") == 6 for i in range(6))
     assert all(got[40 + i].text == "One text.\n\nWithout an article.\n\nOn six pages." for i in range(6))
+
+
+def test_without_article_all_slots_stay():
+    long, short = "The longer part of the text. " * 20, "The shorter part of the text. " * 10
+    page = mt.Page(f"<div><h1>Title</h1><p>lead</p><div class=text><p>{long}</p></div></div>")
+    assert page.main(frozenset()) == ["Title", "lead", long.strip()]
+    page = mt.Page(f"<div><p>{short}</p></div><div><p>{long}</p><p>See <a href=x>a long list of many sources</a></p></div>")
+    assert page.main(frozenset()) == [short.strip(), long.strip(), "See a long list of many sources"]
+
+
+def test_template_of_each_type_of_page(spark):
+    rows = []
+    for i in range(30):                                  # three types, each on a third of the host
+        kind = ["news", "shop", "forum"][i % 3]
+        rest = f"<div><span>{kind} hours</span></div><div>{kind} rules</div><div>{kind} offers</div>"
+        rows.append((i, f"http://t.example/{i}", f"<body><div class={kind}>{rest}<p>Own text {i}.</p></div><div>{kind} office</div><p>More {i}.</p></body>"))
+    got = extract(spark, rows)
+    assert [got[i].text for i in range(30)] == [f"Own text {i}.\n\nMore {i}." for i in range(30)]

@@ -4,13 +4,15 @@ A page is read into elements and text blocks.  Its tokens are the paths of its
 elements (tags with their classes) and its text blocks.  For every token of a host
 two sums over its pages, of hashes of (page, number of occurrences), stand for its
 occurrence vector; tokens with equal vectors are one class.  Pages with the same
-article (or, without one, the same text) count as one page.  A class is valid when it occurs on ``SUPPORT`` pages or more and holds
-``SIZE`` tokens or more; classes nest by support.  The outermost ones (on at least
-half of the host's pages) are the host's template.  Text that belongs to it is
-boilerplate; what is left are its slots.
+article (or, without one, the same text) count as one page.  A class is valid when
+it occurs on ``SUPPORT`` pages or more and holds ``SIZE`` tokens or more; classes
+nest by the paths that enclose their tokens.  A text block of a valid class is
+template when it is on at least half of the pages that hold its enclosing path (in
+an article: the article's path), or, outside articles, when a path is of its class,
+for the pages then are a type that always has it.  What is left are the slots.
 
 The main slot of a page is its article elements; without them its main element;
-without that the smallest element with most of the slot text.  Menus, headers,
+without that all slots.  Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 go by their elements, roles and class names (fixed lists below).  Text of an
 article that belongs to the template goes as well, but not its headings, and not
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 SUPPORT, SIZE = 4, 3
 HOSTS, LEAST_PAGES = 1000, 1000
-MOST = 0.6
+#: Kinds of tokens, the last two bits of their hash: element path, text block outside articles, text block of an article.
+PATH, OUTER, INNER = 0, 1, 2
 
 # Fixed value lists: elements by their part in a page, names that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,18 +171,29 @@ class Page:
             self.article[e] = not self.out[e] and (up_article or tag == "article")
             self.path[e] = (self.path[p] + "/" if p >= 0 else "") + tag + "".join("." + x for x in sorted(self.names[e]))
 
-    def tokens(self) -> dict[int, int]:
-        """Occurrences of element paths and of text blocks, by hash."""
-        found: dict[int, int] = {}
-        for path in self.path:
-            key = path_key(path)
+    def tokens(self) -> dict[tuple[int, int], int]:
+        """Occurrences of element paths and of text blocks, by hash and the hash of
+        the path that encloses them (for all of an article, the article's)."""
+        found: dict[tuple[int, int], int] = {}
+        for e, path in enumerate(self.path):
+            key = path_key(path), path_key(self.path[max(self.parent[e], 0)])
             found[key] = found.get(key, 0) + 1
         for e, text, _ in self.blocks:
             if not self.out[e]:
-                key = block_key(text)
+                key = self.block_key(e, text), path_key(self.path[self.slot(e)])
                 found[key] = found.get(key, 0) + 1
         return found
 
+    def slot(self, e: int) -> int:
+        """The outermost article around an element, or the element itself."""
+        at = e
+        while self.article[at] and self.article[self.parent[at]]:
+            at = self.parent[at]
+        return at
+
+    def block_key(self, e: int, text: str) -> int:
+        return block_key(self.path[self.slot(e)], text, self.article[e])
+
     def copy(self) -> int:
         """Equal for pages with the same article (without one: the same text)."""
         kept = [(e, text) for e, text, _ in self.blocks if not self.out[e]]
@@ -191,71 +205,69 @@ class Page:
         kept = [(e, text, link) for e, text, link in self.blocks if not self.out[e]]
         inside = [(e, text) for e, text, _ in kept if self.article[e]]
         if inside:
-            slots = [text for e, text in inside if self.tag[e] in HEADINGS or block_key(text) not in template]
+            slots = [text for e, text in inside if self.tag[e] in HEADINGS or self.block_key(e, text) not in template]
             whole = [text for _, text in inside]
             return slots if 2 * sum(map(len, slots)) >= sum(map(len, whole)) else whole
-        kept = [(e, text, link) for e, text, link in kept if block_key(text) not in template]
+        kept = [(e, text) for e, text, _ in kept if self.block_key(e, text) not in template]
         roots = [e for e in range(len(self.tag)) if not self.out[e] and (self.tag[e] == "main" or "main" in self.roles[e])]
-        chosen = [(e, text) for e, text, _ in kept if any(r <= e <= self.last[r] for r in roots)]
-        if not chosen and kept:
-            weight = np.zeros(len(self.tag))
-            for e, text, link in kept:
-                weight[e] += max(len(text) - 2 * link, 0)
-            total = weight.sum()
-            summed = np.r_[0, np.cumsum(weight)]
-            at = 0
-            while True:                                        # down to the smallest element with most of the text
-                down = [e for e in range(at + 1, self.last[at] + 1) if self.parent[e] == at and self.tag[e] not in ("p", "li", "td", "blockquote", "pre", *HEADINGS)
-                        and summed[self.last[e] + 1] - summed[e] > MOST * total]
-                if not down or not total:
-                    break
-                at = down[0]
-            chosen = [(e, text) for e, text, link in kept if at <= e <= self.last[at] and 2 * link <= len(text)]
-        return [text for _, text in chosen]
+        chosen = [text for e, text in kept if any(r <= e <= self.last[r] for r in roots)]
+        return chosen or [text for _, text in kept]
 
 
 def path_key(path: str) -> int:
-    return xxhash.xxh3_64_intdigest(path) >> 1
+    return xxhash.xxh3_64_intdigest(path) >> 3 << 2 | PATH
 
 
-def block_key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest("\t" + text) >> 1
+def block_key(path: str, text: str, article: bool) -> int:
+    return xxhash.xxh3_64_intdigest(path + "\t" + text) >> 3 << 2 | (INNER if article else OUTER)
 
 
 def _tokens(batches):
     for batch in batches:
-        host, copy, key, count = [], [], [], []
+        host, copy, key, up, count = [], [], [], [], []
         for h, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
             page = Page(html)
             found = page.tokens()
             host += [h] * len(found)
             copy += [page.copy()] * len(found)
-            key += found.keys()
+            key += [k for k, _ in found]
+            up += [u for _, u in found]
             count += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(copy, pa.int64()), pa.array(key, pa.int64()), pa.array(count, pa.int32())],
-                                         ["host", "copy", "token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(copy, pa.int64()), pa.array(key, pa.int64()), pa.array(up, pa.int64()), pa.array(count, pa.int32())],
+                                         ["host", "copy", "token", "up", "n"])
 
 
 def _main(batches):
     for batch in batches:
         out = []
-        for html, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
-            out.append("\n\n".join(Page(html).main(frozenset(template or ()))))
+        for html, template in zip(batch.column("html").to_pylist(), batch.column("template").to_numpy(zero_copy_only=False)):
+            page, held = Page(html), frozenset()
+            if template is not None:
+                keys = np.array([page.block_key(e, text) for e, text, _ in page.blocks], np.int64)
+                held = frozenset(keys[np.isin(keys, template)].tolist())
+            out.append("\n\n".join(page.main(held)))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, template``: hashes of the tokens of the host's outermost valid classes."""
-    # copies of a page are one, and so are tokens they share
-    token = pages.mapInArrow(_tokens, "host string, copy long, token long, n int").groupBy("host", "token", "copy").agg(F.max("n").alias("n"))
+    """``host, template``: hashes of the text blocks that valid classes make template."""
+    # copies of a page are one, and so are tokens they share; a token lies in one enclosing path
+    token = (pages.mapInArrow(_tokens, "host string, copy long, token long, up long, n int")
+             .groupBy("host", "token", "copy").agg(F.max("n").alias("n"), F.min("up").alias("up")))
     part = lambda seed: F.sum(F.pmod(F.xxhash64("copy", "n", F.lit(seed)), F.lit(2**31)))
-    vectors = token.groupBy("host", "token").agg(F.count(F.lit(1)).alias("support"), part(1).alias("s1"), part(2).alias("s2")).where(F.col("support") >= SUPPORT)
-    # every page has the path of its root once
-    sizes = vectors.where(F.col("token") == path_key("html")).select("host", F.col("support").alias("pages"))
-    classes = (vectors.groupBy("host", "support", "s1", "s2").agg(F.collect_list("token").alias("tokens"))
-               .join(sizes, "host").where((F.size("tokens") >= SIZE) & (F.col("support") * 2 >= F.col("pages"))))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    vectors = (token.groupBy("host", "token").agg(F.count(F.lit(1)).alias("support"), part(1).alias("s1"), part(2).alias("s2"), F.min("up").alias("up"))
+               .where(F.col("support") >= SUPPORT))
+    # a block is judged within the pages that hold its enclosing path; one outside articles also
+    # by the paths of its class, for they mark a type of page that always has it
+    around = vectors.select("host", F.col("token").alias("up"), F.col("support").alias("within"))
+    placed = vectors.join(around, ["host", "up"])
+    classes = (placed.groupBy("host", "support", "s1", "s2").agg(F.collect_list(F.struct("token", "within")).alias("tokens"))
+               .where(F.size("tokens") >= SIZE))
+    kind = lambda t: t["token"].bitwiseAND(3)
+    typed = F.exists("tokens", lambda t: kind(t) == PATH)
+    held = F.filter("tokens", lambda t: (kind(t) != PATH) & ((F.col("support") * 2 >= t["within"]) | (kind(t) == OUTER) & typed))
+    return classes.select("host", held["token"].alias("tokens")).groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
