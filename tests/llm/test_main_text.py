@@ -72,3 +72,23 @@ def test_template_of_each_type_of_page(spark):
         rows.append((i, f"http://t.example/{i}", f"<body><div class={kind}>{rest}<p>Own text {i}.</p></div><div>{kind} office</div><p>More {i}.</p></body>"))
     got = extract(spark, rows)
     assert [got[i].text for i in range(30)] == [f"Own text {i}.\n\nMore {i}." for i in range(30)]
+
+
+LONG = "Much is told here about the matter at hand. " * 10
+
+
+@pytest.mark.parametrize("inner, gone", [
+    ("<div class='entry-header'><h1>Title</h1></div>", False), ("<div class='header'><h1>Title</h1></div>", False), ("<section id='search'><p>" + LONG + "</p></section>", False),
+    ("<section id='social-history'><h2>History</h2><p>short</p></section>", False), ("<p class='notice-text'>Take note.</p>", False),
+    ("<div id='ad-2024-report'><p>The report.</p></div>", False), ("<p data-id='ad' data-class='menu'>kept</p>", False), ("<p itemprop='comment'>kept</p>", False),
+    ("<p>a <span class='notice-text'>word</span> b</p>", False), ("<div class='related'><h2>Related work</h2><p>" + LONG + "</p></div>", False),
+    ("<div class='share'>Tell others</div>", True), ("<div class='share-buttons'><a href=a>Post it</a> <a href=b>Mail it</a></div>", True),
+    ("<div id='comments' class='comments-area'><h3>Two comments</h3><p>" + LONG + "</p></div>", True), ("<section id='cookies'><h2>Baking</h2><p>" + LONG + "</p></section>", False),
+    ("<div class='comments'><h3>Two comments</h3><p>" + LONG + "</p></div>", True), ("<div class='ad'>" + LONG + "</div>", True),
+])
+@pytest.mark.parametrize("root", ["article", "main"])
+def test_names_inside_content(root, inner, gone):
+    text = mt.Page(f"<{root}><p>first</p>{inner}<p>last</p></{root}>").main(frozenset())
+    assert (text == ["first", "last"]) if gone else (len(text) > 2 and text[0] == "first" and text[-1] == "last")
+    if "<h" in inner and not gone:
+        assert text[1] in ("Title", "History", "Related work", "Baking")

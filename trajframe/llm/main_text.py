@@ -14,7 +14,9 @@ for the pages then are a type that always has it.  What is left are the slots.
 The main slot of a page is its article elements; without them its main element;
 without that all slots.  Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-go by their elements, roles and class names (fixed lists below).  Text of an
+go by their elements, roles and class names (fixed lists below).  Inside an article
+or main element a name counts when it is a whole class and says enough (``SURE``), or
+when the element holds no heading and is short or mostly links.  Text of an
 article that belongs to the template goes as well, but not its headings, and not
 when more than half of the article would go: near copies stay whole.
 
@@ -33,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SUPPORT, SIZE = 4, 3
 HOSTS, LEAST_PAGES = 1000, 1000
 #: Kinds of tokens, the last two bits of their hash: element path, text block outside articles, text block of an article.
@@ -53,18 +57,27 @@ NAMES = set("ad ads advert adverts advertisement advertising adsense adslot spon
             "navigation breadcrumb breadcrumbs header footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
             "subscription signup comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations "
             "pagination pager widget widgets toolbar login search skip".split())
+#: Names that say enough in an article; the others count there for an element that is short or mostly links.
+SURE = set("ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored cookie cookies consent gdpr popup newsletter "
+           "comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager sidebar sidenav navbar".split())
+#: As an id, only these; other ids name what a section is about.
+REMARKS = set("comments commentlist disqus respond".split())
+SHORT = 200
 INSIDE = set("article main body html".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
 
 class Page:
-    """Elements as parallel lists (``tag, parent, names, last``) and text blocks ``(element, text)``."""
+    """Elements as parallel lists (``tag, parent, names, last``) and text blocks ``(element, text)``.
+    ``names`` are the runs of letters in classes and ids, ``whole`` the listed names that
+    are a class and ``ids`` those that are an id."""
 
     def __init__(self, html: str | None):
         self.tag, self.parent, self.names, self.roles, self.last = ["html"], [-1], [frozenset()], [frozenset()], [0]
+        self.whole, self.ids = [frozenset()], [frozenset()]
         self.blocks: list[tuple[int, str, int]] = []          # element, text, characters in links
         stack, run, run_at, links = [0], [], 0, 0
         html = html or ""
@@ -80,10 +93,11 @@ class Page:
 
         def silent():
             """In an inline element that is boilerplate."""
+            content = any(self.tag[e] in ("article", "main") or "main" in self.roles[e] for e in stack)
             for e in reversed(stack):
                 if self.tag[e] in BLOCK:
                     return False
-                if self.tag[e] in OUT or self.names[e] & NAMES or self.roles[e] & ROLES:
+                if self.tag[e] in OUT or (self.whole[e] & SURE if content else self.names[e] & NAMES) or self.roles[e] & ROLES:
                     return True
 
         def close(depth):
@@ -138,9 +152,13 @@ class Page:
                         break
             if name in VOID or rest.endswith("/") or name in ("html", "body") and len(stack) > 1 and name in (self.tag[e] for e in stack):
                 continue
-            names, roles = set(), set()
+            names, roles, whole, ids = set(), set(), set(), set()
             for key, *values in ATTRIBUTE.findall(rest):
-                (roles if key.lower() == "role" else names).update(x.lower() for x in PART.findall("".join(values)))
+                key, value = key.lower(), "".join(values).lower()
+                (roles if key == "role" else names).update(PART.findall(value))
+                if key in ("class", "id"):
+                    (whole if key == "class" else ids).update(NAMES.intersection(value.split()))
+            self.whole.append(frozenset(whole)), self.ids.append(frozenset(ids))
             self.tag.append(name), self.parent.append(stack[-1])
             self.names.append(frozenset(names)), self.roles.append(frozenset(roles)), self.last.append(len(self.tag) - 1)
             if name != "html":
@@ -156,19 +174,34 @@ class Page:
     def _judge(self):
         """Which elements are out, and which lie in an article."""
         n = len(self.tag)
-        holds = np.zeros(n, bool)                              # an article or main element inside
+        holds, heads = np.zeros(n, bool), np.zeros(n, bool)    # an article or main element inside, a heading inside
         for e in range(n - 1, 0, -1):
             if holds[e] or self.tag[e] in ("article", "main"):
                 holds[self.parent[e]] = True
+            if heads[e] or self.tag[e] in HEADINGS:
+                heads[self.parent[e]] = True
+        size, link = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for e, text, links in self.blocks:
+            size[e + 1] += len(text)
+            link[e + 1] += links
+        size, link = np.cumsum(size).tolist(), np.cumsum(link).tolist()
         self.out, self.article, self.path = [False] * n, [False] * n, [""] * n
+        content = [False] * n                                  # in an article or main element
         for e in range(n):
             p, tag = self.parent[e], self.tag[e]
-            up_out, up_article = (self.out[p], self.article[p]) if p >= 0 else (False, False)
-            marked = not holds[e] and tag not in INSIDE - {"article"} and (
-                bool(self.names[e] & NAMES) and tag not in HEADINGS or bool(self.roles[e] & ROLES))
-            own = tag in OUT or marked or tag == "header" and not up_article and not holds[e]
+            up_out, up_article, up_content = (self.out[p], self.article[p], content[p]) if p >= 0 else (False, False, False)
+            if up_content:
+                chars = size[self.last[e] + 1] - size[e]
+                linked = 2 * (link[self.last[e] + 1] - link[e]) > chars
+                named = bool(self.whole[e] & SURE or self.ids[e] & REMARKS) or not heads[e] and (
+                    bool(self.whole[e] | self.ids[e]) and chars <= SHORT or bool(self.names[e] & NAMES) and linked)
+            else:
+                named = bool(self.names[e] & NAMES)
+            marked = not holds[e] and tag not in INSIDE - {"article"} and (named and tag not in HEADINGS or bool(self.roles[e] & ROLES))
+            own = tag in OUT or marked or tag == "header" and not up_article and not holds[e] and not (up_content and heads[e])
             self.out[e] = up_out or own
             self.article[e] = not self.out[e] and (up_article or tag == "article")
+            content[e] = up_content or tag in ("article", "main") or "main" in self.roles[e]
             self.path[e] = (self.path[p] + "/" if p >= 0 else "") + tag + "".join("." + x for x in sorted(self.names[e]))
 
     def tokens(self) -> dict[tuple[int, int], int]:
@@ -256,8 +289,8 @@ def templates(pages: DataFrame) -> DataFrame:
     token = (pages.mapInArrow(_tokens, "host string, copy long, token long, up long, n int")
              .groupBy("host", "token", "copy").agg(F.max("n").alias("n"), F.min("up").alias("up")))
     part = lambda seed: F.sum(F.pmod(F.xxhash64("copy", "n", F.lit(seed)), F.lit(2**31)))
-    vectors = (token.groupBy("host", "token").agg(F.count(F.lit(1)).alias("support"), part(1).alias("s1"), part(2).alias("s2"), F.min("up").alias("up"))
-               .where(F.col("support") >= SUPPORT))
+    vectors = cut(token.groupBy("host", "token").agg(F.count(F.lit(1)).alias("support"), part(1).alias("s1"), part(2).alias("s2"), F.min("up").alias("up"))
+                  .where(F.col("support") >= SUPPORT), "vectors")
     # a block is judged within the pages that hold its enclosing path; one outside articles also
     # by the paths of its class, for they mark a type of page that always has it
     around = vectors.select("host", F.col("token").alias("up"), F.col("support").alias("within"))
