@@ -73,3 +73,24 @@ def test_segments_equal_repeated_search():
         found, slow = tx.segments(np.array(x)), slow_segments(x)
         assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in slow]
         assert np.allclose([s for *_, s in found], [s for *_, s in slow])
+
+
+def test_bounded_sample_keeps_the_class_ratio(spark, monkeypatch):
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(1200):                                 # one in ten is toxic, and clean texts hold bad words now and then
+        words, toxic = prose(i, 60, 300), int(i % 10 == 0)
+        for _ in range(r.randrange(1, 5) if toxic else r.randrange(0, 2) * r.randrange(0, 3)):
+            words.insert(r.randrange(len(words)), r.choice(BAD))
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs, known = documents(spark, rows), labels_of(spark, labels)
+    whole = tx.fit(docs, known)
+    monkeypatch.setattr(tx, "SAMPLE", 200)                # cuts the clean class only
+    part = tx.fit(docs, known)
+    assert abs(part["share"] - whole["share"]) < 0.01
+    mean = [np.mean([x.score for x in tx.toxicity(docs, known).select("score").collect()])]
+    monkeypatch.undo()
+    mean.append(np.mean([x.score for x in tx.toxicity(docs, known).select("score").collect()]))
+    print(mean, part["share"], whole["share"])
+    assert abs(mean[0] - mean[1]) < 0.02 and abs(mean[1] - 0.1) < 0.02

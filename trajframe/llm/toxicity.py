@@ -2,7 +2,8 @@
 
 Learning.  From a bounded sample of labelled documents (``SAMPLE`` rows a class,
 in hash order of the id) the documents of each class that hold a feature are
-counted.  A feature is a word or one of its prefixes.  Its log-odds of the toxic
+counted.  A class that the bound cuts counts with the weight of all its labelled
+documents, so the share of toxic ones and the calibration are those of all labels.  A feature is a word or one of its prefixes.  Its log-odds of the toxic
 class are taken with a Dirichlet (for two classes: beta) prior centred on its
 longest kept prefix, so an unseen inflection falls back to its stem and a rare
 word to the base rate.  The ``FEATURES`` most significant features are kept.
@@ -150,24 +151,23 @@ def _cross(models):
     return run
 
 
-def extreme_law(n: np.ndarray, sums: list) -> tuple[float, float]:
-    """``lambda, ln K`` of clean texts: segments above s come at a rate of ``K
-    exp(-lambda s)`` a word, so the best of a text follows a Gumbel law."""
-    every = np.concatenate([np.zeros(0), *(np.asarray(x, float) for x in sums)])
-    words = float((n + EDGE).sum()) if len(n) else 1.0
-    rate = (len(every) + 1) / (float(every.sum()) + 1)
-    return min(max(rate, 0.25), 4.0), math.log((len(every) + 1) / words)
+def extreme_law(words: float, found: int, total: float) -> tuple[float, float]:
+    """``lambda, ln K`` of clean texts, from their words (each with ``EDGE`` more), the
+    number of their segments and the sum of these: segments above s come at a rate of
+    ``K exp(-lambda s)`` a word, so the best of a text follows a Gumbel law."""
+    return min(max((found + 1) / (total + 1), 0.25), 4.0), math.log((found + 1) / (words or 1.0))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: np.ndarray | float = 1.0) -> tuple[float, float]:
     """Slope and intercept by Newton steps."""
+    weight = np.broadcast_to(weight, len(x))
     scale = max(float(np.std(x)), 1e-9)
     a = np.stack([(x - x.mean()) / scale, np.ones(len(x))], 1)
     w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        grad = a.T @ (p - y) + ridge * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), grad)
+        grad = a.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), grad)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
@@ -183,11 +183,30 @@ def evidence(rate: float, log_k: float, n: int, sums: list[float]) -> float:
     return most
 
 
+def _evidence(rate: float, log_k: float):
+    def run(batches):
+        for batch in batches:
+            x = [evidence(rate, log_k, n, s) for n, s in zip(batch.column("n").to_pylist(), batch.column("sums").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("toxic")], ["x", "toxic"])
+    return run
+
+
+def class_weights(labelled: np.ndarray) -> np.ndarray:
+    """Weights of sampled rows by class (clean, toxic) that restore the ratio of all
+    labelled documents; the lesser is 1, so priors keep their strength at every size."""
+    weight = np.maximum(labelled / SAMPLE, 1.0)
+    return weight / weight.min()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Learn the model; what reaches the driver is bounded by SAMPLE and FEATURES."""
     spark = docs.sparkSession
     known = (labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("fold", fold("doc_id").cast("int")).where("fold <> 0"))
+    labelled = np.zeros(2)
+    for y, n in known.groupBy("toxic").count().collect():
+        labelled[y] = n
+    weight = class_weights(labelled)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(SAMPLE).unionByName(known.where("toxic = 0").orderBy(*order).limit(SAMPLE))
     # at most 2 * SAMPLE rows of three numbers
@@ -199,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     clean, toxic = sizes.sum(0)
     if not clean or not toxic:
         return {"share": float(toxic / max(clean + toxic, 1)), "models": None}
+    # features are chosen by the sample as it is, everything learned from them is weighted
     share = float(toxic / (clean + toxic))
     counted = sample.mapInArrow(_counts, "feature string, n array<long>").select("feature", *(F.col("n")[i].alias(f"n{i}") for i in range(2 * FOLDS)))
     counted = counted.groupBy("feature").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(2 * FOLDS)))
@@ -211,14 +231,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     models = {}
     for k in range(FOLDS):
         use = [i for i in range(1, FOLDS) if i != k]
-        c = n[:, use].sum(1)
-        own = sizes[use].sum(0)
+        c = n[:, use].sum(1) * weight
+        own = sizes[use].sum(0) * weight
         models[k] = odds(dict(zip(names, c)), float(min(max(own[1], 0.5), own.sum() - 0.5) / own.sum()))
     shared = spark.sparkContext.broadcast(models)
-    seen = sample.mapInArrow(_cross(shared), "n long, sums array<double>, toxic int").toPandas()
-    length, y = seen["n"].to_numpy(float), seen["toxic"].to_numpy(float)
-    rate, log_k = extreme_law(length[y == 0], list(seen["sums"][y == 0]))
-    slope, intercept = logistic(np.array([evidence(rate, log_k, n, x) for n, x in zip(length, seen["sums"])]), y)
+    seen = cut(sample.mapInArrow(_cross(shared), "n long, sums array<double>, toxic int"), "seen")
+    # exact sums, so that reruns agree
+    total = F.aggregate("sums", F.lit(0.0), lambda a, b: a + b).cast("decimal(28,12)")
+    words, found, total = seen.where("toxic = 0").agg(F.sum(F.col("n") + EDGE), F.sum(F.size("sums")), F.sum(total)).first()
+    rate, log_k = extreme_law(float(words or 0), int(found or 0), float(total or 0))
+    # one number and the class of at most 2 * SAMPLE texts
+    tested = seen.mapInArrow(_evidence(rate, log_k), "x double, toxic int").toPandas()
+    y = tested["toxic"].to_numpy()
+    slope, intercept = logistic(tested["x"].to_numpy(float), y.astype(float), weight=weight[y])
+    share = float(toxic * weight[1] / (clean * weight[0] + toxic * weight[1]))
     return {"share": share, "models": models[0], "rate": rate, "log_k": log_k, "slope": slope, "intercept": intercept}
 
 
