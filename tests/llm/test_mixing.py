@@ -51,3 +51,15 @@ def test_schedule_is_even(spark):
 def test_empty(spark):
     assert mx.mix(documents(spark, [(1, "a")]).where("doc_id < 0")).collect() == []
     assert [r.taken for r in mx.mix(documents(spark, [(1, None), (2, " ")])).collect()] == [0, 0]
+
+
+def test_small_sources_beside_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mx, "SLOTS", 64)                  # blocks of hundreds of words
+    rows = [(i, " ".join(["w"] * 97), "big") for i in range(300)] + [(1000 + i, "a b c d e", f"tiny{i % 7}") for i in range(70)]
+    rows += [(2000 + i, " ".join(["v"] * 60), None) for i in range(12)]
+    of, want, taken = {d: s for d, _, s in rows}, {}, {}
+    for r in mx.mix(documents(spark, rows)).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        want[of[r.doc_id]] = r.target
+        taken[of[r.doc_id]] = taken.get(of[r.doc_id], 0) + r.taken
+    assert len(want) == 9 and all(abs(taken[s] - want[s]) <= 1 for s in want), (want, taken)

@@ -7,7 +7,11 @@ phi)`` of the cumulated targets and so belongs to one source, evenly spread in
 every stretch of the schedule.  Slots are ranked per source.  The documents of a
 source, shuffled by a hash, form a stream of words, twice over, cut into blocks
 of equal words; block j is joined to the source's slot of rank j, and a document
-gives the words its blocks hold in joined slots.
+gives the words its blocks hold in joined slots.  The number of slots fits a target
+only to a block or so; the rest of the target is then taken from a last block in part
+(or the last blocks given back), so every source gives its target to the word,
+however small it is beside a block.  With ``whole_blocks`` (the registered query, as
+its SQL defines it) sources take whole blocks only.
 
 Slots meet sources by an equi-join on grid cells.  Running sums and ranks are
 taken in two levels (chunks, then inside a chunk), so a source with a third of
@@ -88,15 +92,29 @@ def streams(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def pieces(streamed: DataFrame, block: int) -> DataFrame:
-    """``rank, offset, epoch, block, length``: the words of each document in each block of its source's doubled stream."""
+    """``rank, offset, epoch, block, start, end``: the words of each document in each block of its source's doubled stream."""
     twice = streamed.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(CAP - 1))))
     at = twice.withColumn("_from", F.col("epoch") * F.col("source_size") + F.col("offset")).withColumn("_to", F.col("_from") + F.col("size"))
     cutup = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
-    length = F.least(F.col("_to"), (F.col("block") + 1) * block) - F.greatest(F.col("_from"), F.col("block") * block)
-    return cutup.select("rank", "offset", "epoch", "block", length.alias("length"))
+    start = F.greatest(F.col("_from"), F.col("block") * block) - F.col("block") * block
+    end = F.least(F.col("_to"), (F.col("block") + 1) * block) - F.col("block") * block
+    return cutup.select("rank", "offset", "epoch", "block", start.alias("start"), end.alias("end"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def fitted(slots: DataFrame, sources: DataFrame, block: int) -> DataFrame:
+    """``rank, block, held``: the blocks that a source gives and the words of each
+    that count; the scheduled ones, made to fit the target."""
+    scheduled = slots.groupBy("rank").agg(F.count(F.lit(1)).alias("slots"))
+    wanted = (sources.select("rank", F.round("target").cast("long").alias("want")).where("want > 0").join(scheduled, "rank", "left")
+              .withColumn("slots", F.coalesce("slots", F.lit(0))).withColumn("blocks", F.ceil(F.col("want") / block)))
+    # blocks past the schedule are the source's own; those within it come from the schedule
+    past = wanted.where("blocks > slots").select("rank", F.explode(F.sequence(F.col("slots"), F.col("blocks") - 1)).alias("block"), "want")
+    within = slots.select("rank", "block").join(wanted.select("rank", "want"), "rank")
+    return within.unionByName(past.select("rank", "block", "want")).select(
+        "rank", "block", F.greatest(F.lit(0), F.least(F.lit(block), F.col("want") - F.col("block") * block)).alias("held"))
+
+
+def mix(docs: DataFrame, whole_blocks: bool = False) -> DataFrame:
     """One row a document: ``doc_id, size, source_size, target, taken``."""
     sized = cut(docs.select("doc_id", "source", words("text").alias("size"),
                             F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))).alias("key")), "sizes")
@@ -105,8 +123,10 @@ def mix(docs: DataFrame) -> DataFrame:
     block = max(1, min(BLOCK, int(total / SLOTS)))
     slots = schedule(sources, -int(-total // block))
     streamed = cut(streams(sized, sources), "streams")
-    taken = (pieces(streamed, block).join(slots.select("rank", "block"), ["rank", "block"])
-             .groupBy("rank", "offset").agg(F.sum("length").alias("taken")).withColumn("words", F.lit(True)))
+    given = slots.select("rank", "block", F.lit(block).alias("held")) if whole_blocks else fitted(slots, sources, block)
+    length = F.greatest(F.lit(0), F.least("end", "held") - F.col("start"))
+    taken = (pieces(streamed, block).join(given, ["rank", "block"])
+             .groupBy("rank", "offset").agg(F.sum(length).alias("taken")).withColumn("words", F.lit(True)))
     return (streamed.withColumn("words", F.col("size") > 0).join(taken, ["rank", "offset", "words"], "left")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 

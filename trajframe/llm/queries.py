@@ -50,7 +50,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    # its SQL takes whole blocks
+    return mixing.mix(table(spark, sf_dir, "documents"), whole_blocks=True)
 
 
 QUERIES = {
