@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inner_product, main_text, mixing, near_lattice, near_minhash, packing, substring, tool_calls, toxicity, url_lists
+from . import (conversation_repair, inner_product, lexical_search, main_text, mixing, near_lattice, near_minhash, packing, substring,
+               token_counts, tool_calls, toxicity, url_lists)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), whole_blocks=True)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_cost_packing": (op1_cost_packing, None),
     "op2_lattice_near_vectors": (op2_lattice_near_vectors, near_lattice.SQL),
@@ -65,4 +78,7 @@ QUERIES = {
     "op8_norm_sorted_top_products": (op8_norm_sorted_top_products, inner_product.SQL),
     "op9_substring_dedup": (op9_substring_dedup, substring.SQL),
     "op10_source_mixing": (op10_source_mixing, mixing.SQL),
+    "op11_lexical_search": (op11_lexical_search, lexical_search.SQL),
+    "op12_conversation_repair": (op12_conversation_repair, conversation_repair.SQL),
+    "op13_token_counts": (op13_token_counts, None),
 }
