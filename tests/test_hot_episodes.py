@@ -15,7 +15,7 @@ from trajframe.plans.catalog import load_all
 BLOCKED = ["project_step_io", "win_reward", "win_history", "win_last_k", "win_next_subgoal", "win_subgoal_runs", "win_visited_rooms",
            "win_loop_stop", "win_stall_stop", "win_negative_stop", "win_segment_markers", "win_clean_history", "win_repeat_collapse",
            "win_move_collapse", "win_exclude_recent", "win_running_match", "agg_episode_final", "filter_noise_steps",
-           "compose_action_sg", "compose_action_formal", "compose_subgoal"]
+           "compose_action_sg", "compose_action_formal", "compose_subgoal", "win_seen_objects", "win_seen_objects_final"]
 
 
 @pytest.mark.parametrize("name", BLOCKED)
@@ -64,3 +64,37 @@ def test_blocks_are_bounded(spark, monkeypatch):
     n = blocks.number(b, ["k"], ["t", "id"], "n")
     w = Window.partitionBy("k").orderBy("t", "id")
     assert n.withColumn("_w", F.row_number().over(w) - 1).where("n <> _w").count() == 0
+
+
+@pytest.mark.parametrize("spoiled", ["one without time", "one far ahead", "all equal", "half without time", "most in one second"])
+def test_blocks_of_spoiled_times_are_bounded(spark, monkeypatch, spoiled):
+    monkeypatch.setattr(blocks, "BLOCK", 1000)
+    i = F.col("id")
+    seconds = {"one without time": F.when(i != 7, i), "one far ahead": F.when(i == 7, 250_000_000_000).otherwise(i), "all equal": F.lit(5),
+               "half without time": F.when(i % 2 == 0, i), "most in one second": F.when(i % 20 == 0, i).otherwise(77)}[spoiled]
+    df = spark.range(0, 20_000).select(F.lit(1).alias("k"), F.timestamp_seconds(seconds).alias("t"), i)
+    b = blocks.time_blocks(df, ["k"], "t", ["id"])
+    depth = [r["count"] for r in b.groupBy("_blk").count().collect()]
+    assert max(depth) <= 2000 and len(depth) == 20
+    n = blocks.number(b, ["k"], ["t", "id"], "n")
+    assert n.withColumn("_w", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")) - 1).where("n <> _w").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 3, 50])
+def test_objects_of_long_episodes_by_a_plain_fold(spark, monkeypatch, limit):
+    """Lists that are carried through many chunks (limit 50), or forgotten at once."""
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    looks = [[f"thing{(i * i * 7 + e) % 11}", f"thing{i % 3}"][: 1 + (i % 4 == 0)] if i % 9 < 4 else [] for e in range(2) for i in range(100)]
+    rows = [(0, e, i, 1 if e == 0 else None, "This room is called the hall. In it, you see: \n" + "".join(f"\ta {t}\n" for t in looks[e * 100 + i]))
+            for e in range(2) for i in range(100)]
+    steps = spark.createDataFrame(rows, "task_no long, variation_id long, step long, _nb long, freelook string").repartition(5)
+    got = {(r.variation_id, r.step): list(r.objects) for r in W.with_objects(steps, limit).collect()}
+    for e in range(2):
+        held = []
+        for i in range(100):
+            if i >= 1:
+                for t in looks[e * 100 + i]:
+                    if "a " + t not in held:
+                        held.append("a " + t)
+                held = held[-limit:]
+            assert got[e, i] == held, (e, i)

@@ -22,7 +22,7 @@ def test_entry_contract(spark):
 
 def test_stream_state_equals_batch(spark):
     d = q_misc._stream_input(spark, SF_SMALL)
-    s = R.stream_state(R.read_event_stream(spark, d), watermark=q_misc.STREAM_DELAY, object_limit=20,
+    s = R.stream_state(R.event_steps(R.read_event_stream(spark, d)), watermark=q_misc.STREAM_DELAY, object_limit=20,
                        gap=q_misc.STREAM_GAP)
     got = q_misc._run_stream(spark, s, "t-r1").where("variation_id >= 0").select(
         "variation_id", "step", "action", F.round("reward", 6).alias("reward"), "places", F.col("objects"))
@@ -38,7 +38,7 @@ def test_stream_state_equals_batch(spark):
 def test_stream_stops_equal_batch_finals(spark):
     from trajframe.plans.q_core import LOOP_K, STEP_LIMIT
     d = q_misc._stream_input(spark, SF_SMALL)
-    s = R.stream_state(R.read_event_stream(spark, d), watermark=q_misc.STREAM_DELAY, loop_k=LOOP_K,
+    s = R.stream_state(R.event_steps(R.read_event_stream(spark, d)), watermark=q_misc.STREAM_DELAY, loop_k=LOOP_K,
                        step_limit=STEP_LIMIT, gap=q_misc.STREAM_GAP, mode="stops")
     got = q_misc._run_stream(spark, s, "t-r2").where("variation_id >= 0").select(
         "variation_id", "end_step", F.round("final_score", 6).alias("final_score"))

@@ -171,3 +171,30 @@ PAINT_CONTAINERS = {
     "chemistry-mix-paint-tertiary-color": "bowl",
     "chemistry-mix-paint-secondary-color": "jug",
 }
+
+# --- fixed values: lines of the agent's prompts that carry a variable part ----
+PROMPT_LINES = {
+    "example_next": "Example task 1: ",
+    "example_plan": "Example task: ",
+    "task_next": "In a new science experiment that is similar to the above two, ",
+    "task_plan": "In a new science experiment that is similar to the above one, ",
+    "history": "My previous {} actions and observations are as follows:",
+    "observations": "To complete this task, I have done some actions and the observations are listed here:",
+    "focused": "Importantly, I have FOCUS on these things already: ",
+    "not_focused": "Importantly, I have FOCUS on nothing yet.",
+    "messages": "There are some error messages about my previous actions:",
+    "advice": "I asked my teacher for advice and the teacher told me these advice:",
+    "environment": "In current environment: ",
+    "visited": "In some previously visited locations:",
+    "here": "* Current location *: ",
+    "instinct": "My instinct tells me that it might be reasonable to {} now but I'm not so sure.",
+    "types": "The ONLY allowed action types are:",
+    "targets_next": "Important! You can only use FOCUS actions on these items: ",
+    "targets_plan": "Remember that it is ONLY possible focus on these items: ",
+}
+
+# --- fixed values: the candidate prompt ---------------------------------------
+SELECT_INTRO = "Let's play a text game."
+SELECT_LIST = "There are some action candidates as follows:"
+SELECT_ASK = ("Please consider the objects in the room and inventory and my goal. Think carefully, and then select the "
+              "best replacement from the list. If no one in the list is a good replacement, return 'none'.")

@@ -124,14 +124,15 @@ def current_room(look: Column | str) -> Column:
     return F.try_element_at(hits, F.lit(1))
 
 
-def focus_targets(task: Column | str) -> Column:
-    """Word runs after ``focus on`` and after ``find`` (``a(n)`` read as
+def focus_targets(task: Column | str, find: bool = True) -> Column:
+    """Word runs after ``focus on`` and (``find``) after ``find`` (``a(n)`` read as
     ``a``) in the task text, ``the `` replaced by a space, stripped."""
     t = _c(task)
     word_run = r"\s+(\w+(?:\s+\w+)*)"
     focus = F.regexp_extract_all(t, F.lit("focus on" + word_run), F.lit(1))
-    find = F.regexp_extract_all(F.replace(t, F.lit("a(n)"), F.lit("a")), F.lit("find" + word_run), F.lit(1))
-    return F.transform(F.concat(focus, find), lambda x: py_strip(F.replace(x, F.lit("the "), F.lit(" "))))
+    if find:
+        focus = F.concat(focus, F.regexp_extract_all(F.replace(t, F.lit("a(n)"), F.lit("a")), F.lit("find" + word_run), F.lit(1)))
+    return F.transform(focus, lambda x: py_strip(F.replace(x, F.lit("the "), F.lit(" "))))
 
 
 def truncate_tokens(c: Column | str, n: int) -> Column:

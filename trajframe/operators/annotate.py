@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import py_strip
+from ..session import cut
+from .blocks import chunk_of, renumber, running_sum
 
 EPISODE = ("task_no", "variation_id")
 ITEM_RE = r"(?:^|\s)\d+-\s*[^{}]*?:\s*\{[^{}]*\}"
@@ -59,20 +61,17 @@ def rejected_items(answers: DataFrame, keys: Sequence[str] = EPISODE, answer: st
 
 # --- L4 --------------------------------------------------------------------------
 
-def edit_script(gold: list, ann: list) -> tuple[int, list[tuple[str, int, int]]]:
-    """Shortest script of insertions and deletions that turns ``ann`` into ``gold``,
-    the last elements counting as equal: ``(distance, [(op, i, j)])``.
-
-    Without their last elements the two differ by what a longest common
-    subsequence leaves over.  Let L(i, j) be its length from gold i and annotation j
-    on.  Walking from the start, gold i is an ``add`` when leaving it out keeps L, else
-    annotation j is a ``remove`` when leaving it out keeps L, else the two match.
-    Rows of L are built from the end, one array operation a row; of the table
-    only two bits a cell are kept."""
-    if not gold or not ann:
-        return max(len(gold), len(ann)), []
-    names: dict = {}
-    left, right = (np.array([names.setdefault(x, len(names)) for x in seq[:-1]], np.int64) for seq in (gold, ann))
+#: Cells of the table up to which it is the faster way, and pieces compared at a time.
+CELLS, STRIDE, LEVELS = 1 << 24, 32, 32
+
+
+def _script_by_table(left: np.ndarray, right: np.ndarray) -> list[tuple[str, int, int]]:
+    """``edit_script`` of short sequences, with a table of two bits a cell.
+
+    Let L(i, j) be the length of a longest common subsequence from gold i and
+    annotation j on.  Walking from the start, gold i is an ``add`` when leaving it out
+    keeps L, else annotation j is a ``remove`` when leaving it out keeps L, else the two
+    match.  Rows of L are built from the end, one array operation a row."""
     n, m = len(left), len(right)
     below = np.zeros(m + 1, np.int32)
     free_add, free_remove = [], []
@@ -94,8 +93,110 @@ def edit_script(gold: list, ann: list) -> tuple[int, list[tuple[str, int, int]]]
             j += 1
         else:
             i, j = i + 1, j + 1
-    ops += [("add", k, m) for k in range(i, n)] + [("remove", n, k) for k in range(j, m)]
-    return n + m - 2 * int(below[0]), ops
+    return ops + [("add", k, m) for k in range(i, n)] + [("remove", n, k) for k in range(j, m)]
+
+
+class _Reach:
+    """How far r edits reach from the ends of two sequences.  On the diagonal k = x - y
+    (x and y elements taken from the ends of ``left`` and ``right``) an entry is the
+    greatest x that r edits reach; a diagonal of the other parity needs r - 1."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.a, self.b = left[::-1], right[::-1]
+        self.n, self.m = len(left), len(right)
+
+    def slide(self, x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Moves every entry along its diagonal as far as the elements are equal."""
+        live = np.flatnonzero(x >= 0)
+        step = np.arange(STRIDE)
+        while len(live):
+            at, to = x[live, None] + step, (x[live] - k[live])[:, None] + step
+            within = (at < self.n) & (to < self.m)
+            same = within & (self.a[np.where(within, at, 0)] == self.b[np.where(within, to, 0)]) if self.n and self.m else within
+            run = np.where(same.all(1), STRIDE, same.argmin(1))
+            x[live] += run
+            live = live[run == STRIDE]
+        return x
+
+    def first(self) -> tuple[int, np.ndarray]:
+        return 0, self.slide(np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    def next(self, level: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+        r, reach = level[0] + 1, level[1]
+        k = np.arange(-r, r + 1, 2)
+        x = np.full(r + 1, -1)
+        x[1:] = np.where((reach >= 0) & (reach < self.n), reach + 1, -1)
+        other = np.where((reach >= 0) & (reach - k[:-1] <= self.m), reach, -1)
+        x[:-1] = np.maximum(x[:-1], other)
+        return r, self.slide(x, k)
+
+    def whole(self, level: tuple[int, np.ndarray]) -> bool:
+        r, reach = level
+        k = self.n - self.m
+        return abs(k) <= r and (k + r) % 2 == 0 and reach[(k + r) // 2] >= self.n
+
+    def falling(self, level: tuple[int, np.ndarray], end: int):
+        """The levels below ``end`` down to ``level``, the highest first.  Of each stretch
+        the middle is kept and the halves are found again, the upper one first."""
+        if end - level[0] <= LEVELS:
+            held = [level]
+            while held[-1][0] + 1 < end:
+                held.append(self.next(held[-1]))
+            yield from reversed(held)
+            return
+        middle = level
+        while middle[0] < (level[0] + end) // 2:
+            middle = self.next(middle)
+        yield from self.falling(middle, end)
+        yield from self.falling(level, middle[0])
+
+
+def _script_in_line(left: np.ndarray, right: np.ndarray) -> list[tuple[str, int, int]]:
+    """``edit_script`` of long sequences in space that grows with their lengths.
+
+    The number of edits is searched greedily, level by level (``_Reach``); the trace
+    needs the levels from the last to the first, which are found again by halving the
+    levels, so that only as many as there are halvings are held.  A point lies
+    within r edits of the end exactly when level r reaches it, which is all that the
+    rule of the table asks."""
+    reach = _Reach(left, right)
+    level = start = reach.first()
+    while not reach.whole(level):
+        level = reach.next(level)
+    n, m = reach.n, reach.m
+    ops, x, y = [], n, m
+    for r, far in reach.falling(start, level[0]) if level[0] else ():
+        # r + 1 edits are left: matches until an edit leads to a point that r edits reach
+        while True:
+            k = x - y
+            if x and -r <= k - 1 <= r and far[(k - 1 + r) // 2] >= x - 1:
+                ops.append(("add", n - x, m - y))
+                x -= 1
+                break
+            if y and -r <= k + 1 <= r and far[(k + 1 + r) // 2] >= x:
+                ops.append(("remove", n - x, m - y))
+                y -= 1
+                break
+            x, y = x - 1, y - 1
+    return ops
+
+
+def edit_script(gold: list, ann: list) -> tuple[int, list[tuple[str, int, int]]]:
+    """Shortest script of insertions and deletions that turns ``ann`` into ``gold``,
+    the last elements counting as equal: ``(distance, [(op, i, j)])``.  Of several, an
+    ``add`` comes as early as one can, then a ``remove``.  The common end
+    is never edited, so it is cut off; what is left goes through the table or, where
+    that would be large, through the search in linear space."""
+    if not len(gold) or not len(ann):
+        return max(len(gold), len(ann)), []
+    names: dict = {}
+    left, right = (np.array([names.setdefault(x, len(names)) for x in seq[:-1]], np.int64) for seq in (gold, ann))
+    shared = min(len(left), len(right))
+    differ = np.flatnonzero(left[len(left) - shared:][::-1] != right[len(right) - shared:][::-1])
+    same = int(differ[0]) if len(differ) else shared
+    left, right = left[:len(left) - same], right[:len(right) - same]
+    ops = (_script_by_table if len(left) * len(right) <= CELLS else _script_in_line)(left, right)
+    return len(ops), ops
 
 
 def _align_batches(keys: list[str]):
@@ -146,6 +247,14 @@ def align(gold: DataFrame, ann: DataFrame, keys: Sequence[str] = EPISODE, order:
 
 # --- L5 ------------------------------------------------------------------------------
 
+def fill_gaps(repaired: DataFrame, gap_answers: DataFrame, keys: Sequence[str] = EPISODE, order: str = "step") -> DataFrame:
+    """Steps of gaps take the sub-goals of ``gap_answers`` (keys, gap_start, idx,
+    action, sg), matched by position and action; the others stay null."""
+    ga = gap_answers.groupBy(*keys, "gap_start", (F.col("gap_start") + F.col("idx")).cast("long").alias(order), "action").agg(F.min("sg").alias("_gsg"))
+    j = repaired.withColumn(order, F.col(order).cast("long")).join(ga, [*keys, "gap_start", order, "action"], "left")
+    return j.withColumn("subgoal", F.when(F.col("source") == "gap", F.col("_gsg")).otherwise(F.col("subgoal"))).select(*repaired.columns)
+
+
 def repair(edits: DataFrame, gold: DataFrame, ann: DataFrame, keys: Sequence[str] = EPISODE,
            order: str = "step", gap_answers: DataFrame | None = None) -> DataFrame:
     """The repaired annotation, one row per gold step.
@@ -154,40 +263,40 @@ def repair(edits: DataFrame, gold: DataFrame, ann: DataFrame, keys: Sequence[str
     added gold step that is alone inherits the sub-goal of the annotated row
     before it (its own neighbour's when first); runs of >= 2 added steps are
     gaps, and so is a whole episode without annotation: they take the sub-goals
-    of ``gap_answers`` (keys, gap_start, idx, action, sg), matched by position and
-    action, or stay null with source ``gap``.  Gold and the repaired annotation
-    are then equal by construction, so no further round changes anything."""
-    g = gold.select(*keys, F.col(order).alias("i"), F.col("action"))
-    added = edits.where(F.col("op") == "add").select(*keys, "i", F.col("j").alias("_aj"))
+    of ``gap_answers`` (``fill_gaps``), or stay null with source ``gap``.  Gold and the
+    repaired annotation are then equal by construction, so no further round
+    changes anything.  Positions are counted in chunks where ``gold`` tells long
+    episodes (``_nb``), and runs of added steps are an aggregate, so no episode is one
+    task's work."""
+    keys = list(keys)
+    known = ["_nb"] if "_nb" in gold.columns else []
+    g = gold.select(*keys, F.col(order).cast("long").alias("i"), F.col("action"), *known)
+    added = edits.where(F.col("op") == "add").select(*keys, F.col("i").cast("long").alias("i"), F.col("j").alias("_aj"))
     there = ann.select(*keys).distinct().withColumn("_there", F.lit(True))
-    gi = (g.join(added, [*keys, "i"], "left").join(there, list(keys), "left")
-          .withColumn("_bare", F.col("_there").isNull()).withColumn("_added", F.col("_aj").isNotNull() | F.col("_bare")))
+    gi = (g.join(added, [*keys, "i"], "left").join(there, keys, "left")
+          .withColumn("_bare", F.col("_there").isNull()).withColumn("_added", F.col("_aj").isNotNull() | F.col("_bare"))
+          .withColumn("_match", (~F.col("_added")).cast("long")))
     a = ann.select(*keys, F.col(order).alias("_j"), F.col("subgoal").alias("_sg"))
     # matched gold positions pair, in order, with the annotated rows that are not removed
     removed = edits.where(F.col("op") == "remove").select(*keys, F.col("j").alias("_j"))
     kept = a.join(removed, [*keys, "_j"], "left_anti")
-    kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_j"))).drop("_j")
-    w = Window.partitionBy(*keys).orderBy("i")
-    gi = gi.withColumn("_k", F.when(~F.col("_added"), F.sum(F.when(~F.col("_added"), 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0))))
+    kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_j")).cast("long")).drop("_j")
+    gi = running_sum(gi.withColumn("_chunk", chunk_of(gi, "i")), keys, "i", "_match", "_k").drop("_chunk")
+    gi = gi.withColumn("_k", F.when(~F.col("_added"), F.col("_k")))
     # an added step is inserted before annotated row j: it takes row j-1's sub-goal (row j's when j = 0)
     gi = gi.withColumn("_src_j", F.when(F.col("_aj") > 0, F.col("_aj") - 1).otherwise(F.col("_aj")))
     # runs of consecutive added positions (gaps-and-islands)
-    gi = gi.withColumn("_isl", F.col("i") - F.row_number().over(Window.partitionBy(*keys, "_added").orderBy("i")))
-    run = Window.partitionBy(*keys, "_added", "_isl")
-    gi = gi.withColumn("_run", F.count(F.lit(1)).over(run)).withColumn("gap_start", F.min("i").over(run))
+    new = renumber(gi.where("_added").select(*keys, "i", *known), keys, "i", "_n").withColumn("_isl", F.col("i") - F.col("_n"))
+    runs = new.groupBy(*keys, "_isl").agg(F.count(F.lit(1)).alias("_run"), F.min("i").alias("gap_start"))
+    gi = gi.join(new.select(*keys, "i", "_isl").join(runs, [*keys, "_isl"]).drop("_isl"), [*keys, "i"], "left")
     j = (gi.join(kept, [*keys, "_k"], "left")
          .join(a.select(*keys, F.col("_j").alias("_src_j"), F.col("_sg").alias("_inh")), [*keys, "_src_j"], "left"))
-    src = (F.when(~F.col("_added"), F.lit("matched"))
-           .when((F.col("_run") == 1) & ~F.col("_bare"), F.lit("inherited")).otherwise(F.lit("gap")))
-    sg = F.when(~F.col("_added"), F.col("_sg")).when((F.col("_run") == 1) & ~F.col("_bare"), F.col("_inh"))
-    out = j.withColumn("source", src).withColumn("subgoal", sg)
-    if gap_answers is not None:
-        ga = gap_answers.groupBy(*keys, "gap_start", (F.col("gap_start") + F.col("idx")).alias("i"), "action").agg(F.min("sg").alias("_gsg"))
-        out = out.join(ga, [*keys, "gap_start", "i", "action"], "left").withColumn(
-            "subgoal", F.when(F.col("source") == "gap", F.col("_gsg")).otherwise(F.col("subgoal"))).drop("_gsg")
-    return out.select(*keys, F.col("i").alias(order), "action", "subgoal", "source",
-                      F.when(F.col("source") == "gap", F.col("gap_start")).alias("gap_start"))
+    alone = (F.col("_run") == 1) & ~F.col("_bare")
+    src = F.when(~F.col("_added"), F.lit("matched")).when(alone, F.lit("inherited")).otherwise(F.lit("gap"))
+    sg = F.when(~F.col("_added"), F.col("_sg")).when(alone, F.col("_inh"))
+    out = j.withColumn("source", src).withColumn("subgoal", sg).select(
+        *keys, F.col("i").alias(order), "action", "subgoal", "source", F.when(F.col("source") == "gap", F.col("gap_start")).alias("gap_start"))
+    return out if gap_answers is None else fill_gaps(out, gap_answers, keys, order)
 
 
 def gap_requests(repaired: DataFrame, keys: Sequence[str] = EPISODE, order: str = "step") -> DataFrame:
@@ -282,19 +391,21 @@ def annotate(eps_steps: DataFrame, cache: DataFrame, answer_fn: Callable[[DataFr
     left without sub-goal, and why."""
     from .joins import annotation_requests
     from .windows import insert_markers
-    eps = eps_steps.select(*keys).distinct()
+    keys = list(keys)
+    # what several jobs read is written once; the hooks are asked once
+    eps_steps = cut(eps_steps, "steps")
     usable = F.col("answer").isNotNull() & (F.length("answer") > 0)
-    fresh = answer_fn(annotation_requests(eps, cache, keys)).where(usable).groupBy(*keys).agg(F.min("answer").alias("answer"))
-    have = cache.where(usable).groupBy(*keys).agg(F.min("answer").alias("answer"))
-    answers = have.unionByName(fresh.join(have.select(*keys), list(keys), "left_anti"))
-    ann = explode_annotations(answers, keys)
-    ann_steps = ann.select(*keys, F.col("idx").cast("long").alias(order), "action", F.col("sg").alias("subgoal"))
-    edits = align(eps_steps, ann_steps, keys, order)
-    rows = repair(edits, eps_steps, ann_steps, keys, order)
+    have = cut(cache.where(usable).groupBy(*keys).agg(F.min("answer").alias("answer")), "cached")
+    need = annotation_requests(eps_steps.select(*keys).distinct(), have, keys)
+    fresh = cut(answer_fn(need).where(usable).groupBy(*keys).agg(F.min("answer").alias("answer")).join(have.select(*keys), keys, "left_anti"), "fresh")
+    ann = explode_annotations(have.unionByName(fresh), keys)
+    ann_steps = cut(ann.select(*keys, F.col("idx").cast("long").alias(order), "action", F.col("sg").alias("subgoal")), "annotation")
+    edits = cut(align(eps_steps, ann_steps, keys, order), "edits")
+    rows = cut(repair(edits, eps_steps, ann_steps, keys, order), "repaired")
     if gap_fn is not None:
-        asked = gap_fn(gap_requests(rows, keys, order)).where(usable).groupBy(*keys, "gap_start").agg(F.min("answer").alias("answer"))
-        rows = repair(edits, eps_steps, ann_steps, keys, order, explode_annotations(asked, [*keys, "gap_start"]))
-    labelled = eps_steps.drop("subgoal").join(rows.select(*keys, order, "subgoal", "source"), [*keys, order], "left")
+        asked = cut(gap_fn(gap_requests(rows, keys, order)).where(usable).groupBy(*keys, "gap_start").agg(F.min("answer").alias("answer")), "gaps")
+        rows = fill_gaps(rows, explode_annotations(asked, [*keys, "gap_start"]), keys, order)
+    labelled = cut(eps_steps.drop("subgoal").join(rows.select(*keys, order, "subgoal", "source"), [*keys, order], "left"), "labelled")
     why = F.when(F.col("source") == "gap", "gap without a fitting answer").otherwise("annotated row without sub-goal")
     report = labelled.where("subgoal is null").select(*keys, order, "action", why.alias("why"))
     return insert_markers(labelled, keys), fresh, report
@@ -302,20 +413,27 @@ def annotate(eps_steps: DataFrame, cache: DataFrame, answer_fn: Callable[[DataFr
 
 # --- L3 ---------------------------------------------------------------------------------------
 
-def accepted(gold: list[str], offered: list[str]) -> list[int]:
-    """Places in ``offered`` where it yields, in order, the next element of ``gold``."""
-    waiting = iter(gold)
-    wanted = next(waiting, None)
-    places = []
-    for k, x in enumerate(offered):
-        if wanted is not None and x.strip() == wanted:
-            places.append(k)
-            wanted = next(waiting, None)
-    return places
-
-
-def _accepted(gold: pd.Series, offered: pd.Series) -> pd.Series:
-    return pd.Series([accepted(list(g), list(o)) for g, o in zip(gold, offered)])
+def _walk(keys: list[str]):
+    """Per-partition walk over rows sorted by episode: what was offered comes first (it is
+    one answer) and is held, the gold steps stream by it."""
+    def run(batches):
+        cur, offered, at = None, [], 0
+        for pdf in batches:
+            hits = []
+            kv = list(zip(*[pdf[k].tolist() for k in keys]))
+            for key, side, order, action in zip(kv, pdf["_side"].tolist(), pdf["_o"].tolist(), pdf["_v"].tolist()):
+                if key != cur:
+                    cur, offered, at = key, [], 0
+                if side == 0:
+                    offered.append((order, "" if action is None else action))
+                    continue
+                while at < len(offered) and offered[at][1].strip() != action:
+                    at += 1
+                if at < len(offered):
+                    hits.append((*key, order, offered[at][0]))
+                    at += 1
+            yield pd.DataFrame(hits, columns=[*keys, "gold_step", "idx"])
+    return run
 
 
 def greedy_align(gold: DataFrame, items: DataFrame, keys: Sequence[str] = EPISODE, order: str = "step",
@@ -323,14 +441,16 @@ def greedy_align(gold: DataFrame, items: DataFrame, keys: Sequence[str] = EPISOD
     """L3: walk the annotated actions in order and accept each that equals the
     next unmatched gold action; every item that accepted an action is closed by
     an ``end subgoal`` row.  ``items`` is the L1 output (one row per action).  Adds
-    the cleaned ``answer`` of the episode.  Only the walk is Python; the rows, their
-    numbers and the answer follow from the accepted places by columns."""
-    g = sequences(gold, keys, order, col, "gold")
-    o = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "sg_no", "sg", "action"))).alias("offered"))
-    walk = F.pandas_udf(_accepted, "array<int>")
-    both = g.join(o, list(keys)).withColumn("at", walk("gold", F.transform("offered", lambda x: x["action"])))
-    hits = (both.select(*keys, F.posexplode("at").alias("gold_step", "_k"), "offered")
-            .withColumn("_o", F.element_at("offered", F.col("_k") + 1)).select(*keys, "gold_step", "_o.sg_no", "_o.sg", F.col("_o.action").alias("_raw"), "_o.idx"))
+    the cleaned ``answer`` of the episode.  Only the walk is Python, and it streams
+    the gold steps past the offered ones; the rows, their numbers and the answer
+    follow from the accepted places by columns."""
+    keys = list(keys)
+    both = items.select(*keys, F.lit(0).alias("_side"), F.col("idx").cast("long").alias("_o"), F.col("action").alias("_v")).unionByName(
+        gold.join(items.select(*keys).distinct(), keys, "left_semi").select(*keys, F.lit(1).alias("_side"), F.col(order).cast("long").alias("_o"), F.col(col).alias("_v")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*keys).schema.fields)
+    at = (both.repartition(*keys).sortWithinPartitions(*keys, "_side", "_o")
+          .mapInPandas(_walk(keys), f"{kinds}, gold_step long, idx long"))
+    hits = at.join(items.select(*keys, F.col("idx").cast("long").alias("idx"), "sg_no", "sg", F.col("action").alias("_raw")), [*keys, "idx"])
     # an item is the run of its actions; the item number may come again later
     parts = items.groupBy(*keys, "sg_no", "sg").agg(F.min("idx").alias("_first"))
     hits = hits.join(parts, [*keys, "sg_no", "sg"])

@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .blocks import first_rows
+
+#: Columns of ``sources.files.read_gold`` that tell the order of episodes in the corpus.
+CORPUS_ORDER = ("source_file", "task_pos", "episode_pos")
 
 
 def seeded_key(seed: int | str, *cols: str) -> Column:
@@ -44,10 +48,10 @@ def downsample(eps: DataFrame, rules: Sequence[tuple[str, int]] = tuple(fixed.DO
     return rest if out is None else out.unionByName(rest)
 
 
-def mini(df: DataFrame, n: int, seed: int = 1, key: Sequence[str] = ("variation_id", "step")) -> DataFrame:
-    """``n`` random rows (seeded).  ``orderBy + limit`` plans as a
-    per-partition top-n followed by one merge of at most n rows per task."""
-    return df.orderBy(seeded_key(seed, *key), *key).limit(n)
+def mini(df: DataFrame, n: int, seed: int = 1, key: Sequence[str] = ("task_no", "variation_id", "step")) -> DataFrame:
+    """``n`` random rows (seeded by ``key``, which must be unique): the first in the
+    order of the seeded hash, found block by block (``first_rows``)."""
+    return first_rows(df, n, [seeded_key(seed, *key).alias("_h"), *key])
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], n: int, order: Sequence[str]) -> DataFrame:
@@ -58,7 +62,7 @@ def first_per_group(df: DataFrame, group: Sequence[str], n: int, order: Sequence
 
 def pick_variations(eps: DataFrame, which: str, task: str = "task_no", key: str = "variation_id",
                     fold: str = "fold", seed: int = 1, test_cap: int = 50) -> DataFrame:
-    """The evaluation variation policy by set name.
+    """The evaluation variation policy by set name (numbers of any size).
 
     train: task 26 first 1/10, task 29 first 1/2, others all;
     test: at most ``test_cap`` random; dev: first 3; test_mini_2: rows 3..9;
@@ -73,7 +77,7 @@ def pick_variations(eps: DataFrame, which: str, task: str = "task_no", key: str
     if which == "train":
         from .windows import blocked_running_sum
         n = e.groupBy(task).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = blocked_running_sum(e, [task], [key], {"_rn": F.lit(1).cast("long")}, F.floor(F.col(key) / 4096))
+        ranked = blocked_running_sum(e, [task], [key], {"_rn": F.lit(1).cast("long")})
         ranked = ranked.join(n, task)
         keep = (F.when(F.col(task) == 26, F.col("_rn") - 1 < F.floor(F.col("_n") / 10))
                 .when(F.col(task) == 29, F.col("_rn") - 1 < F.floor(F.col("_n") / 2)).otherwise(F.lit(True)))
@@ -99,33 +103,38 @@ def first_variations(df: DataFrame, n: int = 10, task: str = "task_no", key: str
     return df.join(v, [task, key], "left_semi")
 
 
-def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """T5: first ``n`` rows in an explicit order (clamps when n > rows)."""
-    return df.orderBy(*order).limit(n)
+def head(df: DataFrame, n: int, order: Sequence[str] = ("task_no", "variation_id", "step")) -> DataFrame:
+    """T5: first ``n`` rows in an explicit total order (clamps when n > rows), found
+    block by block (``first_rows``)."""
+    return first_rows(df, n, order)
 
 
-def cap_test_episodes(eps: DataFrame, cap: int = 10, task: str = "task_no", order: str = "variation_id",
-                      fold: str = "fold", block_size: int = 4096) -> DataFrame:
+def cap_test_episodes(eps: DataFrame, cap: int = 10, task: str = "task_no", order: str | Sequence[str] = "variation_id",
+                      fold: str = "fold") -> DataFrame:
     """Walking a task's episodes in corpus order, the ``cap``-th test
     episode ends the task: it and everything after it (any fold) is dropped.
+    ``order`` is what tells the corpus order: of ``read_gold`` it is
+    ``CORPUS_ORDER``.
 
     Keep rows whose running count of test episodes, including themselves,
     is below ``cap`` (once reached, every later row stays >= cap).  The
-    running count is two-level (blocks of ``block_size`` episodes in corpus
-    order), so a task with most of the corpus is not sorted in one task."""
+    running count goes over blocks of nearly equal depth, so a task with most of
+    the corpus is not sorted in one task."""
     from .windows import blocked_running_sum
     t = F.when(F.col(fold) == "test", 1).otherwise(0).cast("long")
-    r = blocked_running_sum(eps, [task], [order], {"_tests": t}, F.floor(F.col(order) / block_size))
+    r = blocked_running_sum(eps, [task], [order] if isinstance(order, str) else list(order), {"_tests": t})
     return r.where(F.col("_tests") < cap).drop("_tests")
 
 
 def exemplars(eps_steps: DataFrame, n: int = 2, task: str = "task_no", key: str = "variation_id",
-              step: str = "step", action: str = "action") -> DataFrame:
+              step: str = "step", action: str = "action", order: Sequence[str] = ()) -> DataFrame:
     """The first ``n`` qualifying episodes of each task (input is F1+F2
     filtered steps) with their action path, joined ``a, b, `` (trailing
-    comma, as in the prompts).  ``n_found`` < n flags tasks with too few."""
-    eps = eps_steps.select(task, key).distinct()
-    firsts = first_per_group(eps, [task], n, [key])
+    comma, as in the prompts).  ``n_found`` < n flags tasks with too few.
+    ``order`` tells the corpus order (``CORPUS_ORDER`` of ``read_gold``); without it
+    the episodes' numbers do."""
+    eps = eps_steps.select(task, key, *order).distinct()
+    firsts = first_per_group(eps, [task], n, [*order, key])
     steps = eps_steps.join(firsts, [task, key], "left_semi")
     paths = steps.groupBy(task, key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(step, action))), lambda x: F.concat(x[action], F.lit(", "))), "").alias("path"))

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.actions import formalize
 from ..functions.text import look_room, observation_room
-from .blocks import BLOCK, carried, chunked, renumber
+from ..session import cut
+from .blocks import BLOCK, all_short, carried, chunk_of, chunked, depth_blocks, renumber, running_sum
 
 EPISODE = ("task_no", "variation_id")
 
@@ -182,51 +184,117 @@ def visited_rooms(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFra
 
 # --- W8: bounded FIFO of seen objects ------------------------------------------
 
+def _take(objs: list, things, limit: int) -> None:
+    """One step of the FIFO."""
+    for t in things:
+        if t not in objs:
+            objs.append(t)
+    del objs[:max(0, len(objs) - limit)]
+
+
 def _fifo_fold(keys: list[str], limit: int, start_step: int):
-    """Per-partition fold over rows sorted by (episode, step).  State is one
-    bounded list per episode; batches stream through, so memory stays
-    O(limit) however long an episode is."""
+    """Per-partition fold over rows sorted by (episode, chunk, step), each chunk from
+    the list in ``_in``.  State is one bounded list; batches stream through."""
     def run(batches):
         cur, objs = None, []
         for pdf in batches:
             out = []
-            kv = list(zip(*[pdf[k].tolist() for k in keys])) if keys else [()] * len(pdf)
-            for key, step, things in zip(kv, pdf["step"].tolist(), pdf["_things"].tolist()):
+            kv = list(zip(*[pdf[k].tolist() for k in keys]))
+            for key, step, things, before in zip(kv, pdf["step"].tolist(), pdf["_things"].tolist(), pdf["_in"].tolist()):
                 if key != cur:
-                    cur, objs = key, []
+                    cur, objs = key, [] if before is None else list(before)
                 if step >= start_step and things is not None:
-                    for t in things:
-                        if t not in objs:
-                            objs.append(t)
-                    while len(objs) > limit:
-                        objs.pop(0)
+                    _take(objs, things, limit)
                 out.append(list(objs))
-            pdf = pdf.drop(columns=["_things", "_rn"])
+            pdf = pdf.drop(columns=["_things", "_rn", "_in", "_chunk"])
             pdf["objects"] = out
             yield pdf
     return run
 
 
+def _chunk_ends(keys: list[str], limit: int, start_step: int):
+    """The list at the end of every chunk of rows sorted as for ``_fifo_fold``."""
+    def run(batches):
+        cur, objs, used = None, [], []
+        done = []
+        for pdf in batches:
+            kv = list(zip(*[pdf[k].tolist() for k in keys]))
+            for key, step, things, before in zip(kv, pdf["step"].tolist(), pdf["_things"].tolist(), pdf["_in"].tolist()):
+                if key != cur:
+                    if cur is not None:
+                        done.append((*cur, used, list(objs)))
+                    cur, used = key, [] if before is None else list(before)
+                    objs = list(used)
+                if step >= start_step and things is not None:
+                    _take(objs, things, limit)
+            yield pd.DataFrame(done, columns=[*keys, "_used", "_out"])
+            done = []
+        if cur is not None:
+            yield pd.DataFrame([(*cur, used, list(objs))], columns=[*keys, "_used", "_out"])
+    return run
+
+
+def _entering(rows: DataFrame, keys: list[str], limit: int, start_step: int) -> DataFrame:
+    """``_in``: the list that every chunk of long episodes begins with.
+
+    All chunks are folded at once from an empty list; those that a different list
+    enters (the end of the chunk before) are folded again from it, until none is
+    left.  A chunk soon forgets what it began with, so there are few rounds; a
+    chunk is final one round after the one before it, so there is an end.  The
+    tables of chunks have at most ``2 * blocks.SHARE`` rows."""
+    by = [*keys, "_chunk"]
+    rows = cut(rows.select(*by, "step", "_things").repartition(*by), "objects")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+    schema = f"{kinds}, _used array<string>, _out array<string>"
+    none = F.array().cast("array<string>")
+
+    def folded(entering: DataFrame) -> DataFrame:
+        one = rows.join(F.broadcast(entering), by).repartition(*by).sortWithinPartitions(*by, "step")
+        return one.mapInPandas(_chunk_ends(by, limit, start_step), schema)
+
+    before = Window.partitionBy(*keys).orderBy("_chunk")
+    ends = cut(folded(rows.select(*by).distinct().withColumn("_in", none)), "chunk-ends")
+    while True:
+        now = ends.withColumn("_in", F.coalesce(F.lag("_out").over(before), none))
+        wrong = now.where(F.col("_in") != F.col("_used")).select(*by, "_in")
+        if wrong.isEmpty():
+            return now.select(*by, "_in")
+        again = cut(folded(wrong), "chunk-ends")
+        ends = cut(ends.join(again.select(*by), by, "left_anti").unionByName(again), "chunk-ends")
+
+
 def with_objects(steps: DataFrame, limit: int = fixed.OBJECT_LIMIT_OFFLINE, episode: Sequence[str] = EPISODE,
                  look: str = "freelook", start_step: int = 1) -> DataFrame:
     """Per-row state of the bounded FIFO of distinct objects.
 
     Each row (from ``start_step``) appends the objects of its look that are
     not in the list, then the oldest are evicted down to ``limit``; evicted
-    objects may re-enter later, so this is *not* "last k distinct".  The
-    state is sequential by definition, so rows are hash-partitioned by
-    episode, sorted by step and folded in one streaming pass
-    (``mapInPandas``, Arrow batches, O(limit) state)."""
+    objects may re-enter later, so this is *not* "last k distinct".  Rows are
+    hash-partitioned by episode and chunk, sorted by step and folded in one
+    streaming pass (``mapInPandas``, Arrow batches, O(limit) state).  An episode up
+    to a block's length is one chunk; the chunks of longer ones (``_nb``) are
+    folded in parallel from the lists that ``_entering`` finds."""
     from ..functions.text import object_mentions
     from pyspark.sql.types import ArrayType, StringType, StructField, StructType
-    # a window over the episode asks for the clustering and the (episode,
-    # step) order; Spark adds a shuffle only if the input is not already
-    # partitioned by the episode (an explicit repartition always would)
+    keys = list(episode)
+    known = "_nb" in steps.columns and not all_short(steps)
+    df = steps.withColumn("_things", object_mentions(look)).withColumn("_chunk", chunk_of(steps, "step") if known else F.lit(0).cast("long"))
+    if known and not steps.where(F.col("_nb").isNotNull()).isEmpty():
+        entering = _entering(df.where(F.col("_nb").isNotNull()), keys, limit, start_step)
+        df = df.join(F.broadcast(entering), [*keys, "_chunk"], "left")
+    else:
+        df = df.withColumn("_in", F.lit(None).cast("array<string>"))
+    # a window over episode and chunk asks for the clustering and the order; Spark
+    # adds a shuffle only if the input is not already partitioned by the episode (an
+    # explicit repartition always would)
     # (``_rn`` is consumed by the fold, so the window is not pruned away)
-    df = steps.withColumn("_things", object_mentions(look)).withColumn("_rn", F.row_number().over(w_ep(episode)))
-    schema = StructType([f for f in df.schema.fields if f.name not in ("_things", "_rn")]
+    df = df.withColumn("_rn", F.row_number().over(w_ep([*keys, "_chunk"])))
+    schema = StructType([f for f in df.schema.fields if f.name not in ("_things", "_rn", "_in", "_chunk")]
                         + [StructField("objects", ArrayType(StringType()))])
-    return df.mapInPandas(_fifo_fold(list(episode), limit, start_step), schema)
+    if all_short(steps):                 # a column without type does not pass through Python
+        schema = StructType([f for f in schema.fields if f.name != "_nb"])
+        return df.drop("_nb").mapInPandas(_fifo_fold([*keys, "_chunk"], limit, start_step), schema).withColumn("_nb", F.lit(None))
+    return df.mapInPandas(_fifo_fold([*keys, "_chunk"], limit, start_step), schema)
 
 
 def final_objects(steps: DataFrame, limit: int, episode: Sequence[str] = EPISODE, look: str = "freelook",
@@ -323,32 +391,35 @@ def insert_markers(steps: DataFrame, episode: Sequence[str] = EPISODE) -> DataFr
     look, inventory and sub-goal; ``step`` is renumbered.  The new number is
     the old one plus the markers before it (a running sum in chunks), so no
     second sort is needed."""
-    df = chunked(steps, list(episode), "step", 0, 1, lambda d, k: d.withColumn("_nxt", F.lead("subgoal").over(w_ep(k))))
+    df = chunked(steps, list(episode), "step", 0, 1, lambda d, k: d.withColumn("_nxt", F.lead("subgoal").over(w_ep(k))), keep=True)
     df = df.withColumn("_chg", (F.col("_nxt").isNotNull() & (F.col("_nxt") != F.col("subgoal"))).cast("int")).drop("_nxt")
-    df = blocked_running_sum(df, list(episode), ["step"], {"_incl": F.col("_chg").cast("long")}, F.floor(F.col("step") / BLOCK))
-    df = df.withColumn("_before", F.col("_incl") - F.col("_chg")).drop("_incl")
-    base = df.withColumn("is_marker", F.lit(False)).withColumn("step", F.col("step") + F.col("_before"))
-    marks = (df.where(F.col("_chg") == 1)
-             .withColumn("action", F.lit(fixed.MARKER_ACTION))
-             .withColumn("observation", F.lit(fixed.MARKER_OBSERVATION))
-             .withColumn("is_marker", F.lit(True))
-             .withColumn("step", F.col("step") + F.col("_before") + 1))
-    return base.unionByName(marks).drop("_chg", "_before")
+    df = running_sum(df, list(episode), "step", "_chg", "_incl")
+    own = (F.col("step") + F.col("_incl") - F.col("_chg")).cast(df.schema["step"].dataType)
+    rows = F.when(F.col("_chg") == 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    out = df.withColumn("step", own).withColumn("is_marker", F.explode(rows))
+    mark = lambda text, c: F.when(F.col("is_marker"), F.lit(text)).otherwise(F.col(c))
+    return (out.withColumn("step", F.col("step") + F.col("is_marker").cast(df.schema["step"].dataType))
+            .withColumn("action", mark(fixed.MARKER_ACTION, "action")).withColumn("observation", mark(fixed.MARKER_OBSERVATION, "observation"))
+            .drop("_chg", "_incl", "_chunk"))
 
 
 # --- W15: running exact match -------------------------------------------------------------
 
 def blocked_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], values: dict[str, Column],
-                        block_of: Column) -> DataFrame:
+                        block_of: Column | None = None) -> DataFrame:
     """Running sums of ``values`` over ``group`` in ``order`` (inclusive of
     the current row) without sorting a whole group in one task.
 
-    ``block_of`` maps a row to a block that is monotone in ``order`` (e.g.
-    ``variation_id div 4096``).  Per-block totals are prefix-summed over a
-    small table (one row per group and block), joined back, and added to a
-    running sum *within* each (group, block) partition, so a group holding a
-    third of all rows is spread over its blocks."""
-    d = df.withColumn("_blk", block_of)
+    A row's block rises with ``order``: blocks of nearly equal depth whatever the
+    order columns hold (``depth_blocks``), or ``block_of`` where positions are dense.
+    Per-block totals are prefix-summed over a small table (one row per group and
+    block), joined back, and added to a running sum *within* each (group, block)
+    partition, so a group holding a third of all rows is spread over its blocks."""
+    d = depth_blocks(df, group, order) if block_of is None else df.withColumn("_blk", block_of)
+    if block_of is None and all_short(d):
+        one = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(v).over(one).alias(k) for k, v in values.items()])
+    d = d.drop("_nb") if block_of is None else d
     tot = d.groupBy(*group, "_blk").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in values.items()])
     wb = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*group, "_blk", *[F.coalesce(F.sum(f"_t_{k}").over(wb), F.lit(0)).alias(f"_o_{k}") for k in values])
@@ -360,16 +431,16 @@ def blocked_running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str
 
 
 def running_match(pairs: DataFrame, group: str = "task_no", order: Sequence[str] = ("variation_id", "step"),
-                  pred: str = "prediction", target: str = "target", block_size: int = 4096) -> DataFrame:
+                  pred: str = "prediction", target: str = "target") -> DataFrame:
     """Cumulative exact-match % after each row, per group (a task
     file), in the order of (episode, step): totals of the chunks of each episode are
-    summed up in blocks of ``block_size`` episodes and added to the running sum inside
-    the chunk, so neither a task nor an episode is one sort."""
+    summed up in blocks of nearly equal depth, whatever the ids, and added to the
+    running sum inside the chunk, so neither a task nor an episode is one sort."""
     episode, step = order
     m = pairs.withColumn("_m", F.col(pred).eqNullSafe(F.col(target)).cast("long")).withColumn("_c", F.floor(F.col(step) / BLOCK))
     # totals of every chunk of an episode, summed up over the episodes before in blocks of episodes
     tot = m.groupBy(group, episode, "_c").agg(F.sum("_m").alias("_tm"), F.count(F.lit(1)).alias("_tn"))
-    tot = blocked_running_sum(tot, [group], [episode, "_c"], {"_sm": F.col("_tm"), "_sn": F.col("_tn")}, F.floor(F.col(episode) / block_size))
+    tot = blocked_running_sum(tot, [group], [episode, "_c"], {"_sm": F.col("_tm"), "_sn": F.col("_tn")})
     ahead = tot.select(group, episode, "_c", (F.col("_sm") - F.col("_tm")).alias("_am"), (F.col("_sn") - F.col("_tn")).alias("_an"))
     inside = Window.partitionBy(group, episode, "_c").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     r = m.join(ahead, [group, episode, "_c"]).withColumn("_cm", F.col("_am") + F.sum("_m").over(inside)).withColumn("_cn", F.col("_an") + F.count(F.lit(1)).over(inside))

@@ -211,16 +211,23 @@ def mentions_sql(x: str) -> str:
 
 
 OBJ_LIMIT = 3
-OBJECTS_SQL = f"""
+
+
+def objects_sql(limit: int) -> str:
+    """``rec``: the FIFO of at most ``limit`` objects after each step."""
+    return f"""
 obj as (select variation_id, step, {mentions_sql('freelook')} as t from v_f),
 rec as (
   select variation_id, step, []::varchar[] as st from obj where step = 0
   union all
   select o.variation_id, o.step,
     (with g as (select list_concat(r.st, list_filter(o.t, lambda x, i: not list_contains(r.st, x) and list_position(o.t, x) = i)) as gl)
-     select case when len(gl) > {OBJ_LIMIT} then list_slice(gl, len(gl) - {OBJ_LIMIT} + 1, len(gl)) else gl end from g)
+     select case when len(gl) > {limit} then list_slice(gl, len(gl) - {limit} + 1, len(gl)) else gl end from g)
   from rec r join obj o on o.variation_id = r.variation_id and o.step = r.step + 1)"""
 
+
+OBJECTS_SQL = objects_sql(OBJ_LIMIT)
+
 query("win_seen_objects", with_views_rec("select variation_id, step, array_to_string(st, ', ') as objects from rec", OBJECTS_SQL))(
     lambda spark, sf: W.with_objects(v_f_plain(spark, sf), limit=OBJ_LIMIT).select(
         "variation_id", "step", F.array_join("objects", ", ").alias("objects")))
@@ -485,13 +492,13 @@ where cap is null or rn <= cap""", EPS_REAL_SQL))(
 
 MINI_N = 500
 query("topk_mini_sample", with_views(
-    f"select variation_id, step from v_f order by {_md5_sql('variation_id', 'step')}, variation_id, step limit {MINI_N}"))(
+    f"select variation_id, step from v_f order by {_md5_sql('task_no', 'variation_id', 'step')}, task_no, variation_id, step limit {MINI_N}"))(
     lambda spark, sf: T.mini(v_f_plain(spark, sf), MINI_N, 1).select("variation_id", "step"))
 
 GROUP_MINI = 20
 query("topk_group_mini", with_views(
-    f"select task_group, variation_id, step from v_ft qualify row_number() over (partition by task_group order by variation_id, step) <= {GROUP_MINI}"))(
-    lambda spark, sf: T.first_per_group(v_f(spark, sf), ["task_group"], GROUP_MINI, ["variation_id", "step"])
+    f"select task_group, variation_id, step from v_ft qualify row_number() over (partition by task_group order by task_no, variation_id, step) <= {GROUP_MINI}"))(
+    lambda spark, sf: T.first_per_group(v_f(spark, sf), ["task_group"], GROUP_MINI, ["task_no", "variation_id", "step"])
     .select("task_group", "variation_id", "step"))
 
 
@@ -500,6 +507,8 @@ def q_variation_policy(spark, sf):
     parts = [T.pick_variations(e, "test", test_cap=2).withColumn("set", F.lit("test")),
              T.pick_variations(e, "dev").withColumn("set", F.lit("dev")),
              T.pick_variations(e, "test_mini_2").withColumn("set", F.lit("test_mini_2")),
+             T.pick_variations(e, "test_mini").withColumn("set", F.lit("test_mini")),
+             T.pick_variations(e, "test_mini_mini").withColumn("set", F.lit("test_mini_mini")),
              T.pick_variations(e, "train").withColumn("set", F.lit("train"))]
     out = parts[0]
     for p in parts[1:]:
@@ -516,6 +525,10 @@ union all
 select 'test_mini_2', task_no, variation_id from e where fold = 'test'
   qualify row_number() over (partition by task_no order by variation_id) between 4 and 10
 union all
+select 'test_mini', task_no, variation_id from e where fold = 'test' qualify row_number() over (partition by task_no order by variation_id) <= 3
+union all
+select 'test_mini_mini', task_no, variation_id from e where fold = 'test' qualify row_number() over (partition by task_no order by variation_id) <= 1
+union all
 select 'train', task_no, variation_id from e where fold = 'train'
   qualify row_number() over (partition by task_no order by variation_id) - 1 <
           case when task_no = 26 then floor(count(*) over (partition by task_no) / 10)
@@ -528,8 +541,8 @@ select task_no, variation_id, step from v_f where variation_id in (
   qualify row_number() over (partition by task_no order by variation_id) <= 3)"""))(
     lambda spark, sf: T.first_variations(v_f_plain(spark, sf), 3).select("task_no", "variation_id", "step"))
 
-query("topk_head", with_views("select variation_id, step, action from v_f order by variation_id, step limit 100"))(
-    lambda spark, sf: T.head(v_f_plain(spark, sf), 100, ["variation_id", "step"]).select("variation_id", "step", "action"))
+query("topk_head", with_views("select variation_id, step, action from v_f order by task_no, variation_id, step limit 100"))(
+    lambda spark, sf: T.head(v_f_plain(spark, sf), 100).select("variation_id", "step", "action"))
 
 query("topk_exemplars", with_views("""
 select task_no, variation_id, string_agg(concat(action, ', '), '' order by step) as path, count(*) over (partition by task_no) as n_found

@@ -9,18 +9,21 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.prompts import candidate_prompt, history_block, plan_observations
+from ..functions import fixed
+from ..operators.prompts import candidate_prompt, next_actions_prompt, plan_prompt
 from ..operators import sampling as T
 from ..operators import windows as W
 from ..operators.compose import RECIPES, compose, compose_first_subgoal
+from ..session import cut
 from ..sources import files as S
 from ..sources import sinks as K
 from ..sources.tables import table, task_dimension
 from ..streaming import state as R
 from .catalog import query
 from .q_compose import FIRST_SQL, compose_sql
-from .q_core import DS_RULES, EPS_REAL_SQL, TEST_CAP, _demos, _md5_sql
-from .sqlviews import with_views
+from .q_core import (DS_RULES, EPS_REAL_SQL, FINALS_SQL, HIST_STATE, LOOP_K, ROOMS_CTE, STEP_LIMIT, TEST_CAP, _demos, _md5_sql,
+                     objects_sql)
+from .sqlviews import _q, formalize_sql, strip_sql, with_views, with_views_rec
 from .views import v_cands, v_f, v_f_plain, v_preds, v_steps, with_tasks
 
 # ============================================================== S1 gold corpus
@@ -77,7 +80,7 @@ def content():
 
 def q_sink_examples(spark, sf):
     d = K.scratch_dir(spark, "examples")
-    K.write_examples(_examples(spark, sf).drop("task_group", "step"), d)
+    K.write_examples(_examples(spark, sf).drop("task_group"), d)
     back = spark.read.json(d)  # partition columns come back from the folder names
     return back.groupBy("fold", "task_real_id").agg(F.count(F.lit(1)).alias("n"), content())
 
@@ -130,7 +133,7 @@ query("sink_by_group", with_views("""
 select task_group, fold as split, count(*) as n, {c} from gx group by 1, 2
 union all
 select task_group, 'dev.mini' as split, count(*) as n, {c} from (
-  select * from gx where fold = 'dev' qualify row_number() over (partition by task_group order by variation_id, step) <= 20) group by 1""".replace("{c}", CONTENT_SQL),
+  select * from gx where fold = 'dev' qualify row_number() over (partition by task_group order by task_no, variation_id, step) <= 20) group by 1""".replace("{c}", CONTENT_SQL),
     f"gx as (select x.*, split_part(t.task_real_id, '-', 1) as task_group from ({COMPOSED_SQL}) x join tasks t on x.task_no = t.task_no)"))(q_sink_by_group)
 
 # ============================================================== S4 / K3 annotation cache
@@ -239,13 +242,13 @@ pairs as (select task_no, variation_id, step, action as prediction, lead(action)
 
 def q_sink_predictions(spark, sf):
     d = K.scratch_dir(spark, "preds")
-    p = v_preds(spark, sf).where("rnk = 1").select(F.concat(F.lit("  "), F.col("action"), F.lit(" ")).alias("prediction"))
-    K.write_predictions(p, d)
-    return spark.read.text(d).groupBy(F.col("value").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+    p = v_preds(spark, sf).where("rnk = 1").select("variation_id", "grp", F.concat(F.lit("  "), F.col("action"), F.lit(" ")).alias("prediction"))
+    K.write_predictions(p, d, order=["variation_id", "grp"])
+    return K.read_lines(spark, d).select("line", F.col("value").alias("prediction"))
 
 
 query("sink_predictions", with_views(
-    "select action as prediction, count(*) as n from v_f where step % 5 = 0 group by 1"))(q_sink_predictions)
+    "select row_number() over (order by variation_id, step) - 1 as line, action as prediction from v_f where step % 5 = 0"))(q_sink_predictions)
 
 
 def q_sink_run_history(spark, sf):
@@ -264,7 +267,65 @@ query("sink_run_history", with_views("select variation_id, count(*) as rows, tru
 # ============================================================== C13 / C15 history prompts
 
 
-query("prompt_next_actions")(lambda spark, sf: history_block(v_f_plain(spark, sf), demos=_demos(spark, sf)))
+PROMPT_K, PLAN_K = 10, 15
+
+
+def situation_sql() -> str:
+    """``sit``: what the prompts say of each episode's present (see ``prompts.situation``)."""
+    from .q_core import FAILED_SQL
+    from .q_match import ROOMS_SQL, _clean_look_sql
+    lines = {k: _q(v) for k, v in fixed.PROMPT_LINES.items()}
+    strip = strip_sql("replace(x, 'the ', ' ')")
+    return f"""
+located as (select *, list_filter({ROOMS_SQL}, lambda r: contains(split_part(freelook, '.', 1), 'called the ' || r))[1] as loc, {FAILED_SQL} as bad from v_ft),
+ending as (select variation_id, task_no, task_desc, loc, freelook, inventory from located qualify row_number() over (partition by variation_id order by step desc) = 1),
+failures as (select variation_id, string_agg(observation, chr(10) order by observation) as texts from (select distinct variation_id, observation from located where bad) group by 1),
+focus0 as (select variation_id, action, min(step) as came from located where starts_with(action, 'focus on') and not bad group by 1, 2),
+focus1 as (select variation_id, string_agg(replace(action, 'focus on', ''), ', ' order by came) as things from focus0 group by 1),
+rooms0 as (select variation_id, loc, min(step) as came, arg_max(freelook, step) as look from located where loc is not null group by 1, 2),
+rooms1 as (select r.variation_id, string_agg(concat('In ', r.loc, ': ', {_clean_look_sql('r.look', True)}), chr(10) order by r.came) as looks
+           from rooms0 r join ending e using (variation_id) where r.loc is distinct from e.loc group by 1),
+demos as (select f.task_no, string_agg(coalesce({formalize_sql('f.action')}, 'None'), chr(10) order by f.step) as demo
+          from v_f f join (select task_no, min(variation_id) as variation_id from v_f group by 1) m
+            on f.task_no = m.task_no and f.variation_id = m.variation_id group by 1),
+sit as (select e.variation_id, d.demo, replace(e.task_desc, 'Your', 'my') as task, {_clean_look_sql('e.freelook', False)} as look, e.inventory, r.looks,
+               case when p.things is null then {lines['not_focused']} else concat({lines['focused']}, p.things) end as focus,
+               case when m.texts is not null then concat({lines['messages']}, chr(10), m.texts) end as messages,
+               array_to_string(list_transform(regexp_extract_all(e.task_desc, 'focus on\\s+(\\w+(?:\\s+\\w+)*)', 1), lambda x: {strip}), ', ') as targets
+        from ending e left join demos d on d.task_no = e.task_no left join failures m on m.variation_id = e.variation_id
+        left join focus1 p on p.variation_id = e.variation_id left join rooms1 r on r.variation_id = e.variation_id)"""
+
+
+HISTORY_SQL = f"""
+hist0 as (select l.variation_id, l.step, l.loc, d.demo, case when starts_with(l.action, 'go to') then replace(l.action, 'go', 'teleport') else l.action end as a,
+                 case when starts_with(l.action, 'go to') then replace(l.observation, 'go', 'teleport') else l.observation end as o
+          from located l join demos d using (task_no) where not starts_with(l.action, 'examine')),
+hist1 as (select *, coalesce({formalize_sql('a')}, 'None') as formal, lead(a) over w is not null
+                    and coalesce(list_contains(list(a) over (partition by variation_id order by step rows between 5 preceding and 1 preceding), a), false)
+                    and coalesce(list_contains(list(a) over (partition by variation_id order by step rows between 1 following and 4 following), a), false) as gone
+          from hist0 where not starts_with(a, 'open door') window w as (partition by variation_id order by step)),
+hist2 as (select *, sum(gone::int) over (partition by variation_id order by step) as upto from hist1
+          where o <> 'N/A' and instr(formal, '(') > 0 and contains(demo, split_part(formal, '(', 1))),
+hist3 as (select *, upto - coalesce(lag(upto) over (partition by variation_id order by step), 0) as times from hist2 where not gone),
+hist4 as (select variation_id, step, unnest(case when times > 0 then [line, concat('Repeat the above action for ', times::bigint::varchar, ' times.')] else [line] end) as line,
+                 unnest(case when times > 0 then [1, 2] else [1] end) as part
+          from (select *, concat('- (in ', coalesce(loc, 'None'), ') Action: ', formal, ' --> ', o) as line from hist3)),
+hist as (select variation_id, string_agg(line, chr(10) order by step, part) as history from (
+  select * from hist4 qualify row_number() over (partition by variation_id order by step desc, part desc) <= {PROMPT_K}) group by 1)"""
+
+
+def _next_sql() -> str:
+    lines = {k: _q(v) for k, v in fixed.PROMPT_LINES.items()}
+    return with_views(f"""
+select s.variation_id, concat_ws(chr(10), concat({lines['example_next']}, s.demo), concat({lines['task_next']}, s.task),
+  {_q(fixed.PROMPT_LINES['history'].format(PROMPT_K))}, h.history, s.focus, s.messages,
+  concat({lines['environment']}, s.look, chr(10), s.inventory), concat({lines['targets_next']}, s.targets, ' . ')) as prompt
+from sit s left join hist h using (variation_id)""", situation_sql(), HISTORY_SQL)
+
+
+query("prompt_next_actions", _next_sql())(
+    lambda spark, sf: next_actions_prompt(v_f(spark, sf), _demos(spark, sf), PROMPT_K).select("variation_id", "prompt"))
+
 
 def q_prompt_select(spark, sf):
     f = v_f_plain(spark, sf).select("variation_id", "step", "freelook", "inventory", F.col("subgoal").alias("goal"))
@@ -275,17 +336,13 @@ def q_prompt_select(spark, sf):
 
 
 def _select_sql():
-    from ..operators.prompts import SELECT_ASK, SELECT_INTRO, SELECT_LIST
     from .q_core import FOCUS_CANDS_SQL
     from .q_match import _clean_look_sql
-
-    def q(x):
-        return "'" + x.replace("'", "''") + "'"
     goal = ("concat(chr(10), ' I want to achieve this goal: ', f.subgoal, ' but my action ', chr(39), p.action, chr(39), "
             "' is not in the candidate list.')")
     return with_views(f"""
-select p.variation_id, p.grp, concat_ws(chr(10), {q(SELECT_INTRO)}, {_clean_look_sql('f.freelook', False)}, f.inventory,
-    {q(SELECT_LIST)}, l.lst, {goal}, {q(SELECT_ASK)}, 'Selected action:') as prompt
+select p.variation_id, p.grp, concat_ws(chr(10), {_q(fixed.SELECT_INTRO)}, {_clean_look_sql('f.freelook', False)}, f.inventory,
+    {_q(fixed.SELECT_LIST)}, l.lst, {goal}, {_q(fixed.SELECT_ASK)}, 'Selected action:') as prompt
 from preds p join v_f f on f.variation_id = p.variation_id and f.step = p.grp * 5
 join (select variation_id, grp, string_agg('- ' || action, chr(10) order by action) as lst
       from (select distinct variation_id, grp, action from cands) group by 1, 2) l on l.variation_id = p.variation_id and l.grp = p.grp
@@ -294,7 +351,53 @@ where p.rnk = 1""", FOCUS_CANDS_SQL)
 
 query("prompt_select_candidate", _select_sql())(q_prompt_select)
 
-query("prompt_plan")(lambda spark, sf: plan_observations(v_f_plain(spark, sf)))
+
+
+def _observations_sql(lite: bool) -> str:
+    """``seen_lite`` / ``seen_full``: the observation list of C14."""
+    v = "lite" if lite else "full"
+    moved = "(starts_with(observation, 'You move to the') or starts_with(observation, 'You go to the') or starts_with(observation, 'You teleport to the'))"
+    again = "where first is null or step <= first" if lite else ""
+    other = "concat('In ', place, ', ', o)" if lite else "concat('In ', place, ', ', action, ' --> ', o)"
+    return f"""
+{v}0 as (select variation_id, step, action, coalesce(loc, 'None') as place,
+             case when {moved} then replace(replace(observation, 'go to', 'move to'), 'teleport to', 'move to') else observation end as o,
+             coalesce(list_contains(list(action) over (partition by variation_id order by step rows between 5 preceding and 1 preceding), action), false)
+               and coalesce(list_contains(list(action) over (partition by variation_id order by step rows between 1 following and 5 following), action), false) as rep
+         from located),
+{v}1 as (select *, contains(o, 'move to the') as move, min(case when not rep and not contains(o, 'move to the') then step end) over (partition by variation_id, place, o) as first
+         from {v}0 where o <> 'The door is already open.'),
+{v}2 as (select *, case when move then o else {other} end as line, sum(rep::int) over (partition by variation_id order by step) as reps from {v}1
+         {again.replace('where first', 'where move or first')}),
+{v}3 as (select *, reps - coalesce(lag(reps) over w, 0) as times, lead(line) over w as following_line from {v}2 where not rep window w as (partition by variation_id order by step)),
+{v}4 as (select variation_id, step, unnest(case when times > 0 then [line, concat('Repeat the above ', times::bigint::varchar, ' times.')]
+                                              when contains(line, 'move to the') and coalesce(contains(following_line, 'move to the'), false) then [] else [line] end) as line,
+                unnest(case when times > 0 then [1, 2] when contains(line, 'move to the') and coalesce(contains(following_line, 'move to the'), false) then [] else [1] end) as part
+         from {v}3),
+{v}5 as (select variation_id, concat('- ', row_number() over w, '. ', replace(line, 'a substance called', 'there is a')) as line, row_number() over w as n
+         from {v}4 window w as (partition by variation_id order by step, part)),
+seen_{v} as (select variation_id, string_agg(line, chr(10) order by n) as observations from (
+  select *, max(n) over (partition by variation_id) as total from {v}5) {f'where n > total - {PLAN_K}' if lite else ''} group by 1)"""
+
+
+def _plan_sql() -> str:
+    lines = {k: _q(v) for k, v in fixed.PROMPT_LINES.items()}
+
+    def one(v, visited):
+        return f"""select s.variation_id, '{v}' as form, concat_ws(chr(10), concat({lines['example_plan']}, s.demo), concat({lines['task_plan']}, s.task),
+  {lines['observations']}, o.observations, {visited} concat({lines['here']}, s.look), replace(s.inventory, 'Your ', 'My '), s.focus, s.messages,
+  concat({lines['targets_plan']}, s.targets, '!')) as prompt from sit s left join seen_{v} o using (variation_id)"""
+    looks = f"case when s.looks is not null then concat({lines['visited']}, chr(10), s.looks) end,"
+    return with_views(one("lite", "") + "\nunion all\n" + one("full", looks), situation_sql(), _observations_sql(True), _observations_sql(False))
+
+
+def q_prompt_plan(spark, sf):
+    steps, demos = v_f(spark, sf), _demos(spark, sf)
+    forms = [plan_prompt(steps, demos, lite, PLAN_K).select("variation_id", F.lit(form).alias("form"), "prompt") for form, lite in (("lite", True), ("full", False))]
+    return forms[0].unionByName(forms[1])
+
+
+query("prompt_plan", _plan_sql())(q_prompt_plan)
 
 # ============================================================== C16 dataset recipes
 
@@ -317,6 +420,7 @@ def build_dataset(steps, recipe: str, rules=None, min_len: int = 2, test_cap: in
 def write_dataset(spark, steps, path: str, recipes=RECIPE_NAMES, **rules) -> None:
     """C16 with K1: every recipe's examples under ``path/<recipe>``, by split and task."""
     dim = F.broadcast(task_dimension(spark).select("task_no", "task_real_id"))
+    steps = cut(steps, "dataset-steps")          # every recipe reads it
     for r in recipes:
         K.write_examples(build_dataset(steps, r, **rules).join(dim, "task_no"), f"{path}/{r}")
 
@@ -346,6 +450,7 @@ chosen as (select * from (select *, sum(case when fold = 'test' then 1 else 0 en
 STREAM_DELAY = "1 hour"          # disorder that the stream allows for
 STREAM_GAP = "40 days"           # quiet time that closes an episode
 STREAM_FILES = 4
+STREAM_OBJECTS = 20              # limit of the FIFO of objects
 
 
 def _stream_input(spark, sf):
@@ -373,24 +478,31 @@ def _run_stream(spark, df, name, mode="append"):
 
 
 def q_stream_state(spark, sf):
-    ev = R.read_event_stream(spark, _stream_input(spark, sf))
-    s = R.stream_state(ev, watermark=STREAM_DELAY, object_limit=20, gap=STREAM_GAP)
+    ev = R.event_steps(R.read_event_stream(spark, _stream_input(spark, sf)))
+    s = R.stream_state(ev, watermark=STREAM_DELAY, object_limit=STREAM_OBJECTS, gap=STREAM_GAP)
     return _run_stream(spark, s, "r1").where("variation_id >= 0").select(
-        "variation_id", "step", "action", F.round("reward", 6).alias("reward"), "places", "objects")
+        "task_no", "variation_id", "step", "action", F.round("reward", 6).alias("reward"), "places", "objects")
 
 
-query("stream_episode_state")(q_stream_state)
+query("stream_episode_state", with_views_rec(
+    "select h2.task_no, variation_id, step, h2.action, round(h2.reward, 6) as reward, pl.places, array_to_string(st, ', ') as objects "
+    "from h2 join rec using (variation_id, step) left join places pl using (variation_id, step)",
+    HIST_STATE, ROOMS_CTE, objects_sql(STREAM_OBJECTS)))(q_stream_state)
 
 
 def q_stream_stops(spark, sf):
-    from .q_core import LOOP_K, STEP_LIMIT
-    ev = R.read_event_stream(spark, _stream_input(spark, sf))
+    ev = R.event_steps(R.read_event_stream(spark, _stream_input(spark, sf)))
     s = R.stream_state(ev, watermark=STREAM_DELAY, loop_k=LOOP_K, step_limit=STEP_LIMIT, gap=STREAM_GAP, mode="stops")
     return _run_stream(spark, s, "r2").where("variation_id >= 0").select(
         "variation_id", "task_no", "end_step", F.round("final_score", 6).alias("final_score"), "reason")
 
 
-query("stream_stop_rules")(q_stream_stops)
+query("stream_stop_rules", with_views(
+    f"""select variation_id, task_no, end_step, round(case when neg_step = end_step then 0.0 else score end, 6) as final_score,
+  case when neg = step then 'negative'
+       when step + 2 >= {LOOP_K} and len(list_distinct(case when step = {LOOP_K - 2} then list_prepend('look around', l) else l end)) = 2 then 'loop'
+       when step = 2 * {STEP_LIMIT} - 1 then 'step_cap' else 'end' end as reason
+from fin1 where step = end_step""", FINALS_SQL))(q_stream_stops)
 
 
 def q_stream_scores(spark, sf):
@@ -400,18 +512,12 @@ def q_stream_scores(spark, sf):
     stops.write.parquet(src)
     st = spark.readStream.schema(stops.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = K.scratch_dir(spark, "r3-metrics")
-
-    def to_metrics(batch, epoch_id):
-        K.write_metrics(batch.withColumn("epoch", F.lit(epoch_id)), out, f"epoch-{epoch_id}")
-
-    q = (R.stream_scores(st).writeStream.outputMode("update").foreachBatch(to_metrics)
+    q = (R.stream_scores(st).writeStream.outputMode("update").foreachBatch(R.write_epoch(out))
          .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    m = spark.read.parquet(out)
-    w = Window.partitionBy("task_no").orderBy(F.desc("epoch"))
-    return m.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        "task_no", F.round("mean_score", 6).alias("mean_score"), "episodes")
-
+    latest = spark.read.parquet(out).groupBy("task_no").agg(F.max_by(F.struct("mean_score", "episodes"), "epoch").alias("m"))
+    return latest.select("task_no", F.round("m.mean_score", 6).alias("mean_score"), "m.episodes")
 
-query("stream_running_score")(q_stream_scores)
 
+query("stream_running_score", with_views(
+    "select task_no, round(avg(final_score), 6) as mean_score, count(*) as episodes from finals group by 1", FINALS_SQL))(q_stream_scores)

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "trajframe", cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,6 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared folder and read it back: its
+    lineage ends there, and whatever uses it several times plans one scan each."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/trajframe-cut/{name}-{uuid.uuid4().hex}"
+    untyped = [f.name for f in df.schema.fields if f.dataType.typeName() == "void"]
+    kept = df.drop(*untyped)
+    kept.write.parquet(path)
+    return df.sparkSession.read.schema(kept.schema).parquet(path).withColumns({c: F.lit(None) for c in untyped}).select(*df.columns)
+
+
 _SHIPPED: set[str] = set()
 
 

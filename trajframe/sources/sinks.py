@@ -20,25 +20,33 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/trajframe-out/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _spread(df: DataFrame, *folders: str) -> DataFrame:
-    """Balance the rows of output folders: Spark splits large folders over tasks
-    and joins small ones, by their measured size."""
-    return df.hint("rebalance", *folders)
+#: What orders examples: of an episode by step, of a task by episode.
+EXAMPLE_ORDER = ("task_id", "variation_id", "step")
 
 
-def write_examples(df: DataFrame, path: str, split: str = "fold", task: str = "task_real_id") -> None:
-    """K1: examples per split and per task (``split=<s>/task_real_id=<t>/``)."""
-    _spread(df, split, task).write.mode("overwrite").partitionBy(split, task).json(path)
+def _dealt(df: DataFrame, folders: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows dealt by range, so that a large folder is split over tasks, small ones share
+    one, and in a folder the files' numbers, then their lines, follow ``order``."""
+    by = [*folders, *(c for c in order if c in df.columns)]
+    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def write_examples(df: DataFrame, path: str, split: str = "fold", task: str = "task_real_id",
+                   order: Sequence[str] = EXAMPLE_ORDER) -> None:
+    """K1: examples per split and per task (``split=<s>/task_real_id=<t>/``), in order;
+    ``step`` only orders, it is not written."""
+    _dealt(df, (split, task), order).drop("step").write.mode("overwrite").partitionBy(split, task).json(path)
 
 
 def write_groups(df: DataFrame, path: str, group: str = "task_group", split: str = "fold",
-                 mini_split: str = "dev", mini_n: int = 2000, order: Sequence[str] = ("variation_id", "step")) -> None:
-    """K2: examples per task group per split, plus the first ``mini_n`` rows
-    of each group's validation split as split ``<mini_split>.mini``."""
+                 mini_split: str = "dev", mini_n: int = 2000, order: Sequence[str] = EXAMPLE_ORDER) -> None:
+    """K2: examples per task group per split, in order, plus the first ``mini_n`` rows
+    of each group's validation split as split ``<mini_split>.mini``.  ``order`` must
+    be total inside a group, which holds several tasks."""
     w = Window.partitionBy(group).orderBy(*order)
     mini = (df.where(F.col(split) == mini_split).withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") <= mini_n).drop("_rn").withColumn(split, F.lit(f"{mini_split}.mini")))
-    _spread(df.unionByName(mini), group, split).write.mode("overwrite").partitionBy(group, split).json(path)
+    _dealt(df.unionByName(mini), (group, split), order).write.mode("overwrite").partitionBy(group, split).json(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -63,9 +71,24 @@ def write_metrics(df: DataFrame, path: str, run_id: str) -> None:
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
-def write_predictions(df: DataFrame, path: str, col: str = "prediction") -> None:
-    """K5: predictions, stripped, one per line."""
-    df.select(F.regexp_replace(F.col(col), r"^\s+|\s+$", "").alias("value")).write.mode("overwrite").text(path)
+def write_predictions(df: DataFrame, path: str, col: str = "prediction", order: Sequence[str] = EXAMPLE_ORDER) -> None:
+    """K5: predictions, stripped, one per line: line i, over the files by name, is the
+    prediction of example i in ``order``.  A line end inside a prediction reads as a
+    blank, so that the lines stay aligned; null is an empty line."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(col), F.lit("")), r"^\s+|\s+$", ""), r"\r\n|\r|\n", " ")
+    df.select(*order, text.alias("value")).orderBy(*order).select("value").write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a folder of text files with their place: ``line`` (0-based over the files
+    by name) and ``value``.  Lines are placed in their file as it is read; a table of
+    one row a file says how many lie before it."""
+    files = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_s"),
+                                                          F.monotonically_increasing_id().alias("_i"), "value")
+    inside = F.row_number().over(Window.partitionBy("_f", "_s").orderBy("_i")) - 1
+    sizes = files.groupBy("_f", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.join(sizes.select("_f", "_s", before.alias("_b")), ["_f", "_s"]).select((F.col("_b") + inside).alias("line"), "value")
 
 
 def write_history(df: DataFrame, path: str, max_rows: int) -> None:

@@ -57,7 +57,7 @@ def events_as_steps(events: DataFrame, position: bool = True, order: bool = Fals
     from ..operators.blocks import number, time_blocks
     b = b.withColumn("variation_id", F.col("user_id"))
     if position or order:
-        b = time_blocks(b, ["variation_id"], "ts")
+        b = time_blocks(b, ["variation_id"], "ts", ["event_id"])
     if position:
         b = number(b, ["variation_id"], ["ts", "event_id"], "pos")
     et, kk = F.col("event_type"), F.col("k")

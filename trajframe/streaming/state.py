@@ -2,30 +2,34 @@
 
 The only incremental computation of the original is the per-episode state
 the agent loop carries (rooms, objects, recent actions, rewards, stop
-rules).  Here it is a Structured Streaming operator over a log of steps:
-
-* rows are keyed by episode and may arrive out of order, so each episode
-  buffers rows in its state until the event-time watermark has passed them
-  and then processes them in ``(ts, event_id)`` order;
-* an episode with no new rows for ``gap`` of event time is closed
-  (event-time timeout), which is when R2 emits an end record for episodes
-  whose stop rules never fired.
-
-The per-row fold is a small Python helper inside
-``applyInPandasWithState``; the results equal the batch window operators on
-the same rows (tests compare them).
+rules).  Here it is a Structured Streaming operator over a log of steps
+(``transformWithStateInPandas``), keyed by ``(task_no, variation_id)``:
+
+* rows may arrive out of order, so each episode appends them to a list
+  state and sets an event-time timer for the earliest; when the watermark
+  passes it, the rows up to the watermark are taken in ``(ts, event_id)``
+  order (rows without time first);
+* rooms and objects are map states of which only entries that a row adds or
+  evicts are written, the last actions and scores a short list state, the
+  rest one value; a trigger touches the episodes that have new rows or an
+  expired timer, and no other;
+* an episode with no new rows for ``gap`` of event time is closed by its
+  timer, which is when R2 emits an end record for episodes whose stop rules
+  never fired; its state is removed.
+
+The per-row step is a small Python helper; the results equal the batch
+window operators on the same rows (tests compare them).
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed
 from ..functions.text import look_room, object_mentions, observation_room
@@ -36,10 +40,17 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 
-STATE_SCHEMA = "blob string"
-R1_SCHEMA = ("variation_id long, task_no long, step int, action string, reward double, "
+EPISODE = ("task_no", "variation_id")
+#: List, map and timer states need this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass",
+         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+HEAD = ("step int, told_room string, prev_score double, last_score double, last_at long, "
+        "entered long, done boolean, wake long")
+PENDING = "at long, event_id long, action string, score double, told_room string, seen_room string, things array<string>"
+R1_SCHEMA = ("task_no long, variation_id long, step int, action string, reward double, "
              "places string, objects string")
-R2_SCHEMA = "variation_id long, task_no long, end_step int, final_score double, reason string"
+R2_SCHEMA = "task_no long, variation_id long, end_step int, final_score double, reason string"
 
 
 def read_event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -47,135 +58,180 @@ def read_event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1
             .parquet(path))
 
 
-def _step_rows(events: DataFrame) -> DataFrame:
-    """The steps of the events with what the fold needs of their texts, as columns:
-    the room an observation tells, the room and the objects a look shows."""
+def event_steps(events: DataFrame) -> DataFrame:
+    """The steps of an event stream, without noise steps (F1)."""
     from ..operators.windows import not_noise
     from ..sources.tables import events_as_steps
-    return events_as_steps(events, position=False, keep=("ts", "event_id")).where(not_noise()).select(
-        "variation_id", "task_no", "ts", "event_id", "action", "score", observation_room("observation").alias("told_room"),
-        look_room("freelook").alias("seen_room"), object_mentions("freelook").alias("things"))
-
-
-# --- the per-episode fold -------------------------------------------------------------
-
-class EpisodeState:
-    """Bounded per-episode state; serialised to one JSON string."""
-
-    def __init__(self, d: dict | None = None):
-        d = d or {}
-        self.step = d.get("step", 0)
-        self.told_room = d.get("told_room")
-        self.prev_score = d.get("prev_score", 0.0)
-        self.places = d.get("places", [])
-        self.objects = d.get("objects", [])
-        self.recent = d.get("recent", [fixed.SENTINEL_ACTION])
-        self.scores = d.get("scores", [0.0])
-        self.pending = d.get("pending", [])
-        self.done = d.get("done", False)
-        self.last_ts = d.get("last_ts", 0)
-        self.task_no = d.get("task_no")
-        self.last_score = d.get("last_score", 0.0)
-
-    def dump(self) -> str:
-        return json.dumps(self.__dict__)
-
-    def advance(self, row: dict, object_limit: int, loop_k: int, step_limit: int, stall_k: int | None):
-        """Consume one step; returns (state row, stop reason or None)."""
-        step = self.step
-        if step >= 1:
-            for r in (self.told_room, row["seen_room"]):
-                if r is not None and r not in self.places:
-                    self.places.append(r)
-            self.objects += [t for t in dict.fromkeys(row["things"]) if t not in self.objects]
-            while len(self.objects) > object_limit:
-                self.objects.pop(0)
-        h_score = 0.0 if step == 0 else row["score"]
-        reward = 0.0 if step == 0 else h_score - self.prev_score
-        out = {"step": step, "action": row["action"], "reward": reward,
-               "places": ", ".join(self.places) if self.places else None,
-               "objects": ", ".join(self.objects)}
-        # stop rules, in the order the loop checks them
-        reason = None
-        score = row["score"]
-        self.recent = (self.recent + [row["action"]])[-loop_k:]
-        self.scores = (self.scores + [score])[-(stall_k or 1):]
-        if score < 0:
-            reason = "negative"
-        elif step + 2 >= loop_k and len(set(self.recent)) == 2:
-            reason = "loop"
-        elif stall_k and step + 2 > stall_k and len(set(self.scores)) == 1:
-            reason = "stall"
-        elif step == 2 * step_limit - 1:
-            reason = "step_cap"
-        self.told_room = row["told_room"]
-        self.prev_score = h_score
-        self.last_score = score
+    return events_as_steps(events, position=False, keep=("ts", "event_id")).where(not_noise())
+
+
+def _step_rows(steps: DataFrame) -> DataFrame:
+    """What the state needs of a step, as columns: the room an observation tells, the
+    room and the objects a look shows."""
+    return steps.select(
+        *EPISODE, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "action", "score",
+        observation_room("observation").alias("told_room"), look_room("freelook").alias("seen_room"),
+        object_mentions("freelook").alias("things"))
+
+
+# --- the per-episode state ------------------------------------------------------------
+
+class EpisodeSteps:
+    """An episode's running values while its rows are taken; ``rooms`` and ``objects``
+    map names to the order in which they came."""
+
+    def __init__(self, head: tuple | None, rooms: dict, objects: dict, recent: list):
+        start = (0, None, 0.0, 0.0, None, 0, False)
+        self.step, self.told_room, self.prev_score, self.last_score, self.last_at, self.entered, self.done = (head or start)[:7]
+        self.rooms, self.objects = rooms, objects
+        self.recent = recent or [(fixed.SENTINEL_ACTION, 0.0)]
+
+    def advance(self, row: tuple, object_limit: int) -> dict:
+        """Take one step; its R1 values."""
+        at, _, action, score, told_room, seen_room, things = row
+        if self.step >= 1:
+            for room in (self.told_room, seen_room):
+                if room is not None:
+                    self.rooms.setdefault(room, len(self.rooms))
+            for thing in things or []:
+                if thing not in self.objects:
+                    self.objects[thing] = self.entered
+                    self.entered += 1
+            for thing in sorted(self.objects, key=self.objects.get)[:max(0, len(self.objects) - object_limit)]:
+                del self.objects[thing]
+        shown = 0.0 if self.step == 0 else score
+        out = {"step": self.step, "action": action, "reward": 0.0 if self.step == 0 else shown - self.prev_score,
+               "places": ", ".join(sorted(self.rooms, key=self.rooms.get)) or None,
+               "objects": ", ".join(sorted(self.objects, key=self.objects.get))}
+        self.told_room, self.prev_score, self.last_score = told_room, shown, score
+        self.last_at = at if at is not None and (self.last_at is None or at > self.last_at) else self.last_at
+        return out
+
+    def reason(self, row: tuple, loop_k: int, step_limit: int, stall_k: int | None) -> str | None:
+        """The stop rule that the step just taken fires, in the order the loop checks them."""
+        step, score = self.step, row[3]
+        self.recent = (self.recent + [(row[2], score)])[-max(loop_k, stall_k or 1):]
         self.step += 1
-        return out, reason
-
-
-def _fold(mode: str, object_limit: int, loop_k: int, step_limit: int, stall_k: int | None, gap_ms: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        st = EpisodeState(json.loads(state.get[0])) if state.exists else EpisodeState()
-        for pdf in pdfs:
-            for r in pdf.to_dict("records"):
-                r["ts"] = int(pd.Timestamp(r["ts"]).value // 1_000_000)
-                r["things"] = [] if r["things"] is None else list(r["things"])
-                st.pending.append(r)
-                st.task_no = int(r["task_no"])
-        wm = state.getCurrentWatermarkMs()
-        ready = sorted([r for r in st.pending if r["ts"] <= wm], key=lambda r: (r["ts"], r["event_id"]))
-        st.pending = [r for r in st.pending if r["ts"] > wm]
-        rows, ends = [], []
-        for r in ready:
-            st.last_ts = max(st.last_ts, r["ts"])
-            if st.done:
+        if score < 0:
+            return "negative"
+        if step + 2 >= loop_k and len({a for a, _ in self.recent[-loop_k:]}) == 2:
+            return "loop"
+        if stall_k and step + 2 > stall_k and len({x for _, x in self.recent[-stall_k:]}) == 1:
+            return "stall"
+        return "step_cap" if step == 2 * step_limit - 1 else None
+
+
+class EpisodeProcessor(StatefulProcessor):
+    """R1 (``mode='state'``) and R2 (``mode='stops'``) of one episode."""
+
+    def __init__(self, mode: str, object_limit: int, loop_k: int, step_limit: int, stall_k: int | None, gap_us: int):
+        self.mode, self.object_limit, self.gap_us = mode, object_limit, gap_us
+        self.rules = (loop_k, step_limit, stall_k)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", HEAD)
+        self.pending = handle.getListState("pending", PENDING)
+        self.recent = handle.getListState("recent", "action string, score double")
+        self.rooms = handle.getMapState("rooms", "name string", "place long")
+        self.objects = handle.getMapState("objects", "name string", "place long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(None if pd.isna(at) else int(at), *rest[:-1], None if rest[-1] is None else list(rest[-1]))
+               for pdf in rows for at, *rest in pdf[[c.split()[0] for c in PENDING.split(", ")]].itertuples(index=False, name=None)]
+        if new:
+            self.pending.appendList(new)
+            head = self.head.get() or (0, None, 0.0, 0.0, None, 0, False, None)
+            first = min((r[0] for r in new if r[0] is not None), default=timerValues.getCurrentWatermarkInMs() * 1000)
+            self.head.update(self.woken(head, -(-first // 1000)))
+        return iter(())
+
+    def woken(self, head: tuple, at: int) -> tuple:
+        """``head`` with a timer at ``at`` milliseconds or before."""
+        if head[7] is not None and head[7] <= at:
+            return head
+        if head[7] is not None:
+            self.handle.deleteTimer(head[7])
+        self.handle.registerTimer(at)
+        return (*head[:7], at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        ready = sorted((r for r in held if r[0] is None or r[0] <= passed), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        left = [r for r in held if r[0] is not None and r[0] > passed]
+        rooms, objects, recent = {}, {}, []
+        if ready:
+            recent = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
+            if self.mode == "state":
+                rooms = {k[0]: v[0] for k, v in self.rooms.iterator()}
+                objects = {k[0]: v[0] for k, v in self.objects.iterator()}
+        before = dict(rooms), dict(objects)
+        steps, ends = [], []
+        s = EpisodeSteps(self.head.get(), rooms, objects, recent)
+        for row in ready:
+            if s.done:                           # R2 ignores what follows; the time still counts
+                s.last_at = max(s.last_at or 0, row[0] or 0)
                 continue
-            out, reason = st.advance(r, object_limit, loop_k, step_limit, stall_k)
-            rows.append({"variation_id": key[0], "task_no": st.task_no, **out})
-            if reason and mode == "stops":   # R1 keeps following the episode
-                st.done = True
-                final = (0.0 if reason == "negative" else r["score"])
-                ends.append({"variation_id": key[0], "task_no": st.task_no, "end_step": out["step"],
-                             "final_score": final, "reason": reason})
-        # an episode closes once the watermark is ``gap`` past its last row
-        closing = not st.pending and st.step > 0 and wm >= st.last_ts + gap_ms
-        if closing and not st.done:
-            st.done = True
-            ends.append({"variation_id": key[0], "task_no": st.task_no, "end_step": st.step - 1,
-                         "final_score": st.last_score, "reason": "end"})
-        if closing:
-            state.remove()
-        else:
-            state.update((st.dump(),))
-            # wake up when the watermark passes the oldest buffered row, or
-            # when the episode has been quiet for ``gap``
-            target = min([r["ts"] for r in st.pending], default=st.last_ts + gap_ms)
-            state.setTimeoutTimestamp(max(target, wm + 1))
-        if mode == "state":
-            yield pd.DataFrame(rows, columns=["variation_id", "task_no", "step", "action", "reward", "places", "objects"])
+            out = s.advance(row, self.object_limit)
+            steps.append((*key, *out.values()))
+            reason = s.reason(row, *self.rules)
+            if reason and self.mode == "stops":
+                s.done = True
+                ends.append((*key, out["step"], 0.0 if reason == "negative" else row[3], reason))
+        closes = (s.last_at if s.last_at is not None else passed) + self.gap_us
+        if not left and s.step and passed >= closes:
+            if not s.done:
+                ends.append((*key, s.step - 1, s.last_score, "end"))
+            for state in (self.head, self.pending, self.recent, self.rooms, self.objects):
+                state.clear()
         else:
-            yield pd.DataFrame(ends, columns=["variation_id", "task_no", "end_step", "final_score", "reason"])
-    return fn
-
-
-def stream_state(events: DataFrame, watermark: str = "10 minutes", object_limit: int = fixed.OBJECT_LIMIT_ONLINE,
+            if ready:
+                self.pending.put(left) if left else self.pending.clear()
+                self.recent.put(s.recent)
+                for state, old, new in zip((self.rooms, self.objects), before, (rooms, objects) if self.mode == "state" else ({}, {})):
+                    for name in old.keys() - new.keys():
+                        state.removeKey((name,))
+                    for name in new.keys() - old.keys() | {n for n in new if n in old and old[n] != new[n]}:
+                        state.updateValue((name,), (new[name],))
+            head = (s.step, s.told_room, s.prev_score, s.last_score, s.last_at, s.entered, s.done, None)
+            wake = min((r[0] for r in left), default=closes)
+            self.head.update(self.woken(head, max(-(-wake // 1000), passed // 1000 + 1)))
+        schema, found = (R1_SCHEMA, steps) if self.mode == "state" else (R2_SCHEMA, ends)
+        if found:
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_state(steps: DataFrame, watermark: str = "10 minutes", object_limit: int = fixed.OBJECT_LIMIT_ONLINE,
                  loop_k: int = fixed.LOOP_WINDOW, step_limit: int = 10 ** 9, stall_k: int | None = None,
                  gap: str = "1 day", mode: str = "state") -> DataFrame:
-    """R1 (``mode='state'``): per-step running state rows.
+    """``steps``: a stream of ``task_no, variation_id, ts, event_id, action, score,
+    observation, freelook``.
+    R1 (``mode='state'``): per-step running state rows.
     R2 (``mode='stops'``): one end record per episode when the first stop
     rule fires (negative score, loop, stall, step cap) or, failing that,
-    when the episode closes; later steps are ignored."""
-    gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
-    steps = _step_rows(events).withWatermark("ts", watermark)
+    when the episode closes; later steps are ignored.
+    The session is set to the state store that these states need."""
+    steps.sparkSession.conf.set(*STORE)
+    gap_us = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
+    rows = _step_rows(steps).withWatermark("ts", watermark)
     schema = R1_SCHEMA if mode == "state" else R2_SCHEMA
-    return steps.groupBy("variation_id").applyInPandasWithState(
-        _fold(mode, object_limit, loop_k, step_limit, stall_k, gap_ms), schema, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(*EPISODE).transformWithStateInPandas(
+        EpisodeProcessor(mode, object_limit, loop_k, step_limit, stall_k, gap_us), schema, "Append", "EventTime")
 
 
 def stream_scores(stops: DataFrame) -> DataFrame:
     """Running per-task mean of the final scores of finished episodes
     (an ``update``-mode aggregate over the R2 records)."""
     return stops.groupBy("task_no").agg(F.avg("final_score").alias("mean_score"), F.count(F.lit(1)).alias("episodes"))
+
+
+def write_epoch(path: str):
+    """``foreachBatch`` writer of R3: each epoch owns one folder, which a replay of the
+    epoch writes again instead of adding to it."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return write
