@@ -63,3 +63,22 @@ def test_small_sources_beside_large_blocks(spark, monkeypatch):
         want[of[r.doc_id]] = r.target
         taken[of[r.doc_id]] = taken.get(of[r.doc_id], 0) + r.taken
     assert len(want) == 9 and all(abs(taken[s] - want[s]) <= 1 for s in want), (want, taken)
+
+
+@pytest.mark.parametrize("slots", [64, 131072])
+def test_places_in_the_mix_follow_the_schedule(spark, monkeypatch, slots):
+    monkeypatch.setattr(mx, "SLOTS", slots)
+    rows = [(i, " ".join(["w"] * (5 + i % 40)), "abc"[i % 3]) for i in range(300)] + [(900, " ", "a"), (None, None, "b")]
+    source = {d: s for d, _, s in rows}
+    first = mx.mix(documents(spark, rows)).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) for r in first)
+    # every source comes early, and what is taken once only is spread over the whole mix
+    of, last = {}, max(r.first_slot for r in first if r.taken)
+    for r in first:
+        if r.taken:
+            of.setdefault(source[r.doc_id], []).append((r.first_slot, r.target / r.source_size))
+    assert set(of) == set("abc") and all(min(v)[0] <= 8 for v in of.values())
+    assert all(max(v)[0] > 0.8 * last for v in of.values() if v[0][1] <= 1)
+    monkeypatch.setattr(mx, "PHI", 0.25)
+    other = {r.doc_id: r.first_slot for r in mx.mix(documents(spark, rows)).collect()}
+    assert any(other[r.doc_id] != r.first_slot for r in first)

@@ -12,7 +12,8 @@ exact integer product is taken of what is left, and the bound rises as scores ar
 found.  Every cell returns its best k for each query, merged at the end.
 
 Defined cases: vectors that are null or hold null or non-finite components take
-no part, neither do rows without ``vec_id``; an empty vector or a missing component
+no part, neither do those whose squared length, 64 times the components, reaches
+2**62, as their products need not fit 64 bits, nor rows without ``vec_id``; an empty vector or a missing component
 counts as zero; rows that repeat a ``vec_id`` count once (their least vector)."""
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, vectors_of
 
 K, EVERY, FACTOR = 20, 20, 64
+#: Least squared length that is left out: products of two shorter vectors fit 64 bits (Cauchy-Schwarz).
+MOST = 2.0**62
 SEEDS, RANGES, CELL, GROUP, STRIP, HEAD = 2048, 64, 16384, 4096, 1024, 24
 
 
@@ -33,7 +36,9 @@ def _integers(width: int):
     def run(batches):
         for batch in batches:
             x, good = vectors_of(batch.column("embedding"), width)
-            ints = np.floor(FACTOR * x[good]).astype(np.int64)
+            whole = np.floor(FACTOR * x)
+            good &= (whole ** 2).sum(1) < MOST
+            ints = whole[good].astype(np.int64)
             length = np.sqrt((ints.astype(float) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").filter(pa.array(good)), pa.array(list(ints), pa.list_(pa.int64())), pa.array(length)],
                                              ["vec_id", "v", "length"])
@@ -153,7 +158,9 @@ def top_products(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFram
     asked = (asked.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups)).cast("int"))
              .withColumn("_c", F.explode(F.filter(reach, lambda c: c["longest"] * F.col("length") * (1 + 1e-9) >= F.col("bound"))))
              .withColumn("cell", F.explode(F.sequence("_c.first", "_c.last"))).select("group", "cell", "vec_id", "v", "bound"))
-    offered = placed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("group", "cell", "vec_id", "v")
+    # a candidate goes to the groups that ask its cell, to no other
+    asking = asked.select(F.col("group").alias("_group"), F.col("cell").alias("_cell")).distinct()
+    offered = placed.join(asking, F.col("cell") == F.col("_cell")).select(F.col("_group").alias("group"), F.col("_cell").alias("cell"), "vec_id", "v")
     found = asked.groupBy("group", "cell").cogroup(offered.groupBy("group", "cell")).applyInPandas(_cell(rotate, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,11 +7,11 @@ phi)`` of the cumulated targets and so belongs to one source, evenly spread in
 every stretch of the schedule.  Slots are ranked per source.  The documents of a
 source, shuffled by a hash, form a stream of words, twice over, cut into blocks
 of equal words; block j is joined to the source's slot of rank j, and a document
-gives the words its blocks hold in joined slots.  The number of slots fits a target
-only to a block or so; the rest of the target is then taken from a last block in part
-(or the last blocks given back), so every source gives its target to the word,
-however small it is beside a block.  With ``whole_blocks`` (the registered query, as
-its SQL defines it) sources take whole blocks only.
+gives the words its blocks hold in joined slots; the slot of its first taken word
+is its place in the mix.  The number of slots fits a target only to a block or so;
+the rest of the target is then taken from a last block in part, at the end of the
+schedule (or the last blocks are given back), so every source gives its target to
+the word, however small it is beside a block.
 
 Slots meet sources by an equi-join on grid cells.  Running sums and ranks are
 taken in two levels (chunks, then inside a chunk), so a source with a third of
@@ -101,34 +101,39 @@ def pieces(streamed: DataFrame, block: int) -> DataFrame:
     return cutup.select("rank", "offset", "epoch", "block", start.alias("start"), end.alias("end"))
 
 
-def fitted(slots: DataFrame, sources: DataFrame, block: int) -> DataFrame:
-    """``rank, block, held``: the blocks that a source gives and the words of each
-    that count; the scheduled ones, made to fit the target."""
+def fitted(slots: DataFrame, sources: DataFrame, block: int, n: int) -> DataFrame:
+    """``rank, block, held, slot``: the blocks that a source gives, the words of each
+    that count and where they lie in the schedule of ``n`` slots.  Blocks that the target
+    needs past the scheduled ones follow at its end, the first of every source,
+    then the second."""
     scheduled = slots.groupBy("rank").agg(F.count(F.lit(1)).alias("slots"))
     wanted = (sources.select("rank", F.round("target").cast("long").alias("want")).where("want > 0").join(scheduled, "rank", "left")
-              .withColumn("slots", F.coalesce("slots", F.lit(0))).withColumn("blocks", F.ceil(F.col("want") / block)))
-    # blocks past the schedule are the source's own; those within it come from the schedule
-    past = wanted.where("blocks > slots").select("rank", F.explode(F.sequence(F.col("slots"), F.col("blocks") - 1)).alias("block"), "want")
-    within = slots.select("rank", "block").join(wanted.select("rank", "want"), "rank")
-    return within.unionByName(past.select("rank", "block", "want")).select(
-        "rank", "block", F.greatest(F.lit(0), F.least(F.lit(block), F.col("want") - F.col("block") * block)).alias("held"))
-
-
-def mix(docs: DataFrame, whole_blocks: bool = False) -> DataFrame:
-    """One row a document: ``doc_id, size, source_size, target, taken``."""
-    sized = cut(docs.select("doc_id", "source", words("text").alias("size"),
+              .withColumn("slots", F.coalesce("slots", F.lit(0).cast("long"))).withColumn("blocks", F.ceil(F.col("want") / block)))
+    many = sources.agg(F.count(F.lit(1))).scalar()
+    past = wanted.where("blocks > slots").withColumn("block", F.explode(F.sequence(F.col("slots"), F.col("blocks") - 1)))
+    past = past.withColumn("slot", n + (F.col("block") - F.col("slots")) * many + F.col("rank") - 1)
+    within = slots.join(wanted.select("rank", "want"), "rank")
+    return within.select("rank", "block", "want", "slot").unionByName(past.select("rank", "block", "want", "slot")).select(
+        "rank", "block", F.greatest(F.lit(0), F.least(F.lit(block), F.col("want") - F.col("block") * block)).alias("held"), "slot")
+
+
+def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: ``doc_id, size, source_size, target, taken, first_slot`` (the
+    slot of its first taken word, null if none is) and the columns to ``keep``."""
+    sized = cut(docs.select("doc_id", "source", words("text").alias("size"), *keep,
                             F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix"))).alias("key")), "sizes")
     sources = cut(targets(sized), "sources")
     total = sources.agg(F.max("total")).first()[0] or 0.0
     block = max(1, min(BLOCK, int(total / SLOTS)))
-    slots = schedule(sources, -int(-total // block))
+    n = -int(-total // block)
     streamed = cut(streams(sized, sources), "streams")
-    given = slots.select("rank", "block", F.lit(block).alias("held")) if whole_blocks else fitted(slots, sources, block)
+    given = fitted(schedule(sources, n), sources, block, n)
     length = F.greatest(F.lit(0), F.least("end", "held") - F.col("start"))
     taken = (pieces(streamed, block).join(given, ["rank", "block"])
-             .groupBy("rank", "offset").agg(F.sum(length).alias("taken")).withColumn("words", F.lit(True)))
+             .groupBy("rank", "offset").agg(F.sum(length).alias("taken"), F.min(F.when(length > 0, F.col("slot"))).alias("first_slot")).withColumn("words", F.lit(True)))
     return (streamed.withColumn("words", F.col("size") > 0).join(taken, ["rank", "offset", "words"], "left")
-            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                    F.col("first_slot").cast("long").alias("first_slot"), *keep))
 
 
 SQL = r"""
@@ -144,14 +149,15 @@ s4 as (select *, sum(target) over (order by rank rows between unbounded precedin
 b as (select max(total) as total, greatest(1, least(8192, floor(max(total) / 131072)))::bigint as block from s4),
 u as (select i, (i + 0.5::double) * 0.6180339887498949::double - floor((i + 0.5::double) * 0.6180339887498949::double) as u
       from b, unnest(range(ceil(b.total / b.block)::bigint)) t(i)),
-slot as (select rank, row_number() over (partition by rank order by i) - 1 as block
+slot as (select rank, i as slot, row_number() over (partition by rank order by i) - 1 as block
          from u join s4 on s4.total > 0 and u.u >= (s4.e - s4.target) / s4.total and u.u < s4.e / s4.total),
-n as (select rank, count(*) as slots from slot group by rank),
+n as (select s4.rank, count(slot.rank) as slots, any_value(round(s4.target))::bigint as want from s4 left join slot on slot.rank = s4.rank group by s4.rank),
 o as (select d.*, s4.rank, s4.source_size, s4.target,
              coalesce(sum(size) over (partition by s4.rank order by key, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0)::bigint as off
       from d join s4 on d.source is not distinct from s4.source)
 select doc_id, size, source_size, target,
-       (greatest(0, least(off + size, coalesce(slots, 0) * block) - off)
-        + greatest(0, least(source_size + off + size, coalesce(slots, 0) * block) - (source_size + off)))::bigint as taken
-from o left join n using (rank), b
+       (greatest(0, least(off + size, want) - off) + greatest(0, least(source_size + off + size, want) - (source_size + off)))::bigint as taken,
+       case when size > 0 and off < want then
+         coalesce(slot.slot, ceil(b.total / b.block)::bigint + (off // b.block - slots) * (select count(*) from s4) + o.rank - 1) end::bigint as first_slot
+from o join n on n.rank = o.rank cross join b left join slot on slot.rank = o.rank and slot.block = off // b.block
 """

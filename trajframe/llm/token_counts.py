@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .common import cut
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 STRETCH = 1 << 22
@@ -190,6 +191,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     counts are kept for this call alone."""
     spark = docs.sparkSession
     path = path or tokenizer_path()
+    kept = cache is not None
     cache = cache or f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}/token-counts"
     folder = f"{cache}/tokenizer={version_of(path)}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -205,6 +207,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     missing = keyed.join(wanted.hint("shuffle_hash"), one, "left_semi").select("content", "text")
     missing.mapInArrow(_counts(path), CACHE).write.mode("append").parquet(folder)
 
+    # a content that many documents share is a hot key: with a plain table on the
+    # other side Spark splits its rows
+    counts = cut(cached(spark, folder).join(keyed.select("content"), "content", "left_semi") if kept else cached(spark, folder), "counts")
     narrow = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return (narrow.join(cached(spark, folder), "content")
+    return (narrow.join(counts, "content")
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

@@ -17,7 +17,10 @@ Status, the first that holds: ``duplicate`` (an earlier row has the identifier),
 ``unknown tool``, ``invalid`` (see ``errors``), ``cycle``, ``no result``, ``ok``.  Defined
 cases: a null conversation, turn or identifier takes no part; null or malformed
 arguments are invalid; of several results the earliest counts, ties by content; a
-null content is a result; references to missing calls are errors."""
+null content is a result; references to missing calls are errors.
+
+A result that no call asks for has no row here: it is no call.  A message without role
+is a result, not a call; texts are taken whole."""
 
 from __future__ import annotations
 
@@ -169,12 +172,12 @@ def messages_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     half = F.floor(F.col("turn") / 2)
     other = F.when(n % 13 == 0, F.col("turn") + 2).otherwise(half - 1 + half % 2).cast("string")
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
-    search = F.concat(F.lit('{ "query": '), quoted(F.substring("text", 1, 40)), F.lit(', "limit": '), F.when(n % 7 == 0, '"many"').otherwise((n % 50).cast("string")), F.lit("}"))
+    search = F.concat(F.lit('{ "query": '), quoted(F.coalesce("text", F.lit(""))), F.lit(', "limit": '), F.when(n % 7 == 0, '"many"').otherwise((n % 50).cast("string")), F.lit("}"))
     fetch = F.concat(F.lit('{"url": "https://example.org/'), F.col("conv_id").cast("string"), F.lit("/"), turn, F.lit('", "after": "$result:call-'), other, F.lit('"}'))
     compute = F.concat(F.lit('{"precision" : '), (n % 4).cast("string"), F.when(n % 5 == 0, "").otherwise(F.concat(F.lit(', "values": ['), n.cast("string"), F.lit(", 0.5]"))), F.lit(" }"))
     calls = conversations.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("call-"), turn).alias("call_id"), name.alias("name"),
                                                              F.when(name == "search", search).when(name == "compute", compute).otherwise(fetch).alias("arguments"))
-    results = conversations.where("role <> 'assistant'").select("conv_id", "turn", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
+    results = conversations.where("role is null or role <> 'assistant'").select("conv_id", "turn", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
@@ -187,7 +190,7 @@ with c0 as (select conv_id, turn, 'call-' || turn as call_id, text, coalesce(len
 c1 as (select *, case when n % 17 = 0 then 'unknown' else ['search', 'fetch', 'compute'][n % 3 + 1] end as name,
               case when n % 13 = 0 then turn + 2 else half - 1 + half % 2 end as other from c0),
 c2 as (select *, case name
-         when 'search' then case when n % 7 = 0 then json_object('limit', 'many', 'query', substr(text, 1, 40)) else json_object('limit', n % 50, 'query', substr(text, 1, 40)) end
+         when 'search' then case when n % 7 = 0 then json_object('limit', 'many', 'query', coalesce(text, '')) else json_object('limit', n % 50, 'query', coalesce(text, '')) end
          when 'compute' then case when n % 5 = 0 then json_object('precision', n % 4) else json_object('precision', n % 4, 'values', [n::double, 0.5]) end
          else json_object('after', '$result:call-' || other, 'url', 'https://example.org/' || conv_id || '/' || turn) end::varchar as args0,
          case when name in ('fetch', 'unknown') then 'call-' || other end as needs_id from c1),
@@ -199,7 +202,7 @@ l as (with recursive t(conv_id, call_id, lvl) as (
         select conv_id, call_id, 0 from c3 where conv_id in (select conv_id from f)
         union select e.conv_id, e.call_id, lvl + 1 from t join e on e.conv_id = t.conv_id and e.needs_id = t.call_id where not e.missing and lvl < 60)
       select conv_id, call_id, max(lvl) as lvl from t group by all),
-r as (select conv_id, 'call-' || (turn - 1) as call_id, text as content from conversations where role <> 'assistant'),
+r as (select conv_id, 'call-' || (turn - 1) as call_id, text as content from conversations where role is null or role <> 'assistant'),
 j as (select c3.*, coalesce(l.lvl, 0) as lvl, r.call_id is not null as linked, r.content, coalesce(e.missing, false) as missing
       from c3 left join l using (conv_id, call_id) left join r using (conv_id, call_id) left join e using (conv_id, call_id))
 select conv_id, row_number() over (partition by conv_id order by lvl >= 60, case when lvl >= 60 then 0 else lvl end, turn) - 1 as position, turn, call_id, name,
