@@ -53,11 +53,13 @@ def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    taken = (mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id"))
+    # rows of one id and text are interchangeable; a null id is a name like any other
+    docs = docs.select(*COLUMNS).withColumn("_mark", F.xxhash64("text"))
+    taken = (mixing.mix(docs, keep=("_mark",)).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("_mark").alias("_of"))
              .agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size")))
     passes = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size"))))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_pass", passes).select(*COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of"))
+    return docs.join(taken, same).withColumn("_pass", passes).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
