@@ -9,12 +9,13 @@ into a broadcast only when the runtime size of a side is below its threshold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.hooks import embed_texts
 from ..functions.text import py_strip
 from .filters import normalise_task_col
 
@@ -163,6 +164,18 @@ def nearest_by_vector(preds: DataFrame, cands: DataFrame, keys: Sequence[str], n
     return ranked.withColumn("chosen", F.col("rank") == target).drop("_m")
 
 
+def nearest_by_text(preds: DataFrame, cands: DataFrame, keys: Sequence[str], hook: Callable, n: int = 5,
+                    text: str = "action", pick: str = "best", rank: str | None = None, k: int = 5) -> DataFrame:
+    """J6 on texts: the distinct texts of both sides are embedded once by the ``hook``
+    (``functions.hooks.embed_texts``) and their vectors joined back; only the first
+    ``k`` predictions of a group take part, so a candidate meets at most ``k``."""
+    first = Window.partitionBy(*keys).orderBy(rank or text)
+    p = preds.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k).select(*keys, text, *([rank] if rank else []))
+    c = cands.select(*keys, text).distinct()
+    vectors = embed_texts(p.select(text).unionByName(c.select(text)), hook, text)
+    return nearest_by_vector(p.join(vectors, text), c.join(vectors, text), keys, n, item=text, pick=pick, rank=rank, k=k)
+
+
 # --- J7: rewrite rules ------------------------------------------------------------
 
 def rewrite_candidates(actions: DataFrame, keys: Sequence[str], text: str = "action",

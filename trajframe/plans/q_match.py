@@ -16,6 +16,7 @@ from ..operators.sampling import seeded_int
 from ..sources.tables import table
 from .catalog import query
 from .q_core import FOCUS_CANDS_SQL, PAIRS_SQL, ROOM_LIST_SQL, mentions_sql
+from ..functions.hooks import library_tokenizer, truncate_by_tokenizer
 from .sqlviews import formalize_sql, recover_sql, sanitize_sql, strip_sql, with_views
 from .views import v_cands, v_eps, v_f, v_f_plain, v_pairs, v_preds, v_steps, v_vecs
 
@@ -124,6 +125,31 @@ qualify row_number() over (partition by grp order by score desc, vec_id) <= {VEC
     .replace("rank = 1 as chosen from (", "rank = 1 as chosen from (select *, row_number() over (partition by grp order by score desc, vec_id) as rank from (")
     .replace("group by 1, 2)\nqualify", "group by 1, 2))\nqualify"))(q_vector)
 
+EMBED_DIM = 8
+
+
+def hash_embedding():
+    """A deterministic stand-in for a model: the first hex digits of a text's md5."""
+    import hashlib
+
+    def embed(texts):
+        digits = [hashlib.md5(x.encode()).hexdigest() for x in texts]
+        return [[int(d[4 * i:4 * i + 4], 16) / 65535.0 - 0.5 for i in range(EMBED_DIM)] for d in digits]
+    return embed
+
+
+query("join_text_similarity", with_views(f"""
+select variation_id, grp, action, round(score, 6) as score, rank, rank = 1 as chosen from (
+  select *, row_number() over (partition by variation_id, grp order by score desc, action) as rank from (
+    select c.variation_id, c.grp, c.action, sum(list_dot_product(c.e, p.e) / (sqrt(list_dot_product(c.e, c.e)) * sqrt(list_dot_product(p.e, p.e)))) as score
+    from ce c join pe p on p.variation_id = c.variation_id and p.grp = c.grp group by 1, 2, 3)) where rank <= {VEC_N}""", FOCUS_CANDS_SQL, f"""
+vec as (select action, list_transform(range({EMBED_DIM}), lambda i: ('0x' || substr(md5(action), (4 * i + 1)::int, 4))::bigint / 65535.0::double - 0.5::double) as e
+        from (select distinct action from v_f)),
+pe as (select p.variation_id, p.grp, v.e from preds p join vec v using (action) where p.rnk <= 5),
+ce as (select c.variation_id, c.grp, c.action, v.e from (select distinct variation_id, grp, action from cands) c join vec v using (action))"""))(
+    lambda spark, sf: J.nearest_by_text(v_preds(spark, sf), v_cands(spark, sf), GK, hash_embedding, n=VEC_N, rank="rnk").select(
+        "variation_id", "grp", "action", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "chosen"))
+
 # ============================================================== J7
 
 
@@ -456,6 +482,19 @@ def _truncate_sql():
 
 query("truncate_lengths", _truncate_sql())(q_truncate)
 
+#: A public tokenizer's file, by name; callers give the path of their own.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def q_truncate_tokenizer(spark, sf):
+    import public_tokenizers
+    ex = compose(v_f(spark, sf), RECIPES["action_raw"]).select("variation_id", "step", "input", "target")
+    hook = library_tokenizer(str(public_tokenizers.path(TOKENIZER)))
+    return truncate_by_tokenizer(ex, {"input": TRUNC_SRC // 4, "target": TRUNC_TGT // 6}, hook)
+
+
+query("truncate_lengths_tokenizer")(q_truncate_tokenizer)
+
 # ============================================================== T7
 
 TOPK_N = 3
