@@ -11,11 +11,11 @@ is confirmed on the full sets.
 * Documents with equal sets are one class; only one of a class is compared.
 * A band's smallest member is compared with all others first (as many pairs as
   members).  Where a band then holds several components, its largest is dealt to
-  blocks and only the rows outside it are repeated, with their sketches alone, to
-  meet its blocks and each other; full sets are joined to the pairs whose sketches
-  are close: first the closest pair of each two components, until that joins no
-  more, then every pair still apart.  A group of near copies is never expanded into
-  all pairs and no link between components is lost.
+  blocks, and only the rows outside it are repeated, to meet its blocks and each
+  other.  Inside a block pairs of different components are compared in the first
+  band that both share and give a row only when they join two components, so a
+  group of near copies is never expanded into all pairs and no link between
+  components is lost.
 
 ``1 - (1 - 0.75**5)**40`` of the pairs at exactly 0.75 share a band (0.99998).
 
@@ -39,7 +39,7 @@ BANDS, ROWS, K, BITS = 40, 5, 400, 1024
 #: A pair stays a candidate when its sketches estimate at least this similarity;
 #: five standard errors of the estimate below the threshold.
 LEAST_ESTIMATE = 0.60
-BLOCK = 4096
+BLOCK = 2048
 SHINGLES_A_ROW = 250
 
 _rng = np.random.default_rng(5)
@@ -117,40 +117,59 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "values"])
 
 
-def _survivors(limit: int, best: bool):
-    """Pairs of documents of different components whose sketches are close, over rows
-    sorted by ``key, bm, bo``: the rows of a block of the band's main component
-    (``side`` 0) against those of a block outside it (1), the outside blocks against
-    themselves where ``bm`` is -1.  ``best`` gives of each two components the closest pair."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _block_links(percent: int, limit: int):
+    """Pairs of components (``own``) that a link joins, over rows sorted by ``key, bm,
+    bo``: the rows of a block of the band's main component (``side`` 0) against those
+    of a block outside it (1); where ``bm`` is negative, outside blocks among themselves.
+    A pair is compared in the first band that both share, closest sketches first, and
+    no more once its components are joined, so no pair becomes a row."""
     def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
         for table in whole_groups(batches, ["key", "bm", "bo"]):
             key, bm, bo, side, ids, own = (table.column(c).to_numpy() for c in ("key", "bm", "bo", "side", "doc_id", "own"))
-            odd = table.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            odd, keys, values = (table.column(c).combine_chunks() for c in ("odd", "keys", "values"))
+            odd = odd.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            keys = keys.flatten().to_numpy().reshape(len(ids), -1)
+            ends, flat = values.offsets.to_numpy() - values.offsets[0].as_py(), values.flatten().to_numpy().view(np.uint64)
+            band = (keys == key[:, None]).argmax(1)
             new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bm[1:] != bm[:-1]) | (bo[1:] != bo[:-1])])
-            a, b, apart = [], [], []
+            a, b = [], []
             for first, end in zip(new, np.r_[new[1:], len(ids)]):
                 group = np.arange(first, end)
-                inside = bm[first] < 0
-                outer = group if inside else group[side[group] == 1]
-                for x in outer:
-                    other = np.arange(x + 1, end) if inside else group[side[group] == 0]
+                among = bm[first] < 0
+                for x in (group if among else group[side[group] == 1]).tolist():
+                    other = np.arange(x + 1, end) if among else group[side[group] == 0]
                     other = other[own[other] != own[x]]
                     far = np.bitwise_count(odd[other] ^ odd[x]).sum(1)
-                    close = far <= limit
-                    a.append(np.full(int(close.sum()), x)), b.append(other[close]), apart.append(far[close])
-            a, b, apart = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b, apart))
-            if best and len(a):
-                u, v = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
-                order = np.lexsort((ids[b], ids[a], apart, v, u))
-                u, v = u[order], v[order]
-                keep = order[np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]]
-                a, b = a[keep], b[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
+                    other, far = other[far <= limit], far[far <= limit]
+                    near = (keys[other] == keys[x]).argmax(1) == band[x]
+                    for y in other[near][np.argsort(far[near], kind="stable")].tolist():
+                        u, v = find(int(own[x])), find(int(own[y]))
+                        if u != v and similar(flat[ends[x]:ends[x + 1]], flat[ends[y]:ends[y + 1]], percent):
+                            parent[max(u, v)] = min(u, v)
+                            a.append(u), b.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
     return run
 
 
 def _dealt(left: DataFrame, size: int) -> DataFrame:
-    """Rows ``key, doc_id, own, odd`` of bands that hold several components, dealt to
+    """Rows ``key, doc_id, own`` of bands that hold several components, dealt to
     groups.  A band's main component is its largest; rows of one component need not
     meet, so its rows are repeated only for the blocks outside it, of which there is
     nearly always one, and the rows outside for its blocks and for each other."""
@@ -160,7 +179,7 @@ def _dealt(left: DataFrame, size: int) -> DataFrame:
                        F.ceil((F.col("_all") - F.col("_m._n")) / F.lit(size)).cast("int").alias("_ko"))
     d = left.join(main, "key").withColumn("side", (F.col("own") != F.col("_main")).cast("int"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("side") == 0, F.col("_km")).otherwise(F.col("_ko"))).cast("int")
-    columns = ["key", "bm", "bo", "side", "doc_id", "own", "odd"]
+    columns = ["key", "bm", "bo", "side", "doc_id", "own"]
     d = d.withColumn("_b", block)
     mine = d.where("side = 0").withColumn("bm", F.col("_b")).withColumn("bo", F.explode(F.sequence(F.lit(0), F.col("_ko") - 1)))
     theirs = d.where("side = 1").withColumn("bo", F.col("_b")).withColumn("bm", F.explode(F.sequence(F.lit(0), F.col("_km") - 1)))
@@ -207,36 +226,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = components(links)
 
     # bands that hold several components: rows outside the main one are compared with it
-    # and with each other; first the closest pair of each two components, as long
-    # as that joins some, then every pair that is still apart
-    banded_rows, merged, best = cut(members.select("key", "doc_id").join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-                                    .select("key", "doc_id", F.coalesce("component", "doc_id").alias("own")), "placed", n), None, True
-    while True:
-        placed = banded_rows if merged is None else (banded_rows.join(merged.select(F.col("id").alias("own"), "component"), "own", "left")
-                                                     .select("key", "doc_id", F.coalesce("component", "own").alias("own")))
-        split = placed.groupBy("key").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi")).where("_lo < _hi").select("key")
-        left = placed.join(split, "key").join(odd, "doc_id")
-        pairs = cut(_dealt(left, BLOCK).repartition("key", "bm", "bo").sortWithinPartitions("key", "bm", "bo", "side", "doc_id")
-                    .mapInArrow(_survivors(limit, best), "a long, b long").distinct(), "pairs", n)
-        named_rows = placed.select("doc_id", "own").distinct()
-        found = cut(confirmed(pairs, sets, percent)
-                    .join(named_rows.select(F.col("doc_id").alias("a"), F.col("own").alias("_oa")), "a")
-                    .join(named_rows.select(F.col("doc_id").alias("b"), F.col("own").alias("_ob")), "b")
-                    .select(F.col("_oa").alias("a"), F.col("_ob").alias("b")).distinct(), "more", n)
-        nothing = pairs.isEmpty()
-        discard(pairs)
-        if not found.isEmpty():
-            more = components(found)
-            merged = more if merged is None else (
-                merged.join(more.select(F.col("id").alias("component"), F.col("component").alias("_next")), "component", "left")
-                .select("id", F.coalesce("_next", "component").alias("component"))
-                .unionByName(more.join(merged.select("id"), "id", "left_anti")))
-            merged = cut(merged, "merged", n)
-        if not best or nothing:
-            break
-        best = not found.isEmpty()
-    merged = merged if merged is not None else known.where("false")
-    discard(members, sets, banded_rows)
+    # and with each other
+    placed = members.select("key", "doc_id").join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    placed = cut(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("own")), "placed", n)
+    split = placed.groupBy("key").agg(F.min("own").alias("_lo"), F.max("own").alias("_hi")).where("_lo < _hi").select("key")
+    left = cut(placed.join(split, "key"), "left", n)
+    dealt = _dealt(left, BLOCK).join(reps, "doc_id").join(sets, "doc_id")
+    more = cut(dealt.repartition("key", "bm", "bo").sortWithinPartitions("key", "bm", "bo")
+               .mapInArrow(_block_links(percent, limit), "a long, b long"), "more", n)
+    merged = components(more)
+    discard(members, sets, placed, left)
 
     first = known.withColumnRenamed("id", "rep").withColumnRenamed("component", "_first")
     second = merged.select(F.col("id").alias("_c1"), F.col("component").alias("_second"))
