@@ -57,6 +57,17 @@ def q_src_gold(spark, sf):
 
 query("src_gold", with_views("select task_no, variation_id, fold, pos, action, score from v_steps"))(q_src_gold)
 
+
+
+def q_src_gold_ranges(spark, sf):
+    d = K.scratch_dir(spark, "gold-ranges")
+    gold_json(spark, sf).select("value").write.text(d)
+    g = S.read_gold_ranges(spark, d)
+    return g.select(F.col("task_id").cast("long").alias("task_no"), "variation_id", "fold", "pos", "action", "score")
+
+
+query("src_gold_ranges", with_views("select task_no, variation_id, fold, pos, action, score from v_steps"))(q_src_gold_ranges)
+
 # ============================================================== K1 / S2 / S3 examples
 
 
