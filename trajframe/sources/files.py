@@ -70,7 +70,7 @@ SEQUENCES_TOKEN = '"goldActionSequences"'
 #: What may follow the last ``]`` before the next episode, or the end of the object.
 SAME_TASK = r"(?s)^\s*\}\s*,\s*\{\s*$"
 NEXT_TASK = r'(?s)"((?:[^"\\]|\\.)*)"\s*:\s*\{([^{}]*)"goldActionSequences"\s*:\s*\[\s*\{\s*$'
-END = r"(?s)^\s*(\{\s*)?\}\s*\}?\s*$"
+END = r"(?s)^\s*(\{\s*\}|\}\s*\})\s*$"
 
 
 def read_gold_ranges(spark: SparkSession, path: str) -> DataFrame:
