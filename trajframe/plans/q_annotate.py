@@ -7,9 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import annotate as L
+from ..operators import reports as RP
 from ..operators import sampling as T
 from ..operators import windows as W
 from ..session import cut
+from ..sources import sinks as K_
 from .catalog import query
 from .q_match import ANSWERS_SQL, v_answers
 from .sqlviews import strip_sql, with_views, with_views_rec
@@ -144,6 +146,23 @@ select f.variation_id, count(*) as violations from v_f f left join v_ann a on a.
 where a.action is null or a.action <> f.action group by 1""", V_ANN_SQL))(q_label_violations)
 
 
+def q_label_report(spark, sf):
+    """L6 with its report: the counts of the running write, and its side table."""
+    ann = v_ann(spark, sf).select("variation_id", F.col("step").alias("idx"), "action", F.col("subgoal").alias("sg"))
+    d = K_.scratch_dir(spark, "checked")
+    counts = RP.write_checked(RP.labelled_with_action(v_f_plain(spark, sf).drop("_nb"), ann, K), d, "labels", RP.label_faults())
+    side = RP.rejected_rows(spark, d).groupBy("fault").agg(F.count(F.lit(1)).alias("rejected"))
+    good = RP.accepted_rows(spark, d).agg(F.lit("none").alias("fault"), F.count(F.lit(1)).alias("rejected"))
+    told = RP.summary(spark, {"labels": {("none" if k == "rows" else k): (v if k != "rows" else 2 * v - sum(counts.values())) for k, v in counts.items()}})
+    return told.join(side.unionByName(good), "fault", "left").select("fault", "n", "rejected")
+
+
+query("report_label_faults", with_views("""
+select fault, count(*) as n, count(*) as rejected from (
+  select case when a.action is null then 'no annotation' when a.action <> f.action then 'another action' else 'none' end as fault
+  from v_f f left join v_ann a on a.variation_id = f.variation_id and a.step = f.step) group by 1""", V_ANN_SQL))(q_label_report)
+
+
 def q_greedy(spark, sf):
     items = L.explode_annotations(v_answers(spark, sf), K)
     return L.greedy_align(v_f_plain(spark, sf), cut(items, "items"), K).select(

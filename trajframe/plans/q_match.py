@@ -406,7 +406,8 @@ from (select conv_id, turn, case when regexp_matches(raw, '^.*<extra_id_0>(.*)<e
 query("focus_targets", with_views(
     "select distinct task_no, task_desc, array_to_string(list_transform(list_concat(regexp_extract_all(task_desc, 'focus on\\s+(\\w+(?:\\s+\\w+)*)', 1), "
     "regexp_extract_all(replace(task_desc, 'a(n)', 'a'), 'find\\s+(\\w+(?:\\s+\\w+)*)', 1)), lambda x: " + strip_sql("replace(x, 'the ', ' ')") + "), ', ') as targets from v_ft"))(
-    lambda spark, sf: v_f(spark, sf).select("task_no", "task_desc", F.array_join(focus_targets("task_desc"), ", ").alias("targets")).distinct())
+    lambda spark, sf: v_f(spark, sf).select("task_no", "task_desc").distinct()          # 30 texts, not one an event
+    .select("task_no", "task_desc", F.array_join(focus_targets("task_desc"), ", ").alias("targets")))
 
 
 def perturb_subgoal(df, seed: int = 1, col: str = "subgoal", objects: str = "objects"):
