@@ -13,8 +13,8 @@ from ..functions import fixed
 from ..operators.prompts import candidate_prompt, next_actions_prompt, plan_prompt
 from ..operators import sampling as T
 from ..operators import windows as W
-from ..operators.compose import RECIPES, compose, compose_first_subgoal
-from ..session import cut
+from ..operators.compose import RECIPES, compose
+from ..operators.datasets import RECIPE_NAMES, write_dataset
 from ..sources import files as S
 from ..sources import sinks as K
 from ..sources.tables import table, task_dimension
@@ -413,29 +413,6 @@ query("prompt_plan", _plan_sql())(q_prompt_plan)
 # ============================================================== C16 dataset recipes
 
 
-RECIPE_NAMES = ("action_sg", "subgoal", "first_subgoal", "action_formal")
-
-
-def build_dataset(steps, recipe: str, rules=None, min_len: int = 2, test_cap: int = 10, episode=("task_no", "variation_id"), seed: int = 1):
-    """The example pipeline of one training set: T1 (``rules``, by task_real_id),
-    F2, W13 on the episodes, then the recipe's composition.  Recipes: ``action_sg``
-    (C1), ``subgoal`` (C2), ``first_subgoal`` (C10), ``action_formal`` (the set without
-    sub-goals)."""
-    eps = steps.groupBy(*episode, "fold", "task_real_id").agg(F.count(F.lit(1)).alias("_n"))
-    eps = T.downsample(eps, rules, seed) if rules else T.downsample(eps, seed=seed)
-    eps = T.cap_test_episodes(eps.where(F.col("_n") >= min_len), test_cap)
-    s = steps.join(eps.select(*episode), list(episode), "left_semi")
-    return compose_first_subgoal(s, episode) if recipe == "first_subgoal" else compose(s, RECIPES[recipe], episode)
-
-
-def write_dataset(spark, steps, path: str, recipes=RECIPE_NAMES, **rules) -> None:
-    """C16 with K1: every recipe's examples under ``path/<recipe>``, by split and task."""
-    dim = F.broadcast(task_dimension(spark).select("task_no", "task_real_id"))
-    steps = cut(steps, "dataset-steps")          # every recipe reads it
-    for r in recipes:
-        K.write_examples(build_dataset(steps, r, **rules).join(dim, "task_no"), f"{path}/{r}")
-
-
 def q_recipes(spark, sf):
     d = K.scratch_dir(spark, "dataset")
     write_dataset(spark, v_f(spark, sf), d, rules=DS_RULES, min_len=SHORT, test_cap=TEST_CAP)
