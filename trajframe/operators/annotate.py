@@ -443,17 +443,18 @@ def greedy_align(gold: DataFrame, items: DataFrame, keys: Sequence[str] = EPISOD
     an ``end subgoal`` row.  ``items`` is the L1 output (one row per action).  Adds
     the cleaned ``answer`` of the episode.  Only the walk is Python, and it streams
     the gold steps past the offered ones; the rows, their numbers and the answer
-    follow from the accepted places by columns."""
+    follow from the accepted places by columns.  What is joined grows with the steps but
+    may lie in small files, by whose size Spark would broadcast it: the joins are merged."""
     keys = list(keys)
     both = items.select(*keys, F.lit(0).alias("_side"), F.col("idx").cast("long").alias("_o"), F.col("action").alias("_v")).unionByName(
-        gold.join(items.select(*keys).distinct(), keys, "left_semi").select(*keys, F.lit(1).alias("_side"), F.col(order).cast("long").alias("_o"), F.col(col).alias("_v")))
+        gold.join(items.select(*keys).distinct().hint("merge"), keys, "left_semi").select(*keys, F.lit(1).alias("_side"), F.col(order).cast("long").alias("_o"), F.col(col).alias("_v")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*keys).schema.fields)
     at = (both.repartition(*keys).sortWithinPartitions(*keys, "_side", "_o")
           .mapInPandas(_walk(keys), f"{kinds}, gold_step long, idx long"))
-    hits = at.join(items.select(*keys, F.col("idx").cast("long").alias("idx"), "sg_no", "sg", F.col("action").alias("_raw")), [*keys, "idx"])
+    hits = at.join(items.select(*keys, F.col("idx").cast("long").alias("idx"), "sg_no", "sg", F.col("action").alias("_raw")).hint("merge"), [*keys, "idx"])
     # an item is the run of its actions; the item number may come again later
     parts = items.groupBy(*keys, "sg_no", "sg").agg(F.min("idx").alias("_first"))
-    hits = hits.join(parts, [*keys, "sg_no", "sg"])
+    hits = hits.join(parts.hint("merge"), [*keys, "sg_no", "sg"])
     closed = Window.partitionBy(*keys).orderBy("_first", "sg_no", "sg")
     named = (hits.groupBy(*keys, "sg_no", "sg", "_first").agg(
         F.max("gold_step").alias("_last"), F.transform(F.array_sort(F.collect_list(F.struct("gold_step", "_raw"))), lambda x: x["_raw"]).alias("_acts"))
@@ -461,8 +462,8 @@ def greedy_align(gold: DataFrame, items: DataFrame, keys: Sequence[str] = EPISOD
     piece = F.concat(F.col("_nth").cast("string"), F.lit("- "), F.col("sg"), F.lit(": {"),
                      F.array_join(F.transform("_acts", lambda x: F.concat(x, F.lit(", "))), ""), F.lit("}\n"))
     answers = named.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_nth", piece.alias("t")))), lambda x: x["t"]), "").alias("answer"))
-    steps = hits.join(named.select(*keys, "sg_no", "sg", "_nth"), [*keys, "sg_no", "sg"]).select(
+    steps = hits.join(named.select(*keys, "sg_no", "sg", "_nth").hint("merge"), [*keys, "sg_no", "sg"]).select(
         *keys, (F.col("gold_step") + F.col("_nth") - 1).cast("int").alias("pos"), "gold_step", F.trim("_raw").alias("action"), F.col("sg").alias("subgoal"), F.lit(False).alias("is_marker"))
     marks = named.select(*keys, (F.col("_last") + F.col("_nth")).cast("int").alias("pos"), F.col("_last").alias("gold_step"),
                          F.lit(fixed.MARKER_ACTION).alias("action"), F.col("sg").alias("subgoal"), F.lit(True).alias("is_marker"))
-    return steps.unionByName(marks).join(answers, list(keys))
+    return steps.unionByName(marks).join(answers.hint("merge"), list(keys))
