@@ -19,3 +19,20 @@ def test_greedy_walk_broadcasts_no_rows(spark):
     walked = L.greedy_align(gold, items, ["variation_id"])
     assert "Broadcast" not in _plan(walked)
     assert walked.count() > 0 and walked.select("variation_id").distinct().count() == 4
+
+
+def test_triggers_and_state_partitions_follow_the_input(spark, tmp_path):
+    """Many files make larger triggers, not more; a trigger opens a state partition a core."""
+    from trajframe.plans import q_misc
+    from trajframe.streaming import state as R
+    log = str(tmp_path / "log")
+    spark.range(240).repartition(24).write.parquet(log)
+    assert q_misc._files_per_trigger(spark, log) == 24 // q_misc.STREAM_FILES
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        with R.state_partitions(spark, log):
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -438,6 +438,7 @@ chosen as (select * from (select *, sum(case when fold = 'test' then 1 else 0 en
 STREAM_DELAY = "1 hour"          # disorder that the stream allows for
 STREAM_GAP = "40 days"           # quiet time that closes an episode
 STREAM_FILES = 4
+STREAM_BEATS = 2                 # heartbeats, a file each, behind the log
 STREAM_OBJECTS = 20              # limit of the FIFO of objects
 
 
@@ -450,25 +451,37 @@ def _stream_input(spark, sf):
     part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) / ((last - first).total_seconds() * 1e6 / STREAM_FILES + 1)), F.lit(STREAM_FILES - 1))
     for i in range(STREAM_FILES):
         ev.where(part == i).repartition(F.xxhash64("event_id")).write.mode("append").parquet(d)
-    for i in (1, 2):
+    for i in range(1, STREAM_BEATS + 1):
         beat = spark.range(1).select(F.lit(-i).cast("long").alias("event_id"), (F.lit(last) + F.expr(f"interval {40 * 24 + 2 * i} hours")).cast("timestamp").alias("ts"),
                                      F.lit(-1).cast("long").alias("user_id"), F.lit("signup").alias("event_type"), F.lit(0.0).alias("value"), F.lit('{"k": 50}').alias("props"))
         beat.write.mode("append").parquet(d)
     return d
 
 
-def _run_stream(spark, df, name, mode="append"):
+def _files_per_trigger(spark, log, beats=0):
+    """Files of ``log`` that make one of ``STREAM_FILES`` triggers: more input is larger
+    triggers, not more of them, each of which touches most episodes again."""
+    return max(1, -(-(len(spark.read.parquet(log).inputFiles()) - beats) // STREAM_FILES))
+
+
+def _stream_steps(spark, sf):
+    d = _stream_input(spark, sf)
+    return R.event_steps(R.read_event_stream(spark, d, _files_per_trigger(spark, d, STREAM_BEATS))), d
+
+
+def _run_stream(spark, df, name, mode="append", log=None):
     out = K.scratch_dir(spark, name)
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ckpt")
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with R.state_partitions(spark, log):
+        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-ckpt")
+             .outputMode(mode).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out)
 
 
 def q_stream_state(spark, sf):
-    ev = R.event_steps(R.read_event_stream(spark, _stream_input(spark, sf)))
+    ev, log = _stream_steps(spark, sf)
     s = R.stream_state(ev, watermark=STREAM_DELAY, object_limit=STREAM_OBJECTS, gap=STREAM_GAP)
-    return _run_stream(spark, s, "r1").where("variation_id >= 0").select(
+    return _run_stream(spark, s, "r1", log=log).where("variation_id >= 0").select(
         "task_no", "variation_id", "step", "action", F.round("reward", 6).alias("reward"), "places", "objects")
 
 
@@ -479,9 +492,9 @@ query("stream_episode_state", with_views_rec(
 
 
 def q_stream_stops(spark, sf):
-    ev = R.event_steps(R.read_event_stream(spark, _stream_input(spark, sf)))
+    ev, log = _stream_steps(spark, sf)
     s = R.stream_state(ev, watermark=STREAM_DELAY, loop_k=LOOP_K, step_limit=STEP_LIMIT, gap=STREAM_GAP, mode="stops")
-    return _run_stream(spark, s, "r2").where("variation_id >= 0").select(
+    return _run_stream(spark, s, "r2", log=log).where("variation_id >= 0").select(
         "variation_id", "task_no", "end_step", F.round("final_score", 6).alias("final_score"), "reason")
 
 
@@ -498,11 +511,12 @@ def q_stream_scores(spark, sf):
     # R3 consumes the R2 sink as a stream and keeps the running per-task mean
     src = K.scratch_dir(spark, "r3-in")
     stops.write.parquet(src)
-    st = spark.readStream.schema(stops.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    st = spark.readStream.schema(stops.schema).option("maxFilesPerTrigger", _files_per_trigger(spark, src)).parquet(src)
     out = K.scratch_dir(spark, "r3-metrics")
-    q = (R.stream_scores(st).writeStream.outputMode("update").foreachBatch(R.write_epoch(out))
-         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    with R.state_partitions(spark, src):
+        q = (R.stream_scores(st).writeStream.outputMode("update").foreachBatch(R.write_epoch(out))
+             .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
     latest = spark.read.parquet(out).groupBy("task_no").agg(F.max_by(F.struct("mean_score", "episodes"), "epoch").alias("m"))
     return latest.select("task_no", F.round("m.mean_score", 6).alias("mean_score"), "m.episodes")
 
