@@ -36,3 +36,20 @@ def test_triggers_and_state_partitions_follow_the_input(spark, tmp_path):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbers_are_made_of_narrow_rows(spark):
+    """The texts of a step are written after its number, not sorted with it."""
+    from conftest import SF_SMALL
+    from trajframe.plans.views import v_f_plain
+    sorted_below = v_f_plain(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().split("Window [", 1)[1]
+    assert "This room is called" not in sorted_below
+
+
+def test_repair_broadcasts_no_rows(spark):
+    steps = cut(spark.range(40).select(F.floor(F.col("id") / 10).alias("variation_id"), (F.col("id") % 10).alias("step"),
+                                       F.concat(F.lit("go "), F.col("id") % 3).alias("action"), F.lit("s").alias("subgoal"), F.lit(None).alias("_nb")), "gold")
+    ann = cut(steps.where("step <> 4").drop("_nb"), "annotation")
+    repaired = L.repair(cut(L.align(steps, ann, ["variation_id"]), "edits"), steps, ann, ["variation_id"])
+    assert "Broadcast" not in _plan(repaired)
+    assert repaired.count() == 40

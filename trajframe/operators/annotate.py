@@ -251,7 +251,7 @@ def fill_gaps(repaired: DataFrame, gap_answers: DataFrame, keys: Sequence[str] =
     """Steps of gaps take the sub-goals of ``gap_answers`` (keys, gap_start, idx,
     action, sg), matched by position and action; the others stay null."""
     ga = gap_answers.groupBy(*keys, "gap_start", (F.col("gap_start") + F.col("idx")).cast("long").alias(order), "action").agg(F.min("sg").alias("_gsg"))
-    j = repaired.withColumn(order, F.col(order).cast("long")).join(ga, [*keys, "gap_start", order, "action"], "left")
+    j = repaired.withColumn(order, F.col(order).cast("long")).join(ga.hint("merge"), [*keys, "gap_start", order, "action"], "left")
     return j.withColumn("subgoal", F.when(F.col("source") == "gap", F.col("_gsg")).otherwise(F.col("subgoal"))).select(*repaired.columns)
 
 
@@ -273,13 +273,14 @@ def repair(edits: DataFrame, gold: DataFrame, ann: DataFrame, keys: Sequence[str
     g = gold.select(*keys, F.col(order).cast("long").alias("i"), F.col("action"), *known)
     added = edits.where(F.col("op") == "add").select(*keys, F.col("i").cast("long").alias("i"), F.col("j").alias("_aj"))
     there = ann.select(*keys).distinct().withColumn("_there", F.lit(True))
-    gi = (g.join(added, [*keys, "i"], "left").join(there, keys, "left")
+    # rows of steps in small files are merged, not broadcast
+    gi = (g.join(added.hint("merge"), [*keys, "i"], "left").join(there.hint("merge"), keys, "left")
           .withColumn("_bare", F.col("_there").isNull()).withColumn("_added", F.col("_aj").isNotNull() | F.col("_bare"))
           .withColumn("_match", (~F.col("_added")).cast("long")))
     a = ann.select(*keys, F.col(order).alias("_j"), F.col("subgoal").alias("_sg"))
     # matched gold positions pair, in order, with the annotated rows that are not removed
     removed = edits.where(F.col("op") == "remove").select(*keys, F.col("j").alias("_j"))
-    kept = a.join(removed, [*keys, "_j"], "left_anti")
+    kept = a.join(removed.hint("merge"), [*keys, "_j"], "left_anti")
     kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_j")).cast("long")).drop("_j")
     gi = running_sum(gi.withColumn("_chunk", chunk_of(gi, "i")), keys, "i", "_match", "_k").drop("_chunk")
     gi = gi.withColumn("_k", F.when(~F.col("_added"), F.col("_k")))
@@ -288,9 +289,9 @@ def repair(edits: DataFrame, gold: DataFrame, ann: DataFrame, keys: Sequence[str
     # runs of consecutive added positions (gaps-and-islands)
     new = renumber(gi.where("_added").select(*keys, "i", *known), keys, "i", "_n").withColumn("_isl", F.col("i") - F.col("_n"))
     runs = new.groupBy(*keys, "_isl").agg(F.count(F.lit(1)).alias("_run"), F.min("i").alias("gap_start"))
-    gi = gi.join(new.select(*keys, "i", "_isl").join(runs, [*keys, "_isl"]).drop("_isl"), [*keys, "i"], "left")
-    j = (gi.join(kept, [*keys, "_k"], "left")
-         .join(a.select(*keys, F.col("_j").alias("_src_j"), F.col("_sg").alias("_inh")), [*keys, "_src_j"], "left"))
+    gi = gi.join(new.select(*keys, "i", "_isl").join(runs.hint("merge"), [*keys, "_isl"]).drop("_isl").hint("merge"), [*keys, "i"], "left")
+    j = (gi.join(kept.hint("merge"), [*keys, "_k"], "left")
+         .join(a.select(*keys, F.col("_j").alias("_src_j"), F.col("_sg").alias("_inh")).hint("merge"), [*keys, "_src_j"], "left"))
     alone = (F.col("_run") == 1) & ~F.col("_bare")
     src = F.when(~F.col("_added"), F.lit("matched")).when(alone, F.lit("inherited")).otherwise(F.lit("gap"))
     sg = F.when(~F.col("_added"), F.col("_sg")).when(alone, F.col("_inh"))
@@ -405,7 +406,7 @@ def annotate(eps_steps: DataFrame, cache: DataFrame, answer_fn: Callable[[DataFr
     if gap_fn is not None:
         asked = cut(gap_fn(gap_requests(rows, keys, order)).where(usable).groupBy(*keys, "gap_start").agg(F.min("answer").alias("answer")), "gaps")
         rows = fill_gaps(rows, explode_annotations(asked, [*keys, "gap_start"]), keys, order)
-    labelled = cut(eps_steps.drop("subgoal").join(rows.select(*keys, order, "subgoal", "source"), [*keys, order], "left"), "labelled")
+    labelled = cut(eps_steps.drop("subgoal").join(rows.select(*keys, order, "subgoal", "source").hint("merge"), [*keys, order], "left"), "labelled")
     why = F.when(F.col("source") == "gap", "gap without a fitting answer").otherwise("annotated row without sub-goal")
     report = labelled.where("subgoal is null").select(*keys, order, "action", why.alias("why"))
     return insert_markers(labelled, keys), fresh, report

@@ -18,6 +18,8 @@ from .sqlviews import strip_sql, with_views, with_views_rec
 from .views import v_f, v_f_plain
 
 K = ["variation_id"]
+#: What alignment and repair read of a step; its texts would only be carried along.
+STEP = [*K, "step", "action", "_nb"]
 
 
 def _items_sql(mark: bool) -> str:
@@ -115,7 +117,7 @@ from long2 z join lcs l on l.variation_id = z.variation_id and l.i = 0 and l.j =
 
 
 def _repaired(spark, sf):
-    gold, ann = cut(v_f_plain(spark, sf), "gold"), cut(v_ann(spark, sf), "annotation")
+    gold, ann = cut(v_f_plain(spark, sf).select(*STEP), "gold"), cut(v_ann(spark, sf), "annotation")
     return L.repair(cut(L.align(gold, ann, K), "edits"), gold, ann, K)
 
 
@@ -215,7 +217,7 @@ def q_annotate(spark, sf):
         acts = F.array_join(F.transform("missed", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
         return gaps.select(*K, "gap_start", F.concat(F.lit("1- fill("), F.col("gap_start").cast("string"), F.lit("): {"), acts, F.lit("} ")).alias("answer"))
 
-    labelled, _fresh, _report = L.annotate(v_f_plain(spark, sf), cache, answer_fn, gap_fn, K)
+    labelled, _fresh, _report = L.annotate(v_f_plain(spark, sf).select(*STEP, "observation"), cache, answer_fn, gap_fn, K)
     return labelled.select("variation_id", F.col("step").cast("long").alias("step"), "action", "subgoal", "source", "is_marker")
 
 

@@ -39,19 +39,19 @@ def _pick(values: list[str], idx) -> F.Column:
 
 
 def events_as_steps(events: DataFrame, position: bool = True, order: bool = False,
-                    keep: Sequence[str] = ()) -> DataFrame:
+                    keep: Sequence[str] = (), only: F.Column | None = None, number_as: str | None = None) -> DataFrame:
     """``events`` -> long step table ``v_steps`` (one row per event).
 
     Output: variation_id, task_no, fold, pos, action, observation, score,
     freelook, inventory, subgoal.  ``position=False`` leaves ``pos`` out;
     ``order`` keeps the order columns and blocks (see ``operators.blocks``); without
     either the rows are a plain projection, for streams too, with columns to ``keep``.
+    ``only`` filters the steps by their ``action``; ``number_as`` numbers those left.  Blocks
+    and numbers are made of the narrow event rows, the texts of a step after them.
     """
     k = F.regexp_extract("props", "[0-9]+", 0).try_cast("int")
     b = events.select("user_id", "event_id", "ts", "event_type", k.alias("k"))
-    room = _pick(BINDING_ROOMS, F.col("k") % 10)
-    obj = _pick(BINDING_OBJECTS, F.col("k") % 7)
-    b = b.withColumn("room", room).withColumn("obj", obj)
+    texts = {"room": _pick(BINDING_ROOMS, F.col("k") % 10), "obj": _pick(BINDING_OBJECTS, F.col("k") % 7)}
     grp = F.floor(F.col("variation_id") / 30).cast("int") % 5
     fold = F.when(grp.isin(1, 4), "test").when(grp == 3, "dev").otherwise("train")
     from ..operators.blocks import number, time_blocks
@@ -73,6 +73,11 @@ def events_as_steps(events: DataFrame, position: bool = True, order: bool = Fals
               .otherwise(F.lit("wait1")))
         .otherwise(F.concat(F.lit("move "), "obj", F.lit(" to "), "room"))
     )
+    if only is not None:
+        b = b.withColumns(texts).withColumn("action", action).where(only).drop("action", *texts)
+    if number_as:
+        b = number(b, ["variation_id"], ["ts", "event_id"], number_as)
+    b = b.withColumns(texts)
     observation = (
         F.when(et == "click", F.concat(F.lit("You move to the "), "room", F.lit(".")))
         .when(et == "error", F.lit("No known action matches that input."))
@@ -96,6 +101,7 @@ def events_as_steps(events: DataFrame, position: bool = True, order: bool = Fals
         freelook.alias("freelook"),
         F.concat(F.lit("In your inventory, you see: a "), "obj").alias("inventory"),
         F.concat(F.lit("visit("), sg_room, F.lit(")")).alias("subgoal"),
+        *([number_as] if number_as else []),
     )
 
 
