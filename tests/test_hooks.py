@@ -1,6 +1,7 @@
 """Caller-supplied models: tokenizers (X12) and embeddings."""
 
 import os
+import random
 
 import pytest
 from conftest import SF_SMALL
@@ -29,6 +30,45 @@ def test_truncation_equals_the_library_on_whole_texts(spark):
     assert (report.rows, report.text_over, report.text_longest) == (len(texts), sum(r.text_over for r in got.values()), max(r.text_tokens for r in got.values()))
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    tokenizers, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = str(files.path("byte_bpe_50k.json"))
+    model, (encode, decode) = tokenizers.Tokenizer.from_file(path), library_tokenizer(path)()
+    drawn, parts = random.Random(3), [*"ab's 1,.\n\t<|>é日😀", "  ", "word ", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "<|endoftext|>", "'ll", "x" * 60]
+    texts = ["".join(drawn.choices(parts[:n], k=drawn.randrange(30))) for n in (8, 18, len(parts)) for _ in range(500)]
+    ids = [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encode(texts) == ids and encode(texts) == ids
+    ids = [i[:n] for i in ids for n in (1, 3, 9)] + [drawn.choices(range(50257), k=6) for _ in range(500)]
+    assert list(map(decode, ids)) == [model.decode(i, skip_special_tokens=False) for i in ids]
+
+
+def test_a_known_piece_is_not_encoded_again(monkeypatch):
+    tokenizers, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    given = []
+
+    class Counting:
+        def __init__(self, model):
+            self.model = model
+
+        @classmethod
+        def from_file(cls, path):
+            return cls(model)
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.model.encode_batch_fast(texts, **options)
+
+        def __getattr__(self, name):
+            return getattr(self.model, name)
+
+    path = str(files.path("byte_bpe_50k.json"))
+    model = tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    encode, _ = library_tokenizer(path)()
+    encode([f"{i} go to the kitchen, look around and open the door" for i in range(300)])
+    assert len(given) == len(set(given)) and sum(map(len, given)) < 2000      # 300 texts of 50 characters
+
+
 def test_every_distinct_text_is_embedded_once(spark, tmp_path):
     asked = str(tmp_path / "asked")
 

@@ -5,7 +5,10 @@ worker that needs it, and what it returns works on whole batches of texts.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,11 +19,83 @@ from ..session import cut
 
 #: Texts whose token ids a worker remembers, and their greatest length.
 REMEMBERED, SHORT = 200_000, 200
+#: Greatest length of a remembered piece.  A piece is ASCII white space and what follows
+#: up to the next.  Other white space, with the separators 1C-1F; any but the space.
+LONGEST = 48
+PIECES = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+WIDE = r"\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+OTHER_SPACE, NOT_PLAIN = re.compile(f"[{WIDE}]"), re.compile(f"[\\t-\\r{WIDE}]")
+
+
+def cuts_at_space(path: str) -> bool:
+    """Whether a ``tokenizers`` file starts a new piece wherever white space follows
+    another character, so that a text's ids are those of its pieces in a row, and whose
+    tokens stand for bytes."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    return (not spec.get("normalizer") and (spec.get("decoder") or {}).get("type") == "ByteLevel" and not spec["model"].get("dropout")
+            and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or []))
+
+
+class _Known(dict):
+    """Ids of ``before`` and a piece; what is missing is encoded, long pieces are forgotten."""
+
+    def __init__(self, encode: Callable, before: str = ""):
+        self.encode, self.before = encode, before
+
+    def of(self, pieces: list[str]) -> list[int]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = list(set(pieces).difference(self))
+        if new:
+            self.update(zip(new, self.encode([self.before + p for p in new])))
+        ids = list(chain.from_iterable(map(self.__getitem__, pieces)))
+        for p in new:
+            if len(p) > LONGEST:
+                del self[p]
+        return ids
+
+
+def by_pieces(encode: Callable) -> Callable:
+    """``encode`` for a tokenizer that cuts at space: short pieces are encoded once and
+    looked up.  At most two spaces in a row, with text behind, part before each of them;
+    texts that hold white space outside ASCII are encoded whole."""
+    known, spaced = _Known(encode), _Known(encode, " ")
+
+    def ids_of(text: str) -> list[int]:
+        if "   " not in text and not text.endswith("  ") and not NOT_PLAIN.search(text):
+            first, *rest = text.split(" ")
+            return known.of([first]) + spaced.of(rest)
+        return known.of([text] if OTHER_SPACE.search(text) else PIECES.findall(text))
+
+    return lambda texts: list(map(ids_of, texts))
+
+
+class _TokenBytes(dict):
+    """Bytes of the tokens of a byte-level vocabulary, by id."""
+
+    PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    BYTE = {chr(b): b for b in PRINTED} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(PRINTED)))}
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, i: int) -> bytes:
+        token = self.model.id_to_token(i) or ""
+        found = [self.BYTE.get(c) for c in token]
+        self[i] = token.encode() if None in found else bytes(found)
+        return self[i]
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def library_tokenizer(path: str) -> Callable[[], tuple[Callable, Callable]]:
     """Hook of a ``tokenizers`` file: ``encode(texts) -> ids``, ``decode(ids) -> text``;
-    no special tokens are added, no truncation is done by the library."""
+    no special tokens are added, no truncation is done by the library.  Where the file
+    allows it, texts are encoded by pieces, which gives the same ids."""
     def load():
         import os
 
@@ -29,8 +104,12 @@ def library_tokenizer(path: str) -> Callable[[], tuple[Callable, Callable]]:
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
-        return (lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)],
-                lambda ids: model.decode(ids, skip_special_tokens=False))
+
+        def encode(texts):
+            return [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+        if cuts_at_space(path):
+            return by_pieces(encode), _TokenBytes(model).decode
+        return encode, lambda ids: model.decode(ids, skip_special_tokens=False)
     return load
 
 
