@@ -48,3 +48,30 @@ def test_descending_to_the_cheapest():
 
 def test_empty_table(spark):
     assert pk.pack(documents(spark, [(1, "a")]).where("doc_id < 0")).collect() == []
+
+
+def test_letter_words_skip_the_splitter_and_texts_learn_together():
+    tokens, lines = pk.TokenIds(pk.tokenizer_path()), []
+    line = tokens.encode_line
+    tokens.encode_line = lambda new: (lines.append(new), line(new))
+    texts = ["Der Hund, the dog! don't stop", None, "", "l'\u00e9t\u00e9 abc123 <|endoftext|> Z\u0130", "the dog, na\u00efve " * 50, "x" * 5000]
+    got = tokens.of(texts)
+    for ids, text in zip(got, texts, strict=True):
+        assert ids.tolist() == tokens.tokenizer.encode(text or "", add_special_tokens=False).ids + [pk.END_ID]
+    assert len(lines) == 1 and not any(w.isascii() and w.isalpha() for w in lines[0])
+    assert [x.tolist() for x in tokens.of(texts)] == [x.tolist() for x in got] and len(lines) == 1
+    assert list(pk.stretches(["ab", None, "c", "defgh", ""], 3)) == [["ab", None, "c"], ["defgh"], [""]]
+
+
+def test_letters_are_not_sent_directly_where_they_are_split(tmp_path):
+    from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+    whole = Tokenizer.from_file(pk.tokenizer_path())
+    whole.normalizer = normalizers.Sequence([whole.normalizer, normalizers.Replace("e", "a")])
+    whole.save(str(tmp_path / "normalised.json"))
+    split = Tokenizer.from_file(pk.tokenizer_path())
+    split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex("[a-m]+"), "isolated"), split.pre_tokenizer])
+    split.save(str(tmp_path / "split.json"))
+    for name, tokenizer in (("normalised", whole), ("split", split)):
+        tokens = pk.TokenIds(str(tmp_path / f"{name}.json"))
+        assert not tokens.direct
+        assert tokens.of(["the letter stays"])[0].tolist() == tokenizer.encode("the letter stays", add_special_tokens=False).ids + [pk.END_ID]

@@ -24,6 +24,7 @@ documents of their own; a null ``doc_id`` stays null; further columns are ignore
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import UPPER_TO_LOWER, text_bytes
 
 LENGTH, END_ID, TAILS = 2048, 1, 8192
+#: Characters of text whose words are looked up together.
+TOGETHER = 1 << 18
 #: Cost of a piece of n tokens: the dense layers, and attention among its own tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 TOKENIZER = "word_bpe_49k.json"
@@ -48,10 +51,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 class TokenIds:
     """Little-endian 32-bit ids of texts, looked up by words; the words seen are
-    kept as bytes of ids and forgotten when they are many."""
+    kept as bytes of ids and forgotten when they are many.  A word of ASCII letters that
+    normaliser and splitter leave as it is goes to the tokenizer's model directly."""
 
     LIMIT = 1_000_000
     MARKS = b"!#$%&*,.?:;"
+    LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 
     def __init__(self, path: str):
         import os
@@ -59,9 +64,35 @@ class TokenIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.direct = self._letters_stay()
+
+    def _letters_stay(self) -> bool:
+        """Whether normaliser and splitter leave a word of ASCII letters as it is."""
+        t, word = self.tokenizer, self.LETTERS.decode()
+        if any(not a.content.strip(word) for a in t.get_added_tokens_decoder().values()):
+            return False
+        return ((t.normalizer is None or t.normalizer.normalize_str(word) == word)
+                and (t.pre_tokenizer is None or [w for w, _ in t.pre_tokenizer.pre_tokenize_str(word)] == [word]))
 
     def encode(self, new: list[bytes]) -> None:
+        """Encode words: those of letters by the model, the others in one call."""
+        if self.direct:
+            letters, others = [], []
+            for w in new:
+                (others if w.translate(None, self.LETTERS) else letters).append(w)
+            of, ids, ends = self.model.tokenize, [], [0]
+            for w in letters:
+                ids += [t.id for t in of(w.decode())]
+                ends.append(len(ids) * 4)
+            ids = np.array(ids, "<u4").tobytes()
+            self.known.update(zip(letters, map(ids.__getitem__, map(slice, ends[:-1], ends[1:]))))
+            new = others
+        if new:
+            self.encode_line(new)
+
+    def encode_line(self, new: list[bytes]) -> None:
         """Encode words in one call; a token belongs to the word its first character lies in."""
         line = b" ".join(new).decode("utf-8", "replace")
         found = self.tokenizer.encode(line, add_special_tokens=False)
@@ -82,15 +113,34 @@ class TokenIds:
         known = self.known
         known.update([(w, known[stem] + known[w[len(stem):]]) for w, stem in parts if stem != w])
 
-    def of(self, text: str | None) -> np.ndarray:
-        raw = text_bytes(text)
-        # the tokenizer lower-cases all but its special tokens
-        words = (raw if b"<|" in raw else raw.translate(UPPER_TO_LOWER)).split()
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text and the end id; the words that are new are learnt together."""
         if len(self.known) > self.LIMIT:
             self.known.clear()
-        if new := set(words).difference(self.known):
+        found, new = [], set()
+        for text in texts:
+            raw = text_bytes(text)
+            # the tokenizer lower-cases all but its special tokens
+            words = (raw if b"<|" in raw else raw.translate(UPPER_TO_LOWER)).split()
+            new.update(set(words).difference(self.known))
+            found.append(words)
+        if new:
             self.learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)) + END, "<u4")
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)) + END, "<u4") for words in found]
+
+
+def stretches(texts: list[str | None], size: int):
+    """Consecutive texts, up to ``size`` characters of them or one longer text."""
+    some, held = [], 0
+    for text in texts:
+        if some and held + len(text or "") > size:
+            yield some
+            some, held = [], 0
+        some.append(text)
+        held += len(text or "")
+    if some:
+        yield some
 
 
 _LOADED: dict[str, TokenIds] = {}
@@ -154,8 +204,8 @@ def _pack(path: str, with_ids: bool):
 
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = tokens.of(text)
+            found = chain.from_iterable(map(tokens.of, stretches(batch.column("text").to_pylist(), TOGETHER)))
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), found):
                 whole = len(ids) // LENGTH * LENGTH
                 for a in range(0, whole, LENGTH):
                     part = ids[a:a + LENGTH]
